@@ -178,3 +178,17 @@ def forest(linked: np.ndarray) -> list[tuple[int, int]]:
         left &= ~seen
         out += [(root, int(i)) for i in np.flatnonzero(seen) if i != root]
     return out
+
+
+def latest_in_worker(name: str, version: str, make):
+    """make() once in each Python worker process for this version; an older version is let go."""
+    store = sys.modules.setdefault("_spindrift_worker", types.ModuleType("_spindrift_worker")).__dict__
+    if store.get(name, ("",))[0] != version:
+        store.pop(name, None)
+        store[name] = (version, make())
+    return store[name][1]
+
+
+def share(column):
+    """A number of at most 2**32 from a hash of the column as text, for seeded choices that no partitioning changes."""
+    return F.crc32(F.md5(F.coalesce(column.cast("string"), F.lit(""))).cast("binary"))
