@@ -1 +1,3 @@
 """Imports every module that registers queries."""
+
+from . import q_similarity, q_text  # noqa: F401
