@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import difflib
 import json
 import re
 
 import pandas as pd
 from pyspark.sql import functions as F
 
+from .names import ratio
 from .text import PROMPT_END, PROMPT_STARTS
 
 NAMED = "array<struct<name: string, definition: string>>"
@@ -72,13 +72,9 @@ def recommendations(raw: str | None, prompt: str | None) -> list[dict]:
     return list(kept.values())
 
 
-def ratio(a: str, b: str) -> float:
-    """Ratcliff-Obershelp similarity of lower-cased texts."""
-    return difflib.SequenceMatcher(None, a.lower(), b.lower()).ratio()
-
-
 def _udf(f, returns: str):
-    return F.pandas_udf(f, returns, F.PandasUDFType.SCALAR)
+    """A function of columns; the UDF is made when it is first used, for that needs a session."""
+    return lambda *columns: F.pandas_udf(f, returns, F.PandasUDFType.SCALAR)(*columns)
 
 
 split_declarations = _udf(lambda s: pd.Series([declarations(x or "") for x in s]), NAMED)

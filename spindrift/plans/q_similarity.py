@@ -161,7 +161,7 @@ def _(s, d):
     return p.select("conv_id", "turn", "width", F.size(F.filter("p", lambda x: x == 0)).alias("padding"), F.array_max("p").cast("long").alias("kept"))
 
 
-@query("SC45_pad_candidates", "WITH t AS (SELECT l_orderkey, count(*) AS n, min(CASE WHEN l_quantity > 25 THEN l_linenumber END) AS p FROM lineitem GROUP BY 1) SELECT l_orderkey AS id, n AS candidates, 7 AS width, coalesce((SELECT count(*) FROM lineitem x WHERE x.l_orderkey = t.l_orderkey AND x.l_linenumber < t.p), -1) AS positive FROM t")
+@query("SC45_pad_candidates", "WITH t AS (SELECT l_orderkey AS id, l_quantity > 25 AS p, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity > 25) AS k FROM lineitem) SELECT id, count(*) AS candidates, greatest(7, count(*)) AS width, coalesce(min(CASE WHEN p THEN k END), 0) - 1 AS positive FROM t GROUP BY id")
 def _(s, d):
     from ..operators.ranking import padded_candidates
 
