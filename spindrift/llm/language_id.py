@@ -7,7 +7,8 @@ letters.
 
 The model is fitted on at most `SAMPLE` labelled texts of each of the `LANGUAGES` commonest languages (smallest hashes of
 doc_id); it holds languages x `BUCKETS` numbers whatever the corpus. Every whole text is labelled, over Arrow batches,
-without a shuffle; Viterbi runs over many texts at once.
+without a shuffle; Viterbi runs over many texts at once, and only over those
+that no single label is sure to fit best.
 
 Defined cases: null texts and texts without a letter are `und` with score 0; with letters of unknown scripts only, a text
 gets the commonest learned language and score 0; with nothing to learn from, all are `und`. Ties go to the language first in
@@ -18,7 +19,6 @@ from __future__ import annotations
 
 import bisect
 import uuid
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, fresh, latest_in_worker, share
+from .common import BASE, documents, fresh, latest_in_worker, mix, share
 
 #: Most texts of a language, and most languages, that the model is fitted on.
 SAMPLE = 1000
@@ -80,11 +80,24 @@ def letters_of(word: str) -> str:
     return word.lower() if word.isalpha() else "".join(filter(str.isalpha, word)).lower()
 
 
-def features(letters: str) -> list[int]:
-    w = f" {letters} ".encode("utf-32-le")
-    n = len(w) // 4
-    grams = [w[4 * i : 4 * (i + k)] for k in (1, 2, 3) for i in range(n - k + 1)]
-    return [zlib.crc32(g) & (BUCKETS - 1) for g in (*grams, w)]
+def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the word, bucket) of each character n-gram of one to three, a blank before and after the word, and of the word itself."""
+    codes = np.frombuffer("".join([f" {x} " for x in words]).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+    sizes = np.array([len(x) + 2 for x in words])
+    word, start = np.repeat(np.arange(len(words)), sizes), np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    numbers, hashes = [], []
+    h = np.zeros(len(codes), dtype=np.uint64)
+    for k in range(3):
+        n = len(codes) - k
+        h = h[:n] * np.uint64(BASE) + codes[k:] + np.uint64(k + 1)
+        inside = word[:n] == word[k:]
+        numbers.append(word[:n][inside])
+        hashes.append(h[inside])
+    place = np.arange(len(codes)) - start[word]
+    whole = np.add.reduceat(codes * mix(place.astype(np.uint64) + np.uint64(7)), start) if len(words) else np.zeros(0, dtype=np.uint64)
+    numbers.append(np.arange(len(words)))
+    hashes.append(whole)
+    return np.concatenate(numbers), (mix(np.concatenate(hashes)) & np.uint64(BUCKETS - 1)).astype(np.int64)
 
 
 class Model:
@@ -103,28 +116,34 @@ class Labeller:
 
     def learn(self, words: list[str]) -> None:
         """Rows of scores of words not seen yet."""
-        at = len(self.rows)
-        if at + len(words) > len(self.scores):
-            size = max(2 * len(self.scores), at + len(words))
+        if not words:
+            return
+        at, n = len(self.rows), len(words)
+        if at + n > len(self.scores):
+            size = max(2 * len(self.scores), at + n)
             for name in ("scores", "letters", "known"):
                 old = getattr(self, name)
                 new = np.zeros((size, *old.shape[1:]), dtype=old.dtype)
                 new[:at] = old[:at]
                 setattr(self, name, new)
-        for x in words:
-            self.rows[x] = row = len(self.rows)
-            letters = letters_of(x)
-            self.letters[row], self.known[row], self.scores[row] = len(letters), False, 0
-            if not letters:
-                continue
-            script = script_of(letters)
-            if (uses := self.uses.get(script)) is None:
-                uses = self.uses[script] = np.array([script in s for s in self.model.scripts], dtype=bool)
-            if uses.any():
-                s = self.model.log_p[:, features(letters)].sum(axis=1)
-                s = np.where(uses, s, -np.inf)
-                self.scores[row] = np.maximum(s - s.max(), -AGAINST)
-                self.known[row] = True
+        self.rows.update(zip(words, range(at, at + n), strict=True))
+        letters = [letters_of(x) for x in words]
+        self.letters[at : at + n] = [len(x) for x in letters]
+        uses = np.array([self.users(x) for x in letters])
+        number, bucket = features(letters)
+        made = np.column_stack([np.bincount(number, weights=p[bucket], minlength=n) for p in self.model.log_p])
+        made[~uses] = -np.inf
+        some = uses.any(axis=1)
+        self.known[at : at + n] = some
+        self.scores[at : at + n] = 0
+        self.scores[at : at + n][some] = np.maximum(made[some] - made[some].max(axis=1, keepdims=True), -AGAINST)
+
+    def users(self, letters: str) -> np.ndarray:
+        """Which languages use the script of a word; none does without letters."""
+        script = script_of(letters) if letters else ""
+        if (uses := self.uses.get(script)) is None:
+            uses = self.uses[script] = np.array([script in s for s in self.model.scripts], dtype=bool)
+        return uses
 
     def numbers(self, texts: list[list[str]]) -> list[np.ndarray]:
         """Row numbers of words. What was kept goes before it grows over CACHED; the texts of one call stay together."""
@@ -137,6 +156,18 @@ class Labeller:
         self.learn(list(new))
         return [np.fromiter(map(rows.__getitem__, words), dtype=np.int64, count=len(words)) for words in texts]
 
+    def single(self, rows: np.ndarray) -> int | None:
+        """The language of all words if one label is sure to be Viterbi's: no stretch speaks for another language by over half a change.
+
+        A path of k stretches in other languages changes k - 1 times at least, k times if it also has stretches in this one,
+        and k halves of a change never exceed that for k of two or more; for one, this language has the best sum.
+        """
+        s = self.scores[rows].astype(np.float64)
+        best = int(s.sum(axis=0).argmax())
+        run = np.zeros((len(s) + 1, s.shape[1]))
+        np.cumsum(s - s[:, best : best + 1], axis=0, out=run[1:])
+        return best if (run - np.minimum.accumulate(run, axis=0)).max() <= SWITCH / 2 else None
+
     def viterbi(self, texts: list[np.ndarray]) -> list[np.ndarray]:
         """The label of each word of each text; texts come longest first."""
         n, size = len(texts), len(self.model.languages)
@@ -186,7 +217,11 @@ class Labeller:
             pairs = sorted((p for p in zip(some, numbers, strict=True) if len(p[1])), key=lambda p: -len(p[1]))
             if not pairs:
                 continue
-            for (i, rows), labels in zip(pairs, self.viterbi([r for _, r in pairs]), strict=True):
+            sure = [self.single(r) for _, r in pairs]
+            rest = [r for (_, r), k in zip(pairs, sure, strict=True) if k is None]
+            found = iter(self.viterbi(rest) if rest else ())
+            for (i, rows), k in zip(pairs, sure, strict=True):
+                labels = next(found) if k is None else np.full(len(rows), k)
                 letters = self.letters[rows]
                 total = int(letters.sum())
                 if not total:
@@ -215,7 +250,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     if not names:
         return Model([], np.zeros((0, BUCKETS), dtype=np.float32), [], 0)
     first = Window.partitionBy("lang").orderBy("h", "doc_id")
-    chosen = rows.where(F.col("lang").isin(names)).select("lang", "doc_id", share(F.col("doc_id")).alias("h")).withColumn("k", F.row_number().over(first)).where(F.col("k") <= sample)
+    low = F.lit(0.0)  # hashes up to here are enough for the sample, so only as many rows meet in the window
+    for r in counts:
+        low = F.when(F.col("lang") == r["lang"], F.lit(2.0**32 * min(1.0, (2 * sample + 100) / r["n"]))).otherwise(low)
+    chosen = rows.select("lang", "doc_id", share(F.col("doc_id")).alias("h")).where(F.col("h") <= low).withColumn("k", F.row_number().over(first)).where(F.col("k") <= sample)
     chosen = F.broadcast(chosen.select("doc_id", F.col("lang").alias("chosen_lang")).distinct())  # at most sample x languages ids
     texts = rows.join(chosen, rows["doc_id"].eqNullSafe(chosen["doc_id"]) & (rows["lang"] == chosen["chosen_lang"])).select("lang", "text")
 
@@ -225,11 +263,14 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 seen.setdefault(lang, Counter()).update(words_in(text))
         for lang, words in seen.items():
-            grams, scripts = np.zeros(BUCKETS, dtype=np.int64), Counter()
+            scripts: Counter = Counter()
+            letters: Counter = Counter()
             for word, n in words.items():
-                if letters := letters_of(word):
-                    scripts[script_of(letters)] += n * len(letters)
-                    np.add.at(grams, features(letters), n)
+                if x := letters_of(word):
+                    letters[x] += n
+                    scripts[script_of(x)] += n * len(x)
+            number, bucket = features(list(letters))
+            grams = np.bincount(bucket, weights=np.fromiter(letters.values(), dtype=np.float64, count=len(letters))[number], minlength=BUCKETS).astype(np.int64)
             used = np.flatnonzero(grams)
             keys, values = [*used.tolist(), *(f"{x}" for x in scripts)], [*grams[used].tolist(), *scripts.values()]
             yield pa.RecordBatch.from_pydict({"lang": [lang] * len(keys), "gram": [str(x) for x in keys], "n": pa.array(values, pa.int64())})

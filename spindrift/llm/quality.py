@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, documents, latest_in_worker, share
+from .common import BoundedCache, documents, first_by_hash, latest_in_worker
 
 LABELLED = 4000
 POOL = 2000
@@ -181,7 +181,7 @@ def _matrices(rows) -> tuple[np.ndarray, np.ndarray]:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", meta_cols: tuple[str, ...] = ("source", "lang", "n_chars"), label_col: str = "quality", labelled: int = LABELLED, pool: int = POOL) -> Model | float:
     """The model, or the one score of all rows where labels have a single class or none."""
     known = labels.select(F.col(id_col).alias("k_id"), F.col(label_col).cast("int").alias("k_y")).where("k_y IN (0, 1) AND k_id IS NOT NULL")
-    first = F.broadcast(known.orderBy(share(F.col("k_id")), "k_id", "k_y").limit(labelled))  # bounded rows of two numbers
+    first = F.broadcast(first_by_hash(known, ["k_id", "k_y"], labelled))
     taken = docs.join(first, docs[id_col] == first["k_id"])
     rows = _rows(taken, text_col, list(meta_cols), [F.col("k_id"), F.col("k_y")]).orderBy("k_id", "k_y").limit(2 * labelled).collect()
     if not rows:
@@ -189,8 +189,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     y = np.array([r["k_y"] for r in rows], dtype=float)
     if y.min() == y.max():
         return float(y[0])
-    ids = docs.select(F.col(id_col).alias("p_id")).join(known.select(F.col("k_id").alias("p_id")), "p_id", "left_anti").orderBy(share(F.col("p_id")), "p_id").limit(pool)
-    ids = F.broadcast(ids.distinct())
+    ids = docs.select(F.col(id_col).alias("p_id")).join(known.select(F.col("k_id").alias("p_id")), "p_id", "left_anti")
+    ids = F.broadcast(first_by_hash(ids, ["p_id"], pool).distinct())
     free = _rows(docs.join(ids, docs[id_col] == ids["p_id"]), text_col, list(meta_cols), [F.col("p_id")]).orderBy("p_id").limit(2 * pool).collect()
     order = np.argsort([zlib.crc32(str(r["k_id"]).encode()) for r in rows], kind="stable")
     text, meta = _matrices(rows)
