@@ -38,3 +38,12 @@ def path_collisions(files: DataFrame, path: str) -> DataFrame:
     folders = low.select(F.explode(F.transform(F.slice(F.sequence(F.lit(1), F.size(parts)), F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))).alias("p")).where("p <> ''").distinct()
     folder = low.distinct().join(folders, "p", "left_semi").select("p", F.lit("folder").alias("fault"))
     return same.unionByName(folder)
+
+
+def safe_members(files: DataFrame, path: str) -> DataFrame:
+    """Members of an archive that may be unpacked: relative, without parent steps, and no other differs by case alone."""
+    from pyspark.sql import Window
+
+    ok = ~F.col(path).startswith("/") & ~F.array_contains(F.split(path, "/"), "..")
+    n = F.count("*").over(Window.partitionBy(F.lower(path)))
+    return files.withColumn("n_", n).where(ok & (F.col("n_") == 1)).drop("n_")
