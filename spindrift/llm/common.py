@@ -68,6 +68,13 @@ def per_worker(key, make):
     return store[key]
 
 
+def slices(batches, rows: int):
+    """The batches in parts of at most so many rows, so what is worked out for a part stays small."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 class BoundedCache(dict):
     """A dict of at most `limit` entries, emptied when full: memory stays bounded, lookups stay plain dict lookups."""
 

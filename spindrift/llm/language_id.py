@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BASE, documents, fresh, latest_in_worker, mix, share
+from .common import BASE, documents, fresh, latest_in_worker, mix, share, slices
 
 #: Most texts of a language, and most languages, that the model is fitted on.
 SAMPLE = 1000
@@ -39,10 +39,13 @@ WORD = 64
 SWITCH = 10.0
 AGAINST = 6.0
 CACHED = 400_000
+#: Words whose n-grams, and texts whose words, are held at once.
+LEARN = 8192
+TEXTS = 1024
 #: A language uses a script if this share of its letters is of it.
 USES = 0.01
 #: Cells (words x texts x languages) of a Viterbi table.
-CELLS = 1 << 24
+CELLS = 1 << 22
 
 #: First code points of blocks and the scripts they belong to (fixed values of the Unicode standard).
 SCRIPTS = [
@@ -115,9 +118,11 @@ class Labeller:
         self.uses: dict[str, np.ndarray] = {}
 
     def learn(self, words: list[str]) -> None:
-        """Rows of scores of words not seen yet."""
-        if not words:
-            return
+        """Rows of scores of words not seen yet, so many at a time that their n-grams stay small."""
+        for i in range(0, len(words), LEARN):
+            self._learn(words[i : i + LEARN])
+
+    def _learn(self, words: list[str]) -> None:
         at, n = len(self.rows), len(words)
         if at + n > len(self.scores):
             size = max(2 * len(self.scores), at + n)
@@ -269,8 +274,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                 if x := letters_of(word):
                     letters[x] += n
                     scripts[script_of(x)] += n * len(x)
-            number, bucket = features(list(letters))
-            grams = np.bincount(bucket, weights=np.fromiter(letters.values(), dtype=np.float64, count=len(letters))[number], minlength=BUCKETS).astype(np.int64)
+            grams, names, times = np.zeros(BUCKETS), list(letters), np.fromiter(letters.values(), dtype=np.float64, count=len(letters))
+            for i in range(0, len(names), LEARN):
+                number, bucket = features(names[i : i + LEARN])
+                grams += np.bincount(bucket, weights=times[i:][number], minlength=BUCKETS)
+            grams = grams.astype(np.int64)
             used = np.flatnonzero(grams)
             keys, values = [*used.tolist(), *(f"{x}" for x in scripts)], [*grams[used].tolist(), *scripts.values()]
             yield pa.RecordBatch.from_pydict({"lang": [lang] * len(keys), "gram": [str(x) for x in keys], "n": pa.array(values, pa.int64())})
@@ -299,7 +307,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = latest_in_worker("language", version, lambda: Labeller(held.value))
         kind = pa.list_(pa.struct([("lang", pa.string()), ("first", pa.int32()), ("end", pa.int32())]))
-        for b in batches:
+        for b in slices(batches, TEXTS):
             found = labeller.label(b.column(1).to_pylist())
             spans = pa.array([[{"lang": x, "first": i, "end": j} for x, i, j in r[3]] for r in found], kind)
             yield pa.RecordBatch.from_arrays(
@@ -320,7 +328,7 @@ def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = latest_in_worker("language", version, lambda: Labeller(held.value))
-        for b in batches:
+        for b in slices(batches, TEXTS):
             found = labeller.label(b.column(at).to_pylist())
             yield b.filter(pa.array([x[0] != "und" and x[2] >= 0.5 for x in found], pa.bool_()))
 
