@@ -95,3 +95,19 @@ def _surrounding(text, word, n):
 
 #: Text around each match; matches may overlap.
 surrounding_matches = _udf(_surrounding, "array<struct<at: int, context: string>>")
+
+
+def _match(f):
+    from . import type_algebra
+
+    g = getattr(type_algebra, f)
+    return _udf(lambda a, b: pd.Series([None if x is None or y is None else g(x, y) for x, y in zip(a, b, strict=True)], dtype="boolean"), "boolean")
+
+
+def _canonical():
+    from .type_algebra import canonical as g
+
+    return _udf(lambda a: pd.Series([None if x is None else g(x) for x in a], dtype=object), "string")
+
+
+exact_match, base_match, canonical_type = _match("exact_match"), _match("base_match"), _canonical()
