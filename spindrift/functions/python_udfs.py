@@ -111,3 +111,27 @@ def _canonical():
 
 
 exact_match, base_match, canonical_type = _match("exact_match"), _match("base_match"), _canonical()
+
+
+def _of_type(f):
+    """Lists of texts that the algebra gives for a type text."""
+
+    def run(a):
+        from . import type_algebra as t
+
+        return pd.Series([None if x is None else [str(y) for y in getattr(t, f)(t.alternatives(x))] for x in a], dtype=object)
+
+    return _udf(run, "array<string>")
+
+
+leaf_types, settled_types = _of_type("leaves"), _of_type("settled")
+
+
+def _parts(text, by):
+    from .type_algebra import split, unwrapped
+
+    return pd.Series([split(unwrapped(t), b) for t, b in zip(text, by, strict=True)], dtype=object)
+
+
+#: Parts of a type text between separators outside brackets.
+split_type = _udf(_parts, "array<string>")

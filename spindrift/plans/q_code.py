@@ -262,3 +262,101 @@ def _(s, d):
 def _(s, d):
     q = V.table(s, d, "supplier").select(F.concat(F.lit("C"), F.expr("s_suppkey % 40")).alias("q")).distinct()
     return q.join(V.KB(s, d).where("kind = 'class'"), F.col("q") == F.col("name")).select("q", "key")
+
+
+TS = """// class Gone {k} {}
+import { Thing } from './thing';
+export interface Shape{k} { side: number; area(): number }
+type Id{k} = string | { a: number };
+export class Box{k} extends Thing implements Shape{k} {
+  side = 1; name: string = "new Fake()";
+  area(): number { return helper{k}(this.side); }
+}
+export function helper{k}(x: number): number { return new Box{k}().side + other.call(x); }
+export const arrow{k} = (y: string) => { return helper{k}(1); };
+"""
+
+
+def ts_files(s, d):
+    k = F.col("p_partkey").cast("string")
+    return V.table(s, d, "part").select("p_partkey", F.replace(F.lit(TS), F.lit("{k}"), k).alias("source"))
+
+
+def _ts(find, shape):
+    def run(frames):
+        import pandas as pd
+
+        for f in frames:
+            yield pd.DataFrame([(k, *x.values()) for k, t in zip(f["p_partkey"], f["source"], strict=True) for x in find(t)], columns=["p_partkey", *[x.split()[0] for x in shape.split(", ")]])
+
+    return lambda s, d: ts_files(s, d).mapInPandas(run, f"p_partkey long, {shape}")
+
+
+@query("C34_typescript_declarations", "SELECT p_partkey, replace(n, '#', CAST(p_partkey AS VARCHAR)) AS name, kind, line FROM part, (VALUES ('Shape#', 'interface', 3), ('Id#', 'type', 4), ('Box#', 'class', 5), ('helper#', 'function', 9), ('arrow#', 'arrow', 10)) t(n, kind, line)")
+def _(s, d):
+    from ..functions import typescript
+
+    return _ts(typescript.declarations, "name string, kind string, line int, definition string")(s, d).select("p_partkey", "name", "kind", "line")
+
+
+@query("C35_typescript_calls", "SELECT p_partkey, replace(n, '#', CAST(p_partkey AS VARCHAR)) AS name, kind, line FROM part, (VALUES ('area', 'call', 3), ('helper#', 'call', 7), ('Box#', 'new', 9), ('other.call', 'call', 9), ('helper#', 'call', 10)) t(n, kind, line)")
+def _(s, d):
+    from ..functions import typescript
+
+    return _ts(typescript.calls, "name string, kind string, line int, code string")(s, d).select("p_partkey", "name", "kind", "line")
+
+
+@query("C38_typescript_initializers", "SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'number' WHEN 1 THEN 'string' WHEN 2 THEN 'Array' WHEN 3 THEN 'Foo.Bar' WHEN 4 THEN 'Function' ELSE 'any' END AS type FROM part")
+def _(s, d):
+    from ..functions import typescript
+
+    forms = F.array(*map(F.lit, ["-1.5", "'a b'", "[1, 2]", "new Foo.Bar(1)", "async (x) => x", "x + 1"]))
+    guess = F.pandas_udf(lambda a: a.map(typescript.initializer_type), "string", F.PandasUDFType.SCALAR)
+    return V.table(s, d, "part").select("p_partkey", guess(F.get(forms, F.expr("CAST(p_partkey % 6 AS INT)"))).alias("type"))
+
+
+@query("U09_type_set_inclusion")
+def _(s, d):
+    return _matches(s, d).groupBy("exact", "base").agg(F.count("*").alias("n"))
+
+
+@query("SC52_type_helpers")
+def _(s, d):
+    return _matches(s, d).where("base AND NOT exact").select("p_partkey", "truth", "predicted")
+
+
+@query("SC54_constituent_parsers")
+def _(s, d):
+    from ..functions.python_udfs import settled_types
+
+    return _type_pairs(s, d).select("p_partkey", "truth", F.size(settled_types("truth")).alias("alternatives"))
+
+
+@query("SC55_generic_parsers")
+def _(s, d):
+    from ..functions.python_udfs import canonical_type
+
+    made = _type_pairs(s, d).select("p_partkey", F.concat(F.lit("Record<string, "), "truth", F.lit(">")).alias("text"))
+    return made.select("p_partkey", "text", canonical_type("text").alias("canonical"))
+
+
+@query("SC56_bracket_split")
+def _(s, d):
+    from ..functions.python_udfs import split_type
+
+    both = _type_pairs(s, d).select("p_partkey", F.concat(F.lit("("), "truth", F.lit(" | "), "predicted", F.lit(")")).alias("text"))
+    return both.select("p_partkey", F.posexplode(split_type("text", F.lit("|"))).alias("place", "part"))
+
+
+@query("SC57_leaf_types")
+def _(s, d):
+    from ..functions.python_udfs import leaf_types
+
+    return _type_pairs(s, d).select("p_partkey", F.explode(leaf_types("truth")).alias("leaf"))
+
+
+@query("SC58_canonical_equality", f"SELECT gttype, lower(split_part(regexp_replace(replace(gttype, 'typing.', ''), '\\s+', '', 'g'), '.', -1)) = 'response' AS same, count(*) AS n FROM {V.ANNOTATIONS.sql} GROUP BY ALL")
+def _(s, d):
+    from ..operators.aggregates import same_type
+
+    return V.ANNOTATIONS(s, d).groupBy("gttype", same_type(F.col("gttype"), F.lit("x.Response")).alias("same")).agg(F.count("*").alias("n"))

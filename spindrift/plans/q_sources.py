@@ -309,3 +309,28 @@ def _(s, d):
     run_available(s, f"{p}/in", "doc_id long, lang string, source string, n_chars long", f"{p}/out", f"{p}/state")
     run_available(s, f"{p}/in", "doc_id long, lang string, source string, n_chars long", f"{p}/out", f"{p}/state")  # nothing new
     return s.read.parquet(f"{p}/out").groupBy("lang").agg(F.count("*").alias("n"))
+
+
+@query("S02_read_records", "SELECT role, count(*) AS n FROM conversations GROUP BY 1")
+def _(s, d):
+    R.write_jsonl(V.table(s, d, "conversations"), p := folder(s))
+    return R.read_jsonl(s, p, "conv_id long, turn long, role string, text string").groupBy("role").agg(F.count("*").alias("n"))
+
+
+@query("S03_flat_folder", "SELECT item_id, length(text) AS size FROM benchmark")
+def _(s, d):
+    R.write_jsonl(V.table(s, d, "benchmark"), p := folder(s))
+    return s.read.schema("item_id long, text string").json(f"{p}/*.json").select("item_id", F.length("text").cast("long").alias("size"))
+
+
+@query("S05_typed_json_list", "SELECT n_nationkey, n_name FROM nation")
+def _(s, d):
+    p = folder(s)
+    # one list in one file: the table has 25 rows at every size
+    V.table(s, d, "nation").agg(F.to_json(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("value")).write.text(p)
+    return R.read_json_list(s, p, "n_nationkey int, n_name string")
+
+
+@query("A21_stage_sums", "SELECT event_type AS stage, count(*) AS calls, round(sum(value), 2) AS total, round(max(value), 6) AS longest FROM events GROUP BY 1")
+def _(s, d):
+    return V.table(s, d, "events").groupBy(F.col("event_type").alias("stage")).agg(F.count("*").alias("calls"), F.round(F.sum("value"), 2).alias("total"), F.round(F.max("value"), 6).alias("longest"))
