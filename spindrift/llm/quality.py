@@ -87,8 +87,8 @@ class Logistic:
         self.w[:], self.b = 0, float(np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3)))
         m, v = np.zeros(len(self.w) + 1), np.zeros(len(self.w) + 1)
         for t in range(1, steps + 1):  # Adam, whole batch
-            e = self.prob(x @ self.w + self.b) - y
-            g = np.append(x.T @ e / len(y) + ridge * self.w, e.mean())
+            e = self.prob((x @ self.w.astype(x.dtype)).astype(np.float64) + self.b) - y
+            g = np.append((x.T @ e.astype(x.dtype)).astype(np.float64) / len(y) + ridge * self.w, e.mean())
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
             step = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
             self.w -= step[:-1]
