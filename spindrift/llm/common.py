@@ -140,6 +140,22 @@ def shingles_of(words: np.ndarray, width: int) -> np.ndarray:
     return mix(h)
 
 
+#: Most rows of the heavy side of join_heavy.
+HEAVY = 1024
+
+
+def join_heavy(rows: DataFrame, keyed: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+    """rows joined with keyed, which has each key once, with the number of rows that have it (or more) in `weight`.
+
+    Keys with over total / HEAVY rows, at most HEAVY of them if weights sum up to total, are broadcast, so rows of a hot key
+    never meet in a task; the others are joined by a shuffle.
+    """
+    hot = F.col(weight) * HEAVY > total
+    heavy, light = F.broadcast(keyed.where(hot)), keyed.where(~hot)
+    joined = rows.join(heavy, key)
+    return joined.unionByName(rows.join(F.broadcast(keyed.where(hot).select(key)), key, "left_anti").join(light, key))
+
+
 def connected_components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(node, root) of every node that has an edge; root is the smallest node reached. edges: two long columns.
 
@@ -152,8 +168,8 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str) -> DataF
     for i in range(60):
         if i:
             both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(now.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-            least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-            large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
+            least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+            large = join_heavy(both.where("v > u"), least, "u", "n", 2 * was[0]).select(F.col("v").alias("hi"), F.col("m").alias("lo"))
             down = large.groupBy("hi").agg(F.min("lo").alias("m"))
             small = large.join(down, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
             now = small.unionByName(down.select("hi", F.col("m").alias("lo"))).distinct()

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import blocks
-from .common import BASE, Scratch, connected_components, mix, per_worker
+from .common import BASE, Scratch, connected_components, join_heavy, mix, per_worker
 
 THRESHOLD = 0.95
 TABLES = 8
@@ -177,9 +177,11 @@ def similar_vectors(rows: DataFrame, scratch: Scratch, id_col: str = "vec_id", v
     least = groups.groupBy("root").agg(F.min("rep").alias("component"))
     grouped = groups.join(least, "root").select("node", "component")
     of_node = nodes.select("node", "rep", "mult").join(blocks.per_node(verified), "node", "left").join(grouped, "node", "left")
-    of_node = of_node.select("node", (F.col("mult") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.when(F.col("component").isNull(), F.col("rep")).otherwise(F.col("component")).alias("component_id"))
+    of_node = of_node.select("node", "mult", (F.col("mult") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.when(F.col("component").isNull(), F.col("rep")).otherwise(F.col("component")).alias("component_id"))
+    of_node = scratch.save(of_node, "of-node")
+    total = of_node.agg(F.sum("mult")).first()[0] or 0
     alone = found.where("node IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return known.select("vec_id", "node").join(of_node, "node").select("vec_id", "n_links", "component_id").unionByName(alone)
+    return join_heavy(known.select("vec_id", "node"), of_node, "node", "mult", total).select("vec_id", "n_links", "component_id").unionByName(alone)
 
 
 def near_dedup(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:

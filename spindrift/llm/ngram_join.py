@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import blocks
-from .common import BASE, Scratch, connected_components, documents, fresh, mix, shingles_of, words_of
+from .common import BASE, Scratch, connected_components, documents, fresh, join_heavy, mix, shingles_of, words_of
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -166,8 +166,10 @@ def similarity_groups(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id",
     least = groups.groupBy("root").agg(F.min("rep").alias("component"))
     grouped = groups.join(least, "root").select("node", "component")
     of_node = nodes.select("node", "rep", "mult").join(blocks.per_node(verified), "node", "left").join(grouped, "node", "left")
-    of_node = of_node.select("node", F.col("rep").alias("class_id"), (F.col("mult") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.when(F.col("component").isNull(), F.col("rep")).otherwise(F.col("component")).alias("component_id"))
-    found = known.select("doc_id", "node").join(of_node, "node").select("doc_id", "class_id", "n_links", "component_id")
+    of_node = of_node.select("node", "mult", F.col("rep").alias("class_id"), (F.col("mult") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.when(F.col("component").isNull(), F.col("rep")).otherwise(F.col("component")).alias("component_id"))
+    of_node = scratch.save(of_node, "of-node")
+    total = of_node.agg(F.sum("mult")).first()[0] or 0
+    found = join_heavy(known.select("doc_id", "node"), of_node, "node", "mult", total).select("doc_id", "class_id", "n_links", "component_id")
     alone = rows.where("node IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("component_id"))
     return found.unionByName(alone)
 

@@ -180,18 +180,20 @@ def _matrices(rows) -> tuple[np.ndarray, np.ndarray]:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", meta_cols: tuple[str, ...] = ("source", "lang", "n_chars"), label_col: str = "quality", labelled: int = LABELLED, pool: int = POOL) -> Model | float:
     """The model, or the one score of all rows where labels have a single class or none."""
+    docs = docs.select(F.col(id_col).alias("d_id"), F.col(text_col).alias("d_text"), *[F.col(c).alias(f"d_m{i}") for i, c in enumerate(meta_cols)])
+    metas = [f"d_m{i}" for i in range(len(meta_cols))]
     known = labels.select(F.col(id_col).alias("k_id"), F.col(label_col).cast("int").alias("k_y")).where("k_y IN (0, 1) AND k_id IS NOT NULL")
     first = F.broadcast(first_by_hash(known, ["k_id", "k_y"], labelled))
-    taken = docs.join(first, docs[id_col] == first["k_id"])
-    rows = _rows(taken, text_col, list(meta_cols), [F.col("k_id"), F.col("k_y")]).orderBy("k_id", "k_y").limit(2 * labelled).collect()
+    taken = docs.join(first, F.col("d_id") == F.col("k_id"))
+    rows = _rows(taken, "d_text", metas, [F.col("k_id"), F.col("k_y")]).orderBy("k_id", "k_y").limit(2 * labelled).collect()
     if not rows:
         return 0.5
     y = np.array([r["k_y"] for r in rows], dtype=float)
     if y.min() == y.max():
         return float(y[0])
-    ids = docs.select(F.col(id_col).alias("p_id")).join(known.select(F.col("k_id").alias("p_id")), "p_id", "left_anti")
+    ids = docs.select(F.col("d_id").alias("p_id")).join(known.select(F.col("k_id").alias("p_id")), "p_id", "left_anti")
     ids = F.broadcast(first_by_hash(ids, ["p_id"], pool).distinct())
-    free = _rows(docs.join(ids, docs[id_col] == ids["p_id"]), text_col, list(meta_cols), [F.col("p_id")]).orderBy("p_id").limit(2 * pool).collect()
+    free = _rows(docs.join(ids, F.col("d_id") == F.col("p_id")), "d_text", metas, [F.col("p_id")]).orderBy("p_id").limit(2 * pool).collect()
     order = np.argsort([zlib.crc32(str(r["k_id"]).encode()) for r in rows], kind="stable")
     text, meta = _matrices(rows)
     return co_train(text[order], meta[order], y[order], *_matrices(free))

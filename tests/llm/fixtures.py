@@ -28,6 +28,6 @@ def docs(spark, data=None):
     from pyspark.sql import functions as F
 
     df = spark.createDataFrame(rows() if data is None else data, DOCS)
-    for c in ("node", "digest", "_gone", "stratum", "key", "h", "vector"):
+    for c in ("node", "digest", "_gone", "stratum", "key", "h", "vector", "k_id", "d_id", "spans", "_text", "bucket", "rep"):
         df = df.withColumn(c, F.lit(1))
     return df
