@@ -60,11 +60,22 @@ class Scratch:
             p.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
-def per_worker(key, make):
-    """make() once in each Python worker process, which Spark reuses for many tasks."""
+def _store(key) -> dict:
+    """What a worker process keeps between tasks. Only the large thing used last stays: asking for another key lets it go."""
     store = sys.modules.setdefault("_spindrift_worker", types.ModuleType("_spindrift_worker")).__dict__
+    if (large := store.get("large")) is not None and large != key:
+        store.pop(large, None)
+        store["large"] = None
+    return store
+
+
+def per_worker(key, make, large: bool = False):
+    """make() once in each Python worker process, which Spark reuses for many tasks."""
+    store = _store(key)
     if key not in store:
         store[key] = make()
+    if large:
+        store["large"] = key
     return store[key]
 
 
@@ -204,11 +215,12 @@ def forest(linked: np.ndarray) -> list[tuple[int, int]]:
 
 
 def latest_in_worker(name: str, version: str, make):
-    """make() once in each Python worker process for this version; an older version is let go."""
-    store = sys.modules.setdefault("_spindrift_worker", types.ModuleType("_spindrift_worker")).__dict__
+    """make() once in each Python worker process for this version; an older version, like anything large, is let go."""
+    store = _store(name)
     if store.get(name, ("",))[0] != version:
         store.pop(name, None)
         store[name] = (version, make())
+        store["large"] = name
     return store[name][1]
 
 

@@ -194,7 +194,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def ids_of():
-        words = per_worker(("ids", tokenizer_path), lambda: Ids(model.value))
+        words = per_worker(("ids", tokenizer_path), lambda: Ids(model.value), large=True)
 
         def encode(b: pa.RecordBatch):
             for text in b.column(1):
@@ -216,7 +216,7 @@ def pack_conversations(turns: DataFrame, tokenizer_path: str, end_id: int = END_
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def ids_of():
-        words = per_worker(("ids", tokenizer_path), lambda: Ids(model.value))
+        words = per_worker(("ids", tokenizer_path), lambda: Ids(model.value), large=True)
 
         def encode(b: pa.RecordBatch):
             for prompt, answer in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):

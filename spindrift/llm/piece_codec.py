@@ -152,7 +152,7 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
     shape += ", ids array<int>, decoded string" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = per_worker(("pieces", model_path), lambda: PieceCodec(model.value))
+        codec = per_worker(("pieces", model_path), lambda: PieceCodec(model.value), large=True)
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 b = whole.slice(at, 512)
@@ -178,7 +178,7 @@ def decode_documents(encoded: DataFrame, model_path: str, id_col: str = "doc_id"
     chosen = encoded.select(encoded[id_col].alias("doc_id"), encoded[ids_col].cast("array<int>").alias("ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = per_worker(("pieces", model_path), lambda: PieceCodec(model.value))
+        codec = per_worker(("pieces", model_path), lambda: PieceCodec(model.value), large=True)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if x is None else codec.library.decode(x) for x in b.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
 
