@@ -177,3 +177,36 @@ def test_many_copies_and_near_passages(spark):
     assert {r.doc_id for r in got} >= set(range(1, 60)) - {i for i in range(60) if i % 3 == 1}
     assert len({r.doc_id for r in got} & {i for i in range(60) if i % 3 == 1}) >= 16
     assert all(r.doc_id < 100 and r.of_doc_id < r.doc_id for r in got)
+
+
+def repeated_stretches(data, t=50):
+    """By brute force: for each document the first words of its stretches of t words that a document of smaller id holds."""
+    least, out = {}, set()
+    for i, text, *_ in data:
+        w = text.split()
+        for k in range(len(w) - t + 1):
+            s = tuple(w[k : k + t])
+            least[s] = min(i, least.get(s, i))
+    for i, text, *_ in data:
+        w = text.split()
+        out |= {(i, k) for k in range(len(w) - t + 1) if least[tuple(w[k : k + t])] < i}
+    return out
+
+
+def test_every_repeat_beside_a_hot_heading(spark):
+    heading, tail = words(42, 1).split(), words(30, 2).split()
+    data = []
+    for i in range(400):  # the heading is under 50 words, so only what two documents hold beside it makes a passage
+        head = list(heading)
+        if i % 5 == 4:
+            head[20] = f"v{i % 7}"
+        before, after = words(10, 5000 + i % 90), words(9 + i % 6, 9000 + i % 110)
+        data.append((i, f"{words(12 + i % 9, 100 + i)} {before} {' '.join(head)} {after} {words(25, 20000 + i)} {' '.join(tail)} {words(40, 30000 + i % 150)}", "en", "s", 1))
+    random.Random(4).shuffle(data)
+    want = repeated_stretches(data)
+    covered = defaultdict(set)
+    for r in S.passages(docs(spark, data).repartition(6)).collect():
+        assert r.of_doc_id < r.doc_id
+        covered[r.doc_id].update(range(r.first_word, r.end_word))
+    missed = [x for x in want if not covered[x[0]].issuperset(range(x[1], x[1] + 50))]
+    assert len(want) > 3000 and not missed, (len(missed), len(want))
