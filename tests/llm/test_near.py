@@ -210,3 +210,20 @@ def test_every_repeat_beside_a_hot_heading(spark):
         covered[r.doc_id].update(range(r.first_word, r.end_word))
     missed = [x for x in want if not covered[x[0]].issuperset(range(x[1], x[1] + 50))]
     assert len(want) > 3000 and not missed, (len(missed), len(want))
+
+
+def test_recall_of_passages_at_the_threshold(spark):
+    """Passages of 50 to 54 words with one changed, at a Jaccard similarity of 0.8 to 0.82; earlier documents hold a part of them."""
+    r, data, pairs = random.Random(11), [], 400
+    for g in range(pairs):
+        n = r.randint(50, 54)
+        a = words(n, 40000 + g).split()
+        b = list(a)
+        b[r.randrange(6, n - 6)] = f"z{g}"
+        x, y = ({tuple(p[k : k + 5]) for k in range(n - 4)} for p in (a, b))
+        assert 0.8 <= len(x & y) / len(x | y) <= 0.83
+        for k, p in enumerate((a[: n // 2], a[n // 3 : -8], a[n // 2 :], a, b)):
+            data.append((5 * g + k, f"{words(40 + k, 60000 + 5 * g + k)} {' '.join(p)} {words(40, 80000 + 5 * g + k)}", "en", "s", 1))
+    found = {(x.of_doc_id, x.doc_id) for x in S.passages(docs(spark, data).repartition(5)).collect()}
+    met = sum((5 * g + 3, 5 * g + 4) in found for g in range(pairs))
+    assert met >= 0.995 * pairs, met
