@@ -118,10 +118,23 @@ QUERY_DOCS = f"(SELECT doc_id, {words('lower(text)')} AS xt FROM documents WHERE
 ITEMS = f"(SELECT item_id, {words('lower(text)')} AS yt FROM benchmark)"
 
 
-def _bm25_matches(s, d, above):
+STOP_WORDS = "and as async await class def else false for from if import in none not or pass return self true with yield".split()
+
+
+def _words(text):
+    return S.tokens(F.lower(text))
+
+
+def _identifiers(text):
+    """Lower-cased identifiers but stop words."""
+    found = F.transform(F.regexp_extract_all(text, F.lit(r"(?U)[A-Za-z_]\w*"), F.lit(0)), F.lower)
+    return F.filter(found, lambda x: ~x.isin(STOP_WORDS))
+
+
+def _bm25_matches(s, d, above, tokens=_words, items=None):
     """Documents whose id is divisible by 100 against all items, by common words."""
-    q = V.table(s, d, "documents").where("doc_id % 100 = 0").select("doc_id", S.tokens(F.lower("text")).alias("xt"))
-    c = V.table(s, d, "benchmark").select("item_id", S.tokens(F.lower("text")).alias("yt"))
+    q = V.table(s, d, "documents").where("doc_id % 100 = 0").select("doc_id", tokens("text").alias("xt"))
+    c = (V.table(s, d, "benchmark") if items is None else items).select("item_id", tokens("text").alias("yt"))
     pairs = J.shared_token_pairs(q, "doc_id", "xt", c, "item_id", "yt")
     scored = pairs.join(q, "doc_id").join(c, "item_id").select("doc_id", "item_id", F.round(S.bm25(F.col("xt"), F.col("yt")), 6).alias("score"))
     return scored.where(F.col("score") > above)
@@ -142,6 +155,14 @@ def _(s, d):
     return m.withColumn("k", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "item_id"))).where("k <= 20").drop("k")
 
 
+@query("J14_structural_bm25_top20_identifiers")
+def _(s, d):
+    """Over identifiers, and of equal definitions the first only. J14's SQL has words and every copy."""
+    items = V.table(s, d, "benchmark").groupBy("text").agg(F.min("item_id").alias("item_id"))
+    m = _bm25_matches(s, d, 0.1, _identifiers, items)
+    return m.withColumn("k", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "item_id"))).where("k <= 20").drop("k")
+
+
 @query("T07_best_under_threshold", BM + " SELECT doc_id, item_id, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, item_id) AS k, max(score) OVER (PARTITION BY doc_id) AS best FROM r WHERE score > 0.3) WHERE k <= 5 AND best >= 0.5")
 def _(s, d):
     w = Window.partitionBy("doc_id")

@@ -7,6 +7,8 @@ import duckdb
 import pandas as pd
 import pytest
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -77,3 +79,12 @@ def test_rankings_over_every_candidate(spark):
     overall = next(r for r in run["M03_rank_evaluate"] if r.label is None)
     assert overall.n == len(gold) and abs(overall.mrr5 - np.mean([1 / g if g <= 5 else 0 for g in gold])) < 1e-6
     assert sorted(map(tuple, entry.entry(spark).collect()), key=str) == sorted(map(tuple, run["M03_rank_evaluate"]), key=str) or SF != "/root/testdata/sf0.001"
+
+
+def test_structural_ranking_of_identifiers(spark, tmp_path):
+    docs = [(0, "return foo.bar(x)"), (100, "self import def"), (7, "foo")]
+    items = [(i, "foo.bar(y)") for i in range(30)] + [(40, "foo, 1bar"), (41, "Bar[foo.x]"), (42, "return self"), (43, "nothing_here")]
+    pd.DataFrame(docs, columns=["doc_id", "text"]).to_parquet(tmp_path / "documents.parquet")
+    pd.DataFrame(items, columns=["item_id", "text"]).to_parquet(tmp_path / "benchmark.parquet")
+    got = entry.queries()["J14_structural_bm25_top20_identifiers"](spark, str(tmp_path)).orderBy("doc_id", F.desc("score"), "item_id").collect()
+    assert [(r.doc_id, r.item_id) for r in got][0] == (0, 41) and {(r.doc_id, r.item_id) for r in got} == {(0, 0), (0, 40), (0, 41)}
