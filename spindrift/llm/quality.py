@@ -1,6 +1,6 @@
 """Quality classification by co-training on two views of a document.
 
-The text view is the mean of hashed word and word-shape features of the whole text, and its share of repeated words; the metadata view is source, language
+The text view is the mean of hashed word and word-shape features of the whole text (long runs without white space are cut into pieces), and its share of repeated words; the metadata view is source, language
 and length. Each has a logistic classifier. In each round both, calibrated on a held-out part of the labelled rows, label
 rows of an unlabelled pool, and what one is sure of joins the other's training rows. At the end the calibrated views are
 added as log odds (less the prior once) and score all documents.
@@ -44,12 +44,23 @@ CACHED = 400_000
 #: Word features are means of counts; this brings them to the size of the others.
 SCALE = 20.0
 
+#: Runs of more characters than LONG without white space are cut into pieces, which are words then.
+LONG = 64
+PIECE = 2
+
 RUNS = re.compile(r"(.)\1+")
 
 
+def words_in(text: str | None) -> list[str]:
+    words = (text or "").split()
+    if any(len(x) > LONG for x in words):
+        words = [p for x in words for p in ([x] if len(x) <= LONG else (x[i : i + PIECE] for i in range(0, len(x), PIECE)))]
+    return words
+
+
 def shape_of(word: str) -> str:
     """Classes of a word's characters, runs as one: `Haus!!` is `Xx!`."""
-    s = "".join("X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c for c in word[:64])
+    s = "".join("X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c for c in word)
     return RUNS.sub(r"\1", s)
 
 
@@ -155,7 +166,7 @@ def _rows(df: DataFrame, text_col: str, meta_cols: list[str], keep: list) -> Dat
         for b in batches:
             at, mean = [], []
             for text in b.column(n).to_pylist():
-                words = (text or "").split()
+                words = words_in(text)
                 held = np.zeros(FEATURES)
                 if words:
                     np.add.at(held, np.array([features(x) for x in words]).ravel(), SCALE / len(words))
@@ -206,7 +217,7 @@ class Scorer:
         self.model, self.cache = model, BoundedCache(CACHED)
 
     def text_odds(self, text: str | None) -> float:
-        m, words = self.model.text, (text or "").split()
+        m, words = self.model.text, words_in(text)
         if not words:
             return self.model.prior
         cache = self.cache

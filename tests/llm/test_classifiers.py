@@ -126,3 +126,14 @@ def test_quality_odd_tables(spark):
     assert Q.score(odd.limit(0), Q.fit(d, lb)).count() == 0
     assert {r.score for r in Q.score(odd, Q.fit(d, lb.limit(0))).collect()} == {0.5}
     assert {r.score for r in Q.score(odd, Q.fit(d, lb.where("quality = 1"))).collect()} == {1.0}
+
+
+def test_quality_of_texts_without_spaces(spark):
+    """All begin with the same 81 characters; what makes the difference stands behind them."""
+    r = random.Random(3)
+    good, bad = ([chr(0x4E00 + k + i) for i in range(40)] for k in (0, 40))
+    data = [(i, "文" * 81 + "".join(r.choice(good if i % 2 else bad) for _ in range(201)), "zh", "s", 1) for i in range(600)]
+    d = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, quality int")
+    got = Q.score(d, Q.fit(d, labels)).where("doc_id >= 300").collect()
+    assert sum((x.text_score >= 0.5) == bool(x.doc_id % 2) for x in got) >= 0.95 * len(got)
