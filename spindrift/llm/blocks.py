@@ -1,23 +1,25 @@
 """Pairs among the members of groups, in blocks of bounded size and without a row for each pair.
 
-A group's members fall by hash into chunks; a task gets two chunks (or one) and returns, for each member, the weight of
-what it is linked to there, and the edges of a forest that joins what is linked there. Rows made are members times chunks,
-results are members and forest edges: neither holds the pairs.
+A group's members fall by hash into chunks; a block is two chunks (or one). For each member it returns the weight of what it
+is linked to there, and the edges of a forest that joins what is linked there. Rows made are members times chunks, results
+are members and forest edges: neither holds the pairs. A task gets its blocks one after the other, in sorted runs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import forest
+from .common import frugal, least_reached
 
 #: Members of a chunk, about.
 CHUNK = 1024
+#: Blocks of so many members are worked on together.
+SHORT = 32
 RESULT = "node binary, other binary, n long"
 
 
@@ -29,34 +31,93 @@ def in_blocks(members: DataFrame, group: list[str], chunks: Column) -> DataFrame
     return each.select("*", F.least("chunk_", "with_").alias("block_i"), F.greatest("chunk_", "with_").alias("block_j"), F.col("chunk_").alias("side")).drop("chunks_", "chunk_", "with_")
 
 
-def verify(blocks: DataFrame, group: list[str], linked: Callable[[pa.Table], np.ndarray]) -> DataFrame:
-    """Run linked() on each block: it gets the block's rows (columns node, mult and its own; each node once) and returns a symmetric boolean matrix."""
-
-    def run(table: pa.Table) -> pa.Table:
-        nodes = table.column("node").to_pylist()
-        first = list({x: i for i, x in reversed(list(enumerate(nodes)))}.values())  # repeated rows count once
-        if len(first) < len(nodes):
-            table = table.take(sorted(first))
-            nodes = table.column("node").to_pylist()
-        side, i, j = table.column("side").to_numpy(), table.column("block_i")[0].as_py(), table.column("block_j")[0].as_py()
-        out: tuple[list, list, list] = ([], [], [])
-        if len(nodes) > 1:
-            m = linked(table)
-            np.fill_diagonal(m, False)
-            if i != j:
-                m &= side[:, None] != side[None, :]
-            weight = m @ table.column("mult").to_numpy().astype(np.float64)
-            for k in np.flatnonzero(weight):
-                out[0].append(nodes[k])
-                out[1].append(None)
-                out[2].append(int(weight[k]))
-            for a, b in forest(m):
-                out[0].append(nodes[b])
-                out[1].append(nodes[a])
-                out[2].append(0)
-        return pa.table({"node": pa.array(out[0], pa.binary()), "other": pa.array(out[1], pa.binary()), "n": pa.array(out[2], pa.int64())})
-
-    return blocks.groupBy(*group, "block_i", "block_j").applyInArrow(run, RESULT)
+def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole blocks, whose rows stand together, and where each block begins (one more for the end)."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        table = pa.Table.from_batches(held)
+        cuts = _cuts(table, keys)
+        if len(cuts) > 2:  # the last block may go on in the next batch
+            yield table.slice(0, int(cuts[-2])), cuts[:-1]
+            held = table.slice(int(cuts[-2])).combine_chunks().to_batches()
+    if held:
+        table = pa.Table.from_batches(held)
+        yield table, _cuts(table, keys)
+
+
+def _cuts(table: pa.Table, keys: list[str]) -> np.ndarray:
+    new = np.ones(table.num_rows, dtype=bool)
+    new[1:] = False
+    for k in keys:
+        v = table.column(k).to_numpy()
+        new[1:] |= v[1:] != v[:-1]
+    return np.append(np.flatnonzero(new), table.num_rows)
+
+
+def _within(n: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs i < j of rows within each of several short stretches of n rows."""
+    i = np.repeat(start, n) + _counted(n)
+    left = np.repeat(start + n, n) - i - 1  # rows after i in its stretch
+    return np.repeat(i, left), np.repeat(i, left) + 1 + _counted(left)
+
+
+def _counted(n: np.ndarray) -> np.ndarray:
+    """0 to n - 1 for each n, one after the other."""
+    return np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+
+
+def run_blocks(blocks: DataFrame, group: list[str], work: Callable[[pa.Table, np.ndarray, np.ndarray], pa.Table], shape: str) -> DataFrame:
+    """work(rows, i, j) over rows of whole blocks and the pairs i < j of rows that are a block's own; short blocks go together."""
+    keys = [*group, "block_i", "block_j"]
+
+    def pairs(side: np.ndarray, across: bool) -> tuple[np.ndarray, np.ndarray]:
+        if not across:
+            return np.triu_indices(len(side), 1)
+        one, other = np.flatnonzero(side == side[0]), np.flatnonzero(side != side[0])
+        i, j = np.repeat(one, len(other)), np.tile(other, len(one))
+        return np.minimum(i, j), np.maximum(i, j)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, cuts in _runs(batches, keys):
+            n = np.diff(cuts)
+            across = table.column("block_i").to_numpy()[cuts[:-1]] != table.column("block_j").to_numpy()[cuts[:-1]]
+            short = (n <= SHORT) & ~across & (n > 1)
+            tables = []
+            if short.any():
+                rows = np.repeat(short, n)
+                some = table.filter(pa.array(rows)).combine_chunks()
+                few = n[short]
+                tables.append(work(some, *_within(few, np.cumsum(few) - few)))
+            for k in np.flatnonzero(~short & (n > 1)):
+                block = table.slice(int(cuts[k]), int(n[k])).combine_chunks()
+                tables.append(work(block, *pairs(block.column("side").to_numpy(), bool(across[k]))))
+            for t in tables:
+                yield from t.to_batches()
+
+    return blocks.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(frugal(run), shape)
+
+
+def verify(blocks: DataFrame, group: list[str], linked: Callable[[pa.Table, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """linked(rows, i, j) tells which pairs are links. Rows have a node, once in a block, and its weight `mult`."""
+
+    def work(table: pa.Table, i: np.ndarray, j: np.ndarray) -> pa.Table:
+        good = linked(table, i, j)
+        i, j = i[good], j[good]
+        mult = table.column("mult").to_numpy()
+        weight = np.bincount(i, weights=mult[j], minlength=len(mult)) + np.bincount(j, weights=mult[i], minlength=len(mult))
+        has = np.flatnonzero(weight)
+        least = least_reached(len(mult), i, j)
+        down = np.flatnonzero(least != np.arange(len(mult)))
+        nodes = table.column("node").combine_chunks()
+        nodes = nodes.chunk(0) if isinstance(nodes, pa.ChunkedArray) else nodes
+        node = pa.concat_arrays([nodes.take(pa.array(has)), nodes.take(pa.array(down))])
+        other = pa.concat_arrays([pa.nulls(len(has), pa.binary()), nodes.take(pa.array(least[down])).cast(pa.binary())])
+        return pa.table({"node": node.cast(pa.binary()), "other": other, "n": pa.array(np.concatenate((weight[has], np.zeros(len(down)))).astype(np.int64))})
+
+    return run_blocks(blocks, group, work, RESULT)
 
 
 def per_node(verified: DataFrame) -> DataFrame:

@@ -4,17 +4,22 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import sys
 import tempfile
 import types
 import uuid
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WHITE = np.zeros(256, dtype=bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
+#: One more than each byte, ASCII letters in lower case.
+LOWER = np.frombuffer(bytes(range(256)).lower(), dtype=np.uint8).astype(np.uint64) + np.uint64(1)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,6 +91,37 @@ def slices(batches, rows: int):
             yield b.slice(at, rows)
 
 
+def parts(batches, column: int, size: int = 1 << 21, rows: int = 4096):
+    """The batches in parts of at most `rows` rows whose texts in a column have at most `size` bytes, or of one longer text."""
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < b.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            stop = min(max(at + 1, int(np.searchsorted(ends, before + size, side="right"))), at + rows)
+            yield b.slice(at, stop - at)
+            at = stop
+
+
+def give_back() -> None:
+    """Return freed memory of this process to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def frugal(run):
+    """A function of Arrow batches that gives freed memory back when its task ends, for the worker process lives on."""
+
+    def each(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return each
+
+
 class BoundedCache(dict):
     """A dict of at most `limit` entries, emptied when full: memory stays bounded, lookups stay plain dict lookups."""
 
@@ -139,6 +175,53 @@ def words_of(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return mix((total[end] - total[start]) * _powers(INVERSE, len(b))[start]), start, end
 
 
+def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """UTF-8 bytes of all texts of a column, one after the other, and where each begins (one more for the end). Null is empty."""
+    column = pc.fill_null(column, "").cast(pa.large_string())
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, dtype=np.int64)[column.offset : column.offset + len(column) + 1]
+    held = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, dtype=np.uint8)
+    return held[at[0] : at[-1]], at - at[0]
+
+
+def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts of a column, as words_of gives them, and where each text's begin (one more for the end)."""
+    data, at = text_bytes(column)
+    if not len(data):
+        return np.zeros(0, dtype=np.uint64), np.zeros(len(at), dtype=np.int64)
+    white = WHITE[data]
+    first = np.zeros(len(data) + 1, dtype=bool)
+    first[at] = True
+    start = np.flatnonzero(~white & (first[:-1] | np.concatenate(([True], white[:-1]))))
+    end = np.flatnonzero(~white & (first[1:] | np.concatenate((white[1:], [True])))) + 1
+    total = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.multiply(LOWER[data], _powers(BASE, len(data)), out=total[1:])
+    np.cumsum(total, out=total)
+    return mix((total[end] - total[start]) * _powers(INVERSE, len(data))[start]), np.searchsorted(start, at)
+
+
+def shingle_hashes(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of all texts of a column, as shingles_of gives them, and where each text's begin (one more for the end)."""
+    words, at = word_hashes(column)
+    counts = np.diff(at)
+    sizes = np.where(counts >= width, counts - width + 1, np.minimum(counts, 1))
+    to = np.concatenate(([0], np.cumsum(sizes)))
+    out = np.zeros(int(to[-1]), dtype=np.uint64)
+    full = counts >= width
+    if full.any():
+        n = len(words) - width + 1
+        h = np.zeros(n, dtype=np.uint64)
+        for i in range(width):
+            h *= np.uint64(BASE)
+            h += words[i : i + n]
+        text = np.repeat(np.arange(len(counts)), counts)
+        keep = text[:n] == text[width - 1 :]
+        out[np.repeat(full, sizes)] = mix(h[keep])
+    for i in np.flatnonzero(~full & (counts > 0)):
+        out[to[i]] = shingles_of(words[at[i] : at[i + 1]], width)[0]
+    return out, to
+
+
 def shingles_of(words: np.ndarray, width: int) -> np.ndarray:
     """Hash of each run of `width` words in place; a shorter text has one shingle of all its words."""
     if not len(words):
@@ -197,21 +280,18 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str) -> DataF
     return stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
 
 
-def forest(linked: np.ndarray) -> list[tuple[int, int]]:
-    """Edges (first of the component, other) that join what a symmetric boolean matrix joins."""
-    n, out = len(linked), []
-    left = linked.any(axis=1)
-    while left.any():
-        root = int(left.argmax())
-        seen = np.zeros(n, dtype=bool)
-        seen[root] = True
-        front = seen.copy()
-        while front.any():
-            front = linked[front].any(axis=0) & ~seen
-            seen |= front
-        left &= ~seen
-        out += [(root, int(i)) for i in np.flatnonzero(seen) if i != root]
-    return out
+def least_reached(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each of n rows the first one that the links i - j reach from it."""
+    least = np.arange(n)
+    while True:
+        m = np.minimum(least[i], least[j])
+        now = least.copy()
+        np.minimum.at(now, i, m)
+        np.minimum.at(now, j, m)
+        now = now[now]
+        if np.array_equal(now, least):
+            return least
+        least = now
 
 
 def latest_in_worker(name: str, version: str, make):

@@ -14,8 +14,8 @@ At the threshold a pair meets in one table with a chance of about 0.5 (measured
 4 in 1000; nearer pairs are missed less. The tests hold recall against brute force.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing; vectors of
-different length don't link; repeated rows count one by one; a null vec_id comes last in choosing the smallest id; an empty
-table gives no rows; extra columns don't matter.
+different length don't link; repeated rows count one by one; a null vec_id comes last in choosing the smallest id; near_dedup
+decides on each (vec_id, vector) by itself; an empty table gives no rows; extra columns don't matter.
 """
 
 from __future__ import annotations
@@ -26,11 +26,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import blocks
-from .common import BASE, Scratch, connected_components, join_heavy, mix, per_worker
+from .common import BASE, Scratch, connected_components, fresh, frugal, join_heavy, mix, per_worker, slices
 
 THRESHOLD = 0.95
 TABLES = 8
@@ -39,6 +39,8 @@ PROBES = 6
 #: Size of projected unit vectors in each dimension; the lattice's shortest vectors have length 1.41.
 SPREAD = 0.6
 SEED = 5
+#: Pairs that are looked at at once.
+STRIP = 1 << 14
 
 
 def _shortest() -> np.ndarray:
@@ -90,7 +92,7 @@ class Lattice:
             home = np.hstack([nearest_e8(x[:, p * 8 : p * 8 + 8]) for p in range(parts)])
             # 2 r.v is largest where the neighbour at v is nearest
             gain = np.hstack([(x - home)[:, p * 8 : p * 8 + 8] @ self.near.T for p in range(parts)])
-            best = np.argsort(-gain, axis=1, kind="stable")[:, : self.probes]
+            best = np.argpartition(-gain, self.probes, axis=1)[:, : self.probes]
             doubled = (2 * home).astype(np.int64).view(np.uint64)
             base = (doubled * self.powers).sum(axis=1, dtype=np.uint64)
             step = (2 * self.near).astype(np.int64).view(np.uint64)
@@ -103,10 +105,10 @@ class Lattice:
 def units(column: pa.Array) -> tuple[list[np.ndarray | None], np.ndarray]:
     """Unit vectors in double precision, None where a vector can link with nothing; their lengths (0 for None)."""
     out: list[np.ndarray | None] = []
-    for x in column.to_pylist():
+    for x in column:
         v = None
-        if x and None not in x:
-            v = np.array(x, dtype=np.float64)
+        if x.is_valid and len(x) and not x.values.null_count:
+            v = x.values.to_numpy().astype(np.float64)
             top = np.abs(v).max()
             v = v / top if np.isfinite(v).all() and top > 0 else None  # scaled first, so squares neither vanish nor overflow
             v = v / np.linalg.norm(v) if v is not None else None
@@ -114,65 +116,85 @@ def units(column: pa.Array) -> tuple[list[np.ndarray | None], np.ndarray]:
     return out, np.array([0 if v is None else len(v) for v in out])
 
 
-def similar_vectors(rows: DataFrame, scratch: Scratch, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, tables: int = TABLES, parts: int = PARTS, probes: int = PROBES, spread: float = SPREAD, seed: int = SEED) -> DataFrame:
-    """(vec_id, n_links, component_id), a row for each row."""
+def _digest(vector: Column) -> Column:
+    """Of a vector as it stands, to tell rows of one id apart."""
+    return F.unhex(F.md5(F.coalesce(vector.cast("string"), F.lit("")).cast("binary")))
+
+
+def _padded(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors as the rows of a matrix, with zeros after the shorter ones, and their lengths."""
+    held = pa.concat_arrays(column.chunks)
+    at, values = held.offsets.to_numpy(), held.values.to_numpy()
+    sizes = np.diff(at)
+    if len(set(sizes.tolist())) == 1:
+        return values[at[0] : at[-1]].reshape(len(sizes), -1), sizes
+    out = np.zeros((len(sizes), int(sizes.max())))
+    out[np.arange(out.shape[1])[None, :] < sizes[:, None]] = values[at[0] : at[-1]]
+    return out, sizes
+
+
+def _cosines(unit: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    if len(i) > 8 * len(unit) and len(unit) <= 4 * blocks.CHUNK:
+        return (unit @ unit.T)[i, j]
+    out = np.empty(len(i))
+    for a in range(0, len(i), STRIP):
+        out[a : a + STRIP] = np.einsum("ij,ij->i", unit[i[a : a + STRIP]], unit[j[a : a + STRIP]])
+    return out
+
+
+def _similar(rows: DataFrame, scratch: Scratch, id_col: str, vector_col: str, threshold: float, tables: int, parts: int, probes: int, spread: float, seed: int) -> DataFrame:
+    """Rows of similar_vectors with the digest of the vector."""
     kind = rows.schema[id_col].dataType.simpleString()
 
     def lattice(size: int) -> Lattice:
         return per_worker(("lattice", size, tables, parts, probes, spread, seed), lambda: Lattice(size, tables, parts, probes, spread, seed))
 
+    def cells_of(vectors: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(vectors), tables, 1 + probes), dtype=np.int64)
+        for size in set(sizes.tolist()) - {0}:
+            some = np.flatnonzero(sizes == size)
+            out[some] = lattice(size).cells(np.array([vectors[i][:size] for i in some]))
+        return out
+
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                b = whole.slice(at, 1024)
-                vectors, lengths = units(b.column(1))
-                cells: list = [None] * len(vectors)
-                for size in set(lengths.tolist()) - {0}:
-                    some = np.flatnonzero(lengths == size)
-                    for i, x in zip(some, lattice(size).cells(np.array([vectors[i] for i in some])), strict=True):
-                        cells[i] = x.ravel()
-                nodes = [None if v is None else xxhash.xxh3_128_digest(v.tobytes()) for v in vectors]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.binary()), pa.array(vectors, pa.list_(pa.float64())), pa.array(cells, pa.list_(pa.int64()))], ["vec_id", "node", "vector", "cells"])
-
-    chosen = rows.select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("vector"))
-    found = scratch.save(chosen.mapInArrow(hashed, f"vec_id {kind}, node binary, vector array<double>, cells array<long>"), "vectors")
+        for b in slices(batches, 1024):
+            vectors, sizes = units(b.column(2))
+            cells = cells_of(vectors, sizes)
+            nodes = [None if v is None else xxhash.xxh3_128_digest(v.tobytes()) for v in vectors]
+            made = [None if v is None else c.ravel() for v, c in zip(vectors, cells, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes, pa.binary()), pa.array(vectors, pa.list_(pa.float64())), pa.array(made, pa.list_(pa.int64()))], ["vec_id", "digest", "node", "vector", "cells"])
+
+    chosen = rows.select(F.col(id_col).alias("vec_id"), _digest(F.col(vector_col)).alias("digest"), F.col(vector_col).alias("vector"))
+    found = scratch.save(chosen.mapInArrow(frugal(hashed), f"vec_id {kind}, digest binary, node binary, vector array<double>, cells array<long>"), "vectors")
     known = found.where("node IS NOT NULL")
     nodes = scratch.save(known.groupBy("node").agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult"), F.first("vector").alias("vector"), F.first("cells").alias("cells")), "nodes")
 
+    # a cell's number tells its table too
     each = nodes.select("node", F.posexplode("cells").alias("at", "cell")).select("node", "cell", F.expr(f"at DIV {1 + probes}").cast("int").alias("tab"), (F.col("at") % (1 + probes) == 0).alias("home"))
-    meets = each.groupBy("tab", "cell").agg(F.count("*").alias("n"), F.max("home").alias("some_home")).where("n > 1 AND some_home").drop("some_home")
-    members = each.join(meets, ["tab", "cell"]).join(nodes.select("node", "mult", "vector"), "node")
-    dealt = blocks.in_blocks(members, ["tab", "cell"], F.ceil(F.col("n") / blocks.CHUNK))
-
-    def linked(table: pa.Table) -> np.ndarray:
-        vectors = table.column("vector").to_pylist()
-        sizes = {len(x) for x in vectors}
-        out = np.zeros((len(vectors), len(vectors)), dtype=bool)
-        t, cell = table.column("tab")[0].as_py(), table.column("cell")[0].as_py()
-        for size in sizes:
-            some = np.array([i for i, x in enumerate(vectors) if len(x) == size])
-            unit = np.array([vectors[i] for i in some])
-            near = unit @ unit.T >= threshold
-            np.fill_diagonal(near, False)
-            if near.any():
-                use = np.flatnonzero(near.any(axis=1))
-                near = near[np.ix_(use, use)]
-                cells = lattice(size).cells(unit[use], range(t + 1))
-                for s in range(t + 1):
-                    home = cells[:, s, 0]
-                    within = np.zeros_like(near)  # [i, j]: i's home is one of j's cells
-                    for k in range(cells.shape[2]):
-                        within |= home[:, None] == cells[None, :, s, k]
-                    if s < t:
-                        near &= ~(within | within.T)
-                    else:
-                        most = np.iinfo(np.int64).max
-                        least = np.minimum(np.where(within, home[:, None], most), np.where(within.T, home[None, :], most))
-                        near &= (within | within.T) & (least == cell)
-                out[np.ix_(some[use], some[use])] = near
+    meets = scratch.save(each.groupBy("cell").agg(F.count("*").alias("n"), F.max("home").alias("some_home")).where("n > 1 AND some_home").drop("some_home"), "meets")
+    members = join_heavy(each.drop("home"), meets, "cell", "n", nodes.count() * tables * (1 + probes)).join(nodes.select("node", "mult", "vector"), "node")
+    dealt = blocks.in_blocks(members, ["cell"], F.ceil(F.col("n") / blocks.CHUNK))
+
+    def linked(table: pa.Table, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        unit, sizes = _padded(table.column("vector"))
+        good = np.flatnonzero((_cosines(unit, i, j) >= threshold) & (sizes[i] == sizes[j]))
+        out = np.zeros(len(i), dtype=bool)
+        if len(good):
+            use, at = np.unique(np.concatenate((i[good], j[good])), return_inverse=True)
+            cells = cells_of(list(unit[use]), sizes[use])
+            tab, cell = table.column("tab").to_numpy(), table.column("cell").to_numpy()
+            for a in range(0, len(good), STRIP):
+                x, y = at[: len(good)][a : a + STRIP], at[len(good) :][a : a + STRIP]
+                most = np.iinfo(np.int64).max
+                one = np.where((cells[x, :, :1] == cells[y]).any(axis=2), cells[x, :, 0], most)
+                other = np.where((cells[y, :, :1] == cells[x]).any(axis=2), cells[y, :, 0], most)
+                least = np.minimum(one, other)  # of the cells in which they meet, by table
+                t = (least != most).argmax(axis=1)
+                here = i[good[a : a + STRIP]]
+                out[good[a : a + STRIP]] = (t == tab[here]) & (least[np.arange(len(t)), t] == cell[here])
         return out
 
-    verified = scratch.save(blocks.verify(dealt, ["tab", "cell"], linked), "verified")
+    verified = scratch.save(blocks.verify(dealt, ["cell"], linked), "verified")
     groups = connected_components(blocks.edges(verified), scratch, "links").join(nodes.select("node", "rep"), "node")
     least = groups.groupBy("root").agg(F.min("rep").alias("component"))
     grouped = groups.join(least, "root").select("node", "component")
@@ -180,15 +202,23 @@ def similar_vectors(rows: DataFrame, scratch: Scratch, id_col: str = "vec_id", v
     of_node = of_node.select("node", "mult", (F.col("mult") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.when(F.col("component").isNull(), F.col("rep")).otherwise(F.col("component")).alias("component_id"))
     of_node = scratch.save(of_node, "of-node")
     total = of_node.agg(F.sum("mult")).first()[0] or 0
-    alone = found.where("node IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return join_heavy(known.select("vec_id", "node"), of_node, "node", "mult", total).select("vec_id", "n_links", "component_id").unionByName(alone)
+    columns = ["vec_id", "digest", "n_links", "component_id"]
+    alone = found.where("node IS NULL").select("vec_id", "digest", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return join_heavy(known.select("vec_id", "digest", "node"), of_node, "node", "mult", total).select(*columns).unionByName(alone)
+
+
+def similar_vectors(rows: DataFrame, scratch: Scratch, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, tables: int = TABLES, parts: int = PARTS, probes: int = PROBES, spread: float = SPREAD, seed: int = SEED) -> DataFrame:
+    """(vec_id, n_links, component_id), a row for each row."""
+    return _similar(rows, scratch, id_col, vector_col, threshold, tables, parts, probes, spread, seed).drop("digest")
 
 
 def near_dedup(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
     """The rows whose id is the smallest of their component, with all their columns."""
-    found = similar_vectors(rows, Scratch(rows.sparkSession), id_col, vector_col, threshold)
-    gone = found.where("NOT vec_id <=> component_id").select(F.col("vec_id").alias("gone_"))
-    return rows.join(gone, rows[id_col].eqNullSafe(gone["gone_"]), "left_anti")
+    p = fresh(rows, "id", "digest", "vector")
+    found = _similar(rows, Scratch(rows.sparkSession), id_col, vector_col, threshold, TABLES, PARTS, PROBES, SPREAD, SEED)
+    gone = found.where("NOT vec_id <=> component_id").select(F.col("vec_id").alias(f"{p}id"), F.col("digest").alias(f"{p}digest")).distinct()
+    each = rows.withColumn(f"{p}vector", _digest(F.col(vector_col)))
+    return each.join(gone, each[id_col].eqNullSafe(gone[f"{p}id"]) & (each[f"{p}vector"] == gone[f"{p}digest"]), "left_anti").drop(f"{p}vector")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,20 +2,25 @@
 
 1. Texts become sets of hashed five-word shingles (64 bits; words split at white space, ASCII letters in lower case). Texts
    with equal sets are one class, a node with a weight; the rest works on nodes.
-2. The forest has `TREES` prefix tries of min-hash signatures. The matched prefix starts at `DEPTH` values and is shortened
-   until the chance that a pair at the threshold meets in some tree reaches `RECALL` (pairs above it meet more surely).
-3. Nodes that share a prefix in a tree are joined to the smallest of them; connected components of these stars are the
-   groups that may hold links. No pair is written.
-4. The texts of group members are read again, and shingle sets are compared exactly, all with all within a group, in blocks
-   of bounded size, by counting common shingles. Blocks return counts and forests of links, never the pairs.
-5. Connected components of the links are the near-duplicate groups.
-
-A group is compared by the square of its number of different texts, dealt over its blocks; that is what exact counts of
+2. The forest has `TREES` prefix tries. A node's signature in a tree is `DEPTH` min-hash values; a trie node is a prefix of it.
+   Each node starts with its whole signature in every tree and counts whom it meets at prefixes of `SHORT` values. Its
+   prefixes are then shortened to those, tree by tree and where it meets fewest first, until the chance that a pair at the
+   threshold meets in some tree reaches `RECALL` (pairs above it meet more surely). So a node among few others gets short
+   prefixes for nothing, and one in a crowd gets them where the crowd is smallest.
+3. Two nodes are candidates in the first tree in which they share a whole signature, or a short prefix that one of them was
+   shortened to. Trie nodes are worked through in sorted runs, in blocks of bounded size. First, over signatures alone: a pair
+   that agrees in less than half of all values goes (at a similarity of 0.8 the chance of that is 1e-11). No pair is written.
+4. Shingle sets of nodes that are still in a candidate pair are made from their texts and compared exactly, in blocks that
+   return counts of links and forests of them.
+5. Connected components of the links, the only ones made, are the near-duplicate groups.
+
+A group of m different texts that are all alike is compared by its square, dealt over its blocks; that is what exact counts of
 links cost. A 64-bit collision of shingles is the only way to a wrong count.
 
 Defined cases: texts of fewer than five words have one shingle of all their words; null texts and texts without a word have
-no shingle and link with nothing, not even each other. Rows repeated with one doc_id count one by one as copies. A null
-doc_id comes last in choosing a class's or group's smallest id. An empty table gives no rows; extra columns don't matter.
+no shingle and link with nothing, not even each other. Rows repeated with one doc_id count one by one as copies; near_dedup
+decides on each (doc_id, text) by itself, so a text is only lost where its own group keeps another row. A null doc_id comes
+last in choosing a class's or group's smallest id. An empty table gives no rows; extra columns don't matter.
 """
 
 from __future__ import annotations
@@ -29,68 +34,142 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import blocks
-from .common import BASE, Scratch, connected_components, documents, fresh, join_heavy, mix, shingles_of, words_of
+from .common import BASE, Scratch, connected_components, documents, fresh, frugal, join_heavy, mix, parts, shingle_hashes, slices
 
 WIDTH = 5
 THRESHOLD = 0.8
 TREES = 16
-DEPTH = 8
+#: Values of a whole signature of a tree, and of the prefix that it is shortened to.
+DEPTH = 6
+SHORT = 4
 RECALL = 0.998
 #: Shingles of a chunk, about.
 CHUNK_SHINGLES = 500_000
 #: Shingles that are turned into a matrix at once.
 STRIP = 2048
+#: Pairs that are looked at at once.
+PAIRS = 1 << 14
 
 
-def prefix_length(threshold: float, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
-    """Values of the prefix that pairs must share in a tree: shortened from depth until the model's recall is reached."""
-    d = depth
-    while d > 1 and 1 - (1 - threshold**d) ** trees < recall:
-        d -= 1
-    return d
+def short_trees(threshold: float = THRESHOLD, recall: float = RECALL, trees: int = TREES) -> int:
+    """In how many trees a node's prefix must be shortened for the recall; raises if not even all are enough."""
+    for n in range(trees + 1):
+        if 1 - (1 - threshold**SHORT) ** n * (1 - threshold**DEPTH) ** (trees - n) >= recall:
+            return n
+    raise ValueError(f"{trees} trees don't reach a recall of {recall} at {threshold}")
 
 
-def shingle_set(text: str | None, width: int) -> np.ndarray:
-    return np.unique(shingles_of(words_of((text or "").encode("utf-8", "replace"))[0], width))
+def trees_for(threshold: float, recall: float = RECALL) -> int:
+    """At least TREES, and as many as the threshold needs."""
+    n = TREES
+    while 1 - (1 - threshold**SHORT) ** n < recall and n < 62:
+        n += 1
+    short_trees(threshold, recall, n)
+    return n
+
+
+def shingle_sets(column: pa.Array, width: int) -> list[np.ndarray]:
+    held, at = shingle_hashes(column, width)
+    return [np.unique(held[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
 def node_of(shingles: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(shingles.tobytes())
 
 
-def multipliers(n: int) -> np.ndarray:
-    return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(BASE)) | np.uint64(1)
+def signatures_of(sets: list[np.ndarray], trees: int) -> np.ndarray:
+    """Min-hash values of sets that are not empty, cut to 16 bits: sets x trees x DEPTH."""
+    n = trees * DEPTH
+    by = mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(BASE)).astype(np.uint32) | np.uint32(1)
+    out = np.empty((len(sets), n), dtype=np.uint16)
+    if sets:
+        values = (np.concatenate(sets) >> np.uint64(32)).astype(np.uint32)
+        start = np.concatenate(([0], np.cumsum([len(s) for s in sets])[:-1]))
+        product = np.empty_like(values)
+        for k in range(n):
+            np.multiply(values, by[k], out=product)
+            out[:, k] = np.minimum.reduceat(product, start) * np.uint32(0x9E3779B1) >> np.uint32(16)
+    return out.reshape(len(sets), trees, DEPTH)
 
 
-def prefixes(shingles: np.ndarray, trees: int, depth: int, by: np.ndarray) -> np.ndarray:
-    """A hash for each tree of the first `depth` min-hash values there."""
-    least = np.empty(trees * depth, dtype=np.uint64)
-    product = np.empty_like(shingles)
-    for k in range(trees * depth):
-        np.multiply(shingles, by[k], out=product)
-        least[k] = product.min()
-    h = np.arange(1, trees + 1, dtype=np.uint64) * np.uint64(BASE)
-    for column in least.reshape(trees, depth).T:
-        h = mix(h * np.uint64(BASE) + column)
-    return h
+def prefixes(signature: np.ndarray, tree: np.ndarray, length: int) -> np.ndarray:
+    """A number for each signature's (n x DEPTH) prefix of a length in a tree."""
+    h = (tree.astype(np.uint64) + np.uint64(1)) * np.uint64(BASE) + np.uint64(length)
+    for i in range(length):
+        h = mix(h * np.uint64(BASE) + signature[:, i])
+    return h.view(np.int64)
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, trees: int, depth: int) -> DataFrame:
-    """(doc_id, node, size, prefixes), a row for each row of docs; node is null where there is no shingle."""
-    chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, trees: int) -> DataFrame:
+    """(doc_id, digest, node, size, signature), a row for each row of docs; node is null where there is no shingle."""
+    text = F.col(text_col)
+    chosen = docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary"))).alias("digest"), text.alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by = multipliers(trees * depth)
-        for b in batches:
-            nodes, sizes, keys = [], [], []
-            for text in b.column(1):
-                s = shingle_set(text.as_py(), width)
-                sizes.append(len(s))
-                nodes.append(node_of(s) if len(s) else None)
-                keys.append(prefixes(s, trees, depth, by).view(np.int64) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "node", "size", "prefixes"])
+        for b in parts(batches, 2):
+            sets = shingle_sets(b.column(2), width)
+            found = iter(signatures_of([s for s in sets if len(s)], trees))
+            made = [next(found).tobytes() if len(s) else None for s in sets]
+            nodes = [node_of(s) if len(s) else None for s in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(made, pa.binary())], ["doc_id", "digest", "node", "size", "signature"])
+
+    return chosen.mapInArrow(frugal(run), f"doc_id {chosen.schema['doc_id'].dataType.simpleString()}, digest binary, node binary, size long, signature binary")
+
+
+def stacked(column: pa.Array, trees: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint16).reshape(-1, trees, DEPTH)
+
+
+def in_trees(nodes: DataFrame, trees: int) -> DataFrame:
+    """(node, tree, short, whole): numbers of the prefixes of each node in each tree."""
 
-    return chosen.mapInArrow(run, f"doc_id {chosen.schema['doc_id'].dataType.simpleString()}, node binary, size long, prefixes array<long>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 2048):
+            flat = stacked(b.column(1), trees).reshape(-1, DEPTH)
+            at, tree = np.divmod(np.arange(len(flat)), trees)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(tree, pa.int32()), pa.array(prefixes(flat, tree, SHORT)), pa.array(prefixes(flat, tree, DEPTH))], ["node", "tree", "short", "whole"])
+
+    return nodes.select("node", "signature").mapInArrow(frugal(run), "node binary, tree int, short long, whole long")
+
+
+def trie_nodes(nodes: DataFrame, scratch: Scratch, threshold: float, recall: float, trees: int) -> tuple[DataFrame, DataFrame]:
+    """(node, shortened): bits of the trees in which a node's prefix is shortened. (trie, tree, node, n): trie nodes with n > 1 nodes each."""
+    each = in_trees(nodes, trees)
+    total = trees * nodes.count()
+    crowds = scratch.save(each.groupBy("short").agg(F.count("*").alias("n")).where("n > 1"), "crowds")
+    met = scratch.save(join_heavy(each, crowds, "short", "n", total), "met")
+    # trees in which a node meets nobody are shortened for nothing, then those in which it meets fewest
+    order = F.array_sort(F.collect_list(F.struct("n", "tree")))
+    per = met.groupBy("node").agg(order.alias("order"))
+    some = F.slice("order", F.lit(1), F.greatest(F.lit(0), F.lit(short_trees(threshold, recall, trees)) - (F.lit(trees) - F.size("order"))))
+    bits = F.aggregate(some, F.lit(0).cast("long"), lambda total, x: total + F.pow(F.lit(2.0), x["tree"]).cast("long"))
+    shortened = scratch.save(per.select("node", bits.alias("shortened")), "shortened")
+    bit = F.pow(F.lit(2.0), F.col("tree")).cast("long")
+    rows = met.join(shortened, "node").withColumn("is_short", F.col("shortened").bitwiseAND(bit) != 0)
+    rows = scratch.save(rows.select("node", "tree", "short", "whole", "n", "is_short"), "placed")
+    # a short prefix is a trie node to work through if anyone was shortened to it; else whole signatures are
+    used = scratch.save(rows.groupBy("short").agg(F.max("is_short").alias("used"), F.first("n").alias("n")).where("used").select("short", "n"), "used")
+    by_short = join_heavy(rows.drop("n"), used, "short", "n", total).select(F.col("short").alias("trie"), "tree", "node", "n")
+    rest = rows.join(used.select("short"), "short", "left_anti").select(F.col("whole").alias("trie"), "tree", "node")
+    rest = scratch.save(rest, "rest")
+    equal = scratch.save(rest.groupBy("trie").agg(F.count("*").alias("n")).where("n > 1"), "equal")
+    return shortened, by_short.unionByName(join_heavy(rest, equal, "trie", "n", total).select("trie", "tree", "node", "n"))
+
+
+def candidates(signature: np.ndarray, shortened: np.ndarray, tree: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which pairs of rows are candidates in their tree and in none before it, and agree in half of all values at least."""
+    n, trees, _ = signature.shape
+    short = np.ascontiguousarray(signature[:, :, :SHORT]).view(np.uint64).reshape(n, trees)
+    rest = np.ascontiguousarray(signature[:, :, SHORT:]).view(np.uint32).reshape(n, trees)
+    flat, bits = signature.reshape(n, -1), np.int64(1) << np.arange(trees, dtype=np.int64)
+    out = np.zeros(len(i), dtype=bool)
+    for a in range(0, len(i), PAIRS):
+        x, y = i[a : a + PAIRS], j[a : a + PAIRS]
+        meets = (short[x] == short[y]) & (((shortened[x] | shortened[y])[:, None] & bits != 0) | (rest[x] == rest[y]))
+        good = np.flatnonzero((meets.argmax(axis=1) == tree[x]) & meets.any(axis=1))
+        good = good[2 * (flat[x[good]] == flat[y[good]]).sum(axis=1) >= flat.shape[1]]
+        out[a + good] = True
+    return out
 
 
 def common_counts(values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
@@ -114,52 +193,68 @@ def common_counts(values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def similar(threshold: float):
-    def linked(table: pa.Table) -> np.ndarray:
-        column = table.column("shingles").combine_chunks()
-        column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
-        sizes = np.diff(column.offsets.to_numpy())
-        values = column.flatten().to_numpy()
-        both = common_counts(values, np.repeat(np.arange(len(sizes)), sizes), len(sizes)).astype(np.float64)
-        return both >= threshold * (sizes[:, None] + sizes[None, :] - both) - 1e-9
+def similar(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
+    """Which pairs of sets (sorted) have the similarity."""
+    sizes = np.array([len(s) for s in sets])
+    if len(i) > 4 * len(sets) and len(sets) <= 4 * blocks.CHUNK:
+        both = common_counts(np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes), len(sets))[i, j].astype(np.float64)
+    else:
+        both = np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(i.tolist(), j.tolist(), strict=True)], dtype=np.float64)
+    return both >= threshold * (sizes[i] + sizes[j] - both) - 1e-9
 
-    return linked
 
+def _lists(column: pa.ChunkedArray) -> list[np.ndarray]:
+    column = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
+    values, at = column.values.to_numpy(), column.offsets.to_numpy()
+    return [values[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
-def similarity_groups(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL) -> DataFrame:
-    """(doc_id, class_id, n_links, component_id), a row for each row of docs.
 
-    class_id: smallest doc_id with the same shingle set. n_links: other rows with a similarity of at least the threshold.
-    component_id: smallest doc_id reachable by links.
-    """
-    rows = scratch.save(signatures(docs, id_col, text_col, width, trees, prefix_length(threshold, trees, recall=recall)), "signatures")
+def _similarity(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, width: int, threshold: float, recall: float) -> DataFrame:
+    """Rows of similarity_groups with the digest of the text."""
+    trees = trees_for(threshold, recall)
+    rows = scratch.save(signatures(docs, id_col, text_col, width, trees), "signatures")
     known = rows.where("node IS NOT NULL")
-    nodes = scratch.save(known.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("mult"), F.first("size").alias("size"), F.first("prefixes").alias("prefixes")), "nodes")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "digest"))
+    nodes = known.groupBy("node").agg(first.alias("first"), F.count("*").alias("mult"), F.first("size").alias("size"), F.first("signature").alias("signature"))
+    nodes = scratch.save(nodes.select("node", F.col("first.doc_id").alias("rep"), F.col("first.digest").alias("rep_digest"), "mult", "size", "signature"), "nodes")
+
+    shortened, placed = trie_nodes(nodes, scratch, threshold, recall, trees)
+    signed = nodes.join(shortened, "node").select("node", "signature", "shortened")
 
-    met = nodes.select("node", F.explode("prefixes").alias("prefix"))
-    stars = met.groupBy("prefix").agg(F.min("node").alias("other"), F.count("*").alias("n")).where("n > 1").select("prefix", "other")
-    may = connected_components(met.join(stars, "prefix").where("node <> other").select("node", "other"), scratch, "may")
+    def checked(table: pa.Table, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return candidates(stacked(table.column("signature"), trees), table.column("shortened").to_numpy(), table.column("tree").to_numpy(), i, j)
 
-    members = may.join(nodes.select("node", "rep", "mult", "size"), "node")
-    totals = members.groupBy("root").agg(F.sum("size").alias("total"), F.count("*").alias("n"))
-    members = members.join(totals, "root").drop("size")
-    text = docs.select(F.col(id_col).alias("text_id"), F.col(text_col).alias("text"))
-    wanted = text.join(members, text["text_id"].eqNullSafe(members["rep"])).select("node", "root", "mult", "total", "n", "text")
+    def met(table: pa.Table, i: np.ndarray, j: np.ndarray) -> pa.Table:
+        good = checked(table, i, j)
+        return table.select(["trie", "tree", "node", "signature", "shortened"]).take(np.unique(np.concatenate((i[good], j[good]))))
+
+    dealt = blocks.in_blocks(placed.join(signed, "node"), ["trie"], F.ceil(F.col("n") / blocks.CHUNK))
+    needed = blocks.run_blocks(dealt, ["trie"], met, "trie long, tree int, node binary, signature binary, shortened long")
+    needed = scratch.save(needed.dropDuplicates(["trie", "node"]).join(nodes.select("node", "size", "mult"), "node"), "needed")
+
+    wanted = nodes.join(needed.select("node").distinct(), "node", "left_semi").select("node", "rep", "rep_digest")
+    digest = F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
+    text = docs.select(F.col(id_col).alias("text_id"), digest.alias("text_digest"), F.col(text_col).alias("text"))
+    texts = text.join(wanted, text["text_id"].eqNullSafe(wanted["rep"]) & (text["text_digest"] == wanted["rep_digest"])).dropDuplicates(["text_id", "text_digest"]).select("node", "text")
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Shingle sets in place of texts; a row of the same doc_id with another text goes."""
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                b = whole.slice(at, 256)
-                sets = [shingle_set(x.as_py(), width) for x in b.column(5)]
-                right = [len(s) > 0 and node_of(s) == x for s, x in zip(sets, b.column(0).to_pylist(), strict=True)]
-                made = pa.RecordBatch.from_arrays([*b.columns[:5], pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], [*b.schema.names[:5], "shingles"])
-                yield made.filter(pa.array(right, pa.bool_()))
-
-    sets = wanted.mapInArrow(again, "node binary, root binary, mult long, total long, n long, shingles array<long>")
+        for b in parts(batches, 1):
+            sets = shingle_sets(b.column(1), width)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "shingles"])
+
+    sets = texts.mapInArrow(frugal(again), "node binary, shingles array<long>")
+    sums = scratch.save(needed.groupBy("trie").agg(F.sum("size").alias("total"), F.count("*").alias("n")), "sums")
+    held = join_heavy(needed.select("trie", "tree", "node", "signature", "shortened", "mult"), sums, "trie", "n", needed.count()).join(sets, "node")
     count = F.greatest(F.ceil(F.col("total") / CHUNK_SHINGLES), F.ceil(F.col("n") / blocks.CHUNK))
-    dealt = blocks.in_blocks(sets, ["root"], count).drop("total", "n")
-    verified = scratch.save(blocks.verify(dealt, ["root"], similar(threshold)), "verified")
+
+    def linked(table: pa.Table, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        good = np.flatnonzero(checked(table, i, j))
+        out = np.zeros(len(i), dtype=bool)
+        sets = _lists(table.column("shingles"))
+        out[good] = similar(sets, i[good], j[good], threshold)
+        return out
+
+    verified = scratch.save(blocks.verify(blocks.in_blocks(held, ["trie"], count).drop("total", "n"), ["trie"], linked), "verified")
 
     groups = connected_components(blocks.edges(verified), scratch, "links")
     groups = groups.join(nodes.select("node", "rep"), "node")
@@ -169,16 +264,28 @@ def similarity_groups(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id",
     of_node = of_node.select("node", "mult", F.col("rep").alias("class_id"), (F.col("mult") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.when(F.col("component").isNull(), F.col("rep")).otherwise(F.col("component")).alias("component_id"))
     of_node = scratch.save(of_node, "of-node")
     total = of_node.agg(F.sum("mult")).first()[0] or 0
-    found = join_heavy(known.select("doc_id", "node"), of_node, "node", "mult", total).select("doc_id", "class_id", "n_links", "component_id")
-    alone = rows.where("node IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("component_id"))
+    columns = ["doc_id", "digest", "class_id", "n_links", "component_id"]
+    found = join_heavy(known.select("doc_id", "digest", "node"), of_node, "node", "mult", total).select(*columns)
+    alone = rows.where("node IS NULL").select("doc_id", "digest", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("component_id"))
     return found.unionByName(alone)
 
 
+def similarity_groups(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """(doc_id, class_id, n_links, component_id), a row for each row of docs.
+
+    class_id: smallest doc_id with the same shingle set. n_links: other rows with a similarity of at least the threshold.
+    component_id: smallest doc_id reachable by links.
+    """
+    return _similarity(docs, scratch, id_col, text_col, width, threshold, recall).drop("digest")
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that are the smallest doc_id of their group, with all their columns."""
-    p = fresh(docs, "gone")
-    gone = similarity_groups(docs, Scratch(docs.sparkSession), id_col, text_col, width, threshold).where("NOT doc_id <=> component_id").select(F.col("doc_id").alias(f"{p}gone"))
-    return docs.join(gone, docs[id_col].eqNullSafe(gone[f"{p}gone"]), "left_anti")
+    p = fresh(docs, "id", "digest", "text")
+    found = _similarity(docs, Scratch(docs.sparkSession), id_col, text_col, width, threshold, RECALL)
+    gone = found.where("NOT doc_id <=> component_id").select(F.col("doc_id").alias(f"{p}id"), F.col("digest").alias(f"{p}digest")).distinct()
+    rows = docs.withColumn(f"{p}text", F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))))
+    return rows.join(gone, rows[id_col].eqNullSafe(gone[f"{p}id"]) & (rows[f"{p}text"] == gone[f"{p}digest"]), "left_anti").drop(f"{p}text")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

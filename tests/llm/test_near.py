@@ -2,6 +2,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from spindrift.llm import embedding_dedup as D
@@ -56,7 +57,7 @@ def test_ngram_join_against_brute_force(spark, monkeypatch, chunk):
     data = near_rows()
     got = N.similarity_groups(docs(spark, data), Scratch(spark)).collect()
     assert len(got) == len(data)
-    sets = [set(N.shingle_set(r[1], 5).tolist()) for r in data]
+    sets = [set(x.tolist()) for x in N.shingle_sets(pa.array([r[1] for r in data]), 5)]
     near = [[j for j in range(len(data)) if j != i and sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9] for i in range(len(data))]
     edges = [(i, j) for i, x in enumerate(near) for j in x]
     root = components(range(len(data)), edges)
@@ -67,10 +68,57 @@ def test_ngram_join_against_brute_force(spark, monkeypatch, chunk):
     assert sorted((str(r.doc_id), r.n_links, r.component_id) for r in got) == want
 
 
-def test_prefix_is_shortened_to_the_recall():
-    assert N.prefix_length(0.8, 16, 8, 0.998) == 5
-    assert N.prefix_length(0.8, 2, 8, 0.9999) == 1
-    assert N.prefix_length(0.99, 16, 8, 0.9) == 8
+def test_prefixes_are_shortened_to_the_recall():
+    assert N.short_trees(0.8, 0.998, 16) == 7 and N.short_trees(0.8, 0.99, 16) == 0 and N.short_trees(0.99, 0.9, 16) == 0
+    assert N.trees_for(0.8) == 16 and N.trees_for(0.7) > 16
+    with pytest.raises(ValueError):
+        N.short_trees(0.5, 0.998, 16)
+
+
+def test_each_node_is_shortened_where_it_meets_fewest(spark):
+    r = np.random.default_rng(3)
+    base = r.integers(0, 2**16, size=(16, 6)).astype(np.uint16)
+    crowd = []
+    for k in range(40):  # all share short prefixes in trees 0 to 9, pairs of two in trees 10 to 15
+        s = base.copy()
+        s[:10, 4:] = r.integers(0, 2**16, size=(10, 2))
+        s[10:] = (base[10:].astype(int) + 1 + k // 2) % 2**16
+        crowd.append((bytes([k]), s.tobytes()))
+    alone = [(bytes([100 + k]), r.integers(0, 2**16, size=96).astype(np.uint16).tobytes()) for k in range(5)]
+    nodes = spark.createDataFrame(crowd + alone, "node binary, signature binary")
+    shortened, placed = N.trie_nodes(nodes, Scratch(spark), 0.8, 0.998, 16)
+    bits = {bytes(x.node): {t for t in range(16) if x.shortened >> t & 1} for x in shortened.collect()}
+    assert set(bits) == {c[0] for c in crowd} and all(len(b) == 7 and b >= set(range(10, 16)) for b in bits.values())
+    groups = defaultdict(set)
+    for x in placed.collect():
+        groups[x.tree, x.trie].add(bytes(x.node))
+        assert x.n > 1
+    assert sum(t >= 10 for t, _ in groups) == 6 * 20 and all(len(g) == 2 for (t, _), g in groups.items() if t >= 10)
+    assert sum(t < 10 for t, _ in groups) == 1 and all(len(g) == 40 for (t, _), g in groups.items() if t < 10)
+
+
+def test_recall_on_documents(spark):
+    """All links of the test data by brute force over shared shingles."""
+    from spindrift.llm.common import documents
+
+    d = documents(spark, "/root/testdata/sf0.01")
+    data = [(x.doc_id, x.text) for x in d.select("doc_id", "text").collect()]
+    sets = N.shingle_sets(pa.array([x[1] for x in data]), 5)
+    holders, both = defaultdict(list), defaultdict(int)
+    for i, s in enumerate(sets):
+        for x in s.tolist():
+            holders[x].append(i)
+    for h in holders.values():
+        for a in range(len(h)):
+            for b in range(a):
+                both[h[b], h[a]] += 1
+    want = defaultdict(int)
+    for (a, b), n in both.items():
+        if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n) - 1e-9:
+            want[data[a][0]] += 1
+            want[data[b][0]] += 1
+    got = {x.doc_id: x.n_links for x in N.similarity_groups(d, Scratch(spark)).where("n_links > 0").collect()}
+    assert all(n <= want[i] for i, n in got.items()) and sum(got.values()) >= 0.99 * sum(want.values()) > 100
 
 
 def test_near_dedup_keeps_the_first(spark):
@@ -81,6 +129,13 @@ def test_near_dedup_keeps_the_first(spark):
     assert N.near_dedup(d.limit(0)).count() == 0
 
 
+def test_near_dedup_loses_no_text_of_null_or_repeated_ids(spark):
+    a, b, c = words(80, 1), words(90, 2), words(100, 3)
+    data = [(1, a), (None, a), (None, b), (5, a), (5, c), (None, None), (6, "")]
+    kept = N.near_dedup(docs(spark, [(*x, "en", "s", 1) for x in data])).collect()
+    assert sorted((str(r.doc_id), r.text or "") for r in kept) == sorted([("1", a), ("None", b), ("5", c), ("None", ""), ("6", "")])
+
+
 def vectors():
     r = np.random.default_rng(1)
     out = []
@@ -118,6 +173,32 @@ def test_lattice_dedup_against_brute_force(spark, monkeypatch, chunk):
     assert D.similar_vectors(df.limit(0), Scratch(spark)).count() == 0
 
 
+def test_near_dedup_of_vectors_keeps_rows_of_null_and_repeated_ids(spark):
+    r = np.random.default_rng(7)
+    a, b, c = (r.normal(size=16).tolist() for _ in range(3))
+    data = [(1, a), (None, a), (None, b), (5, a), (5, c), (None, None), (6, [0.0] * 16)]
+    df = spark.createDataFrame([(*x, 1, 2) for x in data], "vec_id long, embedding array<double>, digest int, _id int")
+    kept = D.near_dedup(df)
+    assert kept.columns == df.columns and sorted(str((x.vec_id, x.embedding)) for x in kept.collect()) == sorted(str(x) for x in [(1, a), (None, b), (5, c), (None, None), (6, [0.0] * 16)])
+    assert D.near_dedup(df.limit(0)).count() == 0
+
+
+def test_recall_of_links_among_many_vectors(spark):
+    """10000 vectors of which 3000 are within a cosine of 0.95 to 0.96 of another."""
+    r = np.random.default_rng(9)
+    x = r.normal(size=(10000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for k in range(3000):
+        side = r.normal(size=64)
+        side -= side @ x[k] * x[k]
+        cos = r.uniform(0.9501, 0.96)
+        x[7000 + k] = cos * x[k] + np.sqrt(1 - cos * cos) * side / np.linalg.norm(side)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {i.vec_id: i for i in D.similar_vectors(df.repartition(5), Scratch(spark)).where("n_links > 0").collect()}
+    want = {i for k in range(3000) for i in (k, 7000 + k)}
+    assert set(got) <= want and len(got) >= 0.99 * len(want) and all(i.component_id == k % 7000 and i.n_links == 1 for k, i in got.items())
+
+
 def test_nearest_lattice_points():
     r = np.random.default_rng(0)
     short = D._shortest()
