@@ -4,6 +4,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from spindrift.llm import embedding_dedup as D
 from spindrift.llm import ngram_join as N
@@ -211,17 +212,29 @@ def test_nearest_lattice_points():
 
 
 def test_compact_windows_against_all_passages():
-    r = np.random.default_rng(0)
-    for n, t in ((30, 5), (60, 8), (8, 8), (50, 3)):
-        s = r.integers(0, 12 if n == 60 else 2**60, size=n).astype(np.uint64)
-        l, c, rr = S.compact_windows(s, t, np.uint64(0x9E3779B97F4A7C15))
+    r, by, t = np.random.default_rng(0), np.uint64(0x9E3779B97F4A7C15), 8
+    texts = [r.integers(0, 12 if n == 60 else 2**60, size=n).astype(np.uint64) for n in (30, 60, 8, 7, 0, 50, 1)]
+    at = np.concatenate(([0], np.cumsum([len(x) for x in texts])))
+    of, left, mid, right = S.compact_windows(np.concatenate(texts), at, t, by)
+    for k, s in enumerate(texts):
+        n = len(s)
+        l, c, rr = (x[of == k] for x in (left, mid, right))
         bits = np.uint64(max(1, n.bit_length()))
-        h = ((s * np.uint64(0x9E3779B97F4A7C15)) >> bits << bits) | np.arange(n, dtype=np.uint64)
+        h = ((s * by) >> bits << bits) | np.arange(n, dtype=np.uint64)
         held = {(i, j): int(x) for a, x, b in zip(l, c, rr, strict=True) for i in range(a, x + 1) for j in range(x, b + 1)}
         for i in range(n):
             for j in range(i + t - 1, n):
                 assert held[i, j] == i + int(h[i : j + 1].argmin())
-        assert all(b - a + 1 >= t for a, b in zip(l, rr, strict=True))
+        assert all(0 <= a <= x <= b < n and b - a + 1 >= t for a, x, b in zip(l, c, rr, strict=True))
+
+
+def test_packs_hold_what_was_packed():
+    r = np.random.default_rng(2)
+    for top in (1, 255, 256, 2**31, 2**62):
+        x, y = r.integers(-top, top, size=50), r.integers(0, top, size=50)
+        assert [v.tolist() for v in S.unpack(S.pack(x, y))] == [x.tolist(), y.tolist()]
+    c, l, rr = np.array([500, 3]), np.array([470, 0]), np.array([520, 900])
+    assert [x.tolist() for x in S.unpacked(S.packed(c, l, rr, np.array([1, 0]), 46), 46)] == [[500, 3], [470, 0], [520, 48], [1, 0]]
 
 
 def test_word_hashes_ignore_ascii_case_and_place():
@@ -245,6 +258,40 @@ def test_passages(spark):
     assert S.passages(d.limit(0)).count() == 0 and S.without_passages(d.limit(0)).count() == 0
 
 
+def test_passages_of_null_and_repeated_ids(spark):
+    a, b, c = words(80, 1), words(90, 2), words(100, 3)
+    data = [(1, a), (5, a), (5, c), (5, c), (None, b), (None, f"{words(10, 4)} {b}"), (None, None), (9, f"{words(20, 5)} {c}")]
+    for kind in ("long", "string"):
+        d = docs(spark, [(*x, "en", "s", 1) for x in data]).withColumn("doc_id", F.col("doc_id").cast(kind))
+        left = sorted((str(r.doc_id), len((r.text or "").split())) for r in S.without_passages(d).collect())
+        assert sorted(n for i, n in left if i == "5") == [0, 100, 100] and ("1", 80) in left and ("9", 20) in left
+        assert sorted(n for i, n in left if i == "None") in ([0, 0, 100], [0, 10, 90]) and len(left) == len(data)
+
+
+def test_partitions_change_nothing(spark, monkeypatch):
+    from spindrift.llm.common import documents
+
+    d = documents(spark, "/root/testdata/sf0.01")
+    got = {tuple(sorted(map(tuple, S.passages(d.repartition(n)).collect()))) for n in (1, 7, 64)}
+    monkeypatch.setattr(S, "PACKED", 5000)
+    monkeypatch.setattr(S, "RANGE_BYTES", 1 << 16)
+    got.add(tuple(sorted(map(tuple, S.passages(d.repartition(3)).collect()))))
+    assert len(got) == 1 and len(got.pop()) > 100
+
+
+def test_every_repeat_on_documents(spark):
+    from spindrift.llm.common import documents
+
+    d = documents(spark, "/root/testdata/sf0.01")
+    data = [(r.doc_id, (r.text or "").lower()) for r in d.collect()]
+    want = repeated_stretches(data)
+    covered = defaultdict(set)
+    for r in S.passages(d).collect():
+        covered[r.doc_id].update(range(r.first_word, r.end_word))
+    missed = [x for x in want if not covered[x[0]].issuperset(range(x[1], x[1] + 50))]
+    assert len(want) > 10000 and not missed, (len(missed), len(want))
+
+
 def test_many_copies_and_near_passages(spark):
     passage = words(70, 9).split()
     data = []
