@@ -2,14 +2,15 @@
 
 1. A narrow table (doc_id, digest, length) is written once to the shared folder: texts are read and hashed once.
 2. Misra-Gries summaries of `heavy` counters find every digest that more than rows / (heavy + 1) rows share;
-   summaries merge in two levels, so no task or driver gets more than a bounded number of counters.
+   summaries merge in two levels, the second of at most `FAN` summaries, so the last task gets a bounded number of counters.
 3. Exact counts verify the candidates. The winners (at most `heavy` rows) are broadcast, and rows of those digests
    are settled on the map side. They never meet in one task.
 4. The other digests are settled by ordinary aggregation, combined on the map side, and a join that may be split.
 
 Defined cases: a null text counts as empty, and all empty texts are one group. Of equal lengths the smallest doc_id stays;
-a null doc_id comes after all others. Rows repeated with one doc_id count one by one in group_size and stay or go together.
-An empty table gives an empty result. Extra columns are kept by `exact_dedup` and don't matter.
+a null doc_id comes after all others. Rows repeated with one doc_id count one by one in group_size. `exact_dedup` decides on
+each (doc_id, text, length) by itself, so null and repeated doc_ids lose no text; rows that are equal in all three stay or go
+together. An empty table gives an empty result. Extra columns are kept by `exact_dedup` and don't matter.
 """
 
 from __future__ import annotations
@@ -71,18 +72,20 @@ def misra_gries(df: DataFrame, column: str, heavy: int = HEAVY) -> DataFrame:
     each = df.select(column).mapInArrow(summarise, shape)
     # by digest, so AQE may join small groups; each unit of error is still paid for by heavy + 1 counts taken off somewhere
     groups = each.repartition(F.pmod(F.xxhash64("digest"), F.lit(FAN)))
-    return groups.mapInArrow(merge, shape).coalesce(1).mapInArrow(merge, shape)
+    return groups.mapInArrow(merge, shape).repartition(1).mapInArrow(merge, shape)
 
 
-def classes(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", heavy: int = HEAVY) -> DataFrame:
-    """(doc_id, digest, keep_id, group_size), a row for each row of docs."""
-    rows = scratch.save(
-        docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.sha2(normalised(F.col(text_col)), 256)).alias("digest"), F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("length")),
-        "digests",
-    )
-    # max() of (length, known id, -id): the longest, then the smallest doc_id, null last.
-    best = F.max(F.struct("length", F.col("doc_id").isNotNull().alias("known"), (-F.col("doc_id")).alias("low"))).alias("best")
-    won = ["digest", (-F.col("best.low")).alias("keep_id"), "group_size"]
+def _hashed(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
+    text = F.col(text_col)
+    return [F.col(id_col).alias("doc_id"), F.unhex(F.sha2(normalised(text), 256)).alias("digest"), F.length(F.coalesce(text, F.lit(""))).cast("long").alias("length")]
+
+
+def _classes(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, heavy: int) -> DataFrame:
+    """(doc_id, digest, length, keep_id, keep_length, group_size), a row for each row of docs."""
+    rows = scratch.save(docs.select(*_hashed(docs, id_col, text_col)), "digests")
+    # the longest, then the smallest known doc_id
+    best = F.min(F.struct((-F.col("length")).alias("short"), F.col("doc_id").isNull().alias("unknown"), "doc_id")).alias("best")
+    won = ["digest", F.col("best.doc_id").alias("keep_id"), (-F.col("best.short")).alias("keep_length"), "group_size"]
 
     def settle(some: DataFrame) -> DataFrame:
         return some.groupBy("digest").agg(best, F.count("*").alias("group_size")).select(*won)
@@ -92,15 +95,23 @@ def classes(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col:
     heavy_rows = rows.join(F.broadcast(winners), "digest")
     rest = rows.join(F.broadcast(winners.select("digest")), "digest", "left_anti")
     light_rows = rest.join(settle(rest), "digest")
-    columns = ["doc_id", "digest", "keep_id", "group_size"]
-    return heavy_rows.select(*columns).unionByName(light_rows.select(*columns))
+    return heavy_rows.unionByName(light_rows)
+
+
+def classes(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", heavy: int = HEAVY) -> DataFrame:
+    """(doc_id, digest, keep_id, group_size), a row for each row of docs."""
+    return _classes(docs, scratch, id_col, text_col, heavy).select("doc_id", "digest", "keep_id", "group_size")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", heavy: int = HEAVY) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
-    p = fresh(docs, "gone")
-    gone = classes(docs, Scratch(docs.sparkSession), id_col, text_col, heavy).where("NOT doc_id <=> keep_id").select(F.col("doc_id").alias(f"{p}gone"))
-    return docs.join(gone, docs[id_col].eqNullSafe(gone[f"{p}gone"]), "left_anti")
+    p = fresh(docs, "doc_id", "digest", "length", "id", "of", "size")
+    found = _classes(docs, Scratch(docs.sparkSession), id_col, text_col, heavy).where("NOT (doc_id <=> keep_id AND length = keep_length)")
+    gone = found.select(*[F.col(c).alias(f"{p}{c}") for c in ("doc_id", "digest", "length")]).distinct()
+    _, digest, length = _hashed(docs, id_col, text_col)
+    rows = docs.withColumn(f"{p}of", digest).withColumn(f"{p}size", length)
+    same = rows[id_col].eqNullSafe(gone[f"{p}doc_id"]) & (rows[f"{p}of"] == gone[f"{p}digest"]) & (rows[f"{p}size"] == gone[f"{p}length"])
+    return rows.join(gone, same, "left_anti").drop(f"{p}of", f"{p}size")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

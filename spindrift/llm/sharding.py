@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import Scratch, documents, fresh
 
 SHARDS = 40
 SEED = 17
@@ -38,14 +38,15 @@ def _ranked(rows: DataFrame, keys: list[str], bucket: Column, order: list, name:
     return local.join(ahead, [*keys, "bucket"]).withColumn(name, F.col("ahead") + F.col("local")).drop("bucket", "local", "ahead")
 
 
-def shard(df: DataFrame, strata: str = "source", id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """(doc_id, stratum, size, text_crc32, shard, slot), a row for each row of df; counts of shards differ by one at most."""
+def shard(df: DataFrame, strata: str = "source", id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, seed: int = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, stratum, size, text_crc32, shard, slot) and what is to be kept, a row for each row of df; counts of shards differ by one at most."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = df.select(
         F.col(id_col).alias("doc_id"),
         F.when(F.col(strata).isNull(), "-").otherwise(F.concat(F.lit("+"), F.col(strata).cast("string"))).alias("stratum"),
         (F.octet_length(text) + OVERHEAD).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
+        *keep,
         F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))).alias("h"),
     )
     ties = ["h", F.col("doc_id").asc_nulls_first(), "size", "text_crc32"]
@@ -55,14 +56,24 @@ def shard(df: DataFrame, strata: str = "source", id_col: str = "doc_id", text_co
     # place is 1 to n; shard s follows the first floor(s * n / shards) places, so counts are the floor or ceiling of n / shards
     number = F.expr(f"CAST((({shards} * place - 1) DIV place_rows) AS INT)")
     first = F.expr(f"((CAST(shard AS BIGINT) * place_rows) DIV {shards})")
-    return placed.withColumn("shard", number).withColumn("slot", F.col("place") - 1 - first).select("doc_id", "stratum", "size", "text_crc32", "shard", "slot")
+    return placed.withColumn("shard", number).withColumn("slot", F.col("place") - 1 - first).select("doc_id", "stratum", "size", "text_crc32", *keep, "shard", "slot")
 
 
 def write_shards(df: DataFrame, path: str, strata: str = "source", id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, seed: int = SEED) -> None:
-    """Write the rows of df as a folder of Parquet files for each shard, in slot order. doc_id must identify rows."""
-    placed = shard(df, strata, id_col, text_col, shards, seed).select(F.col("doc_id").alias(id_col), F.col("shard").alias("shard_number"), F.col("slot").alias("shard_slot"))
-    joined = df.join(placed, id_col)
-    joined.repartition(shards, "shard_number").sortWithinPartitions("shard_number", "shard_slot").write.partitionBy("shard_number").parquet(path)
+    """Write all rows of df as a folder of Parquet files for each shard (shard_number), in slot order.
+
+    Rows are numbered first, in a scratch table, so null and repeated doc_ids lose nothing. A column of df named shard_number
+    would be hidden by the folders' and is refused.
+    """
+    if "shard_number" in {c.lower() for c in df.columns}:
+        raise ValueError("a column is named shard_number")
+    p = fresh(df, "row", "shard", "slot")
+    scratch = Scratch(df.sparkSession)
+    rows = scratch.save(df.withColumn(f"{p}row", F.monotonically_increasing_id()), "rows")
+    placed = shard(rows, strata, id_col, text_col, shards, seed, (f"{p}row",)).select(f"{p}row", F.col("shard").alias("shard_number"), F.col("slot").alias(f"{p}slot"))
+    joined = rows.join(placed, f"{p}row").repartition(shards, "shard_number").sortWithinPartitions("shard_number", f"{p}slot")
+    joined.select(*df.columns, "shard_number").write.partitionBy("shard_number").parquet(path)
+    scratch.drop("rows")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
