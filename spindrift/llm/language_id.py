@@ -5,10 +5,10 @@ character n-grams scores the candidates; Viterbi with a penalty on each change o
 runs of one label are spans. A text's language is the one with the most letters in its spans, its score that share of all
 letters.
 
-The model is fitted on at most `SAMPLE` labelled texts of each of the `LANGUAGES` commonest languages (smallest hashes of
-doc_id); it holds languages x `BUCKETS` numbers whatever the corpus. Every whole text is labelled, over Arrow batches,
-without a shuffle; Viterbi runs over many texts at once, and only over those
-that no single label is sure to fit best.
+The model is fitted on at most `SAMPLE` labelled texts of each language (smallest hashes of doc_id); it holds languages x
+`BUCKETS` numbers whatever the corpus, and over `LANGUAGES` languages are refused with an error. Every whole text is labelled,
+over Arrow batches, without a shuffle; Viterbi runs over many texts at once, and only over those that no single label is sure
+to fit best. What a worker keeps of words is bounded in bytes.
 
 Defined cases: null texts and texts without a letter are `und` with score 0; with letters of unknown scripts only, a text
 gets the commonest learned language and score 0; with nothing to learn from, all are `und`. Ties go to the language first in
@@ -27,18 +27,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BASE, documents, fresh, latest_in_worker, mix, share, slices
+from .common import BASE, documents, fresh, frugal, latest_in_worker, mix, parts, share
 
-#: Most texts of a language, and most languages, that the model is fitted on.
+#: Most texts of a language that the model is fitted on, and most languages that it can hold.
 SAMPLE = 1000
-LANGUAGES = 256
+LANGUAGES = 1024
 BUCKETS = 1 << 15
 #: Longer runs without white space are cut to pieces of this length.
 WORD = 64
 #: Cost of a change of language between two words, and the most by which one word can speak against a language.
 SWITCH = 10.0
 AGAINST = 6.0
-CACHED = 400_000
+#: Bytes of kept words with their scores, of a word without them, and of scores that are made at once.
+CACHED = 48 << 20
+WORD_BYTES = 250
+MADE = 1 << 22
 #: Words whose n-grams, and texts whose words, are held at once.
 LEARN = 8192
 TEXTS = 1024
@@ -116,16 +119,18 @@ class Labeller:
         n = len(model.languages)
         self.scores, self.letters, self.known = np.zeros((1024, n), dtype=np.float32), np.zeros(1024, dtype=np.int64), np.zeros(1024, dtype=bool)
         self.uses: dict[str, np.ndarray] = {}
+        self.most = max(1, CACHED // (WORD_BYTES + 4 * n))
+        self.at_once = max(64, min(LEARN, MADE // (8 * max(1, n))))
 
     def learn(self, words: list[str]) -> None:
         """Rows of scores of words not seen yet, so many at a time that their n-grams stay small."""
-        for i in range(0, len(words), LEARN):
-            self._learn(words[i : i + LEARN])
+        for i in range(0, len(words), self.at_once):
+            self._learn(words[i : i + self.at_once])
 
     def _learn(self, words: list[str]) -> None:
         at, n = len(self.rows), len(words)
         if at + n > len(self.scores):
-            size = max(2 * len(self.scores), at + n)
+            size = max(min(2 * len(self.scores), at + n + self.most // 4), at + n)
             for name in ("scores", "letters", "known"):
                 old = getattr(self, name)
                 new = np.zeros((size, *old.shape[1:]), dtype=old.dtype)
@@ -151,10 +156,10 @@ class Labeller:
         return uses
 
     def numbers(self, texts: list[list[str]]) -> list[np.ndarray]:
-        """Row numbers of words. What was kept goes before it grows over CACHED; the texts of one call stay together."""
+        """Row numbers of words. What was kept goes before it grows over its bound; the texts of one call stay together."""
         rows = self.rows
         new = {x: None for words in texts for x in words if x not in rows}
-        if len(rows) + len(new) > CACHED and rows:
+        if len(rows) + len(new) > self.most and rows:
             rows.clear()
             self.scores, self.letters, self.known = self.scores[:1024].copy(), self.letters[:1024].copy(), self.known[:1024].copy()
             new = {x: None for words in texts for x in words}
@@ -247,18 +252,19 @@ def held_out(id_column: Column) -> Column:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, languages: int = LANGUAGES) -> Model:
-    """Learn from rows with a text and a language that are not held out."""
+    """Learn from rows with a text and a language that are not held out. Raises if there are more languages than `languages`."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages + 1).collect()
+    if len(counts) > languages:
+        raise ValueError(f"over {languages} languages; merge rare values of {lang_col} or raise the bound")
     names = sorted(r["lang"] for r in counts)
     if not names:
         return Model([], np.zeros((0, BUCKETS), dtype=np.float32), [], 0)
     first = Window.partitionBy("lang").orderBy("h", "doc_id")
-    low = F.lit(0.0)  # hashes up to here are enough for the sample, so only as many rows meet in the window
-    for r in counts:
-        low = F.when(F.col("lang") == r["lang"], F.lit(2.0**32 * min(1.0, (2 * sample + 100) / r["n"]))).otherwise(low)
-    chosen = rows.select("lang", "doc_id", share(F.col("doc_id")).alias("h")).where(F.col("h") <= low).withColumn("k", F.row_number().over(first)).where(F.col("k") <= sample)
+    # hashes up to here are enough for the sample, so only as many rows meet in the window
+    low = docs.sparkSession.createDataFrame([(r["lang"], 2.0**32 * min(1.0, (2 * sample + 100) / r["n"])) for r in counts], "lang string, low double")
+    chosen = rows.select("lang", "doc_id", share(F.col("doc_id")).alias("h")).join(F.broadcast(low), "lang").where(F.col("h") <= F.col("low")).withColumn("k", F.row_number().over(first)).where(F.col("k") <= sample)
     chosen = F.broadcast(chosen.select("doc_id", F.col("lang").alias("chosen_lang")).distinct())  # at most sample x languages ids
     texts = rows.join(chosen, rows["doc_id"].eqNullSafe(chosen["doc_id"]) & (rows["lang"] == chosen["chosen_lang"])).select("lang", "text")
 
@@ -283,16 +289,20 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             keys, values = [*used.tolist(), *(f"{x}" for x in scripts)], [*grams[used].tolist(), *scripts.values()]
             yield pa.RecordBatch.from_pydict({"lang": [lang] * len(keys), "gram": [str(x) for x in keys], "n": pa.array(values, pa.int64())})
 
-    found = texts.mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
-    table = np.zeros((len(names), BUCKETS))
+    sums = texts.mapInArrow(frugal(count), "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    # a row a language, of at most BUCKETS counts and those of its scripts; one is on the driver at a time
+    found = sums.groupBy("lang").agg(F.collect_list("gram").alias("grams"), F.collect_list("n").alias("times"))
+    log_p = np.full((len(names), BUCKETS), -np.log(BUCKETS), dtype=np.float32)
     scripts = [Counter() for _ in names]
     at = {x: i for i, x in enumerate(names)}
-    for lang, gram, n in found.itertuples(index=False):
-        if gram.isdigit():
-            table[at[lang], int(gram)] = n
-        else:
-            scripts[at[lang]][gram] = n
-    log_p = np.log((table + 0.5) / (table.sum(axis=1, keepdims=True) + 0.5 * BUCKETS)).astype(np.float32)
+    for lang, grams, times in found.toLocalIterator():
+        table = np.zeros(BUCKETS)
+        for gram, n in zip(grams, times, strict=True):
+            if gram.isdigit():
+                table[int(gram)] = n
+            else:
+                scripts[at[lang]][gram] = n
+        log_p[at[lang]] = np.log((table + 0.5) / (table.sum() + 0.5 * BUCKETS))
     uses = [{s for s, n in c.items() if n >= USES * sum(c.values())} for c in scripts]
     common = at[counts[0]["lang"]]
     return Model(names, log_p, uses, common)
@@ -307,7 +317,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = latest_in_worker("language", version, lambda: Labeller(held.value))
         kind = pa.list_(pa.struct([("lang", pa.string()), ("first", pa.int32()), ("end", pa.int32())]))
-        for b in slices(batches, TEXTS):
+        for b in parts(batches, 1, 1 << 20, TEXTS):
             found = labeller.label(b.column(1).to_pylist())
             spans = pa.array([[{"lang": x, "first": i, "end": j} for x, i, j in r[3]] for r in found], kind)
             yield pa.RecordBatch.from_arrays(
@@ -316,7 +326,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             )
 
     kind = chosen.schema["doc_id"].dataType.simpleString()
-    return chosen.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, known double, spans array<struct<lang: string, first: int, end: int>>")
+    return chosen.mapInArrow(frugal(run), f"doc_id {kind}, lang_pred string, score double, known double, spans array<struct<lang: string, first: int, end: int>>")
 
 
 def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -328,14 +338,14 @@ def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = latest_in_worker("language", version, lambda: Labeller(held.value))
-        for b in slices(batches, TEXTS):
+        for b in parts(batches, at, 1 << 20, TEXTS):
             found = labeller.label(b.column(at).to_pylist())
             yield b.filter(pa.array([x[0] != "und" and x[2] >= 0.5 for x in found], pa.bool_()))
 
     named = docs.toDF(*[f"{p}{i}" for i in range(len(docs.columns))])  # names may clash
     if not model.languages:  # nothing to learn from: only texts without a letter go
         return docs.where(F.coalesce(F.col(text_col), F.lit("")).rlike(r"\p{L}"))
-    return named.mapInArrow(run, named.schema).toDF(*docs.columns)
+    return named.mapInArrow(frugal(run), named.schema).toDF(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

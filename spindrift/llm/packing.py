@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import documents, per_worker
+from .common import documents, frugal, per_worker
 
 TOKENS = 2048
 SEGMENTS = 64
@@ -139,7 +139,7 @@ def pack(examples: DataFrame, ids_of: Callable[[], Callable[[pa.RecordBatch], It
         if out:
             yield batch(out)
 
-    return examples.mapInArrow(pieces, SHAPE.format(kind=examples.schema[id_col].dataType.simpleString()))
+    return examples.mapInArrow(frugal(pieces), SHAPE.format(kind=examples.schema[id_col].dataType.simpleString()))
 
 
 #: Only texts of these code points take the quick way; the tests hold each of them against the tokenizers library.

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import BoundedCache, documents, per_worker
+from .common import BoundedCache, documents, frugal, per_worker
 
 SPACE = "▁"
 CACHED = 800_000
@@ -168,7 +168,7 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
                     columns += [pa.array([np.frombuffer(x, dtype="<i4") for x in found], pa.list_(pa.int32())), pa.array(decoded, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in shape.split(", ")])
 
-    return chosen.mapInArrow(run, shape)
+    return chosen.mapInArrow(frugal(run), shape)
 
 
 def decode_documents(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -182,7 +182,7 @@ def decode_documents(encoded: DataFrame, model_path: str, id_col: str = "doc_id"
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if x is None else codec.library.decode(x) for x in b.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
 
-    return chosen.mapInArrow(run, f"doc_id {chosen.schema['doc_id'].dataType.simpleString()}, text string")
+    return chosen.mapInArrow(frugal(run), f"doc_id {chosen.schema['doc_id'].dataType.simpleString()}, text string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

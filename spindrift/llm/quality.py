@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, documents, first_by_hash, latest_in_worker
+from .common import BoundedCache, documents, first_by_hash, frugal, latest_in_worker
 
 LABELLED = 4000
 POOL = 2000
@@ -178,7 +178,7 @@ def _rows(df: DataFrame, text_col: str, meta_cols: list[str], keep: list) -> Dat
             yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(at, pa.list_(pa.int32())), pa.array(mean, pa.list_(pa.float32())), pa.array(metas, pa.list_(pa.int32()))], [*b.schema.names[:n], "at", "mean", "meta"])
 
     shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in chosen.schema.fields[:n])
-    return chosen.mapInArrow(run, f"{shape}, at array<int>, mean array<float>, meta array<int>")
+    return chosen.mapInArrow(frugal(run), f"{shape}, at array<int>, mean array<float>, meta array<int>")
 
 
 def _matrices(rows) -> tuple[np.ndarray, np.ndarray]:
@@ -255,7 +255,7 @@ def score(docs: DataFrame, model: Model | float, id_col: str = "doc_id", text_co
             both = Logistic.prob(text + meta - scorer.model.prior) if len(text) else text
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.float64()) for x in (Logistic.prob(text), Logistic.prob(meta), both)), pa.array(both >= threshold, pa.bool_())], ["doc_id", "text_score", "meta_score", "score", "kept"])
 
-    return chosen.mapInArrow(run, f"doc_id {chosen.schema['doc_id'].dataType.simpleString()}, text_score double, meta_score double, score double, kept boolean")
+    return chosen.mapInArrow(frugal(run), f"doc_id {chosen.schema['doc_id'].dataType.simpleString()}, text_score double, meta_score double, score double, kept boolean")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -79,11 +80,88 @@ def test_viterbi_against_all_paths(model):
 def test_small_cache(monkeypatch, model):
     texts = [r[1] for r in corpus()[:50]]
     want = L.Labeller(model).label(texts)
-    monkeypatch.setattr(L, "CACHED", 10)
+    monkeypatch.setattr(L, "CACHED", 3000)
     labeller = L.Labeller(model)
+    assert labeller.most < 20
     assert [x for t in texts for x in labeller.label([t])] == want
 
 
+def brute_language(model, text):
+    """(language, score) by the rules alone, word by word, in plain Python."""
+    whole = (1 << 64) - 1
+
+    def mixed(h):
+        h ^= h >> 33
+        h = h * 0xFF51AFD7ED558CCD & whole
+        h ^= h >> 33
+        h = h * 0xC4CEB9FE1A85EC53 & whole
+        return h ^ (h >> 33)
+
+    words = [w[i : i + 64] for w in (text or "").split() for i in range(0, len(w), 64)]
+    names, rows, sizes = model.languages, [], []
+    for w in words:
+        letters = "".join(c for c in w if c.isalpha()).lower()
+        script = L.script_of(letters) if letters else None
+        may = [script in s for s in model.scripts]
+        codes = [ord(c) for c in f" {letters} "]
+        grams = [mixed(sum(codes[i] * mixed(i + 7) for i in range(len(codes))) & whole)]
+        for k in (1, 2, 3):
+            for i in range(len(codes) - k + 1):
+                h = 0
+                for j in range(k):
+                    h = (h * L.BASE + codes[i + j] + j + 1) & whole
+                grams.append(mixed(h))
+        made = [sum(float(p[g % L.BUCKETS]) for g in grams) if u else -np.inf for p, u in zip(model.log_p, may)]
+        rows.append([max(x - max(made), -L.AGAINST) for x in made] if any(may) else [0.0] * len(names))
+        sizes.append((len(letters), any(may)))
+    total = sum(n for n, _ in sizes)
+    if not total:
+        return "und", 0.0
+    best, back = list(rows[0]), []
+    for r in rows[1:]:
+        top = max(range(len(names)), key=lambda k: best[k])
+        back.append([k if best[k] >= best[top] - L.SWITCH else top for k in range(len(names))])
+        best = [max(best[k], best[top] - L.SWITCH) + r[k] for k in range(len(names))]
+    path = [max(range(len(names)), key=lambda k: best[k])]
+    for b in reversed(back):
+        path.append(b[path[-1]])
+    held = [0] * len(names)
+    for k, (n, known) in zip(reversed(path), sizes):
+        held[k] += n * known
+    k = max(range(len(names)), key=lambda k: held[k]) if any(held) else model.common
+    return names[k], held[k] / total
+
+
+def test_predictions_against_brute_force(spark, model):
+    r = random.Random(12)
+    texts = [sentence(r.choice(list(SYLLABLES)), r.randint(1, 25), r) for _ in range(60)]
+    texts += [sentence("en", r.randint(1, 9), r) + " 12 " + sentence("ru", r.randint(1, 9), r) + " !! " + sentence("de", r.randint(0, 9), r) for _ in range(60)]
+    texts += [None, "", "12 !", "中文", "the" * 50, "sch中文ung the"]
+    got = {x.doc_id: x for x in L.identify(docs(spark, [(i, t, None, None, None) for i, t in enumerate(texts)]), model).collect()}
+    for i, t in enumerate(texts):
+        lang, score = brute_language(model, t)
+        assert got[i].lang_pred == lang and got[i].score == pytest.approx(score, abs=1e-9), t
+
+
+def test_ties_go_to_the_first_language(spark):
+    texts = ["alpha beta gamma", "delta epsilon"]
+    ids = iter(i for i in range(100) if zlib.crc32(str(i).encode()) % 4 != 2)
+    data = [(next(ids), texts[0], lang, "s", 1) for _ in range(10) for lang in ("zz", "aa", "mm")]
+    model = L.fit(docs(spark, data))
+    assert {r.lang_pred for r in L.identify(docs(spark, [(1, "alpha beta", None, None, None), (2, texts[1], None, None, None)]), model).collect()} == {"aa"}
+
+
+def test_many_languages(spark):
+    data = [(4 * i + k, f"{chr(97 + i % 26)}{chr(97 + i // 26)}x " * 9, f"l{i:03}", "s", 1) for i in range(300) for k in range(4)]
+    model = L.fit(docs(spark, data))
+    assert len(model.languages) == 300
+    got = L.identify(docs(spark, data), model).collect()
+    truth = {r[0]: r[2] for r in data}
+    assert sum(r.lang_pred == truth[r.doc_id] for r in got) >= 0.97 * len(got)
+    with pytest.raises(ValueError):
+        L.fit(docs(spark, data), languages=299)
+
+
 def test_accepted(spark):
     d = docs(spark)
     kept = L.accepted(d)
