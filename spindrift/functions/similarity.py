@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,19 +21,28 @@ def tokens(c: Column) -> Column:
     return F.filter(F.split(c, r"\s+"), lambda x: x != "")
 
 
-def term_counts(words: Column) -> Column:
-    """Map from word to count."""
-    return F.map_from_entries(F.transform(F.array_distinct(words), lambda w: F.struct(w, F.size(F.filter(words, lambda x: x == w)))))
+def over_words(a: Column, b: Column, term: Callable[[Column, Column], Column]) -> Column:
+    """Sum of term(count in a, count in b) over the different words of two arrays, in one pass over both sorted together."""
+    each = F.sort_array(F.concat(F.transform(a, lambda w: F.struct(w.alias("w"), F.lit(0).alias("side"))), F.transform(b, lambda w: F.struct(w.alias("w"), F.lit(1).alias("side")))))
+    zero = F.lit(0.0)
+    start = F.struct(F.lit(None).cast("string").alias("w"), zero.alias("x"), zero.alias("y"), zero.alias("total"))
 
+    def step(held: Column, e: Column) -> Column:
+        x, y = (F.when(e["side"] == k, 1.0).otherwise(0.0) for k in (0, 1))
+        grown = F.struct(held["w"].alias("w"), (held["x"] + x).alias("x"), (held["y"] + y).alias("y"), held["total"].alias("total"))
+        new = F.struct(e["w"].alias("w"), x.alias("x"), y.alias("y"), (held["total"] + term(held["x"], held["y"])).alias("total"))
+        return F.when(held["w"] == e["w"], grown).otherwise(new)
 
-def _one_way(query: Column, doc: Column) -> Column:
-    """BM25 of a document for a query over the two as the corpus; a term that scores is in both, so its idf is a constant."""
-    average = (F.size(query) + F.size(doc)) / F.lit(2.0)
+    return F.aggregate(each, start, step, lambda held: held["total"] + term(held["x"], held["y"]))
 
-    def term(f: Column) -> Column:
-        return F.lit(IDF * (K1 + 1)) * f / (f + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.size(doc) / average))
 
-    return F.aggregate(query, F.lit(0.0), lambda total, w: total + let(F.size(F.filter(doc, lambda x: x == w)).cast("double"), lambda f: F.when(f > 0, term(f)).otherwise(0.0)))
+def gain(count: Column, length: Column, other: Column) -> Column:
+    """What a word that a document of a length holds `count` times gives a query of another length; the two are the corpus, so idf is a constant."""
+    return F.lit(IDF * (K1 + 1)) * count / (count + F.lit(K1) * (F.lit(1 - B) + F.lit(2 * B) * length / (length + other)))
+
+
+def _common(x: Column, y: Column, value: Column) -> Column:
+    return F.when((x > 0) & (y > 0), value).otherwise(0.0)
 
 
 def normalise_score(raw: Column, method: str = "saturate", c: float = 1.0, average: Column | None = None) -> Column:
@@ -45,8 +55,11 @@ def normalise_score(raw: Column, method: str = "saturate", c: float = 1.0, avera
 
 
 def bm25_raw(a: Column, b: Column) -> Column:
-    """Mean of both directions, from token arrays. Two empty arrays score 0."""
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise((_one_way(a, b) + _one_way(b, a)) / 2)
+    """Mean of both directions, from token arrays; a repeated query word counts each time. Two empty arrays score 0."""
+    def both(n: Column, m: Column) -> Column:
+        return over_words(a, b, lambda x, y: _common(x, y, (x * gain(y, m, n) + y * gain(x, n, m)) / 2))
+
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(both(F.size(a), F.size(b)))
 
 
 def bm25(a: Column, b: Column, method: str = "saturate") -> Column:
@@ -56,16 +69,8 @@ def bm25(a: Column, b: Column, method: str = "saturate") -> Column:
 
 def bm25_directed(query: Column, doc: Column) -> Column:
     """One direction, each different query term once, normalised; from lower-cased token arrays."""
-    return F.when((F.size(query) == 0) | (F.size(doc) == 0), 0.0).otherwise(normalise_score(let(query, lambda q: _distinct_way(q, doc))))
-
-
-def _distinct_way(query: Column, doc: Column) -> Column:
-    average = (F.size(query) + F.size(doc)) / F.lit(2.0)
-
-    def term(f: Column) -> Column:
-        return F.lit(IDF * (K1 + 1)) * f / (f + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.size(doc) / average))
-
-    return F.aggregate(F.array_distinct(query), F.lit(0.0), lambda total, w: total + let(F.size(F.filter(doc, lambda x: x == w)).cast("double"), lambda f: F.when(f > 0, term(f)).otherwise(0.0)))
+    score = over_words(query, doc, lambda x, y: _common(x, y, gain(y, F.size(doc), F.size(query))))
+    return F.when((F.size(query) == 0) | (F.size(doc) == 0), 0.0).otherwise(normalise_score(score))
 
 
 def cleaned_pair(a: Column, b: Column) -> tuple[Column, Column]:
@@ -98,7 +103,7 @@ def dice(a: Column, b: Column) -> Column:
     x, y = F.regexp_replace(F.lower(a), r"\s+", ""), F.regexp_replace(F.lower(b), r"\s+", "")
 
     def common(p: Column, q: Column) -> Column:
-        return F.aggregate(F.array_distinct(p), F.lit(0), lambda n, g: n + F.least(F.size(F.filter(p, lambda v: v == g)), F.size(F.filter(q, lambda v: v == g))))
+        return over_words(p, q, F.least)
 
     score = let(bigrams(a), lambda p: let(bigrams(b), lambda q: 2.0 * common(p, q) / (F.size(p) + F.size(q))))
     return F.when(x == y, 1.0).when((F.length(x) < 2) | (F.length(y) < 2), 0.0).otherwise(score)
@@ -123,17 +128,9 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def count_cosine(a: Column, b: Column) -> Column:
     """Cosine of word counts brought from [0, 1] to [0.5, 1]."""
-    def counts(words: Column) -> Column:
-        return F.transform(F.array_distinct(words), lambda w: F.struct(w.alias("w"), F.size(F.filter(words, lambda x: x == w)).cast("double").alias("n")))
-
-    def square(c: Column) -> Column:
-        return F.aggregate(c, F.lit(0.0), lambda t, x: t + x["n"] * x["n"])
-
-    def dot(x: Column, other: Column) -> Column:
-        return F.aggregate(x, F.lit(0.0), lambda t, v: t + v["n"] * F.size(F.filter(other, lambda y: y == v["w"])))
-
-    value = let(counts(a), lambda x: let(counts(b), lambda y: F.struct(dot(x, b).alias("d"), F.sqrt(square(x)).alias("p"), F.sqrt(square(y)).alias("q"))))
-    return let(value, lambda v: (v["d"] / F.when(v["p"] * v["q"] == 0, 1.0).otherwise(v["p"] * v["q"]) + 1) / 2)
+    none = F.array().cast("array<string>")
+    sizes = F.sqrt(over_words(a, none, lambda x, _: x * x)) * F.sqrt(over_words(none, b, lambda _, y: y * y))
+    return (over_words(a, b, lambda x, y: x * y) / F.when(sizes == 0, 1.0).otherwise(sizes) + 1) / 2
 
 
 def combined(a: Column, b: Column) -> Column:

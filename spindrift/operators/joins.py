@@ -8,10 +8,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.similarity import gain, normalise_score
+
 #: Lines of a bin in range joins.
 BIN = 64
 #: Most rows of a query set that is sent to every task.
 MOST_QUERIES = 100_000
+#: Most terms (some 50 bytes each) of a table that is sent to every task.
+MOST_TERMS = 1_000_000
 
 
 def unique_by(df: DataFrame, keys: list[str], value: str, alias: str) -> DataFrame:
@@ -58,11 +62,25 @@ def innermost(points: DataFrame, spans: DataFrame, keys: list[str], point: str,
     return found.groupBy(*row).agg(best).select(*row, F.col("best.value").alias(value))
 
 
-def shared_token_pairs(a: DataFrame, a_id: str, a_tokens: str, b: DataFrame, b_id: str, b_tokens: str) -> DataFrame:
-    """Ids of pairs with a common token, each once: exact candidates for any score that is zero without one."""
-    left = a.select(a_id, F.explode(F.array_distinct(a_tokens)).alias("token_"))
-    right = b.select(b_id, F.explode(F.array_distinct(b_tokens)).alias("token_"))
-    return left.join(right, "token_").select(a_id, b_id).distinct()
+def term_counts(df: DataFrame, key: str, tokens: str) -> DataFrame:
+    """(key, size, token, n): how often each row's array holds each token, and the array's length."""
+    each = df.select(key, F.size(tokens).alias("size"), F.explode(tokens).alias("token"))
+    return each.groupBy(key, "size", "token").agg(F.count("*").alias("n"))
+
+
+def bm25_scores(a: DataFrame, a_key: str, b: DataFrame, b_key: str) -> DataFrame:
+    """(a_key, b_key, score): symmetric BM25, normalised, of all pairs of two tables of term_counts that share a token.
+
+    A pair's score is a sum over its common tokens, each worked out from counts and lengths, so nothing but sums of partial
+    scores is shuffled. Where b has at most MOST_TERMS terms it goes to all tasks, and all partial scores of a row of a meet
+    in its own task; else both meet by token.
+    """
+    right = b.select(b_key, F.col("size").alias("size_b"), F.col("token"), F.col("n").alias("n_b"))
+    if right.limit(MOST_TERMS + 1).count() <= MOST_TERMS:
+        right = F.broadcast(right)
+    x, y, n, m = (F.col(c).cast("double") for c in ("n", "n_b", "size", "size_b"))
+    part = F.sum((x * gain(y, m, n) + y * gain(x, n, m)) / 2)
+    return a.join(right, "token").groupBy(a_key, b_key).agg(part.alias("raw")).select(a_key, b_key, normalise_score(F.col("raw")).alias("score"))
 
 
 def top_similar(queries: DataFrame, candidates: DataFrame, query: str, candidate: str, order: str, score: Callable[[str, str], float], above: float, top: int) -> DataFrame:

@@ -133,11 +133,10 @@ def _identifiers(text):
 
 def _bm25_matches(s, d, above, tokens=_words, items=None):
     """Documents whose id is divisible by 100 against all items, by common words."""
-    q = V.table(s, d, "documents").where("doc_id % 100 = 0").select("doc_id", tokens("text").alias("xt"))
-    c = (V.table(s, d, "benchmark") if items is None else items).select("item_id", tokens("text").alias("yt"))
-    pairs = J.shared_token_pairs(q, "doc_id", "xt", c, "item_id", "yt")
-    scored = pairs.join(q, "doc_id").join(c, "item_id").select("doc_id", "item_id", F.round(S.bm25(F.col("xt"), F.col("yt")), 6).alias("score"))
-    return scored.where(F.col("score") > above)
+    q = V.table(s, d, "documents").where("doc_id % 100 = 0").select("doc_id", tokens("text").alias("t"))
+    c = (V.table(s, d, "benchmark") if items is None else items).select("item_id", tokens("text").alias("t"))
+    scored = J.bm25_scores(J.term_counts(q, "doc_id", "t"), "doc_id", J.term_counts(c, "item_id", "t"), "item_id")
+    return scored.select("doc_id", "item_id", F.round("score", 6).alias("score")).where(F.col("score") > above)
 
 
 BM = bm25_sql(f"SELECT doc_id, item_id, xt, yt FROM {QUERY_DOCS}, {ITEMS}", "doc_id, item_id") + ", r AS (SELECT doc_id, item_id, round(((xy + yx) / 2) / ((xy + yx) / 2 + 1), 6) AS score FROM t)"
