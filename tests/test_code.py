@@ -92,3 +92,38 @@ def test_recommendations_are_bounded():
 def test_self_fields_and_callers():
     assert {(x["method"], x["field"], x["written"]) for x in C.self_fields(SOURCE)} == {("go", "z", True), ("run", "go2", False)}
     assert C.caller_context("v = 1\nw = v\nmake(w, k=v)\n", "make") == ["v = 1\nw = v\nmake(w, k=v)"]
+
+
+def test_every_wrapper_is_no_type():
+    from spindrift.functions import syntax
+
+    assert len(syntax.WRAPPERS) == 24
+    for w in syntax.WRAPPERS:
+        assert [x["name"] for x in C.type_signals(f"x: {w}[str, m.Foo]")] == ["Foo"], w
+
+
+def test_signals_of_code_that_does_not_parse():
+    text = "from Pkg.mod import (Alpha,\n  beta, Gamma)\nfrom x import Delta as d\nclass Kind(\n y = cast(Cast, 1) + isinstance(a.b, Inst) + m.Attr + Plain\n <mask> ="
+    got = {x["name"]: x["kind"] for x in C.type_signals(text)}
+    assert got == {"Pkg": "import_symbol", "Alpha": "import_symbol", "Gamma": "import_symbol", "Delta": "import_symbol", "Kind": "tolerant_syntax", "Cast": "tolerant_syntax", "Inst": "tolerant_syntax", "Attr": "tolerant_syntax"}
+
+
+def test_signals_by_kind():
+    text = """from m import Imp as Al, low
+class K(Base, metaclass=Meta):
+    f: 'Anno'
+    async def g(self, a: P1, /, b: P2, *, c: P3, **d: P4) -> list[Ret]:
+        isinstance(a, (I1, I2)); issubclass(b, S1); cast(C1, b); Con(); m.Q; Mock(spec=Sp); open(); <mask>()
+"""
+    got = {x["name"]: x["kind"] for x in C.type_signals(text)}
+    want = {"Al": "import_symbol", "K": "visible_class", "Base": "base_class", "Anno": "annotation", "P1": "annotation", "P2": "annotation", "P3": "annotation", "Ret": "return_annotation", "I1": "isinstance", "I2": "isinstance", "S1": "issubclass", "C1": "cast", "Con": "constructor", "Q": "qualified_attribute", "Mock": "constructor", "Sp": "mock_spec"}
+    assert got == want
+
+
+def test_literal_types_and_unpacking():
+    import ast
+
+    kinds = {"1": "int", "'a'": "str", "None": "NoneType", "[1]": "List", "(1,)": "Tuple", "{1}": "Set", "{}": "Dict", "K()": "class K", "f()": "The return value of f or class f", "m.f()": "Any", "[1] + x": "List", "1 - 2 + f()": "int", "x": "Any"}
+    for text, want in kinds.items():
+        assert C.literal_type(ast.parse(text, mode="eval").body, {"K"}) == want
+    assert C.split_unpacking("if a:\n    x, (y, z) = f()\nelse:\n    p = q = 1, 2\ntry:\n    [m] = n\nexcept E:\n    u, v = w").splitlines() == ["if a:", "    x = f()[0]", "    y, z = f()[1]", "else:", "    p = q = (1, 2)", "try:", "    m = n[0]", "except E:", "    u = w[0]", "    v = w[1]"]

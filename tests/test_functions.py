@@ -139,3 +139,43 @@ def test_sources(spark, tmp_path):
         (tmp_path / "src" / p).write_text("x")
     assert [r.path.rpartition("/")[2] for r in S.walk(spark, str(tmp_path / "src")).collect()] == ["a.py"]
     assert S.sha256_of_files(spark, str(tmp_path / "src" / "a.py")).first().sha256 == "2d711642b726b04401627ca9fbac32f5c8530fb1903cc4db02258717921a4881"
+
+
+def test_each_flat_dict_is_wrapped(spark):
+    cases = {
+        "tuple[dict[a, b], dict[c, any]]": "tuple[dict[union[any, a], union[any, b]], dict[union[any, c], any]]",
+        "dict[a, dict[b, c]]": "dict[a, dict[union[any, b], union[any, c]]]",
+        "dict[ str , any, k7]": "dict[union[any, str], any, union[any, k7]]",
+        "dict[": "dict[", "dict[]": "dict[]", "dict[ ]": "dict[ ]", "list[a]": "list[a]", "": "", "x dict[a": "x dict[a",
+    }
+    got = one(spark, *[X.dict_with_any(F.lit(k)) for k in cases])
+    assert got == tuple(cases.values())
+
+
+def test_each_list_gets_the_first_type(spark):
+    assert one(spark, X._with_any(F.lit("list[a.b] | list[ c ]"), "list"), X._with_any(F.lit("list[]"), "list")) == ("list[Union[Any, a.b]] | list[Union[Any, a.b]]", "list[]")
+
+
+def test_declared_names_are_scanned(spark):
+    from spindrift.functions import declarations as D
+
+    cases = {
+        "class Foo:": "Foo", "  export default abstract CLASS Foo.Bar extends X": "Foo.Bar", "declare interface $a$ {": "$a", "type  T=1": "T", "classFoo": "classFoo", "class": "class",
+        "enum 1a": "enum 1a", "x = 1": "", "List[int | str]": "List[int | str]", "a\nclass B": "B", "": "", "\n\n": "", "class Ünï": "class Ünï", "interface Été_1": "interface Été_1", "class Aé.b!": "Aé.b", "type A. = 1": "A", "x!\ntype": "",
+    }
+    for text, want in cases.items():
+        assert D.declared(text) == want, text
+        if text.isascii():
+            assert one(spark, X.declared_name(F.lit(text))) == (want,), text
+    assert D.declarations("export class A {\n x\n}\nabstract\nclass B") == [{"name": "A", "definition": "export class A {\n x\n}"}, {"name": "B", "definition": "abstract\nclass B"}]
+    assert D.declarations(" - int,\n\n x y!\n") == [{"name": "int", "definition": "int"}, {"name": "x y!", "definition": "x y!"}]
+
+
+def test_recommendation_fields():
+    from spindrift.functions.python_udfs import recommendations as r
+
+    assert [x["name"] for x in r('["class A: pass", {"name": "B"}, {"code": "class C"}, {"x": 1}, 7, {"name": "a", "qualified_name": "m.A"}]', None)] == ["A", "B", "C", "a"]
+    assert r("class A\nclass a", None) == [{"name": "A", "definition": "class A", "qualified_name": None}]
+    assert r('"typing.List"', None)[0]["name"] == "typing.List" and r(None, None) == [] and r("5", None) == [] and r("null", None) == []
+    prompt = "x The possible types analyzed from the import information are:\nclass P\nThe code you need to make a prediction is: y"
+    assert [x["name"] for x in r("[]", prompt)] == ["P"]
