@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import code
+from ..functions import code, type_flow
 
 DEFINITION = "name string, qualified_name string, class_name string, start int, end int, source_code string"
 CALL = "name string, written string, qualified_name string, scope string, line int, source_code string"
@@ -84,3 +84,44 @@ def propagated(files: DataFrame) -> DataFrame:
         return pd.DataFrame([(frame["project"].iloc[0], x["qualified_name"], x["type"]) for x in rows], columns=["project", "qualified_name", "type"])
 
     return files.select("project", "module", "source").groupBy("project").applyInPandas(run, f"project {files.schema['project'].dataType.simpleString()}, qualified_name string, type string")
+
+
+FACT = "kind string, a string, b string, c string"
+FLOW = "kind string, function string, name string, type string"
+
+
+def type_facts(files: DataFrame) -> DataFrame:
+    """(project, FACT) of all files (project, path, module, source), each parsed once; files that don't parse give none."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = [(p, *x) for p, path, module, source in zip(f["project"], f["path"], f["module"], f["source"], strict=True) for x in type_flow.facts(path, module, source or "")]
+            yield pd.DataFrame(rows, columns=["project", "kind", "a", "b", "c"])
+
+    kind = files.schema["project"].dataType.simpleString()
+    return files.select("project", "path", "module", "source").mapInPandas(run, f"project {kind}, {FACT}")
+
+
+def type_flow_of(files: DataFrame) -> DataFrame:
+    """(project, FLOW): types of returns, parameters and variables. The facts of one repository fit in one task."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        found = type_flow.Flow(frame[["kind", "a", "b", "c"]].itertuples(index=False)).rows()
+        return pd.DataFrame([(frame["project"].iloc[0], *r) for r in found], columns=["project", "kind", "function", "name", "type"])
+
+    kind = files.schema["project"].dataType.simpleString()
+    return type_facts(files).groupBy("project").applyInPandas(run, f"project {kind}, {FLOW}")
+
+
+def recommended_types(files: DataFrame, targets: DataFrame, limit: int = type_flow.MOST_RECOMMENDATIONS) -> DataFrame:
+    """(project, path, name, function, place, type, kind, module): at most `limit` ranked types of each target (project, path, name, function)."""
+    columns = ["project", "path", "name", "function", "place", "type", "kind", "module"]
+
+    def run(facts: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+        flow = type_flow.Flow(facts[["kind", "a", "b", "c"]].itertuples(index=False))
+        rows = [(*t, i, *x) for t in wanted[columns[:4]].itertuples(index=False) for i, x in enumerate(flow.recommendations(t.path, t.name, t.function or "", limit))]
+        return pd.DataFrame(rows, columns=columns)
+
+    kind = files.schema["project"].dataType.simpleString()
+    shape = f"project {kind}, path string, name string, function string, place int, type string, kind string, module string"
+    return type_facts(files).groupBy("project").cogroup(targets.groupBy("project")).applyInPandas(run, shape)

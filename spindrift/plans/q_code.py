@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import code
 from ..functions import text as X
 from ..operators import code_tables as T
+from . import modules as M
 from . import views as V
 from .registry import query
 
@@ -136,14 +137,49 @@ def _(s, d):
     return T.propagated(files(s, d))
 
 
-@query("C16_expression_types")
+#: What flows in each project of `modules`: by hand from the sources.
+FLOWS = [
+    ("return", "make_user#", "", "User#"), ("return", "load_order#", "", "Order#"), ("return", "identity#", "", "User#"), ("return", "identity#", "", "Guest#"),
+    ("return", "fetch#", "", "User#"), ("return", "fetch#", "", "Guest#"), ("return", "wrap#", "", "User#"), ("return", "wrap#", "", "Guest#"), ("return", "first#", "", "Row#"),
+    ("return", "get#", "", "Row#"), ("return", "get#", "", "Meta#"), ("return", "client#", "", "Client#"), ("return", "inner", "", "Inner#"), ("return", "run#", "", "Inner#"),
+    ("return", "run#", "", "Client#"), ("return", "run#", "", "MagicMock"), ("return", "run#", "", "Mode#"), ("parameter", "identity#", "value", "User#"), ("parameter", "identity#", "value", "Guest#"),
+    ("parameter", "test_one#", "client#", "Client#"), ("parameter", "run#", "target", "Client#"), ("parameter", "run#", "target", "User#"), ("parameter", "run#", "mode", "Client#"),
+    ("parameter", "run#", "mode", "MagicMock"), ("parameter", "run#", "mode", "Mode#"),
+]
+VARIABLES = [
+    ("order", "Order#"), ("user", "User#"), ("user", "Guest#"), ("found", "Row#"), ("other", "Row#"), ("fake", "Client#"), ("fake", "MagicMock"), ("result", "Inner#"), ("result", "Client#"), ("result", "MagicMock"),
+    ("result", "Mode#"), ("kept", "Inner#"), ("kept", "Client#"), ("kept", "MagicMock"), ("kept", "Mode#"), ("main", "Inner#"), ("main", "Client#"), ("main", "MagicMock"), ("main", "Mode#"),
+]
+
+
+@query("C15_project_flow", M.rows_sql("kind, function, name, type", FLOWS))
 def _(s, d):
-    return T.each_file(files(s, d), code.assigned_types, "name string, line int, type string").where("error IS NULL").select("path", "name", "line", "type")
+    return T.type_flow_of(M.project_files(s, d)).where("kind <> 'variable'")
+
+
+@query("C16_expression_types", M.rows_sql("name, type", VARIABLES))
+def _(s, d):
+    return T.type_flow_of(M.project_files(s, d)).where("kind = 'variable'").select("project", "name", "type")
+
+
+#: For a variable of the service, a parameter of the app and a name that nothing is known of but the imports.
+TARGETS = [("src/service#.py", "user", "fetch#"), ("src/app#.py", "mode", "run#"), ("src/test_app#.py", "extra", "test_one#")]
+RANKED = [
+    ("src/service#.py", "user", 0, "Guest#", "inferred", ""), ("src/service#.py", "user", 1, "User#", "class", "models#"), ("src/service#.py", "user", 2, "Aid#", "reexported_import", "helpers"),
+    ("src/service#.py", "user", 3, "Alias#", "alias", "models#"), ("src/service#.py", "user", 4, "Base", "reexported_import", "base"), ("src/service#.py", "user", 5, "Helper#", "inferred", ""),
+    ("src/service#.py", "user", 6, "Order#Factory", "class", "models#"), ("src/service#.py", "user", 7, "TypeAlias", "reexported_import", "typing"),
+    ("src/app#.py", "mode", 0, "Client#", "inferred", ""), ("src/app#.py", "mode", 1, "MagicMock", "reexported_import", "unittest.mock"), ("src/app#.py", "mode", 2, "Mode#", "inferred", ""),
+    ("src/test_app#.py", "extra", 0, "MagicMock", "reexported_import", "unittest.mock"),
+]
 
 
-@query("C17_recommendations")
+@query("C17_recommendations", M.rows_sql("path, name, place, type, kind, module", RANKED))
 def _(s, d):
-    return T.each_file(files(s, d), code.recommendations, "name string, kind string").where("error IS NULL").select("path", "name", "kind")
+    files = M.project_files(s, d)
+    k = F.col("project").cast("string")
+    each = F.explode(F.array(*[F.struct(*[F.replace(F.lit(x), F.lit("#"), k).alias(n) for x, n in zip(t, ("path", "name", "function"), strict=True)]) for t in TARGETS]))
+    targets = files.select("project").distinct().select("project", each.alias("t")).select("project", "t.*")
+    return T.recommended_types(files, targets).drop("function")
 
 
 @query("C18_statements_of_a_variable", f"SELECT 'src/m' || p_partkey || '.py' AS path, 3 AS statements FROM {GOOD}")
