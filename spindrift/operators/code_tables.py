@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import code, type_flow
+from ..functions import code, slices, type_flow
 
 DEFINITION = "name string, qualified_name string, class_name string, start int, end int, source_code string"
 CALL = "name string, written string, qualified_name string, scope string, line int, source_code string"
@@ -125,3 +125,34 @@ def recommended_types(files: DataFrame, targets: DataFrame, limit: int = type_fl
     kind = files.schema["project"].dataType.simpleString()
     shape = f"project {kind}, path string, name string, function string, place int, type string, kind string, module string"
     return type_facts(files).groupBy("project").cogroup(targets.groupBy("project")).applyInPandas(run, shape)
+
+
+EXPORT = "slice string, hints array<string>, target_function string, qualified string, types array<string>"
+
+
+def exported(files: DataFrame, targets: DataFrame, limit: int = 10) -> DataFrame:
+    """(targets' columns, EXPORT, error): the slice of each target (project, path, scope, name, function, line) and up to `limit` types, those that flow there first, then those it shows.
+
+    A target that isn't there, or whose file doesn't parse, has an error. The files of one repository fit in one task.
+    """
+    columns = ["project", "path", "scope", "name", "function", "line"]
+    names = [*columns, *(x.split()[0] for x in EXPORT.split(", ")), "error"]
+
+    def run(repository: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+        project = slices.Project(repository[["path", "module", "source"]].itertuples(index=False))
+        every = [f for r in repository.itertuples() for f in type_flow.facts(r.path, r.module, r.source)]
+        flow, rows = type_flow.Flow(every), []
+        for t in wanted[columns].itertuples(index=False):
+            made = project.slice(t.path, t.scope, t.name, t.function or "", None if pd.isna(t.line) else int(t.line))
+            if made is None:
+                rows.append((*t, None, None, None, None, None, "no target"))
+                continue
+            known = [x[0] for x in flow.recommendations(t.path, t.name, t.function or "", limit)] if t.scope != "return" else []
+            types = list(dict.fromkeys([*known, *slices.shown_types(made["slice"])]))[:limit]
+            rows.append((*t, made["slice"], made["hints"], made["target_function"], made["qualified"], types, None))
+        return pd.DataFrame(rows, columns=names)
+
+    kind = files.schema["project"].dataType.simpleString()
+    shape = f"project {kind}, path string, scope string, name string, function string, line int, {EXPORT}, error string"
+    grouped = files.select("project", "path", "module", "source").groupBy("project")
+    return grouped.cogroup(targets.select(*columns).groupBy("project")).applyInPandas(run, shape)

@@ -100,7 +100,7 @@ def project_files(s, d):
 
 def rows_sql(columns: str, rows: list[tuple]) -> str:
     """The rows of each whole project, `#` standing for its number."""
-    values = ", ".join("(" + ", ".join("NULL" if x is None else str(x) if isinstance(x, int) else f"'{x}'" for x in r) + ")" for r in rows)
+    values = ", ".join("(" + ", ".join("NULL" if x is None else str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'" for x in r) + ")" for r in rows)
     names = columns.split(", ")
     texts = ", ".join(f"replace({c}, '#', CAST(project AS VARCHAR)) AS {c}" if any(isinstance(r[i], str) for r in rows) else c for i, c in enumerate(names))
     return f"SELECT project, {texts} FROM (SELECT p_partkey // 5 AS project FROM part GROUP BY 1 HAVING count(*) = 5), (VALUES {values}) t({columns})"

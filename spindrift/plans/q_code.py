@@ -198,26 +198,53 @@ def _(s, d):
     return T.each_file(files(s, d), lambda module, source: [{"context": x} for x in code.caller_context(source, "make" + module[1:])], "context string", ("module", "source")).where("error IS NULL").select("path", "context")
 
 
-def _slices(s, d, scope, target, function):
-    def find(module, source):
-        return [{"slice": code.slice_of(source, scope, target, function.replace("#", module[1:]))}]
+#: Targets of `modules` by scope, (path, name, function), and their slices by hand from the sources.
+SLICED = {
+    "local": [
+        ("src/service#.py", "user", "fetch#", "from models# import *\nfrom .helpers import Helper# as Aid#\ndef make_user#(name):\n    return User#(name)\nuser: <mask> = make_user#('a')\nuser = Guest#()\nreturn user"),
+        ("src/store#.py", "other", "get#", "import db\nfound = Row#.objects.get(key)\nother: <mask> = found or None\nreturn [other, Meta#()]"),
+        ("src/app#.py", "main", "", "import models# as m\ndef run#(target, mode=None):\n    def inner(x):\n        return Inner#()\n    result = kept = inner(target) if mode else mode\n    return result\nmain: <mask> = run#(m.User#(), mode=Mode#.build())"),
+    ],
+    "return": [
+        ("src/models#.py", "load_order#", "load_order#", "from typing import TypeAlias\nfrom base import Base\ndef load_order#(row) -> <mask>:\n    order = Order#Factory.create(row)\n    return order"),
+        ("src/service#.py", "wrap#", "wrap#", "from models# import *\nfrom .helpers import Helper# as Aid#\ndef identity#(value):\n    return value\ndef fetch#(flag):\n    user = make_user#(\"a\")\n    if flag:\n        user = Guest#()\n    return user\ndef wrap#() -> <mask>:\n    return identity#(fetch#(True))"),
+    ],
+    "arg": [
+        ("src/app#.py", "mode", "run#", "import models# as m\ndef run#(target, mode: <mask>=None):\n\n    def inner(x):\n        return Inner#()\n    result = kept = inner(target) if mode else mode\n    return result\nrun#(client#, mode=fake)\nfake = MagicMock(spec=Client#)\nrun#(m.User#(), mode=Mode#.build())\nmain = run#(m.User#(), mode=Mode#.build())"),
+        ("src/service#.py", "value", "identity#", "from models# import *\nfrom .helpers import Helper# as Aid#\ndef identity#(value: <mask>):\n    return value\nidentity#(fetch#(True))\nreturn identity#(fetch#(True))"),
+    ],
+}
+
+
+def _exported(s, d, scope, targets):
+    found = M.project_files(s, d)
+    k = F.col("project").cast("string")
+    each = F.explode(F.array(*[F.struct(*[F.replace(F.lit(x), F.lit("#"), k).alias(n) for x, n in zip(t, ("path", "name", "function"), strict=True)]) for t in targets]))
+    wanted = found.select("project").distinct().select("project", each.alias("t"))
+    return T.exported(found, wanted.select("project", "t.*", F.lit(scope).alias("scope"), F.lit(None).cast("int").alias("line")))
+
+
+def _slices(s, d, scope):
+    return _exported(s, d, scope, [t[:3] for t in SLICED[scope]]).select("project", "path", "name", "slice")
+
 
-    return T.each_file(files(s, d), find, "slice string", ("module", "source")).where("error IS NULL").select("path", F.length("slice").alias("size"), F.contains("slice", F.lit("<mask>")).alias("masked"))
+def _slices_sql(scope):
+    return M.rows_sql("path, name, slice", [(path, name, text) for path, name, _, text in SLICED[scope]])
 
 
-@query("C21_variable_slice")
+@query("C21_variable_slice", _slices_sql("local"))
 def _(s, d):
-    return _slices(s, d, "local", "item", "make#")
+    return _slices(s, d, "local")
 
 
-@query("C22_return_slice")
+@query("C22_return_slice", _slices_sql("return"))
 def _(s, d):
-    return _slices(s, d, "return", "make#", "make#")
+    return _slices(s, d, "return")
 
 
-@query("C23_parameter_slice")
+@query("C23_parameter_slice", _slices_sql("arg"))
 def _(s, d):
-    return _slices(s, d, "arg", "size", "make#")
+    return _slices(s, d, "arg")
 
 
 @query("C24_literal_types")
@@ -231,14 +258,18 @@ def _(s, d):
     return found.select("path", (F.contains("text", F.lit("first = (size, name)[0]")) & F.contains("text", F.lit("second = (size, name)[1]"))).alias("split"))
 
 
-@query("C26_exported_annotations")
-def _(s, d):
-    def export(module, source):
-        k = module[1:]
-        made = code.slice_of(source, "arg", "size", "make" + k, callers=code.caller_context(source, "make" + k))
-        return [{"slice": made, "names": [x["name"] for x in code.recommendations(made or "")]}]
+#: A parameter that types flow to, one that shows a type, and one that isn't there.
+EXPORTED = [
+    ("src/app#.py", "mode", "run#", "app#.run#", "Client#,MagicMock,Mode#,User#,Inner#", None),
+    ("src/service#.py", "value", "identity#", "service#.identity#", "Guest#,User#,Aid#,Alias#,Base,Helper#,Order#Factory,TypeAlias", None),
+    ("src/app#.py", "nope", "run#", None, None, "no target"),
+]
+
 
-    return T.each_file(files(s, d), export, "slice string, names array<string>", ("module", "source")).where("error IS NULL").select("path", F.md5("slice").alias("slice"), F.array_join("names", ",").alias("names"))
+@query("C26_exported_annotations", M.rows_sql("path, name, target_function, qualified, types, error", [(p, n, f if not e else None, q, t, e) for p, n, f, q, t, e in EXPORTED]))
+def _(s, d):
+    made = _exported(s, d, "arg", [t[:3] for t in EXPORTED])
+    return made.select("project", "path", "name", "target_function", "qualified", F.when(F.col("types").isNotNull(), F.array_join("types", ",")).alias("types"), "error")
 
 
 @query("C27_self_fields", f"SELECT 'src/m' || p_partkey || '.py' AS path, unnest([17, 19, 20]) AS line, unnest(['seen', 'show', 'seen']) AS field, unnest([TRUE, FALSE, FALSE]) AS written FROM {GOOD}")
