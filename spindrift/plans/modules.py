@@ -86,6 +86,33 @@ def run{k}(target, mode=None):
 
 main = run{k}(m.User{k}(), mode=Mode{k}.build())
 """
+STORE_TS = """import { Account{k} } from './account{k}';
+
+export class Store{k} {
+  items: Account{k}[] = [];
+  async find(key: string, limit = 10) {
+    const found = lookup{k}(key);
+    if (limit > 3) {
+      const found = key;
+      this.items.push(found);
+    }
+    return found;
+  }
+}
+export function lookup{k}(name: string, deep?: boolean) {
+  let out = new Account{k}(name);
+  out.owner = name;
+  return out;
+}
+const main = lookup{k}('a');
+let count = 0;
+"""
+ACCOUNT_TS = """export class Account{k} {
+  owner = '';
+  constructor(name: string) { this.owner = name; }
+}
+export const used = lookup{k}('b', true);
+"""
 SHAPES = {"models": MODELS, "service": SERVICE, "store": STORE, "test_app": TESTS, "app": APP}
 
 
@@ -104,3 +131,15 @@ def rows_sql(columns: str, rows: list[tuple]) -> str:
     names = columns.split(", ")
     texts = ", ".join(f"replace({c}, '#', CAST(project AS VARCHAR)) AS {c}" if any(isinstance(r[i], str) for r in rows) else c for i, c in enumerate(names))
     return f"SELECT project, {texts} FROM (SELECT p_partkey // 5 AS project FROM part GROUP BY 1 HAVING count(*) = 5), (VALUES {values}) t({columns})"
+
+
+def typescript_files(s, d):
+    """(project, path, source): two files for each part."""
+    k = F.col("p_partkey").cast("string")
+    each = F.explode(F.array(*[F.struct(F.concat(F.lit(f"src/{name}"), k, F.lit(".ts")).alias("path"), F.replace(F.lit(text), F.lit("{k}"), k).alias("source")) for name, text in (("store", STORE_TS), ("account", ACCOUNT_TS))]))
+    return V.table(s, d, "part").select(F.col("p_partkey").alias("project"), each.alias("f")).select("project", "f.*")
+
+
+def parts_sql(columns: str, rows: list[tuple]) -> str:
+    """The rows of each part, `#` standing for its number."""
+    return rows_sql(columns, rows).replace("SELECT p_partkey // 5 AS project FROM part GROUP BY 1 HAVING count(*) = 5", "SELECT p_partkey AS project FROM part")

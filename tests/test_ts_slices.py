@@ -1,0 +1,89 @@
+"""The TypeScript reader and slicer, held against hand-worked values."""
+
+import pytest
+
+from spindrift.functions import ts_slices as S
+from spindrift.functions.ts_syntax import File
+
+SOURCE = """import { Account } from './account';
+/* class Gone { } */
+export abstract class Box<T> extends Thing implements Shape {
+  private side: number = 1;
+  items: Map<string, T[]> = new Map();
+  @dec() static count = 0
+  constructor(private readonly acc: Account, size = 3) { super(); this.size = size; }
+  get area() { return this.side }
+  async grow(scale: number, {a, b}: Opts = {}): Promise<number> {
+    const raw = helper(this.side, scale);
+    let total: number = raw * 2, rest = other.call(x => x + 1);
+    for (const item of this.items.values()) {
+      total += item.length
+    }
+    return total
+  }
+}
+type Id = string | { a: number };
+export const arrow = (y: string) => helper(y.length);
+function helper(x: number, y?): number {
+  let name = `a ${x} b`
+  const cb = async (e, f: string): Promise<void> => { console.log(e, f); };
+  list.filter((i) => i.ok).map(function (q) { return q.z; });
+  name = cb
+  return new Box<number>(acc, 2).grow(y);
+}
+"""
+
+
+def nodes(file, kind):
+    return [n.name for n in file.root.walk() if n.kind == kind]
+
+
+def test_reader_finds_declarations_and_calls():
+    f = File(SOURCE)
+    assert nodes(f, "class") == ["Box"] and nodes(f, "alias") == ["Id"] and nodes(f, "method") == ["constructor", "area", "grow"]
+    assert nodes(f, "function") == ["helper", ""] and nodes(f, "property") == ["side", "items", "count"]
+    assert nodes(f, "variable") == ["raw", "total", "rest", "item", "arrow", "name", "cb"]
+    assert nodes(f, "parameter") == ["acc", "size", "scale", "a", "b", "x", "y", "x", "y", "e", "f", "i", "q"]
+    assert [n.name for n in f.root.walk() if n.kind == "call"] == ["Map", "helper", "other.call", "this.items.values", "helper", "console.log", "list.filter", "list.filter((i) => i.ok).map", "Box", "Box<number>(acc, 2).grow"]
+    types = {n.name: n.more["type"] for n in f.root.walk() if n.kind in ("variable", "property", "method", "parameter") and n.more["type"]}
+    assert types == {"side": "number", "items": "Map<string, T[]>", "acc": "Account", "scale": "number", "a": "Opts", "b": "Opts", "grow": "Promise<number>", "total": "number", "y": "string", "x": "number", "f": "string"}
+
+
+@pytest.mark.parametrize("text", ["class {", "}{)(", "const = ; function ( { => ", "`${", "a ? b : c; x<y>(z); enum", "import", "type", "for (const", "class A { [k: string]: x; get a() { return 1 } #p = 2 }", "", "(" * 200, "'", "/* x", "@", "export default", "a = b => c => d", "if (", "new", "=>", "x: y"])
+def test_odd_texts_give_nodes_and_no_error(text):
+    f = File(text)
+    assert f.root.kind == "file" and all(0 <= n.start <= n.end <= len(text) or n.kind for n in f.root.walk())
+    project = S.Project([("a.ts", text)])
+    assert isinstance(S.tool_rows(project, "a.ts"), list)
+
+
+def test_masks_take_the_place_of_types():
+    f = File(SOURCE)
+    for scope, name, want in (("var", "total", "let total: mask = raw * 2"), ("var", "raw", "const raw: mask = helper("), ("arg", "scale", "grow(scale: mask, {"), ("arg", "i", "((i: mask) =>"), ("ret", "grow", "): mask {"), ("ret", "area", "get area(): mask {"), ("arg", "size", "size: mask = 3")):
+        assert want in S.masked_source(f, S.find_target(f, scope, name, 0))
+
+
+def test_no_label_is_shown():
+    p = S.Project([("m.ts", SOURCE), ("o.ts", "export class Other { n = helper(1, 2) }\n")])
+    assert "total: number" not in S.slice_of(p, "m.ts", "var", "total")["slice"]
+    assert "x: number" not in S.slice_of(p, "m.ts", "arg", "x", 1)["slice"]
+    grow = S.slice_of(p, "m.ts", "ret", "grow")["slice"]
+    assert "Promise<number>" not in grow and grow.startswith(S.ASYNC) and "Box.side" in grow
+    helper = S.slice_of(p, "m.ts", "ret", "helper")["slice"]
+    assert "y?): number" not in helper and "helper(1, 2)" in helper
+
+
+def test_scopes_are_searched_once():
+    p = S.Project([("m.ts", "function f(a) {\n  const b = a;\n  { const c = b; use(c); }\n  const d = b;\n  return d;\n}\n")])
+    s = S.slicer_of(p, "m.ts", "ret", "f")
+    body = s.target.more["body"]
+    inner = next(n for n in body.children if n.kind == "block")
+    assert s.is_new(inner, "b") and s.is_new(body, "b") and not s.is_new(inner, "b") and not s.is_new(body, "b") and s.is_new(inner, "c")
+    assert S.block_names(p, "m.ts", "arg", "a") == ["const b = a", "const c = b", "use(c)", "const d = b", "return d;"] or "return d;" in S.block_names(p, "m.ts", "arg", "a")
+
+
+def test_static_types():
+    source = "let a = 1, b = 'x', c = new K.L(2), d = f(), e = [1];\nfunction v() { a = 2 }\nfunction s() { return 'x' }\nasync function n() { if (a) { return 1 } return 2 }\nfunction m() { return a ? 1 : 'x' }\nfunction g(p = 3, q, r = true) { return v }\n"
+    f = File(source)
+    got = {(n.kind[0], n.name): S.static_type(f, n) for n in f.root.walk() if n.kind in ("variable", "function", "parameter")}
+    assert got == {("v", "a"): "number", ("v", "b"): "string", ("v", "c"): "K.L", ("v", "d"): "any", ("v", "e"): "any", ("f", "v"): "void", ("f", "s"): "string", ("f", "n"): "Promise<number>", ("f", "m"): "any", ("f", "g"): "any", ("p", "p"): "number", ("p", "q"): "any", ("p", "r"): "boolean"}
