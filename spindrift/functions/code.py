@@ -11,7 +11,7 @@ import sys
 from collections.abc import Iterable, Iterator
 
 from .signals import type_signals
-from .syntax import FUNCTIONS, MASK, dotted, is_type_name, parsed, type_names
+from .syntax import FUNCTIONS, MASK, dotted, is_type_name, parsed, tree_of, type_names
 
 STATEMENTS = (ast.Assign, ast.AnnAssign, ast.AugAssign, ast.Expr, ast.Return, ast.If, ast.For, ast.While, ast.With, ast.Assert, ast.Raise, ast.Delete)
 ROUNDS = 5
@@ -63,7 +63,7 @@ def function_text(source: str, node: ast.AST) -> str:
 
 def definitions(module: str, source: str) -> list[dict]:
     """Functions of all levels with qualified names."""
-    tree = parsed(source)
+    tree = tree_of(source)
     found = scoped(tree) if tree else ()
     return [
         {"name": n.name, "qualified_name": ".".join(filter(None, (module, *outer, n.name))), "class_name": inside, "start": n.lineno, "end": n.end_lineno, "source_code": function_text(source, n)}
@@ -74,7 +74,7 @@ def definitions(module: str, source: str) -> list[dict]:
 
 def call_sites(module: str, source: str) -> list[dict]:
     """Calls with the name as written, and the qualified name that self and cls stand for; super() stays as it is."""
-    tree = parsed(source)
+    tree = tree_of(source)
     out = []
     for node, outer, inside in scoped(tree) if tree else ():
         if isinstance(node, ast.Call) and (name := dotted(node.func)):
@@ -109,7 +109,7 @@ def class_summary(node: ast.ClassDef) -> str:
 
 def classes(source: str) -> list[dict]:
     """Classes of all levels and type aliases, the latter as classes without a body."""
-    tree = parsed(source)
+    tree = tree_of(source)
     if tree is None:
         return []
     out = [{"name": n.name, "kind": "class", "signature": class_summary(n), "bases": [b for x in n.bases if (b := dotted(x))]} for n in ast.walk(tree) if isinstance(n, ast.ClassDef)]
@@ -119,7 +119,7 @@ def classes(source: str) -> list[dict]:
 
 def imports(source: str) -> list[dict]:
     """Imported names of the module level, and whether the file uses them."""
-    tree = parsed(source)
+    tree = tree_of(source)
     if tree is None:
         return []
     used = {n.id for n in ast.walk(tree) if isinstance(n, ast.Name)}
@@ -132,14 +132,18 @@ def imports(source: str) -> list[dict]:
     return out
 
 
+#: Modules of the standard library of the Python that runs here.
+STANDARD = sys.stdlib_module_names
+
+
 def package_origin(module: str, local: set[str]) -> str:
     top = module.partition(".")[0]
-    return "local" if module.startswith(".") or top in local else "stdlib" if top in sys.stdlib_module_names else "third_party"
+    return "local" if module.startswith(".") or top in local else "stdlib" if top in STANDARD else "third_party"
 
 
 def declared_classes(code: str) -> list[str]:
     """Names of classes and aliases in a slice; one that doesn't parse is searched for class lines."""
-    if tree := parsed(code):
+    if tree := tree_of(code):
         return [x["name"] for x in classes(code)] if tree.body else []
     return list(dict.fromkeys(re.findall(r"(?m)^\s*class\s+([A-Za-z_]\w*)", code)))
 
@@ -150,7 +154,7 @@ def names_in(node: ast.AST) -> set[str]:
 
 def statement_index(source: str) -> list[dict]:
     """Variable, line and text of the statements that name it."""
-    tree = parsed(split_unpacking(source))
+    tree = tree_of(split_unpacking(source))
     nodes = [n for n in ast.walk(tree) if isinstance(n, STATEMENTS)] if tree else []
     return [{"name": v, "line": n.lineno, "statement": ast.unparse(n)} for n in nodes for v in sorted(names_in(n))]
 
@@ -211,7 +215,7 @@ def slice_of(source: str, scope: str, name: str, function: str = "", line: int |
 
 def caller_context(source: str, function: str) -> list[str]:
     """Texts of calls to a function, each after the statements of its arguments."""
-    tree = parsed(source)
+    tree = tree_of(source)
     out = []
     for n in ast.walk(tree) if tree else ():
         if isinstance(n, ast.Call) and dotted(n.func).rpartition(".")[2] == function:
@@ -238,7 +242,7 @@ def literal_type(node: ast.AST, known: set[str] = frozenset()) -> str:
 
 
 def assigned_types(source: str) -> list[dict]:
-    tree = parsed(source)
+    tree = tree_of(source)
     if tree is None:
         return []
     known = {n.name for n in ast.walk(tree) if isinstance(n, ast.ClassDef)}
@@ -270,7 +274,7 @@ def split_unpacking(source: str) -> str:
 
 def self_fields(source: str) -> list[dict]:
     """Fields that methods read or write through self, for each class."""
-    tree = parsed(source)
+    tree = tree_of(source)
     out = []
     for c in ast.walk(tree) if tree else ():
         if isinstance(c, ast.ClassDef):

@@ -6,7 +6,7 @@ import ast
 import re
 from collections.abc import Callable, Iterator
 
-from .syntax import FUNCTIONS, MASK, dotted, is_type_name, leaf_of, parsed, type_names
+from .syntax import FUNCTIONS, MASK, dotted, is_type_name, leaf_of, tree_of, type_names
 
 #: Stands for the mask while code is parsed.
 HIDDEN = "MASKED_TYPE"
@@ -90,7 +90,7 @@ def _scanned(code: str) -> Signs:
 
 def type_signals(code: str) -> list[dict]:
     """Types that a slice shows, with the kind of the first sign of each; a slice that doesn't parse is searched for words."""
-    tree = parsed(code.replace(MASK, HIDDEN))
+    tree = tree_of(code.replace(MASK, HIDDEN))
     found = _scanned(code) if tree is None else (s for node in ast.walk(tree) if (signs := SIGNS.get(type(node))) for s in signs(node))
     seen: dict[str, str] = {}
     for name, kind in found:

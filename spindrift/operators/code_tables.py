@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import code, slices, type_flow
+from ..functions.syntax import tree_of
 
 DEFINITION = "name string, qualified_name string, class_name string, start int, end int, source_code string"
 CALL = "name string, written string, qualified_name string, scope string, line int, source_code string"
@@ -25,7 +26,7 @@ def each_file(files: DataFrame, find: Callable[..., list[dict]], shape: str, tak
             out = []
             for row in f.to_dict("records"):
                 head = [row[k] for k in keep]
-                if code.parsed(row["source"] or "") is None:
+                if tree_of(row["source"] or "") is None:
                     out.append([*head, *[None] * len(names), "does not parse"])
                     continue
                 out += [[*head, *(x.get(n) for n in names), None] for x in find(*(row[t] for t in takes))]
@@ -35,13 +36,46 @@ def each_file(files: DataFrame, find: Callable[..., list[dict]], shape: str, tak
     return files.select(*dict.fromkeys((*keep, *takes, "source"))).mapInPandas(run, f"{kinds}, {shape}, error string")
 
 
+#: What a scan tags its rows with, and the shape of each kind.
+SCANNED = {"definition": DEFINITION, "call": CALL, "class": CLASS}
+
+
+def scan(files: DataFrame) -> DataFrame:
+    """(project, path, kind, definition, call, class, error): all that is found in files (project, path, module, source), each read and parsed once.
+
+    kind tells which of the three structs a row has; a file that can't be parsed has one row with an error.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for project, path, module, source in zip(f["project"], f["path"], f["module"], f["source"], strict=True):
+                source = source or ""
+                if tree_of(source) is None:
+                    out.append((project, path, None, None, None, None, "does not parse"))
+                    continue
+                for kind, found in (("definition", code.definitions(module, source)), ("call", code.call_sites(module, source)), ("class", code.classes(source))):
+                    out += [(project, path, kind, *(x if k == kind else None for k in SCANNED), None) for x in found]
+            yield pd.DataFrame(out, columns=["project", "path", "kind", *SCANNED, "error"])
+
+    structs = ", ".join(f"{kind} struct<{shape.replace(' ', ': ').replace(',:', ',')}>" for kind, shape in SCANNED.items())
+    kinds = ", ".join(f"{k} {files.schema[k].dataType.simpleString()}" for k in ("project", "path"))
+    return files.select("project", "path", "module", "source").mapInPandas(run, f"{kinds}, kind string, {structs}, error string")
+
+
 def project_index(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Definitions, calls and classes of all files. files: project, path, module, source."""
-    return (
-        each_file(files, code.definitions, DEFINITION, ("module", "source")),
-        each_file(files, code.call_sites, CALL, ("module", "source")),
-        each_file(files, code.classes, CLASS),
-    )
+    """Definitions, calls and classes of all files (project, path, module, source), from one scan; a file that can't be parsed has an error in each."""
+    scanned = scan(files)
+    return tuple(scanned.where((F.col("kind") == kind) | F.col("error").isNotNull()).select("project", "path", f"{kind}.*", "error") for kind in SCANNED)
+
+
+def with_origin(imports: DataFrame, local: DataFrame) -> DataFrame:
+    """imports (module) with `origin`: local if relative or its top package is in the table `local` (top), stdlib, else third_party."""
+    top = F.split_part("module", F.lit("."), F.lit(1))
+    known = local.select("top").distinct().withColumn("local_", F.lit(True))
+    stdlib = top.isin(*sorted(code.STANDARD))
+    origin = F.when(F.col("module").startswith(".") | F.col("local_"), "local").when(stdlib, "stdlib").otherwise("third_party")
+    return imports.withColumn("top", top).join(known, "top", "left").withColumn("origin", origin).drop("top", "local_")
 
 
 def resolved_calls(calls: DataFrame, definitions: DataFrame) -> DataFrame:

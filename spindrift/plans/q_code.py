@@ -67,11 +67,9 @@ def _(s, d):
 
 @query("C03_project_index", f"SELECT project, 3 * count(*) AS functions, 6 * count(*) AS calls, 2 * count(*) AS classes FROM {GOOD} GROUP BY 1")
 def _(s, d):
-    out = None
-    for name, t in zip(("functions", "calls", "classes"), T.project_index(files(s, d)), strict=True):
-        n = t.where("error IS NULL").groupBy("project").agg(F.count("*").alias(name))
-        out = n if out is None else out.join(n, "project")
-    return out
+    n = lambda kind: F.count(F.when(F.col("kind") == kind, True))
+    found = T.scan(files(s, d)).where("error IS NULL").groupBy("project")
+    return found.agg(n("definition").alias("functions"), n("call").alias("calls"), n("class").alias("classes"))
 
 
 @query("C04_function_text")
@@ -112,9 +110,42 @@ def _(s, d):
 
 @query("C10_import_origin", f"SELECT 'src/m' || p_partkey || '.py' AS path, unnest(['os', 'pkg' || p_partkey]) AS module, unnest(['stdlib', CASE WHEN p_partkey % 2 = 0 THEN 'local' ELSE 'third_party' END]) AS origin FROM {GOOD}")
 def _(s, d):
-    local = {"pkg" + str(2 * i) for i in range(100_000)}
-    found = T.each_file(files(s, d), lambda source: [{"module": m, "origin": code.package_origin(m, local)} for m in dict.fromkeys(x["module"] for x in code.imports(source))], "module string, origin string")
-    return found.where("error IS NULL").select("path", "module", "origin")
+    found = T.each_file(files(s, d), lambda source: [{"module": m} for m in dict.fromkeys(x["module"] for x in code.imports(source))], "module string").where("error IS NULL")
+    local = V.table(s, d, "part").where("p_partkey % 2 = 0").select(F.concat(F.lit("pkg"), F.col("p_partkey").cast("string")).alias("top"))
+    return T.with_origin(found, local).select("path", "module", "origin")
+
+
+#: Where the package of a part lies, by the part's number; the third is a folder without an __init__.
+PLACES = ["/site/pkg#/__init__.py", "/alt/pkg#.py", "/alt/pkg#/core.py", "/typeshed/stdlib/pkg#.pyi", "/typeshed/stubs/dist#/pkg#/__init__.pyi"]
+
+
+def _places(s, d):
+    k = F.col("p_partkey").cast("string")
+    paths = F.get(F.array(*[F.replace(F.lit(x), F.lit("#"), k) for x in PLACES]), F.expr("CAST(p_partkey % 5 AS INT)"))
+    return V.table(s, d, "part").select(F.concat(F.lit("pkg"), k).alias("name"), paths.alias("path"))
+
+
+@query("C11_installed_roots", "SELECT 'pkg' || p_partkey AS name, CASE p_partkey % 5 WHEN 0 THEN '/site/pkg' || p_partkey ELSE '/alt/pkg' || p_partkey || '.py' END AS root FROM part WHERE p_partkey % 5 < 2")
+def _(s, d):
+    from ..operators import roots
+
+    return roots.installed_roots(_places(s, d).select("name"), "name", _places(s, d), ["/site", "/alt"])
+
+
+@query("C11_stub_roots", "SELECT 'pkg' || p_partkey AS name, CASE p_partkey % 5 WHEN 3 THEN '/typeshed/stdlib/pkg' || p_partkey || '.pyi' ELSE '/typeshed/stubs/dist' || p_partkey || '/pkg' || p_partkey END AS root, 1 AS place FROM part WHERE p_partkey % 5 > 2")
+def _(s, d):
+    from ..operators import roots
+
+    return roots.stub_roots(_places(s, d).select("name"), "name", _places(s, d), ["/typeshed"])
+
+
+@query("C11_local_modules", "SELECT p_partkey % 25 AS project, CASE WHEN p_partkey % 3 = 0 THEN 'm' WHEN p_partkey % 3 = 1 THEN 'p' END || p_partkey AS name FROM part WHERE p_partkey % 3 < 2")
+def _(s, d):
+    from ..operators import roots
+
+    k = F.col("p_partkey").cast("string")
+    path = F.expr("CASE p_partkey % 3 WHEN 0 THEN concat('src/m', p_partkey, '.py') WHEN 1 THEN concat('p', p_partkey, '/__init__.py') ELSE concat('deep/er/m', p_partkey, '.py') END")
+    return roots.local_modules(V.table(s, d, "part").select(F.expr("p_partkey % 25").alias("project"), path.alias("path"), k))
 
 
 @query("C12_imports_used", f"SELECT 'src/m' || p_partkey || '.py' AS path, unnest(['os', 'pkg' || p_partkey, 'pkg' || p_partkey]) AS module, unnest(['', 'Thing' || p_partkey, 'other']) AS name, unnest([FALSE, TRUE, FALSE]) AS used FROM {GOOD}")

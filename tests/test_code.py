@@ -127,3 +127,32 @@ def test_literal_types_and_unpacking():
     for text, want in kinds.items():
         assert C.literal_type(ast.parse(text, mode="eval").body, {"K"}) == want
     assert C.split_unpacking("if a:\n    x, (y, z) = f()\nelse:\n    p = q = 1, 2\ntry:\n    [m] = n\nexcept E:\n    u, v = w").splitlines() == ["if a:", "    x = f()[0]", "    y, z = f()[1]", "else:", "    p = q = (1, 2)", "try:", "    m = n[0]", "except E:", "    u = w[0]", "    v = w[1]"]
+
+
+def test_a_file_is_parsed_once(spark, monkeypatch):
+    from spindrift.functions import syntax
+    from spindrift.operators import code_tables
+
+    times = []
+    real = syntax.parsed
+    monkeypatch.setattr(syntax, "parsed", lambda s: times.append(s) or real(s))
+    syntax.tree_of.cache_clear()
+    for source in ("class A: pass\ndef f(): return A()", "def ("):
+        for find in (lambda: C.definitions("m", source), lambda: C.call_sites("m", source), lambda: C.classes(source), lambda: C.imports(source), lambda: C.self_fields(source)):
+            find()
+    assert len(times) == 2
+    df = spark.createDataFrame([(1, "a.py", "a", "class A: pass\ndef f(): return A()"), (1, "b.py", "b", "def ("), (2, "c.py", "c", None)], "project long, path string, module string, source string")
+    definitions, calls, classes = (x.collect() for x in code_tables.project_index(df))
+    assert [(x.path, x.name, x.error) for x in definitions] == [("a.py", "f", None), ("b.py", None, "does not parse")] and [x.written for x in calls if not x.error] == ["A"] and [x.name for x in classes if not x.error] == ["A"]
+
+
+def test_roots_of_packages(spark):
+    from spindrift.operators import roots
+
+    paths = ["/a/x/__init__.py", "/b/x.py", "/b/y.pyi", "/b/y.py", "/a/z/core.py", "/t/stdlib/x.pyi", "/t/x/__init__.pyi", "/t/stubs/d2/x/__init__.pyi", "/t/stubs/d1/x.pyi", "/u/stdlib/x/__init__.pyi", "/t/stubs/d1/xx.pyi"]
+    files = spark.createDataFrame([(p,) for p in paths], "path string")
+    names = spark.createDataFrame([(n,) for n in ("x", "y", "z", "w")], "name string")
+    assert {(r.name, r.root) for r in roots.installed_roots(names, "name", files, ["/a", "/b"]).collect()} == {("x", "/a/x"), ("y", "/b/y.py")}
+    assert [r.root for r in roots.stub_roots(names, "name", files, ["/t", "/u"]).orderBy("place").collect()] == ["/t/stdlib/x.pyi", "/t/x", "/t/stubs/d1/x.pyi", "/t/stubs/d2/x", "/u/stdlib/x"]
+    own = spark.createDataFrame([(1, p) for p in ("a.py", "src/b.py", "p/__init__.py", "src/q/__init__.py", "deep/c.py", "src/r/d.py", "e.txt")], "project long, path string")
+    assert {r.name for r in roots.local_modules(own).collect()} == {"a", "b", "p", "q"}
