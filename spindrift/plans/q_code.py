@@ -45,6 +45,10 @@ def files(s, d):
     return V.table(s, d, "part").select(F.expr("p_partkey % 25").alias("project"), F.concat(F.lit("src/m"), k, F.lit(".py")).alias("path"), F.concat(F.lit("m"), k).alias("module"), F.concat(F.replace(F.lit(MODULE), F.lit("{k}"), k), broken).alias("source"))
 
 
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
 GOOD = "(SELECT *, p_partkey % 25 AS project FROM part WHERE p_partkey % 50 <> 49)"
 
 
@@ -72,7 +76,7 @@ def _(s, d):
     return found.agg(n("definition").alias("functions"), n("call").alias("calls"), n("class").alias("classes"))
 
 
-@query("C04_function_text")
+@query("C04_function_text", f"SELECT 'src/m' || p_partkey || '.py' AS path, replace(n, '#', CAST(p_partkey AS VARCHAR)) AS name, replace(t, '#', CAST(p_partkey AS VARCHAR)) AS source_code FROM {GOOD}, (VALUES ('make#', 'function make#(size: int, name = None)'), ('show', 'function show(self, where: ''pkg.Place#'') -> str'), ('helper#', 'def helper#(value):\n    return make#(value)')) v(n, t)")
 def _(s, d):
     return T.project_index(files(s, d))[0].where("error IS NULL").select("path", "name", "source_code")
 
@@ -93,7 +97,7 @@ def _(s, d):
     return T.project_kb(classes, definitions).groupBy("project", "kind").agg(F.count("*").alias("records"))
 
 
-@query("C08_type_names")
+@query("C08_type_names", f"SELECT DISTINCT a.gttype, v.name, NULL AS error FROM {V.ANNOTATIONS.sql} a JOIN (VALUES ('int', 'int'), ('typing.List[int]', 'int'), ('pkg.mod.Response', 'pkg.mod.Response'), ('Dict[str, any]', 'any'), ('Dict[str, any]', 'str'), ('Outer.Inner', 'Outer.Inner'), ('str | None', 'str'), ('list[a.B]', 'list'), ('list[a.B]', 'a.B'), ('Optional [ str ]', 'str'), ('tuple[int]', 'tuple'), ('tuple[int]', 'int'), ('MyType', 'MyType'), ('{{a: string}}', 'a'), ('{{a: string}}', 'string')) v(gttype, name) ON v.gttype = a.gttype")
 def _(s, d):
     def names(t):
         tree = code.parsed(t)
@@ -103,7 +107,7 @@ def _(s, d):
     return T.each_file(types, names, "name string").select(F.col("path").alias("gttype"), "name", "error")
 
 
-@query("C09_package_scan")
+@query("C09_package_scan", f"WITH f AS (SELECT project, p_partkey AS k, row_number() OVER (PARTITION BY project ORDER BY 'src/m' || p_partkey || '.py') AS r FROM {GOOD}), c AS (SELECT project, kind, replace(n, '@', CAST(k AS VARCHAR)) AS name, replace(t, '@', CAST(k AS VARCHAR)) AS definition FROM f, (VALUES ('class', 'Widget@', 'class Widget@(Thing@):\n    # fields\n    label: str = ''a''\n    # methods\n    def show(self, where) -> str:'), ('type_alias', 'Alias@', 'class Alias@:\n    # type alias: dict[str, Thing@]')) v(kind, n, t) WHERE r <= 5), k AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY kind, name) AS k, count(*) OVER (PARTITION BY project) AS total FROM c) SELECT project, kind, name, definition, greatest(0, total - 8) AS left_out FROM k WHERE k <= 8")
 def _(s, d):
     return T.package_scan(T.project_index(files(s, d))[2], 5, 8)
 
@@ -219,12 +223,21 @@ def _(s, d):
     return found.where("error IS NULL").groupBy("path").agg(F.count("*").alias("statements"))
 
 
-@query("C19_statement_index")
+#: Statements of the module with unpackings spread: line, text and names, by hand.
+INDEXED = [
+    (3, "Alias# = dict[str, Thing#]", ["Alias#", "dict", "str", "Thing#"]), (6, "first = (size, name)[0]", ["first", "size", "name"]), (7, "second = (size, name)[1]", ["second", "size", "name"]),
+    (8, "item = Thing#(first)", ["item", "Thing#", "first"]), (9, "return item", ["item"]), (12, "label: str = 'a'", ["label", "str"]), (15, "self.seen = make#(1)", ["self", "make#"]),
+    (16, "if isinstance(where, Other#):\n    return self.show(where)", ["isinstance", "where", "Other#", "self"]), (17, "return self.show(where)", ["self", "where"]), (18, "return helper#(self.seen)", ["helper#", "self"]),
+    (21, "return make#(value)", ["make#", "value"]),
+]
+
+
+@query("C19_statement_index", f"SELECT 'src/m' || p_partkey || '.py' AS path, replace(n, '#', CAST(p_partkey AS VARCHAR)) AS name, l AS line, replace(t, '#', CAST(p_partkey AS VARCHAR)) AS statement FROM {GOOD}, (VALUES " + ", ".join(f"({_quoted(n)}, {line}, {_quoted(text)})" for line, text, names in INDEXED for n in names) + ") v(n, l, t)")
 def _(s, d):
     return T.each_file(files(s, d), code.statement_index, "name string, line int, statement string").where("error IS NULL").select("path", "name", "line", "statement")
 
 
-@query("C20_caller_context")
+@query("C20_caller_context", f"SELECT 'src/m' || p_partkey || '.py' AS path, 'make' || p_partkey || x AS context FROM {GOOD}, (VALUES ('(1)'), ('(value)')) v(x)")
 def _(s, d):
     return T.each_file(files(s, d), lambda module, source: [{"context": x} for x in code.caller_context(source, "make" + module[1:])], "context string", ("module", "source")).where("error IS NULL").select("path", "context")
 
@@ -278,7 +291,7 @@ def _(s, d):
     return _slices(s, d, "arg")
 
 
-@query("C24_literal_types")
+@query("C24_literal_types", f"SELECT 'Any' AS type, count(*) AS n FROM {GOOD} UNION ALL SELECT 'The return value of ' || x || p_partkey || ' or class ' || x || p_partkey, 1 FROM {GOOD}, (VALUES ('Thing'), ('make')) v(x)")
 def _(s, d):
     return T.each_file(files(s, d), code.assigned_types, "name string, line int, type string").where("error IS NULL").groupBy("type").agg(F.count("*").alias("n"))
 
@@ -319,9 +332,28 @@ def _(s, d):
     return V.table(s, d, "part").select("p_partkey", X.dict_with_any(F.concat(F.lit("dict[ str , any, k"), F.col("p_size"), F.lit("]"))).alias("dicts"))
 
 
+#: Forms of types with `#` for a name: canonical text, leaves, number of settled alternatives, canonical text of `Record<string, form>`, and whether
+#: the form itself, the next one and the one after it match it exactly and in base (by hand from the rules that tests/test_type_algebra.py pins).
+FORMS = [
+    ("string", "string", ["string"], 1, "Record<string,string>", "yynnnn"), ("#", "#", ["#"], 1, "Record<string,#>", "yynnnn"), ("Array<#>", "Array<#>", ["Array<#>"], 1, "Record<string,Array<#>>", "yyyynn"),
+    ("#[]", "Array<#>", ["Array<#>"], 1, "Record<string,Array<#>>", "yynnnn"), ("a.#", "a.#", ["a.#"], 1, "Record<string,a.#>", "yynnnn"), ("# | string", "# | string", ["#", "string"], 2, "Record<string,# | string>", "yynnnn"),
+    ("{a: #, b?: string}", "{a: #, b: string} | {a: #}", ["{a: #, b: string}", "{a: #}"], 2, "Record<string,{a: #, b: string}>", "yynyny"), ("(x: #) => void", "(x: #) => void", ["(x: #) => void"], 1, "Record<string,(x: #) => void>", "yynnnn"),
+    ("Map<string, #>", "Map<string,#>", ["Map<string,#>"], 1, "Record<string,Map<string,#>>", "yynnnn"), ("object", "object", ["object"], 1, "Record<string,object>", "yynnyy"), ("any", "any", ["any"], 1, "Record<string,any>", "yyyyyy"),
+    ("[#, number]", "[#, number]", ["[#, number]"], 1, "Record<string,[#, number]>", "yynnnn"), ("Function", "Function", ["Function"], 1, "Record<string,Function>", "yynnnn"), ("Promise<# | null>", "Promise<# | null>", ["Promise<# | null>"], 1, "Record<string,Promise<# | null>>", "yynnnn"),
+]
+#: Parts of `(form | other)` at each bar outside brackets, other being the form itself, the next or the one after; the arrow of a function keeps what follows it.
+BAR_PARTS = {(i, d): ["(x: #) => void | " + FORMS[(i + d) % 14][0]] if i == 7 else [x for f in (FORMS[i][0], FORMS[(i + d) % 14][0]) for x in (["#", "string"] if f == "# | string" else [f])] for i in range(14) for d in range(3)}
+
+
+_FORMS_SQL = "(VALUES " + ", ".join(f"({i}, {_quoted(f)}, {_quoted(c)}, {n}, {_quoted(r)}, {_quoted(m)})" for i, (f, c, _, n, r, m) in enumerate(FORMS)) + ")"
+FORMS_SQL = {x: f"{_FORMS_SQL} {x}(i, form, canonical, settled, record, matches)" for x in "ab"}
+#: Each part's truth and prediction with their values; T is the name, d how many forms further the prediction is.
+PAIRS_SQL = f"(SELECT p_partkey, 'T' || p_partkey % 5 AS t, p_size % 3 AS d, replace(a.form, '#', t) AS truth, replace(b.form, '#', t) AS predicted, replace(a.canonical, '#', t) AS canonical, a.settled, replace(a.record, '#', t) AS record, substr(a.matches, 2 * d + 1, 1) = 'y' AS exact, substr(a.matches, 2 * d + 2, 1) = 'y' AS base, a.i FROM part JOIN {FORMS_SQL['a']} ON a.i = p_partkey % 14 JOIN {FORMS_SQL['b']} ON b.i = (p_partkey + p_size % 3) % 14)"
+
+
 def _type_pairs(s, d):
     """Truth and prediction: neighbouring forms of a fixed list, names from the parts."""
-    forms = F.array(*map(F.lit, ["string", "#", "Array<#>", "#[]", "a.#", "# | string", "{a: #, b?: string}", "(x: #) => void", "Map<string, #>", "object", "any", "[#, number]", "Function", "Promise<# | null>"]))
+    forms = F.array(*[F.lit(f[0]) for f in FORMS])
     k = F.concat(F.lit("T"), F.expr("p_partkey % 5"))
     n = F.size(forms)
     at = lambda i: F.replace(F.get(forms, i), F.lit("#"), k)
@@ -334,24 +366,24 @@ def _matches(s, d):
     return _type_pairs(s, d).select("p_partkey", "truth", "predicted", exact_match("truth", "predicted").alias("exact"), base_match("truth", "predicted").alias("base"))
 
 
-@query("SC50_exact_type_match")
+@query("SC50_exact_type_match", f"SELECT p_partkey, truth, predicted, exact FROM {PAIRS_SQL}")
 def _(s, d):
     return _matches(s, d).select("p_partkey", "truth", "predicted", "exact")
 
 
-@query("SC51_base_type_match")
+@query("SC51_base_type_match", f"SELECT p_partkey, truth, predicted, base FROM {PAIRS_SQL}")
 def _(s, d):
     return _matches(s, d).select("p_partkey", "truth", "predicted", "base")
 
 
-@query("SC53_parsed_types")
+@query("SC53_parsed_types", f"SELECT p_partkey, truth, canonical FROM {PAIRS_SQL}")
 def _(s, d):
     from ..functions.python_udfs import canonical_type
 
     return _type_pairs(s, d).select("p_partkey", "truth", canonical_type("truth").alias("canonical"))
 
 
-@query("A03_type_algebra_accuracy")
+@query("A03_type_algebra_accuracy", f"SELECT truth, count(*) AS n, round(avg(exact::INT), 6) AS exact, round(avg(base::INT), 6) AS base FROM {PAIRS_SQL} GROUP BY 1")
 def _(s, d):
     return _matches(s, d).groupBy("truth").agg(F.count("*").alias("n"), F.round(F.avg(F.col("exact").cast("double")), 6).alias("exact"), F.round(F.avg(F.col("base").cast("double")), 6).alias("base"))
 
@@ -531,24 +563,24 @@ def _(s, d):
     return V.table(s, d, "part").select("p_partkey", guess(F.get(forms, F.expr("CAST(p_partkey % 6 AS INT)"))).alias("type"))
 
 
-@query("U09_type_set_inclusion")
+@query("U09_type_set_inclusion", f"SELECT exact, base, count(*) AS n FROM {PAIRS_SQL} GROUP BY ALL")
 def _(s, d):
     return _matches(s, d).groupBy("exact", "base").agg(F.count("*").alias("n"))
 
 
-@query("SC52_type_helpers")
+@query("SC52_type_helpers", f"SELECT p_partkey, truth, predicted FROM {PAIRS_SQL} WHERE base AND NOT exact")
 def _(s, d):
     return _matches(s, d).where("base AND NOT exact").select("p_partkey", "truth", "predicted")
 
 
-@query("SC54_constituent_parsers")
+@query("SC54_constituent_parsers", f"SELECT p_partkey, truth, settled AS alternatives FROM {PAIRS_SQL}")
 def _(s, d):
     from ..functions.python_udfs import settled_types
 
     return _type_pairs(s, d).select("p_partkey", "truth", F.size(settled_types("truth")).alias("alternatives"))
 
 
-@query("SC55_generic_parsers")
+@query("SC55_generic_parsers", f"SELECT p_partkey, 'Record<string, ' || truth || '>' AS text, record AS canonical FROM {PAIRS_SQL}")
 def _(s, d):
     from ..functions.python_udfs import canonical_type
 
@@ -556,7 +588,7 @@ def _(s, d):
     return made.select("p_partkey", "text", canonical_type("text").alias("canonical"))
 
 
-@query("SC56_bracket_split")
+@query("SC56_bracket_split", f"SELECT p_partkey, place, replace(x, '#', t) AS part FROM {PAIRS_SQL} p JOIN (VALUES " + ", ".join(f"({i}, {d}, {j}, {_quoted(x)})" for (i, d), parts in BAR_PARTS.items() for j, x in enumerate(parts)) + ") v(i, d, place, x) ON v.i = p.i AND v.d = p.d")
 def _(s, d):
     from ..functions.python_udfs import split_type
 
@@ -564,7 +596,7 @@ def _(s, d):
     return both.select("p_partkey", F.posexplode(split_type("text", F.lit("|"))).alias("place", "part"))
 
 
-@query("SC57_leaf_types")
+@query("SC57_leaf_types", f"SELECT p_partkey, replace(x, '#', t) AS leaf FROM {PAIRS_SQL} p JOIN (VALUES " + ", ".join(f"({i}, {_quoted(x)})" for i, f in enumerate(FORMS) for x in f[2]) + ") v(i, x) ON v.i = p.i")
 def _(s, d):
     from ..functions.python_udfs import leaf_types
 
