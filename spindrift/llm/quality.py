@@ -1,25 +1,26 @@
 """Quality classification by co-training on two views of a document.
 
-The text view is the mean of hashed word and word-shape features of the whole text (long runs without white space are cut into pieces), and its share of repeated words; the metadata view is source, language
-and length. Each has a logistic classifier. In each round both, calibrated on a held-out part of the labelled rows, label
-rows of an unlabelled pool, and what one is sure of joins the other's training rows. At the end the calibrated views are
-added as log odds (less the prior once) and score all documents.
+The text view is the mean of hashed word and word-shape features of the whole text (long runs without white space are cut into
+pieces), and its share of repeated words; the metadata view is source, language and length. Each has a logistic classifier.
+In each round both, calibrated on a held-out part of the labelled rows, label all unlabelled documents in a distributed pass,
+and what one is sure of joins the other's training rows. At the end the calibrated views are added as log odds (less the prior
+once) and score all documents.
 
-Fitting needs at most `LABELLED` labelled and `POOL` unlabelled rows, those with the smallest hashes of doc_id; both bounds
-are parameters. The model is `FEATURES` + `META` weights. Scoring reads every whole text once over Arrow batches, joins
-nothing and keeps a bounded cache of word weights in each worker.
+Texts are read once, into a scratch table of features. Labelled rows are the only sample: at most `LABELLED` of them, those
+with the smallest hashes. Of unlabelled rows all that a view is sure of count: their features are added up by label and by
+`CELLS` cells of metadata, and a sum is one training row with a weight, so the driver gets at most 2 x `CELLS` rows a view. All
+of them together weigh at most as much as the labelled rows. The model is `FEATURES` + `META` weights.
 
 Defined cases: a null or empty text has no features (its text view says the prior); null metadata is a value of its own;
-repeated rows are scored one by one; conflicting labels of a doc_id count each; with labels of one class only, every score
-is that class's share of all; with no labels every score is 0.5 and every row is kept; an empty table gives no rows; extra
-columns don't matter.
+repeated rows are scored one by one and train once; conflicting labels of a doc_id count each; with labels of one class only,
+every score is that class's share of all; with no labels every score is 0.5 and every row is kept; an empty table gives no
+rows; extra columns don't matter.
 """
 
 from __future__ import annotations
 
 import operator
 import re
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -28,21 +29,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, documents, first_by_hash, frugal, latest_in_worker
+from .common import BoundedCache, Scratch, documents, first_by_hash, frugal, parts, per_worker
 
 LABELLED = 4000
-POOL = 2000
 ROUNDS = 4
-#: Calibrated probability from which a pseudo-label is passed on, and the most that are passed on of each class in a round.
+#: Calibrated probability from which a pseudo-label is passed on.
 SURE = 0.95
-PASSED = 200
 FEATURES = 2048
 #: The last feature is the share of repeated words.
 REPEATS = FEATURES - 1
 META = 512
-CACHED = 400_000
+#: Cells of metadata by which pseudo-labelled rows are added up.
+CELLS = 32
+CACHED = 200_000
 #: Word features are means of counts; this brings them to the size of the others.
 SCALE = 20.0
+#: Labelled ids that are broadcast, at most; more are joined.
+KNOWN = 1 << 20
 
 #: Runs of more characters than LONG without white space are cut into pieces, which are words then.
 LONG = 64
@@ -69,9 +72,30 @@ def features(word: str) -> tuple[int, int]:
     return zlib.crc32(shape_of(word).encode("utf-8", "replace")) % (FEATURES // 4), FEATURES // 4 + zlib.crc32(core.encode("utf-8", "replace")) % (REPEATS - FEATURES // 4)
 
 
-def repeats(words: list[str]) -> float:
-    """Share of words that the word before them repeats."""
-    return sum(map(operator.eq, words, words[1:])) / len(words) if words else 0.0
+def text_features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each text's features begin (one more for the end), their numbers and means, of many texts at once."""
+    cache = per_worker(("quality", CACHED), lambda: BoundedCache(CACHED))
+    words = [words_in(t) for t in texts]
+    flat = [w for x in words for w in x]
+    n = np.array([len(x) for x in words], dtype=np.int64)
+    text = np.repeat(np.arange(len(words)), n)
+    new = {w for w in flat if w not in cache}
+    if len(cache) + len(new) > CACHED:
+        cache.clear()
+        new = set(flat)
+    made = {w: (f := features(w))[0] << 16 | f[1] for w in new}
+    if len(made) <= CACHED:
+        cache.update(made)
+        made = cache
+    both = np.fromiter(map(made.__getitem__, flat), dtype=np.int64, count=len(flat))
+    keys, times = np.unique(np.concatenate((text * FEATURES + (both >> 16), text * FEATURES + (both & 0xFFFF))), return_counts=True)
+    again = np.fromiter(map(operator.eq, flat, flat[1:]), dtype=bool, count=max(0, len(flat) - 1)) & (text[1:] == text[:-1])
+    again = np.bincount(text[1:][again], minlength=len(n))
+    some = np.flatnonzero(again)
+    keys, times = np.concatenate((keys, some * FEATURES + REPEATS)), np.concatenate((times, again[some])).astype(np.float64)
+    order = np.argsort(keys, kind="stable")
+    of, at = np.divmod(keys[order], FEATURES)
+    return np.searchsorted(of, np.arange(len(n) + 1)), at, times[order] * SCALE / np.maximum(n, 1)[of]
 
 
 def meta_features(values: list) -> list[int]:
@@ -85,7 +109,7 @@ def meta_features(values: list) -> list[int]:
 
 
 class Logistic:
-    """Ridge logistic regression by Newton-damped gradient steps, then Platt scaling."""
+    """Weighted ridge logistic regression by Adam, then Platt scaling."""
 
     def __init__(self, size: int):
         self.w, self.b, self.a, self.c = np.zeros(size), 0.0, 1.0, 0.0
@@ -94,12 +118,14 @@ class Logistic:
     def prob(z: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
-    def fit(self, x: np.ndarray, y: np.ndarray, ridge: float = 1e-4, steps: int = 200) -> None:
-        self.w[:], self.b = 0, float(np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3)))
+    def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-4, steps: int = 200) -> None:
+        share = weight / weight.sum()
+        mean = float(share @ y)
+        self.w[:], self.b = 0, float(np.log((mean + 1e-3) / (1 - mean + 1e-3)))
         m, v = np.zeros(len(self.w) + 1), np.zeros(len(self.w) + 1)
-        for t in range(1, steps + 1):  # Adam, whole batch
-            e = self.prob((x @ self.w.astype(x.dtype)).astype(np.float64) + self.b) - y
-            g = np.append((x.T @ e.astype(x.dtype)).astype(np.float64) / len(y) + ridge * self.w, e.mean())
+        for t in range(1, steps + 1):  # whole batch
+            e = (self.prob((x @ self.w.astype(x.dtype)).astype(np.float64) + self.b) - y) * share
+            g = np.append((x.T @ e.astype(x.dtype)).astype(np.float64) + ridge * self.w, e.sum())
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
             step = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
             self.w -= step[:-1]
@@ -122,63 +148,42 @@ class Logistic:
     def odds(self, x: np.ndarray) -> np.ndarray:
         return self.a * np.clip(x @ self.w + self.b, -30, 30) + self.c
 
+    def sparse_odds(self, begin: np.ndarray, at: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """Of rows given by where each begins, and numbers and values of its features."""
+        total = np.concatenate(([0.0], np.cumsum(self.w[at] * value)))
+        return self.a * np.clip(total[begin[1:]] - total[begin[:-1]] + self.b, -30, 30) + self.c
+
 
 class Model:
     def __init__(self, text: Logistic, meta: Logistic, prior: float):
-        self.text, self.meta, self.prior, self.version = text, meta, prior, uuid.uuid4().hex
+        self.text, self.meta, self.prior = text, meta, prior
 
+    def view_odds(self, b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """Log odds of both views of rows of a feature table; the text view of a text without features is the prior."""
+        (begin, at, mean), (m_begin, m_at) = _sparse(b)
+        text = np.where(np.diff(begin) > 0, self.text.sparse_odds(begin, at, mean), self.prior)
+        return text, self.meta.sparse_odds(m_begin, m_at, np.ones(len(m_at)))
 
-def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray, rounds: int = ROUNDS) -> Model:
-    """y: 0 or 1. Every fourth labelled row calibrates."""
-    held = np.arange(len(y)) % 4 == 3
-    if held.sum() < 20:
-        held[:] = False
-    fits = ~held
-    check = held if held.any() else fits
-    views = [(Logistic(text.shape[1]), text, pool_text), (Logistic(meta.shape[1]), meta, pool_meta)]
-    more: list[dict[int, float]] = [{}, {}]  # pool rows and pseudo-labels of each view
-    for turn in range(rounds + 1):
-        for k, (model, x, pool) in enumerate(views):
-            extra = sorted(more[k])
-            model.fit(np.vstack([x[fits], pool[extra]]) if extra else x[fits], np.append(y[fits], [more[k][i] for i in extra]))
-            model.calibrate(x[check], y[check])
-        if turn == rounds or not len(pool_text):
-            break
-        passed = 0
-        for k, (model, _, pool) in enumerate(views):
-            p = model.prob(model.odds(pool))
-            for label, sure in ((1.0, p), (0.0, 1 - p)):
-                order = [i for i in np.argsort(-sure, kind="stable")[: PASSED * (turn + 1)] if sure[i] >= SURE and i not in more[1 - k]][:PASSED]
-                more[1 - k].update((int(i), label) for i in order)
-                passed += len(order)
-        if not passed:
-            break
-    prior = float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
-    return Model(views[0][0], views[1][0], prior)
+
+def _sparse(b: pa.RecordBatch) -> tuple[tuple, tuple]:
+    at, mean, meta = (b.column(b.schema.get_field_index(n)) for n in ("at", "mean", "meta"))
+    begin, m_begin = (x.offsets.to_numpy().astype(np.int64) for x in (at, meta))
+    return (begin - begin[0], at.flatten().to_numpy().astype(np.int64), mean.flatten().to_numpy().astype(np.float64)), (m_begin - m_begin[0], meta.flatten().to_numpy().astype(np.int64))
 
 
-def _rows(df: DataFrame, text_col: str, meta_cols: list[str], keep: list) -> DataFrame:
-    """keep columns, then the features of a row: numbers and means of the text's, numbers of the metadata's."""
-    chosen = df.select(*keep, F.col(text_col).alias("text_"), F.struct(*[F.col(c).alias(f"m{i}") for i, c in enumerate(meta_cols)]).alias("meta_"))
-    n = len(keep)
+def featured(docs: DataFrame, id_col: str, text_col: str, meta_cols: tuple[str, ...]) -> DataFrame:
+    """(doc_id, row, at, mean, meta) of each row: its id, a hash of all that is read of it, and its features."""
+    metas = [F.col(c) for c in meta_cols]
+    chosen = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), F.col(text_col), *metas).alias("row"), F.col(text_col).alias("text"), F.struct(*[m.alias(f"m{i}") for i, m in enumerate(metas)]).alias("meta"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at, mean = [], []
-            for text in b.column(n).to_pylist():
-                words = words_in(text)
-                held = np.zeros(FEATURES)
-                if words:
-                    np.add.at(held, np.array([features(x) for x in words]).ravel(), SCALE / len(words))
-                    held[REPEATS] = SCALE * repeats(words)
-                used = np.flatnonzero(held)
-                at.append(used.tolist())
-                mean.append(held[used].tolist())
-            metas = [meta_features(list(x.values())) for x in b.column(n + 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(at, pa.list_(pa.int32())), pa.array(mean, pa.list_(pa.float32())), pa.array(metas, pa.list_(pa.int32()))], [*b.schema.names[:n], "at", "mean", "meta"])
-
-    shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in chosen.schema.fields[:n])
-    return chosen.mapInArrow(frugal(run), f"{shape}, at array<int>, mean array<float>, meta array<int>")
+        for b in parts(batches, 2):
+            begin, at, mean = text_features(b.column(2).to_pylist())
+            lists = [pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(x, k)) for x, k in ((at, pa.int16()), (mean, pa.float32()))]
+            metas = pa.array([sorted(set(meta_features(list(x.values())))) for x in b.column(3).to_pylist()], pa.list_(pa.int16()))
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], *lists, metas], ["doc_id", "row", "at", "mean", "meta"])
+
+    return chosen.mapInArrow(frugal(run), f"doc_id {chosen.schema['doc_id'].dataType.simpleString()}, row long, at array<short>, mean array<float>, meta array<short>")
 
 
 def _matrices(rows) -> tuple[np.ndarray, np.ndarray]:
@@ -189,75 +194,133 @@ def _matrices(rows) -> tuple[np.ndarray, np.ndarray]:
     return text, meta
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", meta_cols: tuple[str, ...] = ("source", "lang", "n_chars"), label_col: str = "quality", labelled: int = LABELLED, pool: int = POOL) -> Model | float:
-    """The model, or the one score of all rows where labels have a single class or none."""
-    docs = docs.select(F.col(id_col).alias("d_id"), F.col(text_col).alias("d_text"), *[F.col(c).alias(f"d_m{i}") for i, c in enumerate(meta_cols)])
-    metas = [f"d_m{i}" for i in range(len(meta_cols))]
-    known = labels.select(F.col(id_col).alias("k_id"), F.col(label_col).cast("int").alias("k_y")).where("k_y IN (0, 1) AND k_id IS NOT NULL")
-    first = F.broadcast(first_by_hash(known, ["k_id", "k_y"], labelled))
-    taken = docs.join(first, F.col("d_id") == F.col("k_id"))
-    rows = _rows(taken, "d_text", metas, [F.col("k_id"), F.col("k_y")]).orderBy("k_id", "k_y").limit(2 * labelled).collect()
-    if not rows:
+def pseudo_labelled(free: DataFrame, model: Model) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For the text view, then the metadata view: rows, labels and weights of what the other view is sure of, added up by label and cell."""
+    held = free.sparkSession.sparkContext.broadcast(model)
+    shape = "view int, label int, cell int, n long, sums binary"
+
+    def packed(sums: dict) -> pa.RecordBatch:
+        keys = sorted(sums)
+        columns = [pa.array([k[i] for k in keys], pa.int32()) for i in range(3)]
+        return pa.RecordBatch.from_arrays([*columns, pa.array([sums[k][0] for k in keys], pa.int64()), pa.array([sums[k][1].tobytes() for k in keys], pa.binary())], ["view", "label", "cell", "n", "sums"])
+
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, sums = held.value, {}
+        for b in batches:
+            if not b.num_rows:
+                continue
+            (begin, at, mean), (m_begin, m_at) = _sparse(b)
+            cell = np.bincount(np.repeat(np.arange(b.num_rows), np.diff(m_begin)), weights=m_at * 7919 % 65521, minlength=b.num_rows).astype(np.int64) % CELLS
+            for view, odds, (start, numbers, values, size) in zip((1, 0), m.view_odds(b), ((m_begin, m_at, np.ones(len(m_at)), META), (begin, at, mean, FEATURES)), strict=True):
+                p = Logistic.prob(odds)
+                for y, sure in ((1, p >= SURE), (0, 1 - p >= SURE)):
+                    rows = np.flatnonzero(sure)
+                    if not len(rows):
+                        continue
+                    n = np.diff(start)[rows]
+                    where = np.repeat(start[rows] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(int(n.sum()))
+                    total = np.bincount(np.repeat(cell[rows], n) * size + numbers[where], weights=values[where], minlength=CELLS * size).reshape(CELLS, size)
+                    counts = np.bincount(cell[rows], minlength=CELLS)
+                    for c in np.flatnonzero(counts):
+                        was = sums.get((view, y, int(c)), (0, 0))
+                        sums[view, y, int(c)] = (was[0] + int(counts[c]), was[1] + total[c])
+        if sums:
+            yield packed(sums)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict = {}
+        for b in batches:
+            for r in b.to_pylist():
+                key = r["view"], r["label"], r["cell"]
+                was = sums.get(key, (0, 0))
+                sums[key] = (was[0] + r["n"], was[1] + np.frombuffer(r["sums"]))
+        if sums:
+            yield packed(sums)
+
+    found = free.select("at", "mean", "meta").mapInArrow(frugal(label), shape).repartition("view", "label", "cell").mapInArrow(frugal(add), shape).collect()
+    out = []
+    for view, size in enumerate((FEATURES, META)):
+        mine = sorted((r for r in found if r["view"] == view), key=lambda r: (r["label"], r["cell"]))
+        x = np.array([np.frombuffer(r["sums"]) / r["n"] for r in mine], dtype=np.float32).reshape(-1, size)
+        out.append((x, np.array([r["label"] for r in mine], dtype=float), np.array([r["n"] for r in mine], dtype=float)))
+    return out
+
+
+def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, label, rounds: int = ROUNDS) -> Model:
+    """y: 0 or 1. label(model) gives what each view learns from the other's. Every fourth labelled row calibrates."""
+    held = np.arange(len(y)) % 4 == 3
+    if held.sum() < 20:
+        held[:] = False
+    fits = ~held
+    check = held if held.any() else fits
+    prior = float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
+    views = (Logistic(text.shape[1]), text), (Logistic(meta.shape[1]), meta)
+    model = Model(views[0][0], views[1][0], prior)
+    more = [(x[:0], y[:0], y[:0]) for _, x in views]
+    for turn in range(rounds + 1):
+        for (view, x), (rows, labels, n) in zip(views, more, strict=True):
+            weight = n * min(1.0, fits.sum() / max(1.0, n.sum()))
+            view.fit(np.vstack([x[fits], rows]), np.append(y[fits], labels), np.append(np.ones(fits.sum()), weight))
+            view.calibrate(x[check], y[check])
+        if turn == rounds:
+            break
+        more = label(model)
+        if not any(len(labels) for _, labels, _ in more):
+            break
+    return model
+
+
+def train(rows: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", labelled: int = LABELLED, rounds: int = ROUNDS) -> Model | float:
+    """The model from a feature table (saved) and labels, or the one score of all rows where labels have a single class or none."""
+    known = labels.select(F.col(id_col).alias("k_id"), F.col(label_col).cast("int").alias("k_y")).where("k_y IN (0, 1) AND k_id IS NOT NULL").distinct()
+    each = rows.select("doc_id", "row").join(known, F.col("doc_id") == F.col("k_id")).select("row", "k_y").distinct()
+    first = F.broadcast(first_by_hash(each, ["row", "k_y"], labelled))
+    taken = rows.join(first, "row").dropDuplicates(["row", "k_y"]).collect()
+    if not taken:
         return 0.5
-    y = np.array([r["k_y"] for r in rows], dtype=float)
+    y = np.array([r["k_y"] for r in taken], dtype=float)
     if y.min() == y.max():
         return float(y[0])
-    ids = docs.select(F.col("d_id").alias("p_id")).join(known.select(F.col("k_id").alias("p_id")), "p_id", "left_anti")
-    ids = F.broadcast(first_by_hash(ids, ["p_id"], pool).distinct())
-    free = _rows(docs.join(ids, F.col("d_id") == F.col("p_id")), "d_text", metas, [F.col("p_id")]).orderBy("p_id").limit(2 * pool).collect()
-    order = np.argsort([zlib.crc32(str(r["k_id"]).encode()) for r in rows], kind="stable")
-    text, meta = _matrices(rows)
-    return co_train(text[order], meta[order], y[order], *_matrices(free))
-
-
-class Scorer:
-    """Mean features times weights is the mean of each word's own weight, so a word's weight is looked up, not its features."""
-
-    def __init__(self, model: Model):
-        self.model, self.cache = model, BoundedCache(CACHED)
-
-    def text_odds(self, text: str | None) -> float:
-        m, words = self.model.text, words_in(text)
-        if not words:
-            return self.model.prior
-        cache = self.cache
-        if new := [x for x in dict.fromkeys(words) if x not in cache]:
-            if len(cache) + len(new) > CACHED:
-                cache.clear()
-                new = list(dict.fromkeys(words))
-            w = m.w
-            for x in new:
-                i, j = features(x)
-                cache[x] = float(w[i] + w[j])
-        z = SCALE * (sum(map(cache.__getitem__, words)) / len(words) + float(m.w[REPEATS]) * repeats(words)) + m.b
-        return float(m.a * min(30.0, max(-30.0, z)) + m.c)
-
-    def meta_odds(self, values: list) -> float:
-        m = self.model.meta
-        z = float(sum(m.w[i] for i in set(meta_features(values)))) + m.b
-        return float(m.a * min(30.0, max(-30.0, z)) + m.c)
-
-
-def score(docs: DataFrame, model: Model | float, id_col: str = "doc_id", text_col: str = "text", meta_cols: tuple[str, ...] = ("source", "lang", "n_chars"), threshold: float = 0.5) -> DataFrame:
-    """(doc_id, text_score, meta_score, score, kept), a row for each row of docs."""
-    chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.struct(*[F.col(c).alias(f"m{i}") for i, c in enumerate(meta_cols)]).alias("meta"))
+    ids = known.select(F.col("k_id").alias("doc_id")).distinct()
+    free = rows.join(F.broadcast(ids) if ids.limit(KNOWN + 1).count() <= KNOWN else ids, "doc_id", "left_anti")
+    order = sorted(range(len(taken)), key=lambda i: (zlib.crc32(str(taken[i]["row"]).encode()), taken[i]["row"], y[i]))
+    text, meta = _matrices([taken[i] for i in order])
+    return co_train(text, meta, y[order], lambda model: pseudo_labelled(free, model), rounds)
+
+
+def scored(rows: DataFrame, model: Model | float, threshold: float = 0.5) -> DataFrame:
+    """(doc_id, text_score, meta_score, score, kept), a row for each row of a feature table."""
     if isinstance(model, float):
         same = [F.lit(model).alias(x) for x in ("text_score", "meta_score", "score")]
-        return chosen.select("doc_id", *same, F.lit(model >= threshold).alias("kept"))
-    held = docs.sparkSession.sparkContext.broadcast(model)
-    version = model.version
+        return rows.select("doc_id", *same, F.lit(model >= threshold).alias("kept"))
+    held = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = latest_in_worker("quality", version, lambda: Scorer(held.value))
         for b in batches:
-            text = np.array([scorer.text_odds(x) for x in b.column(1).to_pylist()])
-            meta = np.array([scorer.meta_odds(list(x.values())) for x in b.column(2).to_pylist()])
-            both = Logistic.prob(text + meta - scorer.model.prior) if len(text) else text
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.float64()) for x in (Logistic.prob(text), Logistic.prob(meta), both)), pa.array(both >= threshold, pa.bool_())], ["doc_id", "text_score", "meta_score", "score", "kept"])
+            if b.num_rows:
+                text, meta = held.value.view_odds(b)
+                both = Logistic.prob(text + meta - held.value.prior)
+                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.float64()) for x in (Logistic.prob(text), Logistic.prob(meta), both)), pa.array(both >= threshold, pa.bool_())], ["doc_id", "text_score", "meta_score", "score", "kept"])
+
+    return rows.select("doc_id", "at", "mean", "meta").mapInArrow(frugal(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text_score double, meta_score double, score double, kept boolean")
+
+
+META_COLS = ("source", "lang", "n_chars")
 
-    return chosen.mapInArrow(frugal(run), f"doc_id {chosen.schema['doc_id'].dataType.simpleString()}, text_score double, meta_score double, score double, kept boolean")
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", meta_cols: tuple[str, ...] = META_COLS, label_col: str = "quality", labelled: int = LABELLED, rounds: int = ROUNDS) -> Model | float:
+    """The model, or the one score of all rows where labels have a single class or none."""
+    scratch = Scratch(docs.sparkSession)
+    model = train(scratch.save(featured(docs, id_col, text_col, meta_cols), "features"), labels, id_col, label_col, labelled, rounds)
+    scratch.drop("features")
+    return model
+
+
+def score(docs: DataFrame, model: Model | float, id_col: str = "doc_id", text_col: str = "text", meta_cols: tuple[str, ...] = META_COLS, threshold: float = 0.5) -> DataFrame:
+    """(doc_id, text_score, meta_score, score, kept), a row for each row of docs."""
+    return scored(featured(docs, id_col, text_col, meta_cols), model, threshold)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    return score(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    rows = Scratch(spark).save(featured(documents(spark, sf_dir), "doc_id", "text", META_COLS), "features")
+    return scored(rows, train(rows, spark.read.parquet(f"{sf_dir}/labels.parquet")))

@@ -194,6 +194,50 @@ def test_cotraining_held_out(spark):
     assert sum((r.meta_score >= 0.5) == good[r.doc_id] for r in free) >= 0.85 * len(free)
 
 
+def brute_odds(model, texts, metas):
+    """Both views' log odds from dense rows, word by word in plain Python."""
+    text, meta = np.zeros((len(texts), Q.FEATURES)), np.zeros((len(texts), Q.META))
+    for i, (t, m) in enumerate(zip(texts, metas)):
+        words = Q.words_in(t)
+        for k, w in enumerate(words):
+            for f in Q.features(w):
+                text[i, f] += Q.SCALE / len(words)
+            text[i, Q.REPEATS] += Q.SCALE / len(words) * (k > 0 and words[k - 1] == w)
+        meta[i, Q.meta_features(m)] = 1
+    return np.where([bool(Q.words_in(t)) for t in texts], model.text.odds(text), model.prior), model.meta.odds(meta)
+
+
+def test_scores_against_brute_force(spark):
+    data, labels, _ = quality_corpus()
+    data += [(1000, None, None, None, None), (1001, "", "en", "s", 0), (1002, "the the the 文" * 3, "en", "bad.org", 7), (1003, "x" * 300, "en", "s", 1)]
+    model = Q.fit(docs(spark, data), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    text, meta = brute_odds(model, [r[1] for r in data], [[r[3], r[2], r[4]] for r in data])
+    got = {r.doc_id: r for r in Q.score(docs(spark, data).repartition(3), model).collect()}
+    for r, t, m in zip(data, text, meta):
+        x = got[r[0]]
+        assert (x.text_score, x.meta_score, x.score) == pytest.approx((Q.Logistic.prob(t), Q.Logistic.prob(m), Q.Logistic.prob(t + m - model.prior)), abs=1e-5)
+        assert x.kept == (x.score >= 0.5)
+
+
+def test_pseudo_labels_come_from_all_rows(spark):
+    data, labels, _ = quality_corpus()
+    rows = Q.featured(docs(spark, data), "doc_id", "text", Q.META_COLS)
+    model = Q.fit(docs(spark, data), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    text, meta = brute_odds(model, [r[1] for r in data], [[r[3], r[2], r[4]] for r in data])
+    for n in (1, 6):
+        for (x, y, w), odds in zip(Q.pseudo_labelled(rows.repartition(n), model), (meta, text)):  # a view learns from the other
+            p = Q.Logistic.prob(odds)
+            for label, sure in ((1, p >= Q.SURE), (0, 1 - p >= Q.SURE)):
+                assert w[y == label].sum() == sure.sum() and len(x) <= 2 * Q.CELLS
+
+
+def test_repeated_rows_train_once(spark):
+    data, labels, _ = quality_corpus()
+    lb = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    once, often = (Q.train(Q.featured(docs(spark, d), "doc_id", "text", Q.META_COLS), lb, rounds=0) for d in (data, data + [data[3]] * 500))
+    assert np.allclose(once.text.w, often.text.w, atol=1e-6) and np.allclose(once.meta.w, often.meta.w, atol=1e-6)
+
+
 def test_quality_odd_tables(spark):
     data, labels, _ = quality_corpus()
     schema = "doc_id long, quality int, toxic int"
