@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.similarity import gain, normalise_score
+from ..functions.similarity import dice, gain, normalise_score
 
 #: Lines of a bin in range joins.
 BIN = 64
@@ -62,6 +62,26 @@ def innermost(points: DataFrame, spans: DataFrame, keys: list[str], point: str,
     return found.groupBy(*row).agg(best).select(*row, F.col("best.value").alias(value))
 
 
+def first_by_phase(targets: DataFrame, key: list[str], name: str, phases: list[tuple[DataFrame, list[str]]], candidate: str, place: str, above: float) -> DataFrame:
+    """key and the first candidate, by phase and place, whose name equals the target's in any case or is more similar than `above`.
+
+    Each phase is a table of candidates and the columns that it shares with the targets, so candidates are found by equal keys.
+    """
+    out = None
+    for i, (table, on) in enumerate(phases):
+        near = targets.join(table, on).withColumn("score_", F.round(dice(F.col(name), F.col(candidate)), 6))
+        near = near.where((F.lower(name) == F.lower(candidate)) | (F.col("score_") > above)).select(*key, F.lit(i).alias("phase_"), place, candidate)
+        out = near if out is None else out.unionByName(near)
+    return out.groupBy(*key).agg(F.min_by(candidate, F.struct("phase_", place)).alias(candidate))
+
+
+def until_exact(targets: DataFrame, key: list[str], name: str, candidates: DataFrame, on: list[str], candidate: str, place: str, above: float) -> DataFrame:
+    """key, candidate and place of candidates more similar than `above`, in order of place up to the first that is equal."""
+    near = targets.join(candidates, on).withColumn("score_", F.round(dice(F.col(name), F.col(candidate)), 6)).where(F.col("score_") > above)
+    stop = F.min(F.when(F.lower(name) == F.lower(candidate), F.col(place))).over(Window.partitionBy(*key))
+    return near.withColumn("stop_", stop).where(F.col("stop_").isNull() | (F.col(place) <= F.col("stop_"))).select(*key, candidate, place)
+
+
 def term_counts(df: DataFrame, key: str, tokens: str) -> DataFrame:
     """(key, size, token, n): how often each row's array holds each token, and the array's length."""
     each = df.select(key, F.size(tokens).alias("size"), F.explode(tokens).alias("token"))

@@ -10,7 +10,7 @@ from ..functions import text as X
 from ..functions.names import fuzzy, ratio
 from ..operators import joins as J
 from . import views as V
-from .q_similarity import bm25_sql, words
+from .q_similarity import CX, CY, bm25_sql, dice_sql, words
 from .q_text import STRICT
 from .registry import query
 
@@ -332,6 +332,39 @@ def _(s, d):
     return k.join(stop, "package", "left").where("size > 10 AND key <= coalesce(stop, key)").select("package", "key")
 
 
+#: Classes of small files, what files import, names of variables and what models predict, all made from parts' names.
+CLASSES = V.View("part", {"file": "CAST(floor(p_partkey / 40) AS BIGINT)", "class": "replace(p_name, ' ', '')", "place": "p_partkey"})
+IMPORTED = V.View("part", {"file": "CAST(floor(p_partkey / 40) AS BIGINT) - 1", "class": "replace(p_name, ' ', '')", "place": "p_partkey", "taken": "p_partkey % 3 = 0"})
+VARIABLES = V.View("part", {"id": "p_partkey", "file": "CAST(floor(p_partkey / 40) AS BIGINT) - p_partkey % 2", "name": "substr(p_name, 1, 9 + p_size % 20)", "taken": "p_partkey % 5 = 0"})
+PREDICTED = V.View("part", {"id": "p_partkey", "project": "CAST(floor(p_partkey / 100) AS BIGINT)", "name": "substr(p_name, 1, 8 + p_size)", "taken": "p_partkey % 20 = 0"})
+NPM = V.View("part", {"package": "CAST(floor(p_partkey / 50) AS BIGINT)", "kind": "CASE p_partkey % 3 WHEN 0 THEN 'class' WHEN 1 THEN 'interface' ELSE 'alias' END", "type": "substr(p_name, 1, 15)", "text": "'{ ' || p_name || ' : ' || p_type || ' }'", "key": "p_partkey"})
+ANSWERS = V.View("part", {"id": "p_partkey", "package": "CAST(floor(p_partkey / 50) AS BIGINT)", "answer": "CASE WHEN p_partkey % 2 = 0 THEN '{ ' || p_name || ' }' ELSE substr(p_name, 1, 12) END", "taken": "p_partkey % 7 = 0"})
+
+
+@query("J33_first_similar_class", dice_sql(f"SELECT id, 0 AS phase, place, name AS x, class AS y FROM {VARIABLES.sql} JOIN {CLASSES.sql} USING (file) WHERE taken UNION ALL SELECT id, 1, place, name, class FROM {VARIABLES.sql} v JOIN {IMPORTED.sql} i USING (file) WHERE v.taken AND i.taken", "id, phase, place") + " SELECT id, replace(p_name, ' ', '') AS class FROM (SELECT id, min_by(place, phase * 1000000000 + place) AS place FROM dice WHERE same OR score > 0.5 GROUP BY 1) JOIN part ON p_partkey = place")
+def _(s, d):
+    v = VARIABLES(s, d).where("taken").drop("taken")
+    return J.first_by_phase(v, ["id"], "name", [(CLASSES(s, d), ["file"]), (IMPORTED(s, d).where("taken").drop("taken"), ["file"])], "class", "place", 0.5)
+
+
+@query("J34_similar_until_exact", dice_sql(f"SELECT id, place, name AS x, class AS y FROM {PREDICTED.sql} JOIN (SELECT *, CAST(floor(place / 100) AS BIGINT) AS project FROM {CLASSES.sql}) USING (project) WHERE taken", "id, place") + ", e AS (SELECT id, min(place) AS stop FROM dice JOIN part ON p_partkey = place JOIN (SELECT id, name FROM " + PREDICTED.sql + ") USING (id) WHERE score > 0.6 AND lower(name) = lower(replace(p_name, ' ', '')) GROUP BY 1) SELECT id, place FROM dice LEFT JOIN e USING (id) WHERE score > 0.6 AND place <= coalesce(stop, place)")
+def _(s, d):
+    c = CLASSES(s, d).withColumn("project", F.expr("CAST(floor(place / 100) AS BIGINT)"))
+    return J.until_exact(PREDICTED(s, d).where("taken"), ["id"], "name", c, ["project"], "class", "place", 0.6).select("id", "place")
+
+
+NPM_PAIRS = f"(SELECT id, key, kind, answer AS x, type, text AS y FROM {ANSWERS.sql} JOIN {NPM.sql} USING (package) WHERE taken)"
+
+
+@query("J36_similar_npm_types", dice_sql(f"SELECT id, key, x, type AS y FROM {NPM_PAIRS} WHERE NOT starts_with(x, '{{')", "id, key") + ", " + bm25_sql(f"SELECT id, key, {words('lower(cx)')} AS xt, {words('lower(cy)')} AS yt FROM (SELECT id, key, {CX} AS cx, {CY} AS cy FROM {NPM_PAIRS} WHERE starts_with(x, '{{'))", "id, key", True).strip().removeprefix("WITH ")
+       + f", s AS (SELECT id, key, round(xy / (xy + 1) / CASE WHEN length({CX}) > 5 * length({CY}) OR length({CY}) > 5 * length({CX}) THEN 5 ELSE 1 END, 6) AS score FROM t JOIN {NPM_PAIRS} USING (id, key) UNION ALL SELECT id, key, score FROM dice) SELECT id, key, kind, score FROM s JOIN {NPM_PAIRS} USING (id, key) WHERE score > 0.5")
+def _(s, d):
+    """By BM25 of the texts if the answer is an object type, else by letter pairs of the names."""
+    near = ANSWERS(s, d).where("taken").join(NPM(s, d), "package")
+    score = F.when(F.col("answer").startswith("{"), S.bm25_of_texts(F.col("answer"), F.col("text"))).otherwise(S.dice(F.col("answer"), F.col("type")))
+    return near.select("id", "key", "kind", F.round(score, 6).alias("score")).where("score > 0.5")
+
+
 @query("J35_name_or_prefix", f"SELECT DISTINCT q.name AS q, k.key FROM (SELECT DISTINCT 'C' || (s_suppkey % 60) AS name FROM supplier) q JOIN {KB} k ON k.name = q.name OR starts_with(k.name, q.name)")
 def _(s, d):
     from ..operators.retrieval import prefix_join

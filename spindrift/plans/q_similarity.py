@@ -33,6 +33,15 @@ t AS (SELECT {keys}, sum({times} * ln(1.2::DOUBLE) * 2.5 * d.f / (d.f + 1.5 * (0
 """
 
 
+def dice_sql(source: str, keys: str) -> str:
+    """score of (keys, x, y) by letter pairs: rows of a table `dice`."""
+    return f"""
+WITH dp AS (SELECT {keys}, regexp_replace(lower(x), '\\s+', '', 'g') AS x, regexp_replace(lower(y), '\\s+', '', 'g') AS y FROM ({source})),
+dg AS (SELECT {keys}, 0 AS side, substr(x, i, 2) AS g FROM (SELECT *, unnest(range(1, length(x))) AS i FROM dp) UNION ALL SELECT {keys}, 1, substr(y, i, 2) FROM (SELECT *, unnest(range(1, length(y))) AS i FROM dp)),
+dc AS (SELECT {keys}, g, count(*) FILTER (WHERE side = 0) AS nx, count(*) FILTER (WHERE side = 1) AS ny FROM dg GROUP BY ALL),
+dice AS (SELECT {keys}, x = y AS same, round(CASE WHEN x = y THEN 1 WHEN length(x) < 2 OR length(y) < 2 THEN 0 ELSE 2.0 * sum(least(nx, ny)) / sum(nx + ny) END, 6) AS score FROM dp LEFT JOIN dc USING ({keys}) GROUP BY {keys}, x, y)"""
+
+
 SYM = bm25_sql(f"SELECT conv_id, turn, {words('x')} AS xt, {words('y')} AS yt FROM {PAIRS}", "conv_id, turn")
 
 
