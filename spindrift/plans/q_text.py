@@ -292,7 +292,7 @@ def _(s, d):
     return first_error(V.table(s, d, "documents"), "lang", "doc_id", rules)
 
 
-@query("SC10_split_declarations")
+@query("SC10_split_declarations", "SELECT doc_id, 'A' || doc_id AS name, length(regexp_replace('class A' || doc_id || ': ' || text, '\\s+$', '')) AS size FROM documents WHERE text IS NOT NULL UNION ALL SELECT doc_id, 'B', 21 FROM documents WHERE text IS NOT NULL")
 def _(s, d):
     from ..functions.python_udfs import split_declarations
 
@@ -310,7 +310,7 @@ def _(s, d):
     return t.select("doc_id", F.explode(normalize_recommendations("raw", "prompt")).alias("x")).select("doc_id", "x.name", "x.qualified_name", F.length("x.definition").alias("size"))
 
 
-@query("SC25_context_windows")
+@query("SC25_context_windows", "WITH p AS (SELECT doc_id, text, string_split(text, 'ou') AS parts FROM documents), i AS (SELECT doc_id, text, parts, unnest(range(1, len(parts))) AS i FROM p), a AS (SELECT doc_id, text, CAST(list_sum(list_transform(parts[1:i], lambda x: length(x))) + 2 * (i - 1) AS INT) AS place FROM i) SELECT doc_id, place AS \"at\", md5(substr(text, greatest(0, place - 20) + 1, place + 22 - greatest(0, place - 20))) AS h FROM a")
 def _(s, d):
     from ..functions.python_udfs import surrounding_matches
 
