@@ -14,6 +14,8 @@ from ..functions.similarity import dice, gain, normalise_score
 BIN = 64
 #: Most rows of a query set that is sent to every task.
 MOST_QUERIES = 100_000
+#: Most bytes of their texts.
+MOST_BYTES = 64 << 20
 #: Most terms (some 50 bytes each) of a table that is sent to every task.
 MOST_TERMS = 1_000_000
 
@@ -106,12 +108,14 @@ def bm25_scores(a: DataFrame, a_key: str, b: DataFrame, b_key: str) -> DataFrame
 def top_similar(queries: DataFrame, candidates: DataFrame, query: str, candidate: str, order: str, score: Callable[[str, str], float], above: float, top: int) -> DataFrame:
     """(query, candidate, order, score) of the `top` candidates above a score for each query text, ties in the order given.
 
-    For scores that no shared key prunes. The query set is stated and bounded (checked against MOST_QUERIES), and goes to
-    every task; a task keeps the best `top` of its own candidates for each query, so what is shuffled is bounded by that.
+    For scores that no shared key prunes. The query set is stated and bounded (checked against MOST_QUERIES and MOST_BYTES), and
+    goes to every task; a task keeps the best `top` of its own candidates for each query, so what is shuffled is bounded by that.
     """
-    held = [r[0] for r in queries.select(query).distinct().limit(MOST_QUERIES + 1).collect()]
-    if len(held) > MOST_QUERIES:
-        raise ValueError(f"over {MOST_QUERIES} queries; deal them over several calls")
+    each = queries.select(query).distinct()
+    n, size = each.agg(F.count("*"), F.sum(F.octet_length(query))).first()
+    if n > MOST_QUERIES or (size or 0) > MOST_BYTES:
+        raise ValueError(f"over {MOST_QUERIES} queries or {MOST_BYTES} bytes; deal them over several calls")
+    held = [r[0] for r in each.collect()]
     texts = queries.sparkSession.sparkContext.broadcast(sorted(x for x in held if x is not None))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -147,8 +147,9 @@ def _(s, d):
 
 @query("U03_ordered_distinct", "SELECT conv_id, string_agg(role, ',' ORDER BY f) AS roles FROM (SELECT conv_id, role, min(turn) AS f FROM conversations GROUP BY 1, 2) GROUP BY 1")
 def _(s, d):
-    r = V.table(s, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role"))).alias("r"))
-    return r.select("conv_id", F.array_join(F.array_distinct(F.transform("r", lambda x: x["role"])), ",").alias("roles"))
+    first = V.table(s, d, "conversations").groupBy("conv_id", "role").agg(F.min("turn").alias("turn"))  # so only different roles meet
+    r = first.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role"))).alias("r"))
+    return r.select("conv_id", F.array_join(F.transform("r", lambda x: x["role"]), ",").alias("roles"))
 
 
 @query("U04_ranked_sources_union", f"WITH u AS (SELECT 0 AS k, key, name, definition FROM {KB} WHERE kind = 'reexport_alias' UNION ALL SELECT 1, key, name, definition FROM {KB} WHERE kind = 'type_alias' UNION ALL SELECT 2, key, name, definition FROM {KB} WHERE kind = 'class') SELECT definition, name, key FROM (SELECT *, row_number() OVER (PARTITION BY definition ORDER BY k, key) AS r FROM u) WHERE r = 1")

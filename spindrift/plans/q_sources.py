@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -22,8 +23,15 @@ A, KB = V.ANNOTATIONS.sql, V.KB.sql
 
 
 def folder(s) -> str:
-    root = s.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/spindrift-scratch"
-    return f"{root}/round-trip-{uuid.uuid4().hex}"
+    """A folder of its own that all executors share, deleted when the driver ends; a temporary one only for local masters."""
+    root = s.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        if not s.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = f"file://{tempfile.gettempdir()}/spindrift-scratch"
+    path = f"{root}/round-trip-{uuid.uuid4().hex}"
+    atexit.register(R.remove, s, path)
+    return path
 
 
 def docs(s, d) -> DataFrame:
@@ -55,7 +63,7 @@ def _(s, d):
 
 @query("S07_cached_dataset", "SELECT lang, count(*) AS n FROM documents GROUP BY 1")
 def _(s, d):
-    return docs(s, d).cache().groupBy("lang").agg(F.count("*").alias("n"))
+    return R.in_memory(docs(s, d), lambda held: held.groupBy("lang").agg(F.count("*").alias("n")))
 
 
 @query("S08_jsonl_sink", "SELECT conv_id, turn, role, length(text) AS size FROM conversations")

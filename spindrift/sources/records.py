@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
+import weakref
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,6 +91,26 @@ def publish(df: DataFrame, path: str) -> None:
         fs.delete(old, True)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder if it is there; at exit the session may be gone."""
+    with contextlib.suppress(Exception):
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+
+
+def in_memory(df: DataFrame, use: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """use(df) with df kept in memory, and on disk where it doesn't fit, as long as the result is referred to."""
+    held = df.persist()
+    made = use(held)
+    weakref.finalize(made, _release, held)
+    return made
+
+
+def _release(df: DataFrame) -> None:
+    with contextlib.suppress(Exception):  # the session may be gone
+        df.unpersist()
+
+
 def count_lines(spark: SparkSession, path: str) -> int:
     return spark.read.text(path).where(F.trim("value") != "").count()
 

@@ -178,3 +178,45 @@ def test_structural_ranking_of_identifiers(spark, tmp_path):
     pd.DataFrame(items, columns=["item_id", "text"]).to_parquet(tmp_path / "benchmark.parquet")
     got = entry.queries()["J14_structural_bm25_top20_identifiers"](spark, str(tmp_path)).orderBy("doc_id", F.desc("score"), "item_id").collect()
     assert [(r.doc_id, r.item_id) for r in got][0] == (0, 41) and {(r.doc_id, r.item_id) for r in got} == {(0, 0), (0, 40), (0, 41)}
+
+
+def test_a_cached_table_is_released(spark):
+    import gc
+
+    from spindrift.sources import records as R
+
+    df = spark.range(100).withColumn("x", F.lit("own"))
+    made = R.in_memory(df, lambda held: held.groupBy("x").count())
+    assert made.count() == 1 and df.storageLevel.useMemory
+    del made
+    gc.collect()
+    assert not df.storageLevel.useMemory
+
+
+def test_query_sets_are_bounded(spark, monkeypatch):
+    from spindrift.functions.names import ratio
+    from spindrift.operators import joins as J
+
+    q, c = spark.createDataFrame([("aa",), ("b" * 50,)], "q string"), spark.createDataFrame([("aab", 1)], "c string, o long")
+    assert J.top_similar(q, c, "q", "c", "o", ratio, 0.2, 5).count() == 1
+    for name, value in (("MOST_QUERIES", 1), ("MOST_BYTES", 51)):
+        with monkeypatch.context() as m:
+            m.setattr(J, name, value)
+            with pytest.raises(ValueError):
+                J.top_similar(q, c, "q", "c", "o", ratio, 0.2, 5)
+
+
+def test_terms_are_joined_either_way(spark, monkeypatch):
+    from spindrift.operators import joins as J
+
+    a = spark.createDataFrame([(1, ["x", "x", "y"]), (2, ["z"]), (3, [])], "a long, t array<string>")
+    b = spark.createDataFrame([(7, ["x", "q"]), (8, ["y", "y", "z"])], "b long, t array<string>")
+    both = [sorted(map(tuple, J.bm25_scores(J.term_counts(a, "a", "t"), "a", J.term_counts(b, "b", "t"), "b").collect()))]
+    monkeypatch.setattr(J, "MOST_TERMS", 1)
+    both.append(sorted(map(tuple, J.bm25_scores(J.term_counts(a, "a", "t"), "a", J.term_counts(b, "b", "t"), "b").collect())))
+    from spindrift.functions import similarity as S
+
+    pairs = a.select("a", F.col("t").alias("x")).join(b.select("b", F.col("t").alias("y")))
+    want = {(r.a, r.b): r.s for r in pairs.select("a", "b", S.bm25(F.col("x"), F.col("y")).alias("s")).collect() if r.s > 0}
+    for got in both:
+        assert {x[:2] for x in got} == set(want) == {(1, 7), (1, 8), (2, 8)} and all(abs(x[2] - want[x[:2]]) < 1e-12 for x in got)
