@@ -135,3 +135,33 @@ def test_encode_and_decode_documents(spark, codec):
     back = {r.doc_id: r.text for r in C.decode_documents(got, PIECE).collect()}
     assert back == {r.doc_id: r.decoded for r in rows_}
     assert C.encode_documents(docs(spark).limit(0), PIECE).count() == 0
+
+
+def test_whole_documents_against_the_library(spark):
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    want = {r.doc_id: [encoded(r.text)] for r in d.collect()}
+    got = P.pack_documents(d, BYTE).collect()
+    n = check_pieces(got, want)
+    total = sum(len(x) for v in want.values() for x in v)
+    parts = d.rdd.getNumPartitions()
+    assert n <= -(-total // 2048) + parts + total // 2048 // 50  # little padding: a part-empty sequence a task, and 2 % at most
+
+
+def test_conversations_of_all_kinds(spark):
+    data = [
+        (1, 0, "user", "a question"), (1, 1, "assistant", "an answer"), (1, 2, "assistant", "a second one"), (2, 0, "assistant", None), (3, 0, "user", None), (3, 1, "assistant", "x"), (None, 0, "user", "q"), (None, 1, "assistant", "a"),
+        (4, 0, "user", "same"), (4, 1, "assistant", "same"), (4, 1, "assistant", "same"), (5, 0, None, "nobody"), (5, 1, "assistant", "long " * 5000), (6, 0, "user", "no answer"), (7, None, "assistant", "no turn"),
+    ]
+    turns = spark.createDataFrame([(*x, 1, "c") for x in data], "conv_id long, turn long, role string, text string, doc_id int, prompt string")
+    got = P.pack_conversations(turns, BYTE).collect()
+    by = defaultdict(list)
+    for r in got:
+        by[r.doc_id].append(r)
+    assert sum(x[2] == "assistant" for x in data) == sum(r.start == 0 for r in got)
+    before = {"1:1": "a question", "1:2": "an answer", "2:0": None, "3:1": None, "1": "q", "5:1": "nobody", "7": None}
+    for key, answer in (("1:1", "an answer"), ("1:2", "a second one"), ("2:0", None), ("3:1", "x"), ("1", "a"), ("5:1", "long " * 5000), ("7", "no turn")):
+        ids = encoded(before[key]) + encoded(answer)
+        mine = sorted(by[key], key=lambda r: r.start)
+        assert sum(r.length for r in mine) == len(ids) == mine[0].doc_tokens and sum(r.loss_tokens for r in mine) == len(encoded(answer)), key
+        assert all(r.ids_crc32 == zlib.crc32(np.array(ids[r.start : r.start + r.length], dtype="<u4").tobytes()) for r in mine)
+    assert len(by["4:1"]) == 2 and P.pack_conversations(turns.limit(0), BYTE).count() == 0
