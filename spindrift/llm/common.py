@@ -38,7 +38,7 @@ class Scratch:
     """Tables written to the folder that all executors share, so a lost executor loses none of them.
 
     The folder is spark.checkpoint.dir; only where that is unset (local runs, tests) a temporary folder is taken.
-    Tables go when dropped, the rest when the driver ends.
+    Tables go when dropped, those that a result still reads when the driver ends.
     """
 
     def __init__(self, spark: SparkSession):
@@ -47,17 +47,27 @@ class Scratch:
             if not spark.sparkContext.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             root = f"file://{tempfile.gettempdir()}/spindrift-scratch"
-        self.spark, self.root = spark, f"{root}/spindrift-{uuid.uuid4().hex}"
+        self.spark, self.root, self.names = spark, f"{root}/spindrift-{uuid.uuid4().hex}", set()
         atexit.register(self._delete, self.root)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
+        self.names.add(name)
         df.write.mode("overwrite").parquet(f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
     def drop(self, *names: str) -> None:
         for name in names:
+            self.names.discard(name)
             self._delete(f"{self.root}/{name}")
 
+    def own(self) -> Scratch:
+        """A folder for one run of an operator, whose tables meet no other's of the same name."""
+        return Scratch(self.spark)
+
+    def keep_only(self, *names: str) -> None:
+        """Drop the tables that a result doesn't read."""
+        self.drop(*(self.names - set(names)))
+
     def _delete(self, path: str) -> None:
         with contextlib.suppress(Exception):  # at exit the session may be gone
             jvm = self.spark._jvm

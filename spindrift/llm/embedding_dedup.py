@@ -144,6 +144,7 @@ def _cosines(unit: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 def _similar(rows: DataFrame, scratch: Scratch, id_col: str, vector_col: str, threshold: float, tables: int, parts: int, probes: int, spread: float, seed: int) -> DataFrame:
     """Rows of similar_vectors with the digest of the vector."""
+    scratch = scratch.own()
     kind = rows.schema[id_col].dataType.simpleString()
 
     def lattice(size: int) -> Lattice:
@@ -201,6 +202,7 @@ def _similar(rows: DataFrame, scratch: Scratch, id_col: str, vector_col: str, th
     of_node = nodes.select("node", "rep", "mult").join(blocks.per_node(verified), "node", "left").join(grouped, "node", "left")
     of_node = of_node.select("node", "mult", (F.col("mult") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.when(F.col("component").isNull(), F.col("rep")).otherwise(F.col("component")).alias("component_id"))
     of_node = scratch.save(of_node, "of-node")
+    scratch.keep_only("vectors", "of-node")
     total = of_node.agg(F.sum("mult")).first()[0] or 0
     columns = ["vec_id", "digest", "n_links", "component_id"]
     alone = found.where("node IS NULL").select("vec_id", "digest", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))

@@ -82,6 +82,7 @@ def _hashed(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
 
 def _classes(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, heavy: int) -> DataFrame:
     """(doc_id, digest, length, keep_id, keep_length, group_size), a row for each row of docs."""
+    scratch = scratch.own()
     rows = scratch.save(docs.select(*_hashed(docs, id_col, text_col)), "digests")
     # the longest, then the smallest known doc_id
     best = F.min(F.struct((-F.col("length")).alias("short"), F.col("doc_id").isNull().alias("unknown"), "doc_id")).alias("best")

@@ -211,6 +211,7 @@ def _lists(column: pa.ChunkedArray) -> list[np.ndarray]:
 
 def _similarity(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, width: int, threshold: float, recall: float) -> DataFrame:
     """Rows of similarity_groups with the digest of the text."""
+    scratch = scratch.own()
     trees = trees_for(threshold, recall)
     rows = scratch.save(signatures(docs, id_col, text_col, width, trees), "signatures")
     known = rows.where("node IS NOT NULL")
@@ -263,6 +264,7 @@ def _similarity(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, w
     of_node = nodes.select("node", "rep", "mult").join(blocks.per_node(verified), "node", "left").join(grouped, "node", "left")
     of_node = of_node.select("node", "mult", F.col("rep").alias("class_id"), (F.col("mult") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.when(F.col("component").isNull(), F.col("rep")).otherwise(F.col("component")).alias("component_id"))
     of_node = scratch.save(of_node, "of-node")
+    scratch.keep_only("signatures", "of-node")
     total = of_node.agg(F.sum("mult")).first()[0] or 0
     columns = ["doc_id", "digest", "class_id", "n_links", "component_id"]
     found = join_heavy(known.select("doc_id", "digest", "node"), of_node, "node", "mult", total).select(*columns)
