@@ -275,6 +275,7 @@ def test_partitions_change_nothing(spark, monkeypatch):
     got = {tuple(sorted(map(tuple, S.passages(d.repartition(n)).collect()))) for n in (1, 7, 64)}
     monkeypatch.setattr(S, "PACKED", 5000)
     monkeypatch.setattr(S, "RANGE_BYTES", 1 << 16)
+    monkeypatch.setattr(S, "ROWS", 7)
     got.add(tuple(sorted(map(tuple, S.passages(d.repartition(3)).collect()))))
     assert len(got) == 1 and len(got.pop()) > 100
 
@@ -355,3 +356,46 @@ def test_recall_of_passages_at_the_threshold(spark):
     found = {(x.of_doc_id, x.doc_id) for x in S.passages(docs(spark, data).repartition(5)).collect()}
     met = sum((5 * g + 3, 5 * g + 4) in found for g in range(pairs))
     assert met >= 0.995 * pairs, met
+
+
+@pytest.mark.parametrize("rows_", [3, 1 << 16])
+def test_links_of_values_against_brute_force(monkeypatch, rows_):
+    monkeypatch.setattr(S, "ROWS", rows_)
+    r = np.random.default_rng(6)
+    n = 400
+    key, doc, at = r.integers(0, 60, n), r.integers(0, 50, n), r.permutation(n)
+    key[:80] = 1000  # a hot value
+    mark = (np.arange(n) % 97 == 5).astype(np.int64)
+    before, after = r.integers(0, 2, n), r.integers(0, 2, n)
+    made = defaultdict(set)
+    for b in S.linked_in([key, doc, at, before, after, mark], 16):
+        assert b.num_rows <= max(rows_, 16 * 15) and b.num_rows
+        for x in b.to_pylist():
+            made[x["kind"]].add((x["doc"], x["at"], x["o_doc"], x["o_at"]) if x["kind"] == S.LINK else (x["key"], x["doc"], x["at"]))
+    want = defaultdict(set)
+    for k in set(key.tolist()):
+        group = sorted((int(d), int(a), int(m), int(b), int(f)) for kk, d, a, m, b, f in zip(key, doc, at, mark, before, after) if kk == k)
+        marked = any(x[2] for x in group)
+        if marked or len(group) > 16:
+            want[S.LINK] |= {(*x[:2], *group[0][:2]) for x in group if not x[2] and x[0] > group[0][0]}
+            want[S.HOT] |= {(k, *x[:2]) for x in group if not x[2] and (x[3] or x[4])}
+            if marked:
+                want[S.FIRST].add((k, *group[0][:2]))
+        else:
+            want[S.LINK] |= {(*x[:2], *y[:2]) for x in group for y in group if x[0] > y[0]}
+    assert made == {k: v for k, v in want.items() if v}
+
+
+def test_covered_places():
+    r = np.random.default_rng(8)
+    for _ in range(50):
+        owner, first = r.integers(0, 4, 12), r.integers(0, 40, 12)
+        last = first + r.integers(-2, 9, 12)
+        of, start = r.integers(0, 4, 30), r.integers(0, 45, 30)
+        got = S.covered_until(owner, first, last, of, start)
+        for o, s, g in zip(of, start, got):
+            held = {p for w, a, b in zip(owner, first, last) if w == o for p in range(a, b + 1)}
+            end = s - 1
+            while end + 1 in held:
+                end += 1
+            assert g == end
