@@ -150,17 +150,17 @@ def _similar(rows: DataFrame, scratch: Scratch, id_col: str, vector_col: str, th
     def lattice(size: int) -> Lattice:
         return per_worker(("lattice", size, tables, parts, probes, spread, seed), lambda: Lattice(size, tables, parts, probes, spread, seed))
 
-    def cells_of(vectors: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(vectors), tables, 1 + probes), dtype=np.int64)
+    def cells_of(vectors: list[np.ndarray], sizes: np.ndarray, only: range) -> np.ndarray:
+        out = np.zeros((len(vectors), len(only), 1 + probes), dtype=np.int64)
         for size in set(sizes.tolist()) - {0}:
             some = np.flatnonzero(sizes == size)
-            out[some] = lattice(size).cells(np.array([vectors[i][:size] for i in some]))
+            out[some] = lattice(size).cells(np.array([vectors[i][:size] for i in some]), only)
         return out
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1024):
             vectors, sizes = units(b.column(2))
-            cells = cells_of(vectors, sizes)
+            cells = cells_of(vectors, sizes, range(tables))
             nodes = [None if v is None else xxhash.xxh3_128_digest(v.tobytes()) for v in vectors]
             made = [None if v is None else c.ravel() for v, c in zip(vectors, cells, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes, pa.binary()), pa.array(vectors, pa.list_(pa.float64())), pa.array(made, pa.list_(pa.int64()))], ["vec_id", "digest", "node", "vector", "cells"])
@@ -180,19 +180,24 @@ def _similar(rows: DataFrame, scratch: Scratch, id_col: str, vector_col: str, th
         unit, sizes = _padded(table.column("vector"))
         good = np.flatnonzero((_cosines(unit, i, j) >= threshold) & (sizes[i] == sizes[j]))
         out = np.zeros(len(i), dtype=bool)
-        if len(good):
+        tab, cell = table.column("tab").to_numpy(), table.column("cell").to_numpy()
+        for t in range(tables):  # a pair counts in the first table in which it meets, so few are left after each
+            good = good[tab[i[good]] >= t]
+            if not len(good):
+                break
             use, at = np.unique(np.concatenate((i[good], j[good])), return_inverse=True)
-            cells = cells_of(list(unit[use]), sizes[use])
-            tab, cell = table.column("tab").to_numpy(), table.column("cell").to_numpy()
+            cells = cells_of(list(unit[use]), sizes[use], range(t, t + 1))[:, 0]
+            met = np.zeros(len(good), dtype=bool)
             for a in range(0, len(good), STRIP):
                 x, y = at[: len(good)][a : a + STRIP], at[len(good) :][a : a + STRIP]
                 most = np.iinfo(np.int64).max
-                one = np.where((cells[x, :, :1] == cells[y]).any(axis=2), cells[x, :, 0], most)
-                other = np.where((cells[y, :, :1] == cells[x]).any(axis=2), cells[y, :, 0], most)
-                least = np.minimum(one, other)  # of the cells in which they meet, by table
-                t = (least != most).argmax(axis=1)
+                one = np.where((cells[x, :1] == cells[y]).any(axis=1), cells[x, 0], most)
+                other = np.where((cells[y, :1] == cells[x]).any(axis=1), cells[y, 0], most)
+                least = np.minimum(one, other)  # of the cells of this table in which they meet
+                met[a : a + STRIP] = least != most
                 here = i[good[a : a + STRIP]]
-                out[good[a : a + STRIP]] = (t == tab[here]) & (least[np.arange(len(t)), t] == cell[here])
+                out[good[a : a + STRIP]] = (tab[here] == t) & (least == cell[here])
+            good = good[~met]
         return out
 
     verified = scratch.save(blocks.verify(dealt, ["cell"], linked), "verified")
