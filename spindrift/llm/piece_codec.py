@@ -1,8 +1,8 @@
 """Encoding and decoding with merge-type SentencePiece vocabularies.
 
-The encoder keeps an agenda: a heap of adjacent symbol pairs whose join is a piece, ordered by the piece's score, then
-position. The best pair is joined, pairs that lost a side are skipped when they come up, and the two new neighbours are put
-on the agenda. Symbols that are no piece at the end become their bytes' pieces.
+The encoder keeps an agenda of adjacent symbol pairs whose join is a piece, ordered by the piece's score, then position: a heap,
+or for short segments a list of scores. The best pair is joined, pairs that lost a side are skipped when they come up, and the
+two new neighbours are put on the agenda. Symbols that are no piece at the end become their bytes' pieces.
 
 No piece of such a vocabulary has a space mark after another character (checked when the model is loaded), so nothing joins
 across the gap before a run of space marks. A text is cut there, and each different segment goes through the agenda once in
@@ -31,6 +31,9 @@ CACHED = 800_000
 SEGMENT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 #: A segment longer than this is not kept.
 LONG = 200
+#: Characters up to which all pairs are looked through for the next one, and the score of a pair that is no piece.
+SHORT = 32
+NONE = float("-inf")
 
 
 class PieceCodec:
@@ -66,6 +69,24 @@ class PieceCodec:
     def agenda(self, segment: str) -> list[int]:
         """Ids of a segment that the library's normaliser has been through."""
         part = list(segment)
+        return self.ids_of(self.joined_short(part) if len(part) <= SHORT else self.joined_long(part))
+
+    def joined_short(self, part: list[str]) -> list[str]:
+        """Symbols of a few characters: the agenda is the list of all adjacent pairs' scores."""
+        get = self.score.get
+        scores = [get(a + b, NONE) for a, b in zip(part, part[1:])]
+        while scores and (best := max(scores)) != NONE:
+            i = scores.index(best)
+            part[i : i + 2] = [joined := part[i] + part[i + 1]]
+            del scores[i]
+            if i:
+                scores[i - 1] = get(part[i - 1] + joined, NONE)
+            if i < len(scores):
+                scores[i] = get(joined + part[i + 1], NONE)
+        return part
+
+    def joined_long(self, part: list[str]) -> list[str]:
+        """Symbols of any number of characters: the agenda is a heap."""
         n, score = len(part), self.score
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(-s, i, part[i] + part[i + 1]) for i in range(n - 1) if (s := score.get(part[i] + part[i + 1])) is not None]
@@ -83,6 +104,10 @@ class PieceCodec:
                     heapq.heappush(heap, (-s, i, joined + part[k]))
             if (h := before[i]) >= 0 and (s := score.get(part[h] + joined)) is not None:
                 heapq.heappush(heap, (-s, h, part[h] + joined))
+        return part
+
+    def ids_of(self, part: list[str]) -> list[int]:
+        """Ids of symbols; those that are no piece become their bytes' pieces."""
         out: list[int] = []
         for p in part:
             if p:

@@ -109,6 +109,16 @@ def test_agenda_equals_library(codec):
         assert np.frombuffer(codec.encode_batch([t])[0], "<u4").tolist() == want, repr(t)
 
 
+def test_both_agendas_agree(codec):
+    r = random.Random(5)
+    letters = "▁abcdefgehinorstu.é中😀"
+    for _ in range(3000):
+        t = [r.choice(letters) for _ in range(r.randint(0, 40))]
+        assert [x for x in codec.joined_long(list(t)) if x] == codec.joined_short(list(t)), t
+    long = "▁" + "".join(r.choice("abcdenrst") for _ in range(3000))
+    assert codec.agenda(long) == codec.library.encode(long[1:])
+
+
 def test_small_cache_changes_nothing():
     with open(PIECE, "rb") as f:
         small = C.PieceCodec(f.read(), limit=3)
