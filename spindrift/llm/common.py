@@ -34,6 +34,21 @@ def fresh(df: DataFrame, *names: str) -> str:
     return prefix
 
 
+#: Most bytes of an Arrow batch while scratch tables are made; each task holds some in the JVM and some in Python.
+BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession):
+    """Batches of rows for Python are at most BATCH_BYTES here; the session's setting comes back after."""
+    was = spark.conf.get(BATCH_KEY, None)
+    spark.conf.set(BATCH_KEY, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.unset(BATCH_KEY) if was is None else spark.conf.set(BATCH_KEY, was)
+
+
 class Scratch:
     """Tables written to the folder that all executors share, so a lost executor loses none of them.
 
@@ -52,7 +67,8 @@ class Scratch:
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         self.names.add(name)
-        df.write.mode("overwrite").parquet(f"{self.root}/{name}")
+        with small_batches(self.spark):
+            df.write.mode("overwrite").parquet(f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
     def drop(self, *names: str) -> None:

@@ -399,3 +399,20 @@ def test_covered_places():
             while end + 1 in held:
                 end += 1
             assert g == end
+
+
+def test_scratch_leaves_the_session_as_it_was(spark):
+    from spindrift.llm.common import BATCH_KEY
+
+    was = spark.conf.get(BATCH_KEY)
+    scratch = Scratch(spark)
+    a, b = (scratch.save(spark.range(3), n) for n in "ab")
+    assert spark.conf.get(BATCH_KEY) == was
+    scratch.keep_only("a")
+    assert a.count() == 3 and scratch.names == {"a"}
+    other = scratch.own()
+    other.save(spark.range(5), "a")
+    assert other.root != scratch.root and a.count() == 3
+    with pytest.raises(Exception):
+        scratch.save(spark.range(1).select(F.raise_error(F.lit("no"))), "c")
+    assert spark.conf.get(BATCH_KEY) == was
