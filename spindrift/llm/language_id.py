@@ -39,7 +39,7 @@ WORD = 64
 SWITCH = 10.0
 AGAINST = 6.0
 #: Bytes of kept words with their scores, of a word without them, and of scores that are made at once.
-CACHED = 80 << 20
+CACHED = 48 << 20
 WORD_BYTES = 250
 MADE = 1 << 22
 #: Words whose n-grams, and texts whose words, are held at once.
