@@ -80,3 +80,11 @@ def votes(df: DataFrame, group: str, answer: str, order: str) -> DataFrame:
 def first_wins(df: DataFrame, keys: list[str], order: str, columns: list[str]) -> DataFrame:
     """The row with the smallest order for each key, combined on the map side."""
     return df.groupBy(*keys).agg(F.min(F.struct(order, *columns)).alias("b")).select(*keys, *[f"b.{c}" for c in columns])
+
+
+def pooled(df: DataFrame, keys: list[str], vector: str, mask: str) -> DataFrame:
+    """(keys, place, mean): mean of each place of the vectors whose mask holds, 0 if none does. Sums are combined before rows of a key meet."""
+    each = df.select(*keys, mask, F.posexplode(vector).alias("place", "value"))
+    kept = F.when(F.col(mask), F.col("value").cast("double"))
+    found = each.groupBy(*keys, "place").agg(F.sum(kept).alias("sum_"), F.count(kept).alias("n_"))
+    return found.select(*keys, "place", (F.coalesce("sum_", F.lit(0.0)) / F.greatest("n_", F.lit(1))).alias("mean"))
