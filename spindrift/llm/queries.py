@@ -1,6 +1,6 @@
 """The queries of this subpackage and the SQL that gives the same rows, where SQL can."""
 
-from . import embedding_dedup, exact_dedup, language_id, nearest, ngram_join, packing, piece_codec, quality, sharding, substring_dedup, url_filter
+from . import divergence, embedding_dedup, exact_dedup, language_id, nearest, ngram_join, packing, piece_codec, quality, sharding, substring_dedup, url_filter
 
 QUERIES = {
     "op1_compact_windows": substring_dedup.query,
@@ -13,9 +13,11 @@ QUERIES = {
     "op8_interleaved_sharding": sharding.query,
     "op9_quality_cotraining": quality.query,
     "op10_language_spans": language_id.query,
+    "op11_source_divergence": divergence.query,
     "op13_inverted_multi_index": nearest.query,
 }
 SQL = {
     "op5_url_filter": url_filter.SQL,
     "op6_exact_dedup": exact_dedup.SQL,
+    "op11_source_divergence": divergence.SQL,
 }
