@@ -1,6 +1,6 @@
 """The queries of this subpackage and the SQL that gives the same rows, where SQL can."""
 
-from . import divergence, embedding_dedup, exact_dedup, language_id, nearest, ngram_join, packing, piece_codec, quality, sharding, substring_dedup, url_filter
+from . import conversation_repair, divergence, embedding_dedup, exact_dedup, language_id, nearest, ngram_join, packing, piece_codec, quality, sharding, substring_dedup, url_filter
 
 QUERIES = {
     "op1_compact_windows": substring_dedup.query,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_quality_cotraining": quality.query,
     "op10_language_spans": language_id.query,
     "op11_source_divergence": divergence.query,
+    "op12_conversation_repair": conversation_repair.query,
     "op13_inverted_multi_index": nearest.query,
 }
 SQL = {
