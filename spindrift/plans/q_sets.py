@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -11,6 +9,7 @@ from ..functions import hashing as H
 from ..functions import text as X
 from ..operators import ranking as R
 from ..operators import sets as U
+from ..operators import vectors as VEC
 from . import views as V
 from .q_text import STRICT, sha_int
 from .registry import query
@@ -18,21 +17,25 @@ from .registry import query
 A, KB, CALLS = V.ANNOTATIONS.sql, V.KB.sql, V.CALLS.sql
 #: Blocks of a hundred vectors: the first is the query, the others its candidates, equal labels are right.
 BLOCKS = "(SELECT q.vec_id AS id, c.vec_id AS cand, q.label = c.label AS hit, q.label AS label, round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 9) AS score FROM embeddings q JOIN embeddings c ON c.vec_id // 100 = q.vec_id // 100 AND c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0)"
-RANKED = f"(SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, cand) AS rank FROM {BLOCKS})"
+#: Each hundredth vector is a query, all that are no queries are its candidates.
+EVERY = "(SELECT q.vec_id AS id, c.vec_id AS cand, q.label = c.label AS hit, q.label AS label, c.label AS of, round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 9) AS score FROM embeddings q JOIN embeddings c ON c.vec_id % 100 <> 0 WHERE q.vec_id % 100 = 0)"
+RANKED = f"(SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, cand) AS rank FROM {EVERY})"
 
 
-def blocks(s, d, every=False):
-    """Each query with the candidates of its block, as in BLOCKS, or with every vector that is not a query."""
+def blocks(s, d):
+    """Each query with the candidates of its block, as in BLOCKS."""
     from ..functions.similarity import cosine
 
     e = V.table(s, d, "embeddings").withColumn("block", F.expr("vec_id DIV 100"))
     q = e.where("vec_id % 100 = 0").select("block", F.col("vec_id").alias("id"), "label", F.col("embedding").alias("q"))
     c = e.where("vec_id % 100 <> 0").select("block", F.col("vec_id").alias("cand"), F.col("label").alias("c_label"), "embedding")
-    return (q.crossJoin(c.drop("block")) if every else q.join(c, "block")).select("id", "cand", (F.col("label") == F.col("c_label")).alias("hit"), "label", F.round(cosine(F.col("q"), F.col("embedding")), 9).alias("score"))
+    return q.join(c, "block").select("id", "cand", (F.col("label") == F.col("c_label")).alias("hit"), "label", F.round(cosine(F.col("q"), F.col("embedding")), 9).alias("score"))
 
 
-def ranking(s, d, top=None, every=False):
-    return R.ranked(blocks(s, d, every), "id", F.col("score"), ["cand"], top)
+def sides(s, d):
+    """Queries and candidates (id, label, vector), as in EVERY."""
+    e = V.table(s, d, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("vector"))
+    return e.where("id % 100 = 0"), e.where("id % 100 <> 0")
 
 
 @query("W01_occurrence", f"SELECT pos, row_number() OVER (PARTITION BY file, scope, name ORDER BY pos) - 1 AS occurrence FROM (SELECT DISTINCT ON (pos) * FROM {A} ORDER BY pos, file, scope, name)")
@@ -48,13 +51,13 @@ def _(s, d):
 
 
 @query("W03_gold_rank", f"SELECT id, min(CASE WHEN hit THEN rank END) AS gold_rank FROM {RANKED} GROUP BY 1")
-def gold_rank(s, d, every=False):
-    return R.first_hit(ranking(s, d, every=every), "id", F.col("hit"))
+def _(s, d):
+    return VEC.first_hits(*sides(s, d)).select("id", "gold_rank")
 
 
 @query("W04_top_candidates", f"SELECT id, cand, rank FROM {RANKED} WHERE rank <= 10")
-def top_candidates(s, d, every=False):
-    return ranking(s, d, 10, every).select("id", "cand", "rank")
+def _(s, d):
+    return VEC.top(*sides(s, d), 10).select("id", "cand", "rank")
 
 
 @query("W05_samples_of_split", "SELECT lang, doc_id FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS k FROM documents) WHERE k <= 3")
@@ -69,17 +72,31 @@ def _(s, d):
 
 
 @query("W07_hard_negatives", f"SELECT id, cand FROM (SELECT id, cand, row_number() OVER (PARTITION BY id ORDER BY rank) AS k FROM {RANKED} WHERE NOT hit) WHERE k <= 7")
-def hard_negatives(s, d, every=False):
-    return U.first_n(ranking(s, d, every=every).where("NOT hit").select("id", "cand", "rank"), ["id"], ["rank"], 7).select("id", "cand")
+def _(s, d):
+    return VEC.top(*sides(s, d), 7, "other").select("id", "cand")
 
 
-@query("M03_rank_evaluate", f"WITH g AS (SELECT id, label, min(CASE WHEN hit THEN rank END) AS r FROM {RANKED} WHERE rank <= 10 GROUP BY 1, 2) SELECT label, count(*) AS n, round(avg(CASE WHEN r <= 1 THEN 1.0 ELSE 0.0 END), 6) AS top1, round(avg(CASE WHEN r <= 3 THEN 1.0 ELSE 0.0 END), 6) AS top3, round(avg(CASE WHEN r <= 5 THEN 1.0 ELSE 0.0 END), 6) AS top5, round(avg(CASE WHEN r <= 5 THEN 1.0 / r ELSE 0.0 END), 6) AS mrr5 FROM g GROUP BY ROLLUP (label)")
-def rank_evaluate(s, d, every=False):
-    hits = ranking(s, d, 10, every).groupBy("id", "label").agg(F.min(F.when(F.col("hit"), F.col("rank"))).alias("gold_rank"))
+@query("M03_rank_evaluate", f"WITH g AS (SELECT id, label, min(CASE WHEN hit THEN rank END) AS r FROM {RANKED} GROUP BY 1, 2) SELECT label, count(*) AS n, round(avg(CASE WHEN r <= 1 THEN 1.0 ELSE 0.0 END), 6) AS top1, round(avg(CASE WHEN r <= 3 THEN 1.0 ELSE 0.0 END), 6) AS top3, round(avg(CASE WHEN r <= 5 THEN 1.0 ELSE 0.0 END), 6) AS top5, round(avg(CASE WHEN r <= 5 THEN 1.0 / r ELSE 0.0 END), 6) AS mrr5 FROM g GROUP BY ROLLUP (label)")
+def rank_evaluate(s, d):
+    queries, candidates = sides(s, d)
+    hits = queries.select("id", "label").join(VEC.first_hits(queries, candidates), "id", "left")
     within = [F.round(F.avg(F.when(F.col("gold_rank") <= k, 1.0).otherwise(0.0)), 6).alias(f"top{k}") for k in (1, 3, 5)]
     return hits.rollup("label").agg(F.count("*").alias("n"), *within, F.round(F.avg(F.when(F.col("gold_rank") <= 5, 1.0 / F.col("gold_rank")).otherwise(0.0)), 6).alias("mrr5"))
 
 
+#: Every seventh query has lost its vector, every fifth its label.
+SAMPLES = f"(SELECT vec_id AS id, row_number() OVER (ORDER BY vec_id) - 1 AS position, CASE WHEN vec_id // 100 % 5 <> 4 THEN label END AS label, vec_id // 100 % 7 = 3 AS lost FROM embeddings WHERE vec_id % 100 = 0)"
+
+
+@query("M03_rank_rows", f"WITH s AS {SAMPLES}, r AS (SELECT id, arg_min(of, rank) AS prediction, min(CASE WHEN hit THEN rank END) AS r, string_agg(CASE WHEN rank <= 5 THEN cand::VARCHAR END, ',' ORDER BY rank) AS cands FROM {RANKED} GROUP BY 1) SELECT position, s.id, label, CASE WHEN NOT lost THEN prediction END AS prediction, CASE WHEN NOT lost AND label IS NOT NULL THEN coalesce(r = 1, false) END AS correct, CASE WHEN NOT lost AND label IS NOT NULL THEN r END AS gold_rank, CASE WHEN NOT lost THEN cands END AS cands, CASE WHEN lost THEN 'missing vector or candidates' END AS error FROM s LEFT JOIN r USING (id)")
+def _(s, d):
+    queries, candidates = sides(s, d)
+    place = Window.partitionBy(F.lit(0)).orderBy("id")  # the samples of a run, numbered in its file
+    samples = queries.withColumn("position", F.row_number().over(place) - 1).withColumn("label", F.when(F.expr("id DIV 100 % 5 <> 4"), F.col("label"))).withColumn("vector", F.when(F.expr("id DIV 100 % 7 <> 3"), F.col("vector")))
+    rows = VEC.rank_batch(samples, candidates, 5)
+    return rows.withColumn("cands", F.array_join(F.transform("ranking", lambda x: x["cand"].cast("string")), ",")).drop("ranking")
+
+
 @query("M02_contrastive_loss", f"WITH p AS (SELECT id, cand, score / 0.07::DOUBLE AS s, row_number() OVER (PARTITION BY id ORDER BY hit DESC, cand) = 1 AND hit AS pos FROM {BLOCKS}), m AS (SELECT id, max(s) AS m, max(CASE WHEN pos THEN s END) AS p FROM p GROUP BY 1) SELECT p.id, round(ln(sum(exp(s - m.m))) + m.m - m.p, 5) AS loss FROM p JOIN m USING (id) WHERE m.p IS NOT NULL GROUP BY p.id, m.m, m.p")
 def _(s, d):
     first = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("hit"), "cand"))
@@ -98,11 +115,9 @@ def _(s, d):
     return V.table(s, d, "conversations").select("conv_id", "turn", F.size(F.slice(w, 1, 40)).cast("long").alias("kept"), (F.size(w) > 40).alias("cut"))
 
 
-@query("T01_dedup_then_limit", f"SELECT id, label, score FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, label) AS k FROM (SELECT id, c.label, max(b.score) AS score FROM {BLOCKS} b JOIN embeddings c ON c.vec_id = b.cand GROUP BY 1, 2)) WHERE k <= 5")
-def dedup_then_limit(s, d, every=False):
-    labels = V.table(s, d, "embeddings").select(F.col("vec_id").alias("cand"), F.col("label").alias("of"))
-    best = blocks(s, d, every).join(labels, "cand").groupBy("id", F.col("of").alias("label")).agg(F.max("score").alias("score"))
-    return U.first_n(best, ["id"], [F.desc("score"), "label"], 5)
+@query("T01_dedup_then_limit", f"SELECT id, label, score FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, label) AS k FROM (SELECT id, of AS label, max(score) AS score FROM {EVERY} GROUP BY 1, 2)) WHERE k <= 5")
+def _(s, d):
+    return VEC.top_labels(*sides(s, d), 5).select("id", "label", "score")
 
 
 @query("T02_stable_ties", "SELECT package, key FROM (SELECT p_partkey AS key, 'pkg' || (p_partkey % 25) AS package, row_number() OVER (PARTITION BY p_partkey % 25 ORDER BY p_size DESC, p_partkey) AS k FROM part) WHERE k <= 20")
@@ -176,8 +191,3 @@ def _(s, d):
 def _(s, d):
     kb = V.KB(s, d).select("kind", "name", "key")
     return U.union_first_wins([kb, kb.withColumn("name", F.upper("name"))], [F.col("kind"), F.lower("name")], ["key"]).select("kind", F.lower("name").alias("low"), "key")
-
-
-#: The same over every candidate. DuckDB's SQL above stays within blocks; tests hold these against brute force.
-for _name, _of in (("W03_gold_rank", gold_rank), ("W04_top_candidates", top_candidates), ("W07_hard_negatives", hard_negatives), ("M03_rank_evaluate", rank_evaluate), ("T01_dedup_then_limit", dedup_then_limit)):
-    query(f"{_name}_all")(partial(_of, every=True))

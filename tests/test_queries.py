@@ -124,7 +124,7 @@ BRUTE = {
     "J15_module_inventory": inventory,
     "F12_normalize_recommendations": recommendations,
 }
-OWN_TESTS = {"J14_structural_bm25_top20_identifiers", "M03_rank_evaluate_all", "T01_dedup_then_limit_all", "W03_gold_rank_all", "W04_top_candidates_all", "W07_hard_negatives_all"}
+OWN_TESTS = {"J14_structural_bm25_top20_identifiers"}
 
 
 @pytest.mark.parametrize("name", sorted(set(entry.queries()) - LLM))
@@ -143,34 +143,6 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
-def test_rankings_over_every_candidate(spark):
-    import numpy as np
-
-    e = pd.read_parquet(f"{SF}/embeddings.parquet").sort_values("vec_id")
-    ids, labels, x = e.vec_id.to_numpy(), e.label.to_numpy(), np.stack(e.embedding.to_numpy()).astype(float)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    c = np.flatnonzero(ids % 100 != 0)
-    ranks, tops, negatives, best, gold = {}, set(), set(), set(), []
-    for q in np.flatnonzero(ids % 100 == 0):
-        score = np.round(x[c] @ x[q], 9)
-        order = c[np.lexsort((ids[c], -score))]
-        hits = np.flatnonzero(labels[order] == labels[q])
-        ranks[int(ids[q])] = int(hits[0]) + 1 if len(hits) else None
-        gold.append(hits[0] + 1 if len(hits) and hits[0] < 10 else np.inf)
-        tops |= {(int(ids[q]), int(ids[k]), r + 1) for r, k in enumerate(order[:10])}
-        negatives |= {(int(ids[q]), int(k)) for k in ids[[k for k in order if labels[k] != labels[q]][:7]]}
-        by_label = sorted((-score[labels[c] == v].max(), v) for v in set(labels[c]))[:5]
-        best |= {(int(ids[q]), int(v)) for _, v in by_label}
-    run = {k: entry.queries()[f"{k}_all"](spark, SF).collect() for k in ("W03_gold_rank", "W04_top_candidates", "W07_hard_negatives", "T01_dedup_then_limit", "M03_rank_evaluate")}
-    assert {r.id: r.gold_rank for r in run["W03_gold_rank"]} == ranks
-    assert {(r.id, r.cand, r.rank) for r in run["W04_top_candidates"]} == tops and any(a // 100 != b // 100 for a, b, _ in tops)
-    assert {(r.id, r.cand) for r in run["W07_hard_negatives"]} == negatives
-    assert {(r.id, r.label) for r in run["T01_dedup_then_limit"]} == best
-    overall = next(r for r in run["M03_rank_evaluate"] if r.label is None)
-    assert overall.n == len(gold) and abs(overall.mrr5 - np.mean([1 / g if g <= 5 else 0 for g in gold])) < 1e-6
-    assert sorted(map(tuple, entry.entry(spark).collect()), key=str) == sorted(map(tuple, run["M03_rank_evaluate"]), key=str) or SF != "/root/testdata/sf0.001"
-
-
 def test_structural_ranking_of_identifiers(spark, tmp_path):
     docs = [(0, "return foo.bar(x)"), (100, "self import def"), (7, "foo")]
     items = [(i, "foo.bar(y)") for i in range(30)] + [(40, "foo, 1bar"), (41, "Bar[foo.x]"), (42, "return self"), (43, "nothing_here")]
