@@ -9,6 +9,7 @@ from ..functions import similarity as S
 from ..functions import text as X
 from ..functions.names import fuzzy, ratio
 from ..operators import joins as J
+from ..operators.term_search import top_bm25
 from . import views as V
 from .q_similarity import CX, CY, bm25_sql, dice_sql, words
 from .q_text import STRICT
@@ -131,12 +132,11 @@ def _identifiers(text):
     return F.filter(found, lambda x: ~x.isin(STOP_WORDS))
 
 
-def _bm25_matches(s, d, above, tokens=_words, items=None):
-    """Documents whose id is divisible by 100 against all items, by common words."""
-    q = V.table(s, d, "documents").where("doc_id % 100 = 0").select("doc_id", tokens("text").alias("t"))
-    c = (V.table(s, d, "benchmark") if items is None else items).select("item_id", tokens("text").alias("t"))
-    scored = J.bm25_scores(J.term_counts(q, "doc_id", "t"), "doc_id", J.term_counts(c, "item_id", "t"), "item_id")
-    return scored.select("doc_id", "item_id", F.round("score", 6).alias("score")).where(F.col("score") > above)
+def _bm25_matches(s, d, k, above, tokens=_words, items=None):
+    """The k best items over a score for each document whose id is divisible by 100, by common words."""
+    q = V.table(s, d, "documents").where("doc_id % 100 = 0").select(F.col("doc_id").alias("id"), tokens("text").alias("tokens"))
+    c = (V.table(s, d, "benchmark") if items is None else items).select(F.col("item_id").alias("id"), tokens("text").alias("tokens"))
+    return top_bm25(q, c, k, above).select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "score", "rank")
 
 
 BM = bm25_sql(f"SELECT doc_id, item_id, xt, yt FROM {QUERY_DOCS}, {ITEMS}", "doc_id, item_id") + ", r AS (SELECT doc_id, item_id, round(((xy + yx) / 2) / ((xy + yx) / 2 + 1), 6) AS score FROM t)"
@@ -144,29 +144,25 @@ BM = bm25_sql(f"SELECT doc_id, item_id, xt, yt FROM {QUERY_DOCS}, {ITEMS}", "doc
 
 @query("J12_bm25_classes_top5", BM + " SELECT doc_id, item_id, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, item_id) AS k FROM r WHERE score > 0.5) WHERE k <= 5")
 def _(s, d):
-    m = _bm25_matches(s, d, 0.5)
-    return m.withColumn("k", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "item_id"))).where("k <= 5").drop("k")
+    return _bm25_matches(s, d, 5, 0.5).drop("rank")
 
 
 @query("J14_structural_bm25_top20", BM + " SELECT doc_id, item_id, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, item_id) AS k FROM r WHERE score > 0.1) WHERE k <= 20")
 def _(s, d):
-    m = _bm25_matches(s, d, 0.1)
-    return m.withColumn("k", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "item_id"))).where("k <= 20").drop("k")
+    return _bm25_matches(s, d, 20, 0.1).drop("rank")
 
 
 @query("J14_structural_bm25_top20_identifiers")
 def _(s, d):
     """Over identifiers, and of equal definitions the first only. J14's SQL has words and every copy."""
     items = V.table(s, d, "benchmark").groupBy("text").agg(F.min("item_id").alias("item_id"))
-    m = _bm25_matches(s, d, 0.1, _identifiers, items)
-    return m.withColumn("k", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "item_id"))).where("k <= 20").drop("k")
+    return _bm25_matches(s, d, 20, 0.1, _identifiers, items).drop("rank")
 
 
 @query("T07_best_under_threshold", BM + " SELECT doc_id, item_id, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, item_id) AS k, max(score) OVER (PARTITION BY doc_id) AS best FROM r WHERE score > 0.3) WHERE k <= 5 AND best >= 0.5")
 def _(s, d):
-    w = Window.partitionBy("doc_id")
-    m = _bm25_matches(s, d, 0.3).withColumn("k", F.row_number().over(w.orderBy(F.desc("score"), "item_id"))).withColumn("best", F.max("score").over(w))
-    return m.where("k <= 5 AND best >= 0.5").select("doc_id", "item_id", "score")
+    best = F.max("score").over(Window.partitionBy("doc_id"))
+    return _bm25_matches(s, d, 5, 0.3).withColumn("best", best).where("best >= 0.5").select("doc_id", "item_id", "score")
 
 
 SEEDS = V.View("supplier", {"project": "s_nationkey", "seed": "CASE WHEN s_suppkey % 2 = 0 THEN 'pkg' || CAST(s_suppkey % 25 AS VARCHAR(20)) || '.C' || CAST(s_suppkey % 400 AS VARCHAR(20)) ELSE 'C' || CAST(s_suppkey % 400 AS VARCHAR(20)) END", "rank": "s_suppkey % 50"})
@@ -306,7 +302,7 @@ def _(s, d):
 
 @query("J31_imported_or_similar", BM + " SELECT doc_id, item_id, 'similar' AS why FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, item_id) AS k FROM r WHERE score > 0.5) WHERE k <= 5 UNION SELECT doc_id, doc_id // 100 AS item_id, 'imported' FROM documents WHERE doc_id % 100 = 0 AND doc_id // 100 IN (SELECT item_id FROM benchmark)")
 def _(s, d):
-    m = _bm25_matches(s, d, 0.5).withColumn("k", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "item_id"))).where("k <= 5")
+    m = _bm25_matches(s, d, 5, 0.5)
     imported = V.table(s, d, "documents").where("doc_id % 100 = 0").select("doc_id", F.expr("doc_id DIV 100").alias("item_id")).join(V.table(s, d, "benchmark").select("item_id"), "item_id", "left_semi")
     return m.select("doc_id", "item_id", F.lit("similar").alias("why")).union(imported.select("doc_id", "item_id", F.lit("imported"))).distinct()
 
