@@ -13,8 +13,9 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WHITE = np.zeros(256, dtype=bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
@@ -276,6 +277,10 @@ def join_heavy(rows: DataFrame, keyed: DataFrame, key: str, weight: str, total:
     return joined.unionByName(rows.join(F.broadcast(keyed.where(hot).select(key)), key, "left_anti").join(light, key))
 
 
+#: Rounds of connected_components; each shrinks paths to half their length or less, so 60 serve any table.
+ROUNDS = 60
+
+
 def connected_components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(node, root) of every node that has an edge; root is the smallest node reached. edges: two long columns.
 
@@ -285,7 +290,7 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str) -> DataF
     kept = None
     now = edges.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).where("hi <> lo").distinct()
     was = None
-    for i in range(60):
+    for i in range(ROUNDS):
         if i:
             both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(now.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
             least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
@@ -302,10 +307,37 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str) -> DataF
         if state == was or not state[0]:
             break
         was = state
+    else:
+        raise RuntimeError(f"components of {name} haven't converged after {ROUNDS} rounds")
     stars = now.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
     return stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
 
 
+def one_of_each(rows: DataFrame, keys: dict[str, Column], marks: DataFrame) -> DataFrame:
+    """rows without those that marks names, but one row of those that it names as `again`.
+
+    keys: names in marks (which has each combination once, null being a value) and the columns of rows they stand for. Only rows
+    that are named as repeated are put together, combined on the map side; of these the one with the least hash stays.
+    """
+    p = fresh(rows, *keys, "again", "row")
+    named = marks.select(*[F.col(k).alias(f"{p}{k}") for k in keys], F.col("again").alias(f"{p}again"))
+    own = rows.select("*", *[c.alias(f"{p}{p}{k}") for k, c in keys.items()])
+    drop = [f"{p}{p}{k}" for k in keys]
+
+    def same(found: DataFrame):
+        on = None
+        for k in keys:
+            each = own[f"{p}{p}{k}"].eqNullSafe(found[f"{p}{k}"])
+            on = each if on is None else on & each
+        return on
+
+    repeated = named.where(f"{p}again")
+    more = own.join(repeated, same(repeated), "left_semi")
+    hashed = [c for c in rows.columns if not isinstance(rows.schema[c].dataType, (T.MapType, T.VariantType))]
+    first = F.min_by(F.struct(*[F.col(c) for c in rows.columns]), F.xxhash64(*hashed) if hashed else F.lit(0)).alias(f"{p}row")
+    return own.join(named, same(named), "left_anti").drop(*drop).unionByName(more.groupBy(*drop).agg(first).select(f"{p}row.*"))
+
+
 def least_reached(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """For each of n rows the first one that the links i - j reach from it."""
     least = np.arange(n)

@@ -15,7 +15,8 @@ At the threshold a pair meets in one table with a chance of about 0.5 (measured
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing; vectors of
 different length don't link; repeated rows count one by one; a null vec_id comes last in choosing the smallest id; near_dedup
-decides on each (vec_id, vector) by itself; an empty table gives no rows; extra columns don't matter.
+keeps one row of each component, and of rows that are equal in id and vector, so a table loaded twice gives what it gives
+once; an empty table gives no rows; extra columns don't matter.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import blocks
-from .common import BASE, Scratch, connected_components, fresh, frugal, join_heavy, mix, per_worker, slices
+from .common import BASE, Scratch, connected_components, frugal, join_heavy, mix, one_of_each, per_worker, slices
 
 THRESHOLD = 0.95
 TABLES = 8
@@ -41,6 +42,8 @@ SPREAD = 0.6
 SEED = 5
 #: Pairs that are looked at at once.
 STRIP = 1 << 14
+#: So far from the threshold no order of summing matters.
+NEAR = 1e-9
 
 
 def _shortest() -> np.ndarray:
@@ -133,6 +136,20 @@ def _padded(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return out, sizes
 
 
+def linked_pairs(unit: np.ndarray, i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether the cosine of rows i and j is at least the threshold. Near it they are summed in the order of the components, so that
+    it doesn't matter which rows are looked at together."""
+    found = _cosines(unit, i, j)
+    near = np.flatnonzero(np.abs(found - threshold) < NEAR)
+    for a in range(0, len(near), STRIP):
+        some = near[a : a + STRIP]
+        x, y, total = unit[i[some]], unit[j[some]], np.zeros(len(some))
+        for k in range(unit.shape[1]):
+            total += x[:, k] * y[:, k]
+        found[some] = total
+    return found >= threshold
+
+
 def _cosines(unit: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     if len(i) > 8 * len(unit) and len(unit) <= 4 * blocks.CHUNK:
         return (unit @ unit.T)[i, j]
@@ -168,7 +185,7 @@ def _similar(rows: DataFrame, scratch: Scratch, id_col: str, vector_col: str, th
     chosen = rows.select(F.col(id_col).alias("vec_id"), _digest(F.col(vector_col)).alias("digest"), F.col(vector_col).alias("vector"))
     found = scratch.save(chosen.mapInArrow(frugal(hashed), f"vec_id {kind}, digest binary, node binary, vector array<double>, cells array<long>"), "vectors")
     known = found.where("node IS NOT NULL")
-    nodes = scratch.save(known.groupBy("node").agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult"), F.first("vector").alias("vector"), F.first("cells").alias("cells")), "nodes")
+    nodes = scratch.save(known.groupBy("node").agg(F.min(F.struct(F.col("vec_id").isNull().alias("unknown"), "vec_id", "digest")).alias("best"), F.count("*").alias("mult"), F.first("vector").alias("vector"), F.first("cells").alias("cells")).withColumn("rep", F.col("best.vec_id")), "nodes")
 
     # a cell's number tells its table too
     each = nodes.select("node", F.posexplode("cells").alias("at", "cell")).select("node", "cell", F.expr(f"at DIV {1 + probes}").cast("int").alias("tab"), (F.col("at") % (1 + probes) == 0).alias("home"))
@@ -178,7 +195,7 @@ def _similar(rows: DataFrame, scratch: Scratch, id_col: str, vector_col: str, th
 
     def linked(table: pa.Table, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         unit, sizes = _padded(table.column("vector"))
-        good = np.flatnonzero((_cosines(unit, i, j) >= threshold) & (sizes[i] == sizes[j]))
+        good = np.flatnonzero(linked_pairs(unit, i, j, threshold) & (sizes[i] == sizes[j]))
         out = np.zeros(len(i), dtype=bool)
         tab, cell = table.column("tab").to_numpy(), table.column("cell").to_numpy()
         for t in range(tables):  # a pair counts in the first table in which it meets, so few are left after each
@@ -201,31 +218,33 @@ def _similar(rows: DataFrame, scratch: Scratch, id_col: str, vector_col: str, th
         return out
 
     verified = scratch.save(blocks.verify(dealt, ["cell"], linked), "verified")
-    groups = connected_components(blocks.edges(verified), scratch, "links").join(nodes.select("node", "rep"), "node")
-    least = groups.groupBy("root").agg(F.min("rep").alias("component"))
+    groups = connected_components(blocks.edges(verified), scratch, "links").join(nodes.select("node", "best"), "node")
+    least = groups.groupBy("root").agg(F.min("best").alias("component"))
     grouped = groups.join(least, "root").select("node", "component")
-    of_node = nodes.select("node", "rep", "mult").join(blocks.per_node(verified), "node", "left").join(grouped, "node", "left")
-    of_node = of_node.select("node", "mult", (F.col("mult") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.when(F.col("component").isNull(), F.col("rep")).otherwise(F.col("component")).alias("component_id"))
+    of_node = nodes.select("node", "best", "mult").join(blocks.per_node(verified), "node", "left").join(grouped, "node", "left")
+    of_node = of_node.select("node", "mult", (F.col("mult") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "best").alias("won"))
+    of_node = of_node.select("node", "mult", "n_links", F.col("won.vec_id").alias("component_id"), F.col("won.digest").alias("component_digest"))
     of_node = scratch.save(of_node, "of-node")
     scratch.keep_only("vectors", "of-node")
     total = of_node.agg(F.sum("mult")).first()[0] or 0
-    columns = ["vec_id", "digest", "n_links", "component_id"]
-    alone = found.where("node IS NULL").select("vec_id", "digest", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    columns = ["vec_id", "digest", "n_links", "component_id", "component_digest"]
+    alone = found.where("node IS NULL").select("vec_id", "digest", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("digest").alias("component_digest"))
     return join_heavy(known.select("vec_id", "digest", "node"), of_node, "node", "mult", total).select(*columns).unionByName(alone)
 
 
 def similar_vectors(rows: DataFrame, scratch: Scratch, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, tables: int = TABLES, parts: int = PARTS, probes: int = PROBES, spread: float = SPREAD, seed: int = SEED) -> DataFrame:
     """(vec_id, n_links, component_id), a row for each row."""
-    return _similar(rows, scratch, id_col, vector_col, threshold, tables, parts, probes, spread, seed).drop("digest")
+    return _similar(rows, scratch, id_col, vector_col, threshold, tables, parts, probes, spread, seed).drop("digest", "component_digest")
 
 
 def near_dedup(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows whose id is the smallest of their component, with all their columns."""
-    p = fresh(rows, "id", "digest", "vector")
-    found = _similar(rows, Scratch(rows.sparkSession), id_col, vector_col, threshold, TABLES, PARTS, PROBES, SPREAD, SEED)
-    gone = found.where("NOT vec_id <=> component_id").select(F.col("vec_id").alias(f"{p}id"), F.col("digest").alias(f"{p}digest")).distinct()
-    each = rows.withColumn(f"{p}vector", _digest(F.col(vector_col)))
-    return each.join(gone, each[id_col].eqNullSafe(gone[f"{p}id"]) & (each[f"{p}vector"] == gone[f"{p}digest"]), "left_anti").drop(f"{p}vector")
+    """One row of each component, that of the smallest id, with all its columns."""
+    scratch = Scratch(rows.sparkSession)
+    found = _similar(rows, scratch, id_col, vector_col, threshold, TABLES, PARTS, PROBES, SPREAD, SEED)
+    stays = F.col("vec_id").eqNullSafe(F.col("component_id")) & (F.col("digest") == F.col("component_digest"))
+    marks = found.groupBy("vec_id", "digest").agg(F.first(stays).alias("again"), F.count("*").alias("n")).where("n > 1 OR NOT again")
+    marks = scratch.save(marks.select("vec_id", "digest", "again"), "marks")
+    return one_of_each(rows, {"vec_id": F.col(id_col), "digest": _digest(F.col(vector_col))}, marks)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

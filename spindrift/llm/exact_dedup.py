@@ -9,8 +9,8 @@
 
 Defined cases: a null text counts as empty, and all empty texts are one group. Of equal lengths the smallest doc_id stays;
 a null doc_id comes after all others. Rows repeated with one doc_id count one by one in group_size. `exact_dedup` decides on
-each (doc_id, text, length) by itself, so null and repeated doc_ids lose no text; rows that are equal in all three stay or go
-together. An empty table gives an empty result. Extra columns are kept by `exact_dedup` and don't matter.
+each (doc_id, text, length) by itself, so null and repeated doc_ids lose no text, and of rows that are equal in all three one
+stays: a table loaded twice gives what it gives once. An empty table gives an empty result. Extra columns are kept by `exact_dedup` and don't matter.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, fresh
+from .common import Scratch, one_of_each
 
 #: Deleted before texts are compared: space and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -105,14 +105,13 @@ def classes(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col:
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", heavy: int = HEAVY) -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
-    p = fresh(docs, "doc_id", "digest", "length", "id", "of", "size")
-    found = _classes(docs, Scratch(docs.sparkSession), id_col, text_col, heavy).where("NOT (doc_id <=> keep_id AND length = keep_length)")
-    gone = found.select(*[F.col(c).alias(f"{p}{c}") for c in ("doc_id", "digest", "length")]).distinct()
-    _, digest, length = _hashed(docs, id_col, text_col)
-    rows = docs.withColumn(f"{p}of", digest).withColumn(f"{p}size", length)
-    same = rows[id_col].eqNullSafe(gone[f"{p}doc_id"]) & (rows[f"{p}of"] == gone[f"{p}digest"]) & (rows[f"{p}size"] == gone[f"{p}length"])
-    return rows.join(gone, same, "left_anti").drop(f"{p}of", f"{p}size")
+    """One row of each group, with all its columns."""
+    scratch = Scratch(docs.sparkSession)
+    keys = ["doc_id", "digest", "length"]
+    stays = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("length") == F.col("keep_length"))
+    found = _classes(docs, scratch, id_col, text_col, heavy).groupBy(*keys).agg(F.first(stays).alias("again"), F.count("*").alias("n"))
+    marks = scratch.save(found.where("n > 1 OR NOT again").select(*keys, "again"), "marks")
+    return one_of_each(docs, dict(zip(keys, _hashed(docs, id_col, text_col), strict=True)), marks)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -3,11 +3,12 @@
 1. Texts become sets of hashed five-word shingles (64 bits; words split at white space, ASCII letters in lower case). Texts
    with equal sets are one class, a node with a weight; the rest works on nodes.
 2. The forest has `TREES` prefix tries. A node's signature in a tree is `DEPTH` min-hash values; a trie node is a prefix of it.
-   Each node starts with its whole signature in every tree and counts whom it meets at prefixes of `SHORT` values. Its
-   prefixes are then shortened to those, tree by tree and where it meets fewest first, until the chance that a pair at the
-   threshold meets in some tree reaches `RECALL` (pairs above it meet more surely). So a node among few others gets short
-   prefixes for nothing, and one in a crowd gets them where the crowd is smallest.
-3. Two nodes are candidates in the first tree in which they share a whole signature, or a short prefix that one of them was
+   Each node starts with its whole signature in every tree and counts whom it would meet at shorter prefixes, down to `SHORT`
+   values. Only trees in which it meets anyone count. There prefixes are shortened by one value at a time, always where the
+   crowd is small, and then by growing crowds until a pair at the threshold meets in one of these trees with a chance of
+   `RECALL` (see `depths`). Crowds of one size class are taken in a random order, so that a partner, who makes each crowd that
+   it is in larger by one, can't thereby lose its place.
+3. Two nodes are candidates in the first tree in which they share a whole signature, or a shorter prefix that one of them was
    shortened to. Trie nodes are worked through in sorted runs, in blocks of bounded size. First, over signatures alone: a pair
    that agrees in less than half of all values goes (at a similarity of 0.8 the chance of that is 1e-11). No pair is written.
 4. Shingle sets of nodes that are still in a candidate pair are made from their texts and compared exactly, in blocks that
@@ -19,8 +20,8 @@ links cost. A 64-bit collision of shingles is the only way to a wrong count.
 
 Defined cases: texts of fewer than five words have one shingle of all their words; null texts and texts without a word have
 no shingle and link with nothing, not even each other. Rows repeated with one doc_id count one by one as copies; near_dedup
-decides on each (doc_id, text) by itself, so a text is only lost where its own group keeps another row. A null doc_id comes
-last in choosing a class's or group's smallest id. An empty table gives no rows; extra columns don't matter.
+keeps one row of each group, and of rows that are equal in doc_id and text, so a table loaded twice gives what it gives once.
+A null doc_id comes last in choosing a class's or group's smallest id. An empty table gives no rows; extra columns don't matter.
 """
 
 from __future__ import annotations
@@ -34,15 +35,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import blocks
-from .common import BASE, Scratch, connected_components, documents, fresh, frugal, join_heavy, mix, parts, shingle_hashes, slices
+from .common import BASE, Scratch, connected_components, documents, frugal, join_heavy, mix, one_of_each, parts, shingle_hashes, slices
 
 WIDTH = 5
 THRESHOLD = 0.8
 TREES = 16
-#: Values of a whole signature of a tree, and of the prefix that it is shortened to.
+#: Values of a whole signature of a tree, and of the shortest prefix that it is shortened to.
 DEPTH = 6
 SHORT = 4
 RECALL = 0.998
+LEVELS = range(SHORT, DEPTH + 1)
+#: Crowds of at most so many nodes are always worth a shorter prefix.
+FEW = 64
 #: Shingles of a chunk, about.
 CHUNK_SHINGLES = 500_000
 #: Shingles that are turned into a matrix at once.
@@ -51,20 +55,37 @@ STRIP = 2048
 PAIRS = 1 << 14
 
 
-def short_trees(threshold: float = THRESHOLD, recall: float = RECALL, trees: int = TREES) -> int:
-    """In how many trees a node's prefix must be shortened for the recall; raises if not even all are enough."""
-    for n in range(trees + 1):
-        if 1 - (1 - threshold**SHORT) ** n * (1 - threshold**DEPTH) ** (trees - n) >= recall:
-            return n
-    raise ValueError(f"{trees} trees don't reach a recall of {recall} at {threshold}")
+def depths(crowds: np.ndarray, salt: int, threshold: float = THRESHOLD, recall: float = RECALL) -> np.ndarray:
+    """How many values each tree's prefix of a node keeps. crowds: nodes that share its prefixes of SHORT, SHORT + 1, ... values, by tree.
+
+    All trees given have a crowd, so a partner may be in each. A pair at the threshold meets at d values with a chance of
+    threshold ** d; prefixes fall by one value at a time, in the order of the crowd's power of two, until the chance that it
+    meets in no tree is 1 - recall at most.
+    """
+    kept = np.full(len(crowds), DEPTH)
+    if crowds[:, 0].max(initial=0) <= FEW:
+        return np.full(len(crowds), SHORT)
+    missed = (1 - threshold**DEPTH) ** len(crowds)
+    tree, level = np.divmod(np.arange(crowds.size), crowds.shape[1])
+    depth = SHORT + level
+    tie = mix((np.arange(crowds.size, dtype=np.uint64) + np.uint64(salt)) * np.uint64(BASE))
+    size = np.maximum(np.ceil(np.log2(np.maximum(crowds.ravel(), 1))), np.log2(FEW))
+    for k in np.lexsort((tie, -depth, size)):
+        if size[k] > np.log2(FEW) and missed <= 1 - recall:
+            break
+        if depth[k] < kept[tree[k]]:
+            missed *= (1 - threshold ** int(depth[k])) / (1 - threshold ** int(kept[tree[k]]))
+            kept[tree[k]] = depth[k]
+    return kept
 
 
 def trees_for(threshold: float, recall: float = RECALL) -> int:
-    """At least TREES, and as many as the threshold needs."""
+    """At least TREES, and as many as the threshold needs; raises if not even the most are enough."""
     n = TREES
-    while 1 - (1 - threshold**SHORT) ** n < recall and n < 62:
+    while 1 - (1 - threshold**SHORT) ** n < recall:
         n += 1
-    short_trees(threshold, recall, n)
+        if n > 62:
+            raise ValueError(f"62 trees don't reach a recall of {recall} at {threshold}")
     return n
 
 
@@ -121,51 +142,78 @@ def stacked(column: pa.Array, trees: int) -> np.ndarray:
 
 
 def in_trees(nodes: DataFrame, trees: int) -> DataFrame:
-    """(node, tree, short, whole): numbers of the prefixes of each node in each tree."""
+    """(node, tree, at_4, at_5, ...): numbers of the prefixes of each node in each tree, of SHORT values to DEPTH."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 2048):
             flat = stacked(b.column(1), trees).reshape(-1, DEPTH)
             at, tree = np.divmod(np.arange(len(flat)), trees)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(tree, pa.int32()), pa.array(prefixes(flat, tree, SHORT)), pa.array(prefixes(flat, tree, DEPTH))], ["node", "tree", "short", "whole"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(tree, pa.int32()), *[pa.array(prefixes(flat, tree, d)) for d in LEVELS]], ["node", "tree", *[f"at_{d}" for d in LEVELS]])
+
+    return nodes.select("node", "signature").mapInArrow(frugal(run), "node binary, tree int, " + ", ".join(f"at_{d} long" for d in LEVELS))
 
-    return nodes.select("node", "signature").mapInArrow(frugal(run), "node binary, tree int, short long, whole long")
+
+def shortened_to(per: DataFrame, threshold: float, recall: float) -> DataFrame:
+    """(node, to_4, to_5, ...) of (node, crowds): bits of the trees in which a node's prefix has at most so many values."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bits = np.zeros((len(LEVELS) - 1, b.num_rows), dtype=np.int64)
+            crowds, salts = b.column(1), [int.from_bytes(x[:7], "little") for x in b.column(0).to_pylist()]
+            at, each = crowds.offsets.to_numpy(), crowds.values
+            tree, counts = each.field("tree").to_numpy().astype(np.int64), np.column_stack([each.field(f"n_{d}").to_numpy() for d in LEVELS[:-1]])
+            for i in range(b.num_rows):
+                mine = slice(at[i], at[i + 1])
+                kept = depths(counts[mine], salts[i], threshold, recall)
+                for k, d in enumerate(LEVELS[:-1]):
+                    bits[k, i] = np.bitwise_or.reduce(np.int64(1) << tree[mine][kept <= d], initial=0)
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(x) for x in bits]], ["node", *[f"to_{d}" for d in LEVELS[:-1]]])
+
+    return per.mapInArrow(frugal(run), "node binary, " + ", ".join(f"to_{d} long" for d in LEVELS[:-1]))
 
 
 def trie_nodes(nodes: DataFrame, scratch: Scratch, threshold: float, recall: float, trees: int) -> tuple[DataFrame, DataFrame]:
-    """(node, shortened): bits of the trees in which a node's prefix is shortened. (trie, tree, node, n): trie nodes with n > 1 nodes each."""
+    """(node, to_4, to_5): bits of the trees in which a node's prefix is shortened. (trie, tree, node, n): trie nodes with n > 1 nodes each."""
     each = in_trees(nodes, trees)
     total = trees * nodes.count()
-    crowds = scratch.save(each.groupBy("short").agg(F.count("*").alias("n")).where("n > 1"), "crowds")
-    met = scratch.save(each.join(crowds, "short"), "met")  # adaptive execution splits what is skewed here
-    # trees in which a node meets nobody are shortened for nothing, then those in which it meets fewest
-    order = F.array_sort(F.collect_list(F.struct("n", "tree")))
-    per = met.groupBy("node").agg(order.alias("order"))
-    some = F.slice("order", F.lit(1), F.greatest(F.lit(0), F.lit(short_trees(threshold, recall, trees)) - (F.lit(trees) - F.size("order"))))
-    bits = F.aggregate(some, F.lit(0).cast("long"), lambda total, x: total + F.pow(F.lit(2.0), x["tree"]).cast("long"))
-    shortened = scratch.save(per.select("node", bits.alias("shortened")), "shortened")
-    bit = F.pow(F.lit(2.0), F.col("tree")).cast("long")
-    rows = met.join(shortened, "node").withColumn("is_short", F.col("shortened").bitwiseAND(bit) != 0)
-    rows = scratch.save(rows.select("node", "tree", "short", "whole", "n", "is_short"), "placed")
-    # a short prefix is a trie node to work through if anyone was shortened to it; else whole signatures are
-    used = scratch.save(rows.groupBy("short").agg(F.max("is_short").alias("used"), F.first("n").alias("n")).where("used").select("short", "n"), "used")
-    by_short = join_heavy(rows.drop("n"), used, "short", "n", total).select(F.col("short").alias("trie"), "tree", "node", "n")
-    rest = rows.join(used.select("short"), "short", "left_anti").select(F.col("whole").alias("trie"), "tree", "node")
-    rest = scratch.save(rest, "rest")
-    equal = scratch.save(rest.groupBy("trie").agg(F.count("*").alias("n")).where("n > 1"), "equal")
-    return shortened, by_short.unionByName(join_heavy(rest, equal, "trie", "n", total).select("trie", "tree", "node", "n"))
-
-
-def candidates(signature: np.ndarray, shortened: np.ndarray, tree: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Which pairs of rows are candidates in their tree and in none before it, and agree in half of all values at least."""
+    for d in LEVELS[:-1]:  # whoever is alone at a short prefix is alone at a longer one
+        crowds = scratch.save(each.groupBy(f"at_{d}").agg(F.count("*").alias(f"n_{d}")).where(f"n_{d} > 1" if d == SHORT else "true"), f"crowds-{d}")
+        each = scratch.save(join_heavy(each, crowds, f"at_{d}", f"n_{d}", total), f"met-{d}")
+    per = each.groupBy("node").agg(F.collect_list(F.struct("tree", *[f"n_{d}" for d in LEVELS[:-1]])).alias("crowds"))
+    shortened = scratch.save(shortened_to(per, threshold, recall), "shortened")
+    bit = F.expr("shiftleft(1L, tree)")
+    rows = each.join(shortened, "node")
+    rows = scratch.save(rows.select("node", "tree", *[f"at_{d}" for d in LEVELS], *[f"n_{d}" for d in LEVELS[:-1]], *[(F.col(f"to_{d}").bitwiseAND(bit) != 0).alias(f"to_{d}") for d in LEVELS[:-1]]), "placed")
+    placed = None
+    for d in LEVELS:
+        # a prefix is a trie node to work through if anyone was shortened to it; else the next longer ones are
+        at, n = f"at_{d}", f"n_{d}"
+        counted = rows.groupBy(at).agg(F.max(f"to_{d}").alias("used"), F.max(n).alias("n")).where("used") if d < DEPTH else rows.groupBy(at).agg(F.count("*").alias("n"))
+        used = scratch.save(counted.where("n > 1").select(at, "n"), f"used-{d}")
+        here = join_heavy(rows.select(at, "tree", "node"), used, at, "n", total).select(F.col(at).alias("trie"), "tree", "node", "n")
+        placed = here if placed is None else placed.unionByName(here)
+        if d < DEPTH:
+            rows = scratch.save(rows.join(used.select(at), at, "left_anti"), f"rest-{d}")
+    return shortened, placed
+
+
+def candidates(signature: np.ndarray, shortened: list[np.ndarray], tree: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which pairs of rows are candidates in their tree and in none before it, and agree in half of all values at least.
+
+    shortened: bits of the trees in which a row's prefix has SHORT values, SHORT + 1 at most, and so on.
+    """
     n, trees, _ = signature.shape
     short = np.ascontiguousarray(signature[:, :, :SHORT]).view(np.uint64).reshape(n, trees)
-    rest = np.ascontiguousarray(signature[:, :, SHORT:]).view(np.uint32).reshape(n, trees)
     flat, bits = signature.reshape(n, -1), np.int64(1) << np.arange(trees, dtype=np.int64)
     out = np.zeros(len(i), dtype=bool)
     for a in range(0, len(i), PAIRS):
         x, y = i[a : a + PAIRS], j[a : a + PAIRS]
-        meets = (short[x] == short[y]) & (((shortened[x] | shortened[y])[:, None] & bits != 0) | (rest[x] == rest[y]))
+        shared = short[x] == short[y]
+        meets = np.zeros_like(shared)
+        for k in range(DEPTH - SHORT):
+            meets |= shared & ((shortened[k][x] | shortened[k][y])[:, None] & bits != 0)
+            shared = shared & (signature[x, :, SHORT + k] == signature[y, :, SHORT + k])
+        meets |= shared
         good = np.flatnonzero((meets.argmax(axis=1) == tree[x]) & meets.any(axis=1))
         good = good[2 * (flat[x[good]] == flat[y[good]]).sum(axis=1) >= flat.shape[1]]
         out[a + good] = True
@@ -220,17 +268,18 @@ def _similarity(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, w
     nodes = scratch.save(nodes.select("node", F.col("first.doc_id").alias("rep"), F.col("first.digest").alias("rep_digest"), "mult", "size", "signature"), "nodes")
 
     shortened, placed = trie_nodes(nodes, scratch, threshold, recall, trees)
-    signed = nodes.join(shortened, "node").select("node", "signature", "shortened")
+    to = [f"to_{d}" for d in LEVELS[:-1]]
+    signed = nodes.join(shortened, "node").select("node", "signature", *to)
 
     def checked(table: pa.Table, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        return candidates(stacked(table.column("signature"), trees), table.column("shortened").to_numpy(), table.column("tree").to_numpy(), i, j)
+        return candidates(stacked(table.column("signature"), trees), [table.column(c).to_numpy() for c in to], table.column("tree").to_numpy(), i, j)
 
     def met(table: pa.Table, i: np.ndarray, j: np.ndarray) -> pa.Table:
         good = checked(table, i, j)
-        return table.select(["trie", "tree", "node", "signature", "shortened"]).take(np.unique(np.concatenate((i[good], j[good]))))
+        return table.select(["trie", "tree", "node", "signature", *to]).take(np.unique(np.concatenate((i[good], j[good]))))
 
     dealt = blocks.in_blocks(placed.join(signed, "node"), ["trie"], F.ceil(F.col("n") / blocks.CHUNK))
-    needed = blocks.run_blocks(dealt, ["trie"], met, "trie long, tree int, node binary, signature binary, shortened long")
+    needed = blocks.run_blocks(dealt, ["trie"], met, "trie long, tree int, node binary, signature binary, " + ", ".join(f"{c} long" for c in to))
     needed = scratch.save(needed.dropDuplicates(["trie", "node"]).join(nodes.select("node", "size", "mult"), "node"), "needed")
 
     wanted = nodes.join(needed.select("node").distinct(), "node", "left_semi").select("node", "rep", "rep_digest")
@@ -245,7 +294,7 @@ def _similarity(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, w
 
     sets = texts.mapInArrow(frugal(again), "node binary, shingles array<long>")
     sums = scratch.save(needed.groupBy("trie").agg(F.sum("size").alias("total"), F.count("*").alias("n")), "sums")
-    held = join_heavy(needed.select("trie", "tree", "node", "signature", "shortened", "mult"), sums, "trie", "n", needed.count()).join(sets, "node")
+    held = join_heavy(needed.select("trie", "tree", "node", "signature", *to, "mult"), sums, "trie", "n", needed.count()).join(sets, "node")
     count = F.greatest(F.ceil(F.col("total") / CHUNK_SHINGLES), F.ceil(F.col("n") / blocks.CHUNK))
 
     def linked(table: pa.Table, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -258,17 +307,19 @@ def _similarity(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, w
     verified = scratch.save(blocks.verify(blocks.in_blocks(held, ["trie"], count).drop("total", "n"), ["trie"], linked), "verified")
 
     groups = connected_components(blocks.edges(verified), scratch, "links")
-    groups = groups.join(nodes.select("node", "rep"), "node")
-    least = groups.groupBy("root").agg(F.min("rep").alias("component"))
+    first = F.struct(F.col("rep").isNull().alias("unknown"), "rep", "rep_digest")
+    groups = groups.join(nodes.select("node", first.alias("first")), "node")
+    least = groups.groupBy("root").agg(F.min("first").alias("component"))
     grouped = groups.join(least, "root").select("node", "component")
-    of_node = nodes.select("node", "rep", "mult").join(blocks.per_node(verified), "node", "left").join(grouped, "node", "left")
-    of_node = of_node.select("node", "mult", F.col("rep").alias("class_id"), (F.col("mult") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.when(F.col("component").isNull(), F.col("rep")).otherwise(F.col("component")).alias("component_id"))
+    of_node = nodes.select("node", "rep", "mult", first.alias("first")).join(blocks.per_node(verified), "node", "left").join(grouped, "node", "left")
+    of_node = of_node.select("node", "mult", F.col("rep").alias("class_id"), (F.col("mult") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "first").alias("won"))
+    of_node = of_node.select("node", "mult", "class_id", "n_links", F.col("won.rep").alias("component_id"), F.col("won.rep_digest").alias("component_digest"))
     of_node = scratch.save(of_node, "of-node")
     scratch.keep_only("signatures", "of-node")
     total = of_node.agg(F.sum("mult")).first()[0] or 0
-    columns = ["doc_id", "digest", "class_id", "n_links", "component_id"]
+    columns = ["doc_id", "digest", "class_id", "n_links", "component_id", "component_digest"]
     found = join_heavy(known.select("doc_id", "digest", "node"), of_node, "node", "mult", total).select(*columns)
-    alone = rows.where("node IS NULL").select("doc_id", "digest", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("component_id"))
+    alone = rows.where("node IS NULL").select("doc_id", "digest", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("component_id"), F.col("digest").alias("component_digest"))
     return found.unionByName(alone)
 
 
@@ -278,16 +329,18 @@ def similarity_groups(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id",
     class_id: smallest doc_id with the same shingle set. n_links: other rows with a similarity of at least the threshold.
     component_id: smallest doc_id reachable by links.
     """
-    return _similarity(docs, scratch, id_col, text_col, width, threshold, recall).drop("digest")
+    return _similarity(docs, scratch, id_col, text_col, width, threshold, recall).drop("digest", "component_digest")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that are the smallest doc_id of their group, with all their columns."""
-    p = fresh(docs, "id", "digest", "text")
-    found = _similarity(docs, Scratch(docs.sparkSession), id_col, text_col, width, threshold, RECALL)
-    gone = found.where("NOT doc_id <=> component_id").select(F.col("doc_id").alias(f"{p}id"), F.col("digest").alias(f"{p}digest")).distinct()
-    rows = docs.withColumn(f"{p}text", F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))))
-    return rows.join(gone, rows[id_col].eqNullSafe(gone[f"{p}id"]) & (rows[f"{p}text"] == gone[f"{p}digest"]), "left_anti").drop(f"{p}text")
+    """One row of each group, that of the smallest doc_id, with all its columns."""
+    scratch = Scratch(docs.sparkSession)
+    found = _similarity(docs, scratch, id_col, text_col, width, threshold, RECALL)
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("digest") == F.col("component_digest"))
+    marks = found.groupBy("doc_id", "digest").agg(F.first(stays).alias("again"), F.count("*").alias("n")).where("n > 1 OR NOT again")
+    marks = scratch.save(marks.select("doc_id", "digest", "again"), "marks")
+    digest = F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
+    return one_of_each(docs, {"doc_id": F.col(id_col), "digest": digest}, marks)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

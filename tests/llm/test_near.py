@@ -69,33 +69,101 @@ def test_ngram_join_against_brute_force(spark, monkeypatch, chunk):
     assert sorted((str(r.doc_id), r.n_links, r.component_id) for r in got) == want
 
 
+def missed(crowds, kept, threshold=0.8):
+    return float(np.prod([1 - threshold ** int(d) for d in kept]))
+
+
 def test_prefixes_are_shortened_to_the_recall():
-    assert N.short_trees(0.8, 0.998, 16) == 7 and N.short_trees(0.8, 0.99, 16) == 0 and N.short_trees(0.99, 0.9, 16) == 0
+    few = N.depths(np.array([[2, 1], [5, 2], [64, 64]]), 7)
+    assert few.tolist() == [4, 4, 4]  # whoever meets few is shortened wherever it meets anyone
+    crowd = np.array([[1000 * (t + 1), 100 * (t + 1)] for t in range(16)])
+    kept = N.depths(crowd, 7)
+    assert missed(crowd, kept) <= 0.002 < missed(crowd, np.maximum(kept, 5)) and set(kept) == {4, 5, 6} and kept[0] == 4 and kept[-1] == 6
+    assert (N.depths(crowd[:5], 7) == 4).all()  # too few trees to reach the recall: all of them
+    sizes = np.full((16, 2), 3000)
+    assert N.depths(sizes, 1).tolist() != N.depths(sizes, 2).tolist()  # equal crowds in an order of chance
     assert N.trees_for(0.8) == 16 and N.trees_for(0.7) > 16
     with pytest.raises(ValueError):
-        N.short_trees(0.5, 0.998, 16)
+        N.trees_for(0.3)
 
 
 def test_each_node_is_shortened_where_it_meets_fewest(spark):
     r = np.random.default_rng(3)
     base = r.integers(0, 2**16, size=(16, 6)).astype(np.uint16)
     crowd = []
-    for k in range(40):  # all share short prefixes in trees 0 to 9, pairs of two in trees 10 to 15
+    for k in range(200):  # all share short prefixes in trees 0 to 9, pairs of two in trees 10 to 15
         s = base.copy()
         s[:10, 4:] = r.integers(0, 2**16, size=(10, 2))
         s[10:] = (base[10:].astype(int) + 1 + k // 2) % 2**16
         crowd.append((bytes([k]), s.tobytes()))
-    alone = [(bytes([100 + k]), r.integers(0, 2**16, size=96).astype(np.uint16).tobytes()) for k in range(5)]
+    alone = [(bytes([k, 1]), r.integers(0, 2**16, size=96).astype(np.uint16).tobytes()) for k in range(5)]
     nodes = spark.createDataFrame(crowd + alone, "node binary, signature binary")
     shortened, placed = N.trie_nodes(nodes, Scratch(spark), 0.8, 0.998, 16)
-    bits = {bytes(x.node): {t for t in range(16) if x.shortened >> t & 1} for x in shortened.collect()}
-    assert set(bits) == {c[0] for c in crowd} and all(len(b) == 7 and b >= set(range(10, 16)) for b in bits.values())
+    bits = {bytes(x.node): {t for t in range(16) if x.to_4 >> t & 1} for x in shortened.collect()}
+    assert set(bits) == {c[0] for c in crowd} and all(b >= set(range(10, 16)) and len(b) < 9 for b in bits.values())
     groups = defaultdict(set)
     for x in placed.collect():
         groups[x.tree, x.trie].add(bytes(x.node))
         assert x.n > 1
-    assert sum(t >= 10 for t, _ in groups) == 6 * 20 and all(len(g) == 2 for (t, _), g in groups.items() if t >= 10)
-    assert sum(t < 10 for t, _ in groups) == 1 and all(len(g) == 40 for (t, _), g in groups.items() if t < 10)
+    assert sum(t >= 10 for t, _ in groups) == 6 * 100 and all(len(g) == 2 for (t, _), g in groups.items() if t >= 10)
+
+
+def test_lone_pairs_at_the_threshold_are_found(spark):
+    """Pairs that meet nobody else, at a similarity of 178 / 222: 0.802. The model misses 0.2 in a thousand."""
+    n, data = 1500, []
+    for k in range(n):
+        common = [f"w{k}x{i}" for i in range(182)]
+        data += [(2 * k, " ".join(common + [f"a{k}x{i}" for i in range(22)])), (2 * k + 1, " ".join(common + [f"b{k}x{i}" for i in range(22)]))]
+    got = {x.doc_id: x for x in N.similarity_groups(docs(spark, [(*x, "en", "s", 1) for x in data]), Scratch(spark)).where("n_links > 0").collect()}
+    assert all(x.n_links == 1 and x.component_id == i // 2 * 2 for i, x in got.items()) and len(got) >= 2 * (n - 2)
+
+
+def test_pairs_within_a_crowd_are_found(spark):
+    """Pairs at 0.802 whose texts all hold one long passage, so that nodes meet hundreds at short prefixes."""
+    n, data = 300, []
+    passage = [f"p{i}" for i in range(90)]
+    for k in range(n):
+        own = passage + [f"w{k}x{i}" for i in range(92)]
+        data += [(2 * k, " ".join(own + [f"a{k}x{i}" for i in range(22)])), (2 * k + 1, " ".join(own + [f"b{k}x{i}" for i in range(22)]))]
+    got = {x.doc_id: x for x in N.similarity_groups(docs(spark, [(*x, "en", "s", 1) for x in data]), Scratch(spark)).where("n_links > 0").collect()}
+    assert all(x.n_links == 1 and x.component_id == i // 2 * 2 for i, x in got.items()) and len(got) >= 2 * (n - 3)
+
+
+def test_a_table_loaded_twice_is_thinned_to_one(spark):
+    a, b, c = words(80, 1), words(90, 2), words(100, 3)
+    near = " ".join([*a.split()[:-1], "changed"])
+    data = [(1, a), (None, b), (None, b + " "), (5, c), (5, near), (9, None), (None, None), (1, near), (None, c)]
+    once = docs(spark, [(*x, "en", "s", 1) for x in data])
+    rows = [sorted(map(str, N.near_dedup(d).collect())) for d in (once, once.unionByName(once))]
+    assert rows[0] == rows[1] and len(rows[0]) == 5
+    from spindrift.llm import exact_dedup as E
+
+    rows = [sorted(map(str, E.exact_dedup(d).collect())) for d in (once, once.unionByName(once))]
+    assert rows[0] == rows[1] and len(rows[0]) == 5
+    vectors = spark.createDataFrame([(1, [1.0, 2.0]), (None, [2.0, 1.0]), (None, [2.0, 1.001]), (3, [2.0, 4.0]), (4, None)], "vec_id long, embedding array<double>")
+    rows = [sorted(map(str, D.near_dedup(d).collect())) for d in (vectors, vectors.unionByName(vectors))]
+    assert rows[0] == rows[1] and len(rows[0]) == 3
+
+
+def test_links_near_the_threshold_do_not_depend_on_their_block():
+    r = np.random.default_rng(2)
+    unit = r.normal(size=(40, 64))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    i, j = np.triu_indices(40, 1)
+    for at in (unit @ unit.T)[i, j][::50]:
+        every = D.linked_pairs(unit, i, j, float(at))
+        assert every.tolist() == [bool(D.linked_pairs(unit[[a, b]], np.array([0]), np.array([1]), float(at))[0]) for a, b in zip(i, j)]
+
+
+def test_components_that_do_not_converge_raise(spark, monkeypatch):
+    from spindrift.llm import common
+
+    path = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    with monkeypatch.context() as m:
+        m.setattr(common, "ROUNDS", 2)
+        with pytest.raises(RuntimeError):
+            common.connected_components(path, Scratch(spark), "links")
+    assert {x.root for x in common.connected_components(path, Scratch(spark), "links").collect()} == {0}
 
 
 def test_recall_on_documents(spark):
@@ -126,7 +194,7 @@ def test_near_dedup_keeps_the_first(spark):
     d = docs(spark)
     kept = N.near_dedup(d)
     ids = [r.doc_id for r in kept.collect()]
-    assert kept.columns == d.columns and 1 in ids and 2 not in ids and 3 not in ids and 4 in ids and 5 in ids and ids.count(8) == 2
+    assert kept.columns == d.columns and 1 in ids and 2 not in ids and 3 not in ids and 4 in ids and 5 in ids and ids.count(8) == 1
     assert N.near_dedup(d.limit(0)).count() == 0
 
 
