@@ -14,7 +14,6 @@ from .signals import type_signals
 from .syntax import FUNCTIONS, MASK, dotted, is_type_name, parsed, tree_of, type_names
 
 STATEMENTS = (ast.Assign, ast.AnnAssign, ast.AugAssign, ast.Expr, ast.Return, ast.If, ast.For, ast.While, ast.With, ast.Assert, ast.Raise, ast.Delete)
-ROUNDS = 5
 MOST_RECOMMENDATIONS = 120
 
 
@@ -318,43 +317,6 @@ def masked_assignment(statement: str) -> str | None:
     return None
 
 
-def propagated_types(files: Iterable[tuple[str, str]]) -> list[dict]:
-    """(qualified function, type) of what the functions of a project return, through calls and arguments, in at most ROUNDS rounds.
-
-    A return gives a constructor, an annotated name, a parameter's type, or what the called function returns; the latter two
-    spread round by round until nothing changes.
-    """
-    returns: dict[str, set[str]] = {}
-    follows: dict[str, set[str]] = {}
-    by_leaf: dict[str, list[str]] = {}
-    for module, source in files:
-        tree = parsed(source)
-        for node, outer, _ in scoped(tree) if tree else ():
-            if not isinstance(node, FUNCTIONS):
-                continue
-            name = ".".join((module, *outer, node.name))
-            by_leaf.setdefault(node.name, []).append(name)
-            types, calls = returns.setdefault(name, set()), follows.setdefault(name, set())
-            types.update(n.rpartition(".")[2] for n in type_names(node.returns) if is_type_name(n))
-            local = {a.arg: type_names(a.annotation) for a in node.args.args}
-            made = {t.id: n.value for n in ast.walk(node) if isinstance(n, ast.Assign) for t in n.targets if isinstance(t, ast.Name)}
-            for n in ast.walk(node):
-                if isinstance(n, ast.Return) and n.value is not None:
-                    value = made.get(n.value.id, n.value) if isinstance(n.value, ast.Name) else n.value
-                    if isinstance(value, ast.Call):
-                        called = dotted(value.func).rpartition(".")[2]
-                        (types if is_type_name(called) else calls).add(called)
-                    elif isinstance(value, ast.Name):
-                        types.update(x.rpartition(".")[2] for x in local.get(value.id, ()) if is_type_name(x))
-    for _ in range(ROUNDS):
-        grown = {n: {t for c in follows[n] if len(by_leaf.get(c, ())) == 1 for t in returns[by_leaf[c][0]]} - returns[n] for n in returns}
-        if not any(grown.values()):
-            break
-        for n, types in grown.items():
-            returns[n] |= types
-    return [{"qualified_name": n, "type": t} for n in sorted(returns) for t in sorted(returns[n])]
-
-
 def recommendations(code: str, project_types: Iterable[str] = ()) -> list[dict]:
     """Types that a slice shows, then those of the project that it names, at most MOST_RECOMMENDATIONS."""
     words = set(re.findall(r"[A-Za-z_]\w*", code))

@@ -1,99 +1,123 @@
-"""Signs of types that a piece of Python code shows: a table of syntax nodes, and a word scanner for code that does not parse."""
+"""Types that a piece of Python code shows, from one walk over its syntax that knows what each part stands for.
+
+Code that doesn't parse as a whole, as slices put together from several places often don't, is taken apart into logical lines;
+those that parse are walked in the same way, and of the others the names are taken that stand where only a type stands.
+"""
 
 from __future__ import annotations
 
 import ast
-import re
-from collections.abc import Callable, Iterator
+import io
+import tokenize
+from collections import deque
+from collections.abc import Iterator
 
-from .syntax import FUNCTIONS, MASK, dotted, is_type_name, leaf_of, tree_of, type_names
+from .syntax import FUNCTIONS, MASK, chain_of, is_type_name, leaf_of, parsed, tree_of, type_names
 
 #: Stands for the mask while code is parsed.
 HIDDEN = "MASKED_TYPE"
-Signs = Iterator[tuple[str, str]]
-
-
-def _imported(node: ast.ImportFrom) -> Signs:
-    yield from ((a.asname or a.name, "import_symbol") for a in node.names if a.name != "*")
-
-
-def _class(node: ast.ClassDef) -> Signs:
-    yield node.name, "visible_class"
-    yield from ((n, "base_class") for b in node.bases for n in type_names(b))
-
-
-def _annotated(node: ast.AnnAssign) -> Signs:
-    yield from ((n, "annotation") for n in type_names(node.annotation))
-
-
-def _function(node: ast.FunctionDef | ast.AsyncFunctionDef) -> Signs:
-    given = [*node.args.posonlyargs, *node.args.args, *node.args.kwonlyargs]
-    yield from ((n, "annotation") for a in given for n in type_names(a.annotation))
-    yield from ((n, "return_annotation") for n in type_names(node.returns))
-
-
-def _tested(at: int) -> Callable[[ast.Call, str], Signs]:
-    """Signs in the argument of a call that names a type there."""
-
-    def signs(node: ast.Call, called: str) -> Signs:
-        if len(node.args) > at:
-            yield from ((n, called) for n in type_names(node.args[at]))
-
-    return signs
-
-
-#: Calls that name a type in an argument, and calls that stand in for a type given by name (fixed values).
-TYPE_ARGUMENT = {"isinstance": _tested(1), "issubclass": _tested(1), "cast": _tested(0)}
-STAND_INS = {"MagicMock", "Mock"}
-SPECIFIED_BY = {"spec", "spec_set"}
-
-
-def _called(node: ast.Call) -> Signs:
-    name = leaf_of(dotted(node.func))
-    if name in TYPE_ARGUMENT:
-        yield from TYPE_ARGUMENT[name](node, name)
-    else:
-        yield name, "constructor"
-    if name in STAND_INS:
-        yield from ((dotted(k.value), "mock_spec") for k in node.keywords if k.arg in SPECIFIED_BY)
-
-
-def _attribute(node: ast.Attribute) -> Signs:
-    yield node.attr, "qualified_attribute"
-
-
-SIGNS: dict[type, Callable[..., Signs]] = {ast.ImportFrom: _imported, ast.ClassDef: _class, ast.AnnAssign: _annotated, ast.Call: _called, ast.Attribute: _attribute} | dict.fromkeys(FUNCTIONS, _function)
-
-
-def _scanned(code: str) -> Signs:
-    """Signs by words alone: capital names of `from` imports first, then those after a dot, `class`, `cast(` and `isinstance(x,`."""
-    lines = [re.findall(r"\w+|\S", line) for line in code.splitlines()]
-    inside = False  # brackets of a `from` import
-    for words in lines:
-        if inside or words[:1] == ["from"] and "import" in words:
-            inside = ("(" in words or inside) and ")" not in words
-            stop = words.index(")") if ")" in words else len(words)
-            yield from ((w, "import_symbol") for w in words[:stop] if w[0].isascii() and w[0].isupper())
-    flat = [w for words in lines for w in words]
-    argument = ""  # what has been read of isinstance(x
-    for i, w in enumerate(flat):
-        before = flat[i - 1] if i else ""
-        if w[0].isascii() and w[0].isupper() and (before in (".", "class") or flat[max(0, i - 2) : i] == ["cast", "("] or argument == "," == before):
-            yield w, "tolerant_syntax"
-        if w == "isinstance":
-            argument = w
-        elif argument and argument != ",":
-            argument = "," if w == "," else argument + w
-        elif before == ",":
-            argument = ""
+#: What a type expression in a field is called.
+FIELDS = {(ast.ClassDef, "bases"): "base_class", (ast.AnnAssign, "annotation"): "annotation", (ast.arg, "annotation"): "annotation"} | {(f, "returns"): "return_annotation" for f in FUNCTIONS}
+#: Fields whose nodes are looked at together with their parent, and those that are not looked at.
+INLINE, UNSEEN = {(f, "args") for f in FUNCTIONS} | {(ast.arguments, x) for x in ("posonlyargs", "args", "kwonlyargs")}, {(ast.arguments, "vararg"), (ast.arguments, "kwarg")}
+#: Calls that name a type, with the argument that does; classes that stand in for others, with the keywords that tell (fixed values).
+NAMING = {"isinstance": 1, "issubclass": 1, "cast": 0}
+STAND_INS, SPECIFIED_BY = {"MagicMock", "Mock"}, {"spec", "spec_set"}
+#: Kinds of signs that are trusted in a logical line of code that doesn't parse.
+TELLING = {"visible_class", "qualified_attribute", "isinstance", "cast"}
+Sign = tuple[str, str]
+
+
+def _own(node: ast.AST) -> Iterator[Sign]:
+    """What a node shows by itself."""
+    if isinstance(node, ast.alias) and node.name != "*":
+        yield node.asname or node.name, "import_symbol"
+    elif isinstance(node, ast.ClassDef):
+        yield node.name, "visible_class"
+    elif isinstance(node, ast.Attribute):
+        yield node.attr, "qualified_attribute"
+    elif isinstance(node, ast.Call):
+        name = (chain_of(node.func) or ("",))[-1]
+        at = NAMING.get(name)
+        if at is None:
+            yield name, "constructor"
+        elif at < len(node.args):
+            yield from ((t, name) for t in type_names(node.args[at]))
+        if name in STAND_INS:
+            yield from ((chain_of(k.value)[-1], "mock_spec") for k in node.keywords if k.arg in SPECIFIED_BY and chain_of(k.value))
+
+
+def signs(tree: ast.AST) -> Iterator[Sign]:
+    """(name, kind) level by level. A field that holds types tells its kind before what stands in it is looked at."""
+    level = deque([tree])
+    while level:
+        now = deque([level.popleft()])
+        while now:
+            node = now.popleft()
+            yield from _own(node)
+            for field, value in ast.iter_fields(node):
+                place = type(node), field
+                inner = [x for x in (value if isinstance(value, list) else [value]) if isinstance(x, ast.AST)]
+                if place in FIELDS:
+                    yield from ((t, FIELDS[place]) for x in inner for t in type_names(x))
+                if place in INLINE or place == (ast.ImportFrom, "names"):
+                    now.extend(inner)
+                elif place not in UNSEEN and not isinstance(node, ast.Import):
+                    level.extend(inner)
+
+
+def logical_lines(code: str) -> list[list[str]]:
+    """Words of each logical line; a line that the tokenizer can't read ends with its last word."""
+    out: list[list[str]] = [[]]
+    left = code.splitlines(keepends=True)
+    while left:
+        read = 0
+        try:
+            for t in tokenize.generate_tokens(io.StringIO("".join(left)).readline):
+                read = t.end[0]
+                if t.type == tokenize.NEWLINE:
+                    out.append([])
+                elif t.type in (tokenize.NAME, tokenize.OP, tokenize.NUMBER, tokenize.STRING):
+                    out[-1].append(t.string)
+            break
+        except (tokenize.TokenError, SyntaxError):
+            out.append([])
+            left = [x.lstrip() for x in left[max(1, read) :]]
+    return [x for x in out if x]
+
+
+def _calls(words: list[str]) -> Iterator[str]:
+    """The calls of NAMING in a line, each up to the bracket that ends it."""
+    for at, word in enumerate(words):
+        if word in NAMING:
+            depth = 0
+            for end in range(at + 1, len(words)):
+                depth += (words[end] in "([{") - (words[end] in ")]}")
+                if depth <= 0:
+                    yield " ".join(words[at : end + 1])
+                    break
+
+
+def _recovered(code: str) -> Iterator[Sign]:
+    imported, others = [], []
+    for words in logical_lines(code):
+        if words[0] == "from" and "import" in words:
+            imported += words
+            continue
+        pieces = [t for text in (" ".join(words), " ".join(words) + " pass") if (t := parsed(text))][:1]
+        if not pieces:
+            others += [w for before, w in zip(words[:-1], words[1:], strict=True) if before in (".", "class")]
+            pieces = [t for text in _calls(words) if (t := parsed(text))]
+        others += [n for tree in pieces for n, kind in signs(tree) if kind in TELLING]
+    for names, kind in ((imported, "import_symbol"), (others, "tolerant_syntax")):
+        yield from ((n, kind) for n in names if n[:1].isascii() and n[:1].isupper())
 
 
 def type_signals(code: str) -> list[dict]:
-    """Types that a slice shows, with the kind of the first sign of each; a slice that doesn't parse is searched for words."""
+    """Types that a slice shows, with the kind of the first sign of each."""
     tree = tree_of(code.replace(MASK, HIDDEN))
-    found = _scanned(code) if tree is None else (s for node in ast.walk(tree) if (signs := SIGNS.get(type(node))) for s in signs(node))
     seen: dict[str, str] = {}
-    for name, kind in found:
+    for name, kind in _recovered(code.replace(MASK, HIDDEN)) if tree is None else signs(tree):
         leaf = leaf_of(name)
         if leaf != HIDDEN and is_type_name(leaf):
             seen.setdefault(leaf, kind)

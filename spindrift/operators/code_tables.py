@@ -8,8 +8,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import code, slices, type_flow
+from ..functions import code, slices
 from ..functions.syntax import tree_of
+from .type_flow import recommended_types
 
 DEFINITION = "name string, qualified_name string, class_name string, start int, end int, source_code string"
 CALL = "name string, written string, qualified_name string, scope string, line int, source_code string"
@@ -110,83 +111,40 @@ def package_scan(classes: DataFrame, most_files: int, most_records: int) -> Data
     return best.withColumn("k_", rank).withColumn("left_out", F.greatest(F.lit(0), total - most_records)).where(F.col("k_") <= most_records).drop("k_")
 
 
-def propagated(files: DataFrame) -> DataFrame:
-    """(project, qualified_name, type). A project is what one repository holds, so its files fit in one task."""
+EXPORT = "slice string, hints array<string>, target_function string, qualified string, shown array<string>"
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        rows = code.propagated_types(zip(frame["module"], frame["source"], strict=True))
-        return pd.DataFrame([(frame["project"].iloc[0], x["qualified_name"], x["type"]) for x in rows], columns=["project", "qualified_name", "type"])
 
-    return files.select("project", "module", "source").groupBy("project").applyInPandas(run, f"project {files.schema['project'].dataType.simpleString()}, qualified_name string, type string")
+def sliced(files: DataFrame, targets: DataFrame) -> DataFrame:
+    """(targets' columns, EXPORT, error): the slice of each target (project, path, scope, name, function, line) and the types it shows.
 
-
-FACT = "kind string, a string, b string, c string"
-FLOW = "kind string, function string, name string, type string"
-
-
-def type_facts(files: DataFrame) -> DataFrame:
-    """(project, FACT) of all files (project, path, module, source), each parsed once; files that don't parse give none."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = [(p, *x) for p, path, module, source in zip(f["project"], f["path"], f["module"], f["source"], strict=True) for x in type_flow.facts(path, module, source or "")]
-            yield pd.DataFrame(rows, columns=["project", "kind", "a", "b", "c"])
-
-    kind = files.schema["project"].dataType.simpleString()
-    return files.select("project", "path", "module", "source").mapInPandas(run, f"project {kind}, {FACT}")
-
-
-def type_flow_of(files: DataFrame) -> DataFrame:
-    """(project, FLOW): types of returns, parameters and variables. The facts of one repository fit in one task."""
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        found = type_flow.Flow(frame[["kind", "a", "b", "c"]].itertuples(index=False)).rows()
-        return pd.DataFrame([(frame["project"].iloc[0], *r) for r in found], columns=["project", "kind", "function", "name", "type"])
-
-    kind = files.schema["project"].dataType.simpleString()
-    return type_facts(files).groupBy("project").applyInPandas(run, f"project {kind}, {FLOW}")
-
-
-def recommended_types(files: DataFrame, targets: DataFrame, limit: int = type_flow.MOST_RECOMMENDATIONS) -> DataFrame:
-    """(project, path, name, function, place, type, kind, module): at most `limit` ranked types of each target (project, path, name, function)."""
-    columns = ["project", "path", "name", "function", "place", "type", "kind", "module"]
-
-    def run(facts: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
-        flow = type_flow.Flow(facts[["kind", "a", "b", "c"]].itertuples(index=False))
-        rows = [(*t, i, *x) for t in wanted[columns[:4]].itertuples(index=False) for i, x in enumerate(flow.recommendations(t.path, t.name, t.function or "", limit))]
-        return pd.DataFrame(rows, columns=columns)
-
-    kind = files.schema["project"].dataType.simpleString()
-    shape = f"project {kind}, path string, name string, function string, place int, type string, kind string, module string"
-    return type_facts(files).groupBy("project").cogroup(targets.groupBy("project")).applyInPandas(run, shape)
-
-
-EXPORT = "slice string, hints array<string>, target_function string, qualified string, types array<string>"
-
-
-def exported(files: DataFrame, targets: DataFrame, limit: int = 10) -> DataFrame:
-    """(targets' columns, EXPORT, error): the slice of each target (project, path, scope, name, function, line) and up to `limit` types, those that flow there first, then those it shows.
-
-    A target that isn't there, or whose file doesn't parse, has an error. The files of one repository fit in one task.
+    A target that isn't there, or whose file doesn't parse, has an error. The files of one repository are looked up in one task.
     """
     columns = ["project", "path", "scope", "name", "function", "line"]
     names = [*columns, *(x.split()[0] for x in EXPORT.split(", ")), "error"]
 
     def run(repository: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
-        project = slices.Project(repository[["path", "module", "source"]].itertuples(index=False))
-        every = [f for r in repository.itertuples() for f in type_flow.facts(r.path, r.module, r.source)]
-        flow, rows = type_flow.Flow(every), []
+        project, rows = slices.Project(repository[["path", "module", "source"]].itertuples(index=False)), []
         for t in wanted[columns].itertuples(index=False):
             made = project.slice(t.path, t.scope, t.name, t.function or "", None if pd.isna(t.line) else int(t.line))
             if made is None:
                 rows.append((*t, None, None, None, None, None, "no target"))
                 continue
-            known = [x[0] for x in flow.recommendations(t.path, t.name, t.function or "", limit)] if t.scope != "return" else []
-            types = list(dict.fromkeys([*known, *slices.shown_types(made["slice"])]))[:limit]
-            rows.append((*t, made["slice"], made["hints"], made["target_function"], made["qualified"], types, None))
+            rows.append((*t, made["slice"], made["hints"], made["target_function"], made["qualified"], slices.shown_types(made["slice"]), None))
         return pd.DataFrame(rows, columns=names)
 
     kind = files.schema["project"].dataType.simpleString()
     shape = f"project {kind}, path string, scope string, name string, function string, line int, {EXPORT}, error string"
     grouped = files.select("project", "path", "module", "source").groupBy("project")
     return grouped.cogroup(targets.select(*columns).groupBy("project")).applyInPandas(run, shape)
+
+
+def exported(files: DataFrame, targets: DataFrame, limit: int = 10) -> DataFrame:
+    """(targets' columns, slice, hints, target_function, qualified, types, error): slices with up to `limit` types, those that flow
+    to the target first, then those that its slice shows."""
+    made = sliced(files, targets)
+    key = ["project", "path", "name", "function"]
+    flows = recommended_types(files, targets.where("scope <> 'return'"), limit).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("place", "type"))).alias("known"))
+    made = made.withColumn("function_", F.col("function")).withColumn("function", F.coalesce("function", F.lit(""))).join(flows, key, "left")
+    known = F.when(F.col("scope") != "return", F.transform("known", lambda x: x["type"]))
+    types = F.slice(F.array_distinct(F.concat(F.coalesce(known, F.array().cast("array<string>")), "shown")), 1, limit)
+    return made.select("project", "path", "scope", "name", F.col("function_").alias("function"), "line", "slice", "hints", "target_function", "qualified", F.when(F.col("error").isNull(), types).alias("types"), "error")

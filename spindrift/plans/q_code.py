@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import code
 from ..functions import text as X
 from ..operators import code_tables as T
+from ..operators import type_flow as TF
 from . import modules as M
 from . import views as V
 from .registry import query
@@ -167,11 +168,6 @@ def _(s, d):
     return T.each_file(files(s, d), lambda source: [{"name": n} for n in code.declared_classes(source)], "name string").where("error IS NULL").select("path", "name")
 
 
-@query("C15_propagated_types", "SELECT p_partkey % 25 AS project, 'm' || p_partkey || '.' || replace(x, '#', CAST(p_partkey AS VARCHAR)) AS qualified_name, 'Thing' || p_partkey AS type FROM part, (VALUES ('make#'), ('Widget#.show'), ('helper#')) t(x) WHERE p_partkey % 50 <> 49")
-def _(s, d):
-    return T.propagated(files(s, d))
-
-
 #: What flows in each project of `modules`: by hand from the sources.
 FLOWS = [
     ("return", "make_user#", "", "User#"), ("return", "load_order#", "", "Order#"), ("return", "identity#", "", "User#"), ("return", "identity#", "", "Guest#"),
@@ -189,12 +185,12 @@ VARIABLES = [
 
 @query("C15_project_flow", M.rows_sql("kind, function, name, type", FLOWS))
 def _(s, d):
-    return T.type_flow_of(M.project_files(s, d)).where("kind <> 'variable'")
+    return TF.type_flow_of(M.project_files(s, d)).where("kind <> 'variable'")
 
 
 @query("C16_expression_types", M.rows_sql("name, type", VARIABLES))
 def _(s, d):
-    return T.type_flow_of(M.project_files(s, d)).where("kind = 'variable'").select("project", "name", "type")
+    return TF.type_flow_of(M.project_files(s, d)).where("kind = 'variable'").select("project", "name", "type")
 
 
 #: For a variable of the service, a parameter of the app and a name that nothing is known of but the imports.
@@ -214,7 +210,7 @@ def _(s, d):
     k = F.col("project").cast("string")
     each = F.explode(F.array(*[F.struct(*[F.replace(F.lit(x), F.lit("#"), k).alias(n) for x, n in zip(t, ("path", "name", "function"), strict=True)]) for t in TARGETS]))
     targets = files.select("project").distinct().select("project", each.alias("t")).select("project", "t.*")
-    return T.recommended_types(files, targets).drop("function")
+    return TF.recommended_types(files, targets).drop("function")
 
 
 @query("C18_statements_of_a_variable", f"SELECT 'src/m' || p_partkey || '.py' AS path, 3 AS statements FROM {GOOD}")
@@ -260,16 +256,16 @@ SLICED = {
 }
 
 
-def _exported(s, d, scope, targets):
+def _wanted(s, d, scope, targets):
     found = M.project_files(s, d)
     k = F.col("project").cast("string")
     each = F.explode(F.array(*[F.struct(*[F.replace(F.lit(x), F.lit("#"), k).alias(n) for x, n in zip(t, ("path", "name", "function"), strict=True)]) for t in targets]))
     wanted = found.select("project").distinct().select("project", each.alias("t"))
-    return T.exported(found, wanted.select("project", "t.*", F.lit(scope).alias("scope"), F.lit(None).cast("int").alias("line")))
+    return found, wanted.select("project", "t.*", F.lit(scope).alias("scope"), F.lit(None).cast("int").alias("line"))
 
 
 def _slices(s, d, scope):
-    return _exported(s, d, scope, [t[:3] for t in SLICED[scope]]).select("project", "path", "name", "slice")
+    return T.sliced(*_wanted(s, d, scope, [t[:3] for t in SLICED[scope]])).select("project", "path", "name", "slice")
 
 
 def _slices_sql(scope):
@@ -312,7 +308,7 @@ EXPORTED = [
 
 @query("C26_exported_annotations", M.rows_sql("path, name, target_function, qualified, types, error", [(p, n, f if not e else None, q, t, e) for p, n, f, q, t, e in EXPORTED]))
 def _(s, d):
-    made = _exported(s, d, "arg", [t[:3] for t in EXPORTED])
+    made = T.exported(*_wanted(s, d, "arg", [t[:3] for t in EXPORTED]))
     return made.select("project", "path", "name", "target_function", "qualified", F.when(F.col("types").isNotNull(), F.array_join("types", ",")).alias("types"), "error")
 
 

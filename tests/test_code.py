@@ -76,13 +76,6 @@ def test_statements_expand_one_level():
     assert [n for n, _ in C.statements_for(tree, "c")] == [2, 3, 4] and [n for n, _ in C.statements_for(tree, "c", False)] == [3, 4]
 
 
-def test_propagation_is_bounded_and_cross_file():
-    files = [("a", "def f0():\n    return Deep()\n"), ("b", "".join(f"def f{i}():\n    return f{i - 1}()\n" for i in range(1, 9)))]
-    found = {x["qualified_name"]: x["type"] for x in C.propagated_types(files)}
-    assert found["a.f0"] == "Deep" and {f"b.f{i}" for i in range(1, 6)} <= set(found) and "b.f6" not in found
-    assert C.propagated_types([("m", "def f(x: Arg):\n    return x\n"), ("n", "def (")]) == [{"qualified_name": "m.f", "type": "Arg"}]
-
-
 def test_recommendations_are_bounded():
     code = "\n".join(f"x{i} = Type{i}()" for i in range(200))
     assert len(C.recommendations(code)) == C.MOST_RECOMMENDATIONS
