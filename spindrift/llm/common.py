@@ -92,12 +92,19 @@ class Scratch:
             p.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
+def _let_go(store: dict) -> None:
+    store.pop(store.get("large"), None)
+    store["large"] = None
+
+
 def _store(key) -> dict:
     """What a worker process keeps between tasks. Only the large thing used last stays: asking for another key lets it go."""
     store = sys.modules.setdefault("_spindrift_worker", types.ModuleType("_spindrift_worker")).__dict__
+    if key is None:
+        return store
     if (large := store.get("large")) is not None and large != key:
-        store.pop(large, None)
-        store["large"] = None
+        _let_go(store)
+    store["touched"] = store.get("touched") or store.get("large") is not None
     return store
 
 
@@ -107,7 +114,7 @@ def per_worker(key, make, large: bool = False):
     if key not in store:
         store[key] = make()
     if large:
-        store["large"] = key
+        store["large"], store["touched"] = key, True
     return store[key]
 
 
@@ -118,7 +125,7 @@ def slices(batches, rows: int):
             yield b.slice(at, rows)
 
 
-def parts(batches, column: int, size: int = 1 << 21, rows: int = 4096):
+def parts(batches, column: int, size: int = 1 << 20, rows: int = 4096):
     """The batches in parts of at most `rows` rows whose texts in a column have at most `size` bytes, or of one longer text."""
     for b in batches:
         ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
@@ -138,12 +145,19 @@ def give_back() -> None:
 
 
 def frugal(run):
-    """A function of Arrow batches that gives freed memory back when its task ends, for the worker process lives on."""
+    """A function of Arrow batches that gives freed memory back when its task ends, for the worker process lives on.
+
+    The large thing that an earlier task left in the process goes with it, if this task has not asked for it.
+    """
 
     def each(batches):
+        store = _store(None)
+        store["touched"] = False
         try:
             yield from run(batches)
         finally:
+            if not store["touched"]:
+                _let_go(store)
             give_back()
 
     return each
@@ -180,7 +194,7 @@ def _powers(base: int, n: int) -> np.ndarray:
 
     held = per_worker(("powers", base), lambda: [make()])
     if len(held[0]) < n:
-        size = max(n, 2 * len(held[0]), 1 << 16)
+        size = max(n + n // 8, 1 << 16)
         p = np.full(size, base, dtype=np.uint64)
         p[0] = 1
         held[0] = np.multiply.accumulate(p)
@@ -359,6 +373,7 @@ def latest_in_worker(name: str, version: str, make):
         store.pop(name, None)
         store[name] = (version, make())
         store["large"] = name
+    store["touched"] = True
     return store[name][1]
 
 
