@@ -1,4 +1,4 @@
-"""Per-project stages: failures become rows, totals become a manifest."""
+"""Per-project stages: failures become rows."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 
 def by_row(df: DataFrame, keys: list[str], column: str, f: Callable, returns: str) -> DataFrame:
@@ -27,9 +26,3 @@ def by_row(df: DataFrame, keys: list[str], column: str, f: Callable, returns: st
 
     shape = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
     return df.select(*keys, column).mapInPandas(run, f"{shape}, result {returns}, error string")
-
-
-def manifest(df: DataFrame, split: str, project: str, key: str) -> DataFrame:
-    """Rows, projects and a digest of the keys in any order (the sum of 32 bits of each key's MD5), for each split."""
-    bits = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("long")
-    return df.groupBy(split).agg(F.count("*").alias("rows"), F.count_distinct(project).alias("projects"), F.sum(bits).alias("digest"))

@@ -10,6 +10,7 @@ from ..functions import text as X
 from ..operators import ranking as R
 from ..operators import sets as U
 from ..operators import vectors as VEC
+from ..operators import verification as VER
 from . import views as V
 from .q_text import STRICT, sha_int
 from .registry import query
@@ -104,15 +105,37 @@ def _(s, d):
     return R.contrastive_loss(b, "id", "score", "positive").select("id", F.round("loss", 5).alias("loss"))
 
 
-@query("M04_processed_or_raw", "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN text ELSE role END AS input FROM conversations")
+#: Every third document is processed and has two candidates, one without a text; the others are raw, and every seventh has no slice.
+@query("M04_processed_or_raw", """SELECT doc_id AS id, md5(CASE WHEN doc_id % 3 = 0 THEN 'q ' || doc_id WHEN doc_id % 7 = 0 THEN '' ELSE '[LANGUAGE] ' || lang || chr(10) || '[TARGET_KIND] arg' || chr(10) || '[TARGET_NAME] ' || source || chr(10) || '[INTERPROCEDURAL_SLICE]' || chr(10) || trim(text, ' ') END) AS query,
+ CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 2 END AS candidates, CASE WHEN doc_id % 3 = 0 THEN 'a' ELSE source END AS first, lang AS label FROM documents WHERE trim(text, ' ') <> ''""")
 def _(s, d):
-    return V.table(s, d, "conversations").select("conv_id", "turn", F.coalesce(F.when(F.expr("turn % 2 = 0"), F.col("text")), "role").alias("input"))
+    t = V.table(s, d, "documents").where(F.trim("text") != "")
+    processed, empty = F.expr("doc_id % 3 = 0"), F.expr("doc_id % 7 = 0")
+    two = F.array(F.struct(F.lit("a").alias("name"), F.col("text")), F.struct(F.lit("b").alias("name"), F.lit("").alias("text")))
+    drawn = F.array(F.struct(F.col("source").alias("name"), F.col("text").alias("definition")), F.struct(F.lit("x").alias("name"), F.lit(None).cast("string").alias("definition")))
+    records = t.select(
+        F.col("doc_id").alias("id"), F.when(processed, F.concat(F.lit("q "), F.col("doc_id"))).alias("query"), F.when(processed, two).alias("candidates"), F.when(~empty & F.expr("doc_id % 2 = 0"), F.col("text")).alias("slice"), F.when(~empty, F.col("text")).alias("code"),
+        F.col("lang").alias("language"), F.lit("arg").alias("scope"), F.col("source").alias("name"), F.when(~processed, drawn).alias("recommendations"), F.concat(F.lit(" "), "lang").alias("label"),
+    )
+    made = VER.prepared(records)
+    return made.select("id", F.md5("query").alias("query"), F.size("candidates").alias("candidates"), F.col("candidates")[0]["name"].alias("first"), "label")
 
 
-@query("M07_truncate_prompts", "SELECT conv_id, turn, least(len(w), 40) AS kept, len(w) > 40 AS cut FROM (SELECT conv_id, turn, string_split(text, ' ') AS w FROM conversations)")
+#: Ids are code points. The template of every fifth turn drops blanks at the end of a prompt once an answer follows.
+@query("M07_truncate_prompts", """WITH p AS (SELECT conv_id, turn, list_transform(string_split('<' || role || '>' || text || ' ', ''), lambda x: unicode(x)) AS prompt, list_transform(string_split('<' || role || '>' || CASE WHEN turn % 5 = 4 THEN trim(text, ' ') ELSE text || ' ' END || 'label of ' || turn, ''), lambda x: unicode(x)) AS sequence FROM conversations),
+ q AS (SELECT *, sequence[1:len(prompt)] = prompt AS kept FROM p)
+ SELECT conv_id, turn, CASE WHEN kept THEN least(len(prompt), 40) END AS prompt_size, CASE WHEN kept THEN list_sum(prompt[1:40]) END::BIGINT AS prompt_sum, CASE WHEN kept THEN list_sum(sequence[len(prompt) + 1:len(prompt) + 8]) END::BIGINT AS completion_sum, CASE WHEN NOT kept THEN 'prompt is no prefix' END AS error FROM q""")
 def _(s, d):
-    w = F.split("text", " ")
-    return V.table(s, d, "conversations").select("conv_id", "turn", F.size(F.slice(w, 1, 40)).cast("long").alias("kept"), (F.size(w) > 40).alias("cut"))
+    def ids(c):
+        return F.transform(F.split(c, ""), lambda x: F.ascii(x))
+
+    head = F.concat(F.lit("<"), "role", F.lit(">"))
+    answered = F.when(F.expr("turn % 5 = 4"), F.trim("text")).otherwise(F.concat("text", F.lit(" ")))
+    t = V.table(s, d, "conversations").select("conv_id", "turn", ids(F.concat(head, "text", F.lit(" "))).alias("prompt"), ids(F.concat(head, answered, F.lit("label of "), F.col("turn"))).alias("sequence"))
+    made = VER.truncated(t, "prompt", "sequence", 40, 8)
+    total = lambda c: F.when(F.col(c).isNotNull(), F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x))
+    return made.select("conv_id", "turn", F.when(F.col("error").isNull(), F.size("prompt_ids")).alias("prompt_size"), total("prompt_ids").alias("prompt_sum"), total("completion_ids").alias("completion_sum"), "error")
+
 
 
 @query("T01_dedup_then_limit", f"SELECT id, label, score FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, label) AS k FROM (SELECT id, of AS label, max(score) AS score FROM {EVERY} GROUP BY 1, 2)) WHERE k <= 5")

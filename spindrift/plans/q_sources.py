@@ -14,6 +14,7 @@ from ..functions import text as X
 from ..operators import checks as C
 from ..operators import filters as L
 from ..operators import sets as U
+from ..operators import verification as VER
 from ..sources import records as R
 from . import views as V
 from .q_text import STRICT
@@ -261,23 +262,65 @@ def _(s, d):
     return done.groupBy("project").agg(F.count("*").alias("annotations"), F.count("error").alias("failed"))
 
 
-@query("O03_finalize", "SELECT lang AS split, count(*) AS rows, count(DISTINCT source) AS projects, CAST(sum(CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT)) AS BIGINT) AS digest FROM documents GROUP BY 1")
+#: A row's hash as the operators make it, for DuckDB.
+def hash_sql(*columns):
+    return "CAST('0x' || substr(md5(concat_ws(chr(31), " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), chr(0))" for c in columns) + ")), 1, 15) AS HUGEINT)"
+
+
+#: Sources are projects, languages are splits. Of src3 nothing was attempted, src5 failed.
+@query("O03_finalize", f"SELECT e.split, coalesce(r.rows, 0) AS rows, coalesce(r.projects, 0) AS projects, r.digest, e.missing, e.failures FROM (SELECT lang AS split, count(DISTINCT source) FILTER (WHERE source = 'src3') AS missing, count(DISTINCT source) FILTER (WHERE source = 'src5') AS failures FROM documents GROUP BY 1) e LEFT JOIN (SELECT lang AS split, count(*) AS rows, count(DISTINCT source) AS projects, CAST(sum({hash_sql('doc_id', 'text')}) AS VARCHAR) AS digest FROM documents WHERE source NOT IN ('src3', 'src5') GROUP BY 1) r USING (split)")
 def _(s, d):
-    from ..operators.projects import manifest
+    t = V.table(s, d, "documents").select(F.col("lang").alias("split"), F.col("source").alias("project"), "doc_id", "text")
+    statuses = t.select("project").distinct().where("project <> 'src3'").withColumn("error", F.when(F.col("project") == "src5", "failed"))
+    return VER.finalize(t.where("project NOT IN ('src3', 'src5')"), t, statuses, "split", "project", ["doc_id", "text"], allow_partial=True)
+
+
+#: Each document is a file of shard doc_id % 3; every tenth is in all shards, and every 97th of those differs in the last.
+MERGED = f"""WITH f AS (SELECT doc_id % 3 AS shard, doc_id AS path, {hash_sql('text')} AS checksum FROM documents UNION ALL SELECT x.shard, doc_id, {hash_sql('text')} + CASE WHEN doc_id % 97 = 0 AND x.shard = 2 THEN 1 ELSE 0 END FROM documents, (VALUES (0), (1), (2)) x(shard) WHERE doc_id % 10 = 0 AND doc_id % 3 <> x.shard),
+ p AS (SELECT path, count(*) AS copies, min(checksum) AS a, max(checksum) AS b FROM f GROUP BY 1)"""
+
 
-    return manifest(V.table(s, d, "documents").withColumnRenamed("lang", "split"), "split", "source", "doc_id")
+def shards(s, d):
+    """Files of three shards and the manifest that each carries: splits and their projects. That of shard 2 lacks a project."""
+    t = V.table(s, d, "documents").select("doc_id", "lang", "source", VER.row_hash(["text"]).alias("checksum"))
+    own = t.select(F.expr("doc_id % 3").alias("shard"), F.col("doc_id").alias("path"), "checksum")
+    other = F.explode(F.filter(F.expr("sequence(0L, 2L)"), lambda i: i != F.col("doc_id") % 3))
+    more = t.where("doc_id % 10 = 0").select(other.alias("shard"), F.col("doc_id").alias("path"), "checksum")
+    more = more.withColumn("checksum", F.when(F.expr("path % 97 = 0 AND shard = 2"), (F.col("checksum") + 1).cast("decimal(38,0)")).otherwise(F.col("checksum")))
+    plan = t.select("lang", "source").distinct().withColumn("shard", F.explode(F.expr("sequence(0L, 2L)"))).where("NOT (shard = 2 AND source = 'src3')")
+    return own.unionByName(more), plan
 
 
-@query("O04_merge_shards", "SELECT doc_id, lang FROM documents")
+@query("O04_merge_shards", MERGED + " SELECT path, copies, CAST(a AS VARCHAR) AS checksum FROM p WHERE a = b")
 def _(s, d):
-    t = V.table(s, d, "documents").select("doc_id", "lang")
-    parts = [t.where(F.expr(f"doc_id % 3 = {i}")) for i in range(3)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return VER.merge_shards(*shards(s, d))[0].withColumn("checksum", F.col("checksum").cast("string"))
+
+
+@query("J37_shard_faults", MERGED + " SELECT 'conflicting file' AS fault, CAST(path AS VARCHAR) AS of FROM p WHERE a <> b UNION ALL SELECT 'manifest differs', '2' WHERE EXISTS (SELECT 1 FROM documents WHERE source = 'src3')")
+def _(s, d):
+    return VER.merge_shards(*shards(s, d))[1]
+
+
+#: Faults: of lang en the first row is missing, of de the first is changed, of fr the first is there twice.
+VERIFIED = f"""WITH k AS (SELECT lang, min(doc_id) AS first FROM documents GROUP BY 1), a AS (
+ SELECT d.*, CASE WHEN d.lang = 'de' AND doc_id = first THEN text || '!' ELSE text END AS now, 'c' || doc_id % 40 AS r1, 'c' || doc_id * 7 % 41 AS r2 FROM documents d JOIN k USING (lang), (VALUES (0), (1)) t(i) WHERE NOT (d.lang = 'en' AND doc_id = first) AND (i = 0 OR d.lang = 'fr' AND doc_id = first)),
+ kb AS (SELECT DISTINCT source, 'c' || doc_id % 40 AS key FROM documents WHERE doc_id % 3 <> 0),
+ o AS (SELECT lang, count(*) AS outside, min(doc_id) AS first_outside FROM a WHERE NOT EXISTS (SELECT 1 FROM kb WHERE kb.source = a.source AND key = r1) OR NOT EXISTS (SELECT 1 FROM kb WHERE kb.source = a.source AND key = r2) GROUP BY 1),
+ b AS (SELECT lang, min(doc_id) FILTER (WHERE NOT (n_chars BETWEEN 50 AND 5000 AND contains(now, 'e'))) AS first_bad, arg_min(CASE WHEN n_chars NOT BETWEEN 50 AND 5000 THEN 'length' ELSE 'letter' END, doc_id) FILTER (WHERE NOT (n_chars BETWEEN 50 AND 5000 AND contains(now, 'e'))) AS error, count(*) AS rows, sum({hash_sql('doc_id', 'now')}) AS h FROM a GROUP BY 1),
+ w AS (SELECT lang, count(*) AS n, sum({hash_sql('doc_id', 'text')}) AS h FROM documents GROUP BY 1)"""
 
 
-@query("O05_verify_dataset", "SELECT lang, count(*) AS rows, count(*) FILTER (WHERE n_chars < 1) AS bad FROM documents GROUP BY 1")
+@query("O05_verify_dataset", VERIFIED + " SELECT w.lang, coalesce(b.rows, 0) AS rows, coalesce(b.rows, 0) - w.n AS fewer_or_more, b.h IS DISTINCT FROM w.h AS changed, first_bad, error, coalesce(outside, 0) AS outside, first_outside FROM w LEFT JOIN b USING (lang) LEFT JOIN o USING (lang)")
 def _(s, d):
-    return V.table(s, d, "documents").groupBy("lang").agg(F.count("*").alias("rows"), F.count_if(F.col("n_chars") < 1).alias("bad"))
+    t = V.table(s, d, "documents").select("doc_id", "lang", F.col("source").alias("project"), "text", "n_chars")
+    first = t.groupBy("lang").agg(F.min("doc_id").alias("first"))
+    at = F.col("doc_id") == F.col("first")
+    now = t.join(first, "lang").where(~((F.col("lang") == "en") & at)).withColumn("text", F.when((F.col("lang") == "de") & at, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    now = now.withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.when((F.col("lang") == "fr") & at, 2).otherwise(1)))).drop("first", "copy")
+    now = now.withColumn("names", F.array(F.concat(F.lit("C"), F.expr("doc_id % 40")), F.concat(F.lit("c"), F.expr("doc_id * 7 % 41"))))
+    kb = t.where("doc_id % 3 <> 0").select("project", F.concat(F.lit("C"), F.expr("doc_id % 40")).alias("key"))
+    rules = [("length", F.col("n_chars").between(50, 5000)), ("letter", F.col("text").contains("e"))]
+    return VER.verify(now, VER.manifest(t, "lang", "project", ["doc_id", "text"]), kb, "lang", "doc_id", ["doc_id", "text"], rules, "names")
 
 
 @query("O06_shard_manifest", "SELECT count(DISTINCT d.doc_id) AS expected, count(DISTINCT l.doc_id) AS done, count(DISTINCT d.doc_id) - count(DISTINCT l.doc_id) AS missing FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
@@ -287,9 +330,11 @@ def _(s, d):
     return j.agg(F.count("*").alias("expected"), F.count("done").alias("done"), (F.count("*") - F.count("done")).alias("missing"))
 
 
-@query("O07_plan_validation", "SELECT 0::BIGINT AS faults")
+#: Ten shards by id; the parts of one that no document falls into are missing.
+@query("O07_plan_validation", "WITH g AS (SELECT range AS i FROM range(10) WHERE range NOT IN (SELECT doc_id % 10 FROM documents WHERE doc_id % 100 <> 7)) SELECT 9 * count(*) AS faults FROM g")
 def _(s, d):
-    parts = s.range(10).select(F.col("id").alias("shard"), F.explode(H.physical_parts(F.col("id"))).alias("p")).select("shard", "p.residue", "p.modulus")
+    shards_ = V.table(s, d, "documents").where("doc_id % 100 <> 7").select(F.expr("doc_id % 10").alias("shard")).distinct()
+    parts = shards_.select("shard", F.explode(H.physical_parts(F.col("shard"))).alias("p")).select("shard", "p.residue", "p.modulus")
     return C.residue_faults(parts).agg(F.count("*").alias("faults"))
 
 

@@ -39,10 +39,11 @@ def _(s, d):
     return p.where(H.in_shard(F.col("project"), 13, 10, 3))
 
 
-@query("SC06_physical_partitions", """SELECT i AS shard, i + 10 * k AS residue, 10 * n AS modulus FROM (SELECT range AS i, CASE range WHEN 2 THEN 2 WHEN 3 THEN 3 WHEN 7 THEN 2 ELSE 1 END AS n FROM range(10)), range(3) t(k) WHERE k < n AND i <> 9
-UNION ALL SELECT 9, * FROM (VALUES (9, 30), (19, 30), (29, 90), (59, 90), (89, 90))""")
+@query("SC06_physical_partitions", """WITH s AS (SELECT DISTINCT doc_id % 10 AS i FROM documents) SELECT i AS shard, i + 10 * k AS residue, 10 * n AS modulus FROM (SELECT i, CASE i WHEN 2 THEN 2 WHEN 3 THEN 3 WHEN 7 THEN 2 ELSE 1 END AS n FROM s), range(3) t(k) WHERE k < n AND i <> 9
+UNION ALL SELECT 9, * FROM (VALUES (9, 30), (19, 30), (29, 90), (59, 90), (89, 90)) WHERE 9 IN (SELECT i FROM s)""")
 def _(s, d):
-    return s.range(10).select(F.col("id").alias("shard"), F.explode(H.physical_parts(F.col("id"))).alias("p")).select("shard", F.col("p.residue").cast("long").alias("residue"), F.col("p.modulus").cast("long").alias("modulus"))
+    shards = V.table(s, d, "documents").select(F.expr("doc_id % 10").alias("shard")).distinct()
+    return shards.select("shard", F.explode(H.physical_parts(F.col("shard"))).alias("p")).select("shard", F.col("p.residue").cast("long").alias("residue"), F.col("p.modulus").cast("long").alias("modulus"))
 
 
 BUILTIN = "CASE WHEN lower(trim(cat)) IN ('builtin', 'builtins') THEN TRUE WHEN starts_with(lower(trim(origttype)), 'builtins.') THEN TRUE WHEN trim(cat) <> '' OR trim(origttype) <> '' THEN FALSE ELSE lower(regexp_extract(replace(trim(gttype), 'typing.', ''), '^[^\\[<|, .]*')) IN (" + ", ".join(f"'{x}'" for x in X.BUILTIN_TYPES) + ") END"
