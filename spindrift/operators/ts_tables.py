@@ -1,48 +1,221 @@
-"""Table functions over TypeScript projects: the files of a repository and the targets in them in, slices out."""
+"""Scopes, names and slices of TypeScript projects as tables: files are read one by one, all that relates them is joins.
+
+A node has nested-set labels: it holds whatever begins between its start and its end. A declaration counts in a stretch of its
+file, its scope; a name that is used at a place means the declaration of that name whose scope holds the place and begins
+last. So looking outward through scopes is one join on (project, path, name) and the latest of what it finds.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import ts_slices
-
+from ..functions.ts_syntax import File, Node
+from ..functions.typescript import initializer_type
+from .shared import Rounds, closure
+
+MASK = "<mask>"
+#: Rows of findings that are given out at once, about.
+ROWS = 4096
+#: Kinds of targets by scope (fixed values), and kinds of nodes that open a scope for what is declared in them.
+TARGETS = {"var": ["variable"], "arg": ["parameter"], "ret": ["function", "method"]}
+HOLDERS, OWNERS, FUNCTIONS = ("block", "file"), ("class", "interface"), ("function", "method", "arrow")
+STATEMENTS = ("variable", "statement", "return", "import", "property")
+NODE = "kind string, name string, start int, end int, line int, scope_start int, scope_end int, body int, text string, masked string, type string, init string, owner string"
+USE = "name string, at int, call boolean, s_start int, s_text string"
+KEYWORDS = set("const let var if else for while do return function class new this super typeof await async import export from extends implements true false null undefined switch case break continue try catch finally throw of in as type interface enum public private static".split())
+FILE, METHOD, ASYNC = "this is a snippet from the file ", "This function {} is a method in class {}", "This is an async declared function, and its return value must be in the Promise<...> format."
+
+
+def _span(node: Node) -> tuple[int, int]:
+    whole = node.more.get("whole")
+    return whole if node.kind == "variable" and whole else (node.start, node.end)
+
+
+def _scope(node: Node) -> Node:
+    """What a declaration counts in."""
+    if node.kind == "parameter":
+        return node.up(*FUNCTIONS) or node
+    return node.up(*OWNERS) or node if node.kind in ("property", "method") else node.up(*HOLDERS) or node
+
+
+def _masked(file: File, node: Node) -> str:
+    """The declaration, of a parameter its function, with the mask in place of the type."""
+    start, end = _span(node.up(*FUNCTIONS) or node) if node.kind == "parameter" else _span(node)
+    typed, text = node.more.get("typed"), file.source
+    if typed:
+        return f"{text[start : typed[0]].rstrip()} {MASK}{text[typed[1] : end]}"
+    at = node.more.get("name_end", node.more.get("head", end))
+    at += text[at : at + 1] == "?"
+    return f"{text[start:at]}: {MASK}{text[at:end]}"
+
+
+def nodes_of(source: str) -> list[dict]:
+    """Declarations, imports and functions of a file, with their scopes."""
+    file, out = File(source), []
+    for n in file.root.walk():
+        if n.kind in ("class", "interface", "alias", "enum", "function", "method", "variable", "parameter", "property", "import"):
+            start, end = _span(n)
+            scope, inside, owner = _scope(n), n.more.get("body"), n.up(*OWNERS)
+            out.append({
+                "kind": n.kind, "name": n.name, "start": start, "end": end, "line": source.count("\n", 0, n.start) + 1, "scope_start": scope.start, "scope_end": scope.end,
+                "body": inside.start if isinstance(inside, Node) else None, "text": source[start:end], "masked": _masked(file, n) if n.kind in ("variable", "parameter", "function", "method") else None,
+                "type": n.more.get("type") or None, "init": n.more.get("init") or None, "owner": ("async " if n.more.get("is_async") else "") + (owner.name if owner is not None and n.kind == "method" else ""),
+            })
+    return out
+
+
+def uses_of(source: str) -> list[dict]:
+    """Names that a file uses, members' names left out, with the statement around each."""
+    file, out = File(source), []
+    for i, (kind, text, at) in enumerate(zip(file.kinds, file.texts, file.starts, strict=True)):
+        if kind != "name" or text in KEYWORDS or (i and file.texts[i - 1] in (".", "?.")):
+            continue
+        node: Node | None = file.at(at)
+        while node is not None and node.kind not in STATEMENTS:
+            node = node.parent
+        if node is not None:
+            start, end = _span(node)
+            out.append({"name": text, "at": at, "call": file.texts[i + 1 : i + 2] == ["("], "s_start": start, "s_text": source[start:end]})
+    return out
+
+
+def _table(files: DataFrame, find, shape: str) -> DataFrame:
+    names = [x.split()[0] for x in shape.split(", ")]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = []
+        for f in frames:
+            for project, path, source in zip(f["project"], f["path"], f["source"], strict=True):
+                rows += [(project, path, *(x[n] for n in names)) for x in find(source or "")]
+                if len(rows) >= ROWS:
+                    yield pd.DataFrame(rows, columns=["project", "path", *names])
+                    rows = []
+        yield pd.DataFrame(rows, columns=["project", "path", *names])
+
+    found = files.select("project", "path", "source").mapInPandas(run, f"project {files.schema['project'].dataType.simpleString()}, path string, {shape}")
+    return Rounds(files.sparkSession).add("found", found)  # read by several joins, so files are read once
+
+
+def nodes(files: DataFrame) -> DataFrame:
+    """(project, path, NODE) of all files (project, path, source)."""
+    return _table(files, nodes_of, NODE)
+
+
+def uses(files: DataFrame) -> DataFrame:
+    """(project, path, USE) of all files (project, path, source)."""
+    return _table(files, uses_of, USE)
+
+
+def meant(places: DataFrame, declared: DataFrame, keys: list[str], at: str = "at") -> DataFrame:
+    """keys of places (with project, path, name and `at`) and `found`: the node that the name means there; only those that mean one."""
+    d = declared.where("kind <> 'import'").select("project", "path", "name", "scope_start", "scope_end", F.struct("kind", "start", "text", "type", "init").alias("found"))
+    held = places.join(d, ["project", "path", "name"]).where((F.col("scope_start") <= F.col(at)) & (F.col(at) < F.col("scope_end")))
+    return held.groupBy(*keys).agg(F.max_by("found", F.struct("scope_start", "found.start")).alias("found"))
+
+
+def occurrences(declared: DataFrame, targets: DataFrame) -> DataFrame:
+    """targets (project, path, scope, name, occurrence) with the columns of the node that they mean; without one none."""
+    scope = F.coalesce(*[F.when(F.col("kind").isin(*kinds), s) for s, kinds in TARGETS.items()])
+    nth = F.row_number().over(Window.partitionBy("project", "path", "scope", "name").orderBy("start")) - 1
+    numbered = declared.withColumn("scope", scope).where("scope IS NOT NULL").withColumn("occurrence", nth.cast("int"))
+    return targets.join(numbered, ["project", "path", "scope", "name", "occurrence"], "left")
+
+
+def outward(declared: DataFrame, targets: DataFrame) -> DataFrame:
+    """targets (project, path, function, name) with `declaration`: what the name means in the function's body; null if nothing."""
+    bodies = declared.where(F.col("kind").isin(*TARGETS["ret"]) & F.col("body").isNotNull()).groupBy("project", "path", F.col("name").alias("function")).agg((F.min("body") + 1).alias("at"))
+    places = targets.join(bodies, ["project", "path", "function"])
+    found = meant(places, declared, ["project", "path", "function", "name"])
+    return targets.join(found, ["project", "path", "function", "name"], "left").withColumn("declaration", F.col("found.text")).drop("found")
+
+
+def resolved(used: DataFrame, declared: DataFrame) -> DataFrame:
+    """uses with `of`: where the declaration that they mean begins. Members of a class are not meant by their bare names."""
+    found = meant(used, declared.where("kind NOT IN ('property', 'method')"), ["project", "path", "name", "at"])
+    return used.join(found.select("project", "path", "name", "at", F.col("found.start").alias("of")), ["project", "path", "name", "at"])
+
+
+def block_names(declared: DataFrame, used: DataFrame, targets: DataFrame) -> DataFrame:
+    """targets (project, path, scope, name, occurrence) and a `text` for each statement that uses what they mean; that of the declaration is masked."""
+    key = ["project", "path", "scope", "name", "occurrence"]
+    wanted = occurrences(declared, targets).where("start IS NOT NULL").select(*key, F.col("start").alias("of"), "masked", "kind")
+    each = wanted.join(resolved(used, declared), ["project", "path", "name", "of"])
+    own = F.col("s_start") == F.col("of")
+    rows = each.where(~(own & (F.col("kind") == "parameter"))).select(*key, F.when(own, F.col("masked")).otherwise(F.col("s_text")).alias("text"), "s_start")
+    return rows.distinct()
+
+
+def tracked(declared: DataFrame, used: DataFrame, targets: DataFrame) -> DataFrame:
+    """targets (project, path, function, name) and a `text` for each statement that the parameter's value may come to, through variables."""
+    key = ["project", "path", "function", "name"]
+    known = resolved(used, declared)
+    variables = declared.where("kind = 'variable'").select("project", "path", F.col("start").alias("s_start"), F.col("start").alias("to")).distinct()
+    steps = known.join(variables, ["project", "path", "s_start"]).where("of <> to").select("project", "path", "of", "to")
+    reached = closure(steps, "of", "to")
+    functions = declared.where(F.col("kind").isin(*TARGETS["ret"])).select("project", "path", F.col("name").alias("function"), F.col("start").alias("f_start"), F.col("end").alias("f_end"))
+    parameters = declared.where("kind = 'parameter'").select("project", "path", "name", F.col("start").alias("of"), F.col("scope_start").alias("f_start"))
+    start = targets.join(functions, ["project", "path", "function"]).join(parameters, ["project", "path", "name", "f_start"]).select(*key, "of")
+    every = start.unionByName(start.join(reached, ["project", "path", "of"]).drop("of").withColumnRenamed("to", "of"))
+    return every.join(known.drop("name"), ["project", "path", "of"]).where("s_start <> of OR s_text LIKE '%=%'").select(*key, F.col("s_text").alias("text")).distinct()
+
+
+def _joined(rows: DataFrame, key: list[str], order: list[str], text: str, alias: str) -> DataFrame:
+    """Different texts of each key in order, as one."""
+    held = rows.groupBy(*key, text).agg(F.min(F.struct(*order)).alias("o")).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("o", F.col(text).alias("t")))).alias("x"))
+    return held.select(*key, F.array_join(F.transform("x", lambda x: x["t"]), "\n").alias(alias))
 
-def each_target(files: DataFrame, targets: DataFrame, find: Callable[..., list[tuple]], shape: str) -> DataFrame:
-    """(targets' columns, shape): a row for each tuple of find(project, *target). files: project, path, source; both have `project`.
 
-    The files of one repository fit in one task and are read once there.
+def slices(declared: DataFrame, used: DataFrame, targets: DataFrame) -> DataFrame:
+    """targets (project, path, scope, name, occurrence) with `slice`; null where the target isn't there.
+
+    A slice has the file's name, what kind of function it is about, the file's imports, definitions of what the statements call or
+    make, the masked declaration, the statements that use it, and for parameters and return values the statements of callers.
     """
-    columns = [c for c in targets.columns if c != "project"]
-    names = ["project", *columns, *(x.strip().split(" ")[0] for x in shape.replace("array<", "array_").split(", "))]
-
-    def run(repository: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
-        project = ts_slices.Project(repository[["path", "source"]].itertuples(index=False))
-        rows = [(t[0], *t[1:], *x) for t in wanted[["project", *columns]].itertuples(index=False) for x in find(project, *t[1:])]
-        return pd.DataFrame(rows, columns=names)
-
-    targets = targets.select(*[F.col(c).alias(c) for c in ["project", *columns]])  # columns of their own, if both come from one table
-    kinds = ", ".join(f"{c} {targets.schema[c].dataType.simpleString()}" for c in ["project", *columns])
-    return files.select("project", "path", "source").groupBy("project").cogroup(targets.select("project", *columns).groupBy("project")).applyInPandas(run, f"{kinds}, {shape}")
-
-
-def slices(files: DataFrame, targets: DataFrame) -> DataFrame:
-    """targets (project, path, scope, name, occurrence) with slice and types; null where the target isn't there."""
-
-    def find(project, path, scope, name, occurrence):
-        made = ts_slices.slice_of(project, path, scope, name, int(occurrence))
-        return [(made["slice"], made["types"]) if made else (None, None)]
-
-    return each_target(files, targets, find, "slice string, types array<string>")
-
-
-def tool_rows(files: DataFrame, paths: DataFrame) -> DataFrame:
-    """What is to be told of each variable, function and parameter without a type in the files `paths` (project, path)."""
-
-    def find(project, path):
-        return [tuple(x[k] for k in ("name", "data_type", "static_type", "slice")) for x in ts_slices.tool_rows(project, path)] if path in project.files else []
-
-    return each_target(files, paths, find, "name string, data_type string, static_type string, slice string")
+    key = ["project", "path", "scope", "name", "occurrence"]
+    found = occurrences(declared, targets)
+    there = found.where("start IS NOT NULL").select(*key, "kind", "start", "end", "masked", "owner", "body", "scope_start")
+    imports = _joined(declared.where("kind = 'import'"), ["project", "path"], ["start"], "text", "imports")
+    # what uses a function are its callers
+    statements = block_names(declared, used, targets.where("scope <> 'ret'")).where("text NOT LIKE '%<mask>%'")
+    mentioned = used.where("call").select("project", "path", F.col("name").alias("called"), "s_start", "at")
+    local = statements.select(*key, "s_start").unionByName(there.where("scope = 'var'").select(*key, F.col("start").alias("s_start"))).distinct()
+    by_use = local.join(mentioned, ["project", "path", "s_start"]).select(*key, "called")
+    inside = there.where("scope = 'ret'").join(mentioned, ["project", "path"]).where(F.col("at").between(F.col("start"), F.col("end"))).select(*key, "called")
+    definitions = declared.where(F.col("kind").isin("function", "class")).select("project", F.col("name").alias("called"), F.col("path").alias("d_path"), F.col("start").alias("d_start"), F.col("text").alias("d_text"))
+    helpers = by_use.unionByName(inside).where("called <> name").distinct().join(definitions, ["project", "called"])
+    functions = declared.where(F.col("kind").isin(*TARGETS["ret"])).select("project", "path", F.col("start").alias("scope_start"), F.col("name").alias("function"))
+    of = there.where("scope = 'arg'").join(functions, ["project", "path", "scope_start"]).select(*key, "function").unionByName(there.where("scope = 'ret'").select(*key, F.col("name").alias("function")))
+    calls = used.where("call").select("project", F.col("name").alias("function"), F.col("path").alias("c_path"), "s_start", "s_text", "at")
+    callers = of.join(calls, ["project", "function"]).where("NOT startswith(s_text, function)").select(*key, "c_path", "s_start", "s_text")
+    parts = [
+        _joined(helpers, key, ["d_path", "d_start"], "d_text", "helpers"),
+        _joined(statements, key, ["s_start"], "text", "statements"),
+        _joined(callers, key, ["c_path", "s_start"], "s_text", "callers"),
+    ]
+    out = there.join(imports, ["project", "path"], "left")
+    for part in parts:
+        out = out.join(part, key, "left")
+    owner = F.regexp_replace("owner", "^async ", "")
+    head = [
+        F.when((F.col("scope") == "ret") & F.col("owner").startswith("async "), F.lit(ASYNC)),
+        F.concat(F.lit(FILE), F.element_at(F.split("path", "/"), -1)),
+        F.when((F.col("kind") == "method") & (owner != ""), F.concat(F.lit(METHOD.split("{}")[0]), "name", F.lit(METHOD.split("{}")[1]), owner)),
+    ]
+    made = out.select(*key, F.concat_ws("\n", *head, "imports", "helpers", "masked", "statements", "callers").alias("slice"))
+    return targets.join(made, key, "left")
+
+
+def static_types(declared: DataFrame) -> DataFrame:
+    """(project, path, name, data_type, static_type, asked): what is to be told of each variable and function without a type.
+
+    The static type is what the initializer shows; where it shows none, a slice must be asked for.
+    """
+    untyped = declared.where("type IS NULL").where("kind = 'variable' OR kind = 'function'")
+    guess = F.pandas_udf(lambda texts: texts.map(lambda x: initializer_type(x) if x else "any"), "string", F.PandasUDFType.SCALAR)
+    shown: Column = F.when((F.col("kind") == "variable") & F.col("init").isNotNull(), F.nullif(guess("init"), F.lit("any")))
+    rows = untyped.select("project", "path", "name", "start", F.when(F.col("kind") == "variable", "var").otherwise("Ret").alias("data_type"), shown.alias("static_type"))
+    return rows.withColumn("asked", F.col("static_type").isNull())

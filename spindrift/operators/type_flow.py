@@ -18,6 +18,8 @@ FACTORY_METHODS = {"build", "construct", "create", "factory", "from_dict", "from
 STAND_INS = ["MagicMock", "Mock"]
 FACTORY, MANAGER, QUERY = "Factory", "objects", "query"
 MOST_RECOMMENDATIONS = 120
+#: Facts that are given out at once, about.
+ROWS = 4096
 FACT = "kind string, a string, b string, c string"
 
 
@@ -28,9 +30,14 @@ def type_facts(files: DataFrame) -> DataFrame:
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, names = [], ["project", "kind", "a", "b", "c"]
         for f in frames:
             for p, path, module, source in zip(f["project"], f["path"], f["module"], f["source"], strict=True):
-                yield pd.DataFrame([(p, *x) for x in facts.facts(path, module, source or "")], columns=["project", "kind", "a", "b", "c"])
+                rows += [(p, *x) for x in facts.facts(path, module, source or "")]
+                if len(rows) >= ROWS:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows = []
+        yield pd.DataFrame(rows, columns=names)
 
     kind = files.schema["project"].dataType.simpleString()
     found = files.select("project", "path", "module", "source").mapInPandas(run, f"project {kind}, {FACT}")

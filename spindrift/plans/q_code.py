@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import code
 from ..functions import text as X
 from ..operators import code_tables as T
+from ..operators import ts_tables as TS_TABLES
 from ..operators import type_flow as TF
 from . import modules as M
 from . import views as V
@@ -423,17 +424,19 @@ LOOKUP_TS = "export function lookup#(name: string, deep?: boolean) {\n  let out
 ACCOUNT_TS = "export class Account# {\n  owner = '';\n  constructor(name: string) { this.owner = name; }\n}"
 FILE_TS = "this is a snippet from the file store#.ts\n"
 IMPORT_TS = "import { Account# } from './account#'\n"
-CALLS_TS = "key: string\nconst found = lookup#(key)\nconst found = key\nthis.items.push(found)\nreturn found;\nconst main = lookup#('a')\nlookup#('b', true)"
+FIND_TS = "async find(key: string, limit = 10) {\n    const found = lookup#(key);\n    if (limit > 3) {\n      const found = key;\n      this.items.push(found);\n    }\n    return found;\n  }"
+CALLS_TS = "export const used = lookup#('b', true)\nconst found = lookup#(key)\nconst main = lookup#('a')"
 SLICED_TS = [
-    ("src/store#.ts", "var", "found", 0, FILE_TS + IMPORT_TS + LOOKUP_TS + "\nconst found: <mask> = lookup#(key)\nconst found = key\nthis.items.push(found)\nreturn found;\nkey: string"),
-    ("src/store#.ts", "var", "found", 1, FILE_TS + IMPORT_TS + "const found: <mask> = key\nthis.items.push(found)\nkey: string"),
-    ("src/store#.ts", "var", "out", 0, FILE_TS + IMPORT_TS + ACCOUNT_TS + "\nlet out: <mask> = new Account#(name)\nout.owner = name;\nreturn out;\nname: string"),
-    ("src/store#.ts", "arg", "limit", 0, FILE_TS + "This function find is a method in class Store#\n" + IMPORT_TS + "async find(key: string, limit: <mask> = 10) {\n    const found = lookup#(key);\n    if (limit > 3) {\n      const found = key;\n      Store#.items.push(found);\n    }\n    return found;\n  }\nif (limit > 3)"),
-    ("src/store#.ts", "arg", "name", 0, FILE_TS + IMPORT_TS + LOOKUP_TS.replace("name: string", "name: <mask>") + "\n" + ACCOUNT_TS + "\nlet out = new Account#(name)\nout.owner = name;\nreturn out;\n" + CALLS_TS),
-    ("src/store#.ts", "ret", "lookup#", 0, FILE_TS + IMPORT_TS + ACCOUNT_TS + "\nlet out = new Account#(name)\n" + LOOKUP_TS.replace("boolean)", "boolean): <mask>") + "\n" + CALLS_TS),
-    ("src/store#.ts", "ret", "find", 0, "This is an async declared function, and its return value must be in the Promise<...> format.\n" + FILE_TS + "This function find is a method in class Store#\n" + IMPORT_TS + LOOKUP_TS + "\nconst found = lookup#(key)\nasync find(key: string, limit = 10): <mask> {\n    const found = lookup#(key);\n    if (limit > 3) {\n      const found = key;\n      Store#.items.push(found);\n    }\n    return found;\n  }"),
+    ("src/store#.ts", "var", "found", 0, FILE_TS + IMPORT_TS + LOOKUP_TS + "\nconst found: <mask> = lookup#(key)\nreturn found;"),
+    ("src/store#.ts", "var", "found", 1, FILE_TS + IMPORT_TS + "const found: <mask> = key\nthis.items.push(found);"),
+    ("src/store#.ts", "var", "out", 0, FILE_TS + IMPORT_TS + ACCOUNT_TS + "\nlet out: <mask> = new Account#(name)\nout.owner = name;\nreturn out;"),
+    ("src/store#.ts", "arg", "limit", 0, FILE_TS + IMPORT_TS + FIND_TS.replace("limit = 10", "limit: <mask> = 10") + "\nif (limit > 3)"),
+    ("src/store#.ts", "arg", "name", 0, FILE_TS + IMPORT_TS + ACCOUNT_TS + "\n" + LOOKUP_TS.replace("name: string", "name: <mask>") + "\nlet out = new Account#(name)\nout.owner = name;\n" + CALLS_TS),
+    ("src/store#.ts", "ret", "lookup#", 0, FILE_TS + IMPORT_TS + ACCOUNT_TS + "\n" + LOOKUP_TS.replace("boolean)", "boolean): <mask>") + "\n" + CALLS_TS),
+    ("src/store#.ts", "ret", "find", 0, "This is an async declared function, and its return value must be in the Promise<...> format.\n" + FILE_TS + "This function find is a method in class Store#\n" + IMPORT_TS + LOOKUP_TS + "\n" + FIND_TS.replace("10)", "10): <mask>")),
     ("src/store#.ts", "var", "found", 2, None),
 ]
+AT = ("path", "scope", "name", "occurrence")
 
 
 def _parts(s, d, rows, names):
@@ -443,68 +446,55 @@ def _parts(s, d, rows, names):
     return V.table(s, d, "part").select(F.col("p_partkey").alias("project"), each.alias("t")).select("project", "t.*")
 
 
+def _typescript(s, d):
+    """Nodes and uses of the TypeScript modules."""
+    return TS_TABLES.nodes(M.typescript_files(s, d)), TS_TABLES.uses(M.typescript_files(s, d))
+
+
 @query("C29_typescript_slices", M.parts_sql("path, scope, name, occurrence, slice", SLICED_TS))
 def _(s, d):
-    from ..operators import ts_tables
+    return TS_TABLES.slices(*_typescript(s, d), _parts(s, d, [r[:4] for r in SLICED_TS], AT))
 
-    return ts_tables.slices(M.typescript_files(s, d), _parts(s, d, [r[:4] for r in SLICED_TS], ("path", "scope", "name", "occurrence"))).drop("types")
 
-
-#: What a scope alone tells of a name: inner declarations and uses, each once; a parameter's own declaration is left out.
+#: Statements that use what a target means; an inner declaration of the name and its uses are another's.
 BLOCK_TS = [
-    ("src/store#.ts", "var", "found", 0, "const found: <mask> = lookup#(key)"), ("src/store#.ts", "var", "found", 0, LOOKUP_TS), ("src/store#.ts", "var", "found", 0, "const found = key"),
-    ("src/store#.ts", "var", "found", 0, "this.items.push(found)"), ("src/store#.ts", "var", "found", 0, "return found;"), ("src/store#.ts", "var", "found", 1, "const found: <mask> = key"),
-    ("src/store#.ts", "var", "found", 1, "this.items.push(found)"), ("src/store#.ts", "arg", "limit", 0, "if (limit > 3)"),
+    ("src/store#.ts", "var", "found", 0, "const found: <mask> = lookup#(key)"), ("src/store#.ts", "var", "found", 0, "return found;"), ("src/store#.ts", "var", "found", 1, "const found: <mask> = key"),
+    ("src/store#.ts", "var", "found", 1, "this.items.push(found);"), ("src/store#.ts", "arg", "limit", 0, "if (limit > 3)"), ("src/store#.ts", "arg", "key", 0, "const found = lookup#(key)"), ("src/store#.ts", "arg", "key", 0, "const found = key"),
 ]
 
 
 @query("C30_names_in_block", M.parts_sql("path, scope, name, occurrence, text", BLOCK_TS))
 def _(s, d):
-    from ..functions import ts_slices
-    from ..operators import ts_tables
-
-    targets = _parts(s, d, list(dict.fromkeys(r[:4] for r in BLOCK_TS)), ("path", "scope", "name", "occurrence"))
-    return ts_tables.each_target(M.typescript_files(s, d), targets, lambda p, path, scope, name, at: [(t.replace(": mask", ": <mask>"),) for t in ts_slices.block_names(p, path, scope, name, int(at))], "text string")
+    return TS_TABLES.block_names(*_typescript(s, d), _parts(s, d, list(dict.fromkeys(r[:4] for r in BLOCK_TS)), AT)).drop("s_start")
 
 
-#: Where a use leads: `name` is passed to a constructor whose result is kept, assigned to a member and passed on by the variable.
-TRACKED_TS = [("src/store#.ts", "lookup#", "name", ACCOUNT_TS), ("src/store#.ts", "lookup#", "name", "let out = new Account#(name)"), ("src/store#.ts", "lookup#", "name", "out.owner = name;"), ("src/store#.ts", "lookup#", "name", "return out;"), ("src/store#.ts", "find", "key", LOOKUP_TS), ("src/store#.ts", "find", "key", "const found = lookup#(key)"), ("src/store#.ts", "find", "key", "const found = key"), ("src/store#.ts", "find", "key", "this.items.push(found)"), ("src/store#.ts", "find", "key", "return found;")]
+#: Where a parameter's value goes: into variables made of it, and wherever these are used.
+TRACKED_TS = [
+    ("src/store#.ts", "lookup#", "name", "let out = new Account#(name)"), ("src/store#.ts", "lookup#", "name", "out.owner = name;"), ("src/store#.ts", "lookup#", "name", "return out;"),
+    ("src/store#.ts", "find", "key", "const found = lookup#(key)"), ("src/store#.ts", "find", "key", "const found = key"), ("src/store#.ts", "find", "key", "this.items.push(found);"), ("src/store#.ts", "find", "key", "return found;"), ("src/account#.ts", "constructor", "name", "this.owner = name;"),
+]
 
 
 @query("C31_tracked_uses", M.parts_sql("path, function, name, text", TRACKED_TS))
 def _(s, d):
-    from ..functions import ts_slices
-    from ..operators import ts_tables
-
-    targets = _parts(s, d, list(dict.fromkeys(r[:3] for r in TRACKED_TS)), ("path", "function", "name"))
-
-    def find(project, path, function, name):
-        slicer = ts_slices.slicer_of(project, path, "ret", function)
-        slicer.own = ""
-        slicer.names_in_block(slicer.target.more["body"], name, True)
-        return [(t,) for t in slicer.out]
+    return TS_TABLES.tracked(*_typescript(s, d), _parts(s, d, list(dict.fromkeys(r[:3] for r in TRACKED_TS)), ("path", "function", "name")))
 
-    return ts_tables.each_target(M.typescript_files(s, d), targets, find, "text string")
 
-
-DECLARED_TS = [("src/store#.ts", "find", "found", "const found = lookup#(key);"), ("src/store#.ts", "find", "limit", "limit = 10"), ("src/store#.ts", "find", "items", "items: Account#[] = []"), ("src/store#.ts", "find", "main", "const main = lookup#('a')"), ("src/store#.ts", "lookup#", "lookup#", LOOKUP_TS.replace("boolean)", "boolean): mask")), ("src/store#.ts", "lookup#", "nothing", None)]
+DECLARED_TS = [
+    ("src/store#.ts", "find", "found", "const found = lookup#(key)"), ("src/store#.ts", "find", "limit", "limit = 10"), ("src/store#.ts", "find", "items", "items: Account#[] = []"), ("src/store#.ts", "find", "main", "const main = lookup#('a')"),
+    ("src/store#.ts", "lookup#", "lookup#", LOOKUP_TS), ("src/store#.ts", "lookup#", "nothing", None), ("src/store#.ts", "lookup#", "found", None),
+]
 
 
-@query("C32_declarations_outward", M.parts_sql("path, function, name, declaration", [(*r[:3], r[3].rstrip(";") if r[3] else None) for r in DECLARED_TS]))
+@query("C32_declarations_outward", M.parts_sql("path, function, name, declaration", DECLARED_TS))
 def _(s, d):
-    from ..functions import ts_slices
-    from ..operators import ts_tables
-
-    targets = _parts(s, d, [r[:3] for r in DECLARED_TS], ("path", "function", "name"))
-    return ts_tables.each_target(M.typescript_files(s, d), targets, lambda p, path, function, name: [(ts_slices.declared_at(p, path, function, name),)], "declaration string")
+    return TS_TABLES.outward(TS_TABLES.nodes(M.typescript_files(s, d)), _parts(s, d, [r[:3] for r in DECLARED_TS], ("path", "function", "name")))
 
 
 @query("C33_assembled_lines", M.parts_sql("path, scope, name, occurrence, lines, masks", [(*r[:4], r[4].count("\n") + 1, r[4].count("<mask>")) for r in SLICED_TS if r[4]]))
 def _(s, d):
-    from ..operators import ts_tables
-
-    made = ts_tables.slices(M.typescript_files(s, d), _parts(s, d, [r[:4] for r in SLICED_TS if r[4]], ("path", "scope", "name", "occurrence")))
-    return made.select("project", "path", "scope", "name", "occurrence", F.size(F.split("slice", "\n")).alias("lines"), (F.size(F.split("slice", "<mask>")) - 1).alias("masks"))
+    made = TS_TABLES.slices(*_typescript(s, d), _parts(s, d, [r[:4] for r in SLICED_TS if r[4]], AT))
+    return made.select("project", *AT, F.size(F.split("slice", "\n")).alias("lines"), (F.size(F.split("slice", "<mask>")) - 1).alias("masks"))
 
 
 #: Lines of the occurrences; there is no third `found` and no second `find`.
@@ -513,27 +503,15 @@ FOUND_TS = [("src/store#.ts", "var", "found", 0, 6), ("src/store#.ts", "var", "f
 
 @query("C36_target_by_occurrence", M.parts_sql("path, scope, name, occurrence, line", FOUND_TS))
 def _(s, d):
-    from ..functions import ts_slices
-    from ..operators import ts_tables
+    return TS_TABLES.occurrences(TS_TABLES.nodes(M.typescript_files(s, d)), _parts(s, d, [r[:4] for r in FOUND_TS], AT)).select("project", *AT, "line")
 
-    def find(project, path, scope, name, at):
-        file = project.files[path]
-        node = ts_slices.find_target(file, scope, name, int(at))
-        return [(file.source.count("\n", 0, node.start) + 1 if node else None,)]
 
-    return ts_tables.each_target(M.typescript_files(s, d), _parts(s, d, [r[:4] for r in FOUND_TS], ("path", "scope", "name", "occurrence")), find, "line int")
+TOOL_TS = [("found", "var", None, "true"), ("found", "var", None, "true"), ("out", "var", "Account#", "false"), ("main", "var", None, "true"), ("count", "var", "number", "false"), ("lookup#", "Ret", None, "true"), ("used", "var", None, "true")]
 
 
-TOOL_TS = [("found", "var", None, True), ("found", "var", None, True), ("out", "var", "Account#", False), ("main", "var", None, True), ("count", "var", "number", False), ("lookup#", "Ret", None, True)]
-
-
-@query("C37_static_type_or_slice", M.parts_sql("name, data_type, static_type, asked", [(n, k, t, str(a).lower()) for n, k, t, a in TOOL_TS]))
+@query("C37_static_type_or_slice", M.parts_sql("name, data_type, static_type, asked", TOOL_TS))
 def _(s, d):
-    from ..operators import ts_tables
-
-    files = M.typescript_files(s, d)
-    found = ts_tables.tool_rows(files, files.select("project", "path").where("path LIKE '%store%'"))
-    return found.select("project", "name", "data_type", "static_type", F.contains("slice", F.lit("<mask>")).alias("a")).select("project", "name", "data_type", "static_type", F.coalesce("a", F.lit(False)).cast("string").alias("asked"))
+    return TS_TABLES.static_types(TS_TABLES.nodes(M.typescript_files(s, d))).select("project", "name", "data_type", "static_type", F.col("asked").cast("string").alias("asked"))
 
 
 @query("C34_typescript_declarations", "SELECT p_partkey, replace(n, '#', CAST(p_partkey AS VARCHAR)) AS name, kind, line FROM part, (VALUES ('Shape#', 'interface', 3), ('Id#', 'type', 4), ('Box#', 'class', 5), ('helper#', 'function', 9), ('arrow#', 'arrow', 10)) t(n, kind, line)")
