@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.similarity import dice, gain, normalise_score
+from .name_search import Bound, Texts, letter_counts, ratio_bound
 
 #: Lines of a bin in range joins.
 BIN = 64
@@ -105,11 +106,12 @@ def bm25_scores(a: DataFrame, a_key: str, b: DataFrame, b_key: str) -> DataFrame
     return a.join(right, "token").groupBy(a_key, b_key).agg(part.alias("raw")).select(a_key, b_key, normalise_score(F.col("raw")).alias("score"))
 
 
-def top_similar(queries: DataFrame, candidates: DataFrame, query: str, candidate: str, order: str, score: Callable[[str, str], float], above: float, top: int) -> DataFrame:
+def top_similar(queries: DataFrame, candidates: DataFrame, query: str, candidate: str, order: str, score: Callable[[str, str], float], above: float, top: int, bound: Bound = ratio_bound) -> DataFrame:
     """(query, candidate, order, score) of the `top` candidates above a score for each query text, ties in the order given.
 
     For scores that no shared key prunes. The query set is stated and bounded (checked against MOST_QUERIES and MOST_BYTES), and
     goes to every task; a task keeps the best `top` of its own candidates for each query, so what is shuffled is bounded by that.
+    `bound` gives the most that the score may be, from letters in common and lengths, so few scores are worked out.
     """
     each = queries.select(query).distinct()
     n, size = each.agg(F.count("*"), F.sum(F.octet_length(query))).first()
@@ -119,13 +121,13 @@ def top_similar(queries: DataFrame, candidates: DataFrame, query: str, candidate
     texts = queries.sparkSession.sparkContext.broadcast(sorted(x for x in held if x is not None))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: dict[str, list] = {}
+        best: dict[str, list] = {q: [] for q in texts.value}
+        counts = letter_counts(texts.value)
         for f in frames:
-            rows = list(zip(f["c"], f["o"], strict=True))
-            for q in texts.value:
-                found = [(-s, o, c) for c, o in rows if c is not None and (s := score(q, c)) > above]
-                if found:
-                    best[q] = sorted(best.get(q, []) + found)[:top]
+            f = f[f["c"].notna()]
+            held = Texts(f["c"].tolist(), f["o"].tolist())
+            for q, own in zip(texts.value, counts, strict=True):
+                best[q], _ = held.best(q, own, score, bound, above, top, best[q])
         yield pd.DataFrame([(q, c, o, -s) for q, x in best.items() for s, o, c in x], columns=["q", "c", "o", "s"])
 
     kept = candidates.select(F.col(candidate).alias("c"), F.col(order).cast("long").alias("o")).mapInPandas(run, "q string, c string, o long, s double")

@@ -9,6 +9,7 @@ from ..functions import similarity as S
 from ..functions import text as X
 from ..functions.names import fuzzy, ratio
 from ..operators import joins as J
+from ..operators.name_search import fuzzy_bound
 from ..operators.term_search import top_bm25
 from . import views as V
 from .q_similarity import CX, CY, bm25_sql, dice_sql, words
@@ -103,7 +104,7 @@ def _(s, d):
 @query("J13_fuzzy_kb_top20")
 def _(s, d):
     q = V.table(s, d, "region").select(F.col("r_name").alias("q"))
-    return J.top_similar(q, V.table(s, d, "customer").select(F.col("c_mktsegment").alias("c"), "c_custkey"), "q", "c", "c_custkey", fuzzy, 0.2, 20)
+    return J.top_similar(q, V.table(s, d, "customer").select(F.col("c_mktsegment").alias("c"), "c_custkey"), "q", "c", "c_custkey", fuzzy, 0.2, 20, fuzzy_bound)
 
 
 @query("J15_module_inventory")
@@ -314,20 +315,6 @@ def _(s, d):
     return c.join(o, "conv_id").where("other < turn").where(F.size(F.array_intersect("t", "o")) * 100 > 8 * F.size(F.array_union("t", "o"))).select("conv_id", "turn", "other")
 
 
-@query("J33_first_by_phase", f"WITH q AS (SELECT DISTINCT module, leaf FROM {CALLS}), m AS (SELECT q.module, leaf, key, CASE WHEN k.package = q.module THEN 0 ELSE 1 END AS phase FROM q JOIN {KB} k ON k.name = leaf) SELECT module, leaf, min_by(key, phase * 10000000 + key) AS key FROM m GROUP BY 1, 2")
-def _(s, d):
-    q = V.CALLS(s, d).select(F.col("module").alias("of"), F.col("leaf").alias("name")).distinct()
-    m = q.join(V.KB(s, d).select("name", "package", "key"), "name")
-    return m.groupBy(F.col("of").alias("module"), F.col("name").alias("leaf")).agg(F.min_by("key", F.struct(F.when(F.col("package") == F.col("of"), 0).otherwise(1), "key")).alias("key"))
-
-
-@query("J34_exact_hit_ends_scan", f"WITH k AS (SELECT *, name = 'C' || (key % 7 + 90) AS exact FROM {KB}), e AS (SELECT package, min(key) AS stop FROM k WHERE exact GROUP BY 1) SELECT k.package, k.key FROM k LEFT JOIN e USING (package) WHERE k.size > 10 AND k.key <= coalesce(stop, k.key)")
-def _(s, d):
-    k = V.KB(s, d).withColumn("exact", F.col("name") == F.concat(F.lit("C"), F.expr("key % 7 + 90")))
-    stop = k.where("exact").groupBy("package").agg(F.min("key").alias("stop"))
-    return k.join(stop, "package", "left").where("size > 10 AND key <= coalesce(stop, key)").select("package", "key")
-
-
 #: Classes of small files, what files import, names of variables and what models predict, all made from parts' names.
 CLASSES = V.View("part", {"file": "CAST(floor(p_partkey / 40) AS BIGINT)", "class": "replace(p_name, ' ', '')", "place": "p_partkey"})
 IMPORTED = V.View("part", {"file": "CAST(floor(p_partkey / 40) AS BIGINT) - 1", "class": "replace(p_name, ' ', '')", "place": "p_partkey", "taken": "p_partkey % 3 = 0"})
@@ -369,13 +356,6 @@ def _(s, d):
     return prefix_join(q, "q", V.KB(s, d), "name").select("q", "key")
 
 
-@query("J36_type_or_text_metric", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'text' ELSE 'name' END AS metric, p_size % 2 = 0 AND length(p_type) > 12 OR p_size % 2 = 1 AND starts_with(p_type, left(p_name, 1)) AS kept FROM part")
-def _(s, d):
-    even = F.expr("p_size % 2 = 0")
-    kept = F.when(even, F.length("p_type") > 12).otherwise(F.col("p_type").startswith(F.substring("p_name", 1, 1)))
-    return V.table(s, d, "part").select("p_partkey", F.when(even, "text").otherwise("name").alias("metric"), kept.alias("kept"))
-
-
 @query("J37_checksum_conflicts", "SELECT p_name AS path, count(DISTINCT p_size) AS n FROM part GROUP BY 1 HAVING count(DISTINCT p_size) > 1")
 def _(s, d):
     from ..operators.checks import checksum_conflicts

@@ -5,6 +5,7 @@ import glob
 import os
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -178,6 +179,29 @@ def test_query_sets_are_bounded(spark, monkeypatch):
                 J.top_similar(q, c, "q", "c", "o", ratio, 0.2, 5)
 
 
+def test_few_ratios_are_worked_out():
+    from spindrift.functions.names import fuzzy as fuzzy_, ratio as ratio_
+    from spindrift.operators import name_search as N
+
+    names = sorted(set(kb(lambda name: pd.read_parquet(f"/root/testdata/sf0.1/{name}.parquet")).definition))
+    held = N.Texts(names, list(range(len(names))))
+    made = 0
+    queries = ["NATION_7", "NATION_12", "", "a", names[5].upper()]
+    for score, bound in ((ratio_, N.ratio_bound), (fuzzy_, N.fuzzy_bound)):
+        for q in queries:
+            best, n = held.best(q, N.letter_counts([q])[0], score, bound, 0.2, 20, [])
+            made += n if q.startswith("NATION") else 0
+            assert best == sorted((-s, i, t) for i, t in enumerate(names) if (s := score(q, t)) > 0.2)[:20]
+    assert made < 0.2 * 2 * 2 * len(names)  # for queries unlike the texts
+    for a in ("", "abc", "Straße", "a b"):
+        for b in ("", "bca", "STRASSE", "xa bx"):
+            common = np.minimum(*N.letter_counts([a, b])).sum()
+            for score, bound in ((ratio_, N.ratio_bound), (fuzzy_, N.fuzzy_bound)):
+                assert score(a, b) <= bound(common, len(a.lower()), len(b.lower())) + 1e-12
+                near = N.common_subsequence(N.letter_masks(a.lower()), len(a.lower()), b.lower())
+                assert near <= common and score(a, b) <= bound(np.array(near), len(a.lower()), len(b.lower())) + 1e-12
+
+
 def test_terms_are_joined_either_way(spark, monkeypatch):
     from spindrift.operators import joins as J
 
