@@ -17,6 +17,14 @@ def missing(expected: DataFrame, have: DataFrame, key: str) -> DataFrame:
     return expected.select(key).distinct().join(have.select(key).distinct(), key, "left_anti")
 
 
+def completeness(expected: DataFrame, have: DataFrame, shard: str, key: str) -> DataFrame:
+    """(shard, expected, done, missing, first_missing): how many keys of each shard there are, and the first that isn't."""
+    done = have.select(shard, key).distinct().withColumn("done_", F.lit(True))
+    each = expected.select(shard, key).distinct().join(done, [shard, key], "left")
+    lost = F.when(F.col("done_").isNull(), F.col(key))
+    return each.groupBy(shard).agg(F.count("*").alias("expected"), F.count("done_").alias("done"), F.count(lost).alias("missing"), F.min(lost).alias("first_missing"))
+
+
 def residue_faults(parts: DataFrame, shard: str = "shard", residue: str = "residue", modulus: str = "modulus", cycle: int = 90) -> DataFrame:
     """Residues modulo `cycle` that the parts don't cover exactly once, with how often they do."""
     spark = parts.sparkSession

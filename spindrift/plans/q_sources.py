@@ -254,12 +254,18 @@ def _(s, d):
     return r.join(splits(s, d), "project").groupBy("split").agg(F.count("*").alias("projects"), F.sum("n").alias("rows"))
 
 
-@query("O02_slice_stage", "SELECT source AS project, count(*) AS annotations, CAST(sum(CASE WHEN n_chars < 200 THEN 1 ELSE 0 END) AS BIGINT) AS failed FROM documents GROUP BY 1")
+#: Modules by part: every fiftieth is no Python, the one before it is nested too deeply to be read.
+@query("O02_slice_stage", "SELECT p_partkey % 25 AS project, count(*) AS files, count(*) FILTER (WHERE p_partkey % 50 IN (48, 49)) AS failed, min(CASE WHEN p_partkey % 50 IN (48, 49) THEN 'SyntaxError' END) AS error, CAST(sum(CASE WHEN p_partkey % 50 NOT IN (48, 49) THEN 6 END) AS BIGINT) AS statements FROM part GROUP BY 1")
 def _(s, d):
+    import ast
+
     from ..operators.projects import by_row
+    from .q_code import files
 
-    done = by_row(V.table(s, d, "documents").select(F.col("source").alias("project"), "text"), ["project"], "text", lambda t: len(t) if len(t) >= 200 else 1 // 0, "long")
-    return done.groupBy("project").agg(F.count("*").alias("annotations"), F.count("error").alias("failed"))
+    deep = F.concat(F.lit("x = "), F.repeat(F.lit("("), 400), F.repeat(F.lit(")"), 400))
+    sources = files(s, d).withColumn("source", F.when(F.regexp_extract("path", r"(\d+)\.py", 1).cast("int") % 50 == 48, deep).otherwise(F.col("source")))
+    done = by_row(sources, ["project"], "source", lambda text: len(ast.parse(text).body), "long")
+    return done.groupBy("project").agg(F.count("*").alias("files"), F.count("error").alias("failed"), F.min(F.substring_index("error", ":", 1)).alias("error"), F.sum("result").alias("statements"))
 
 
 #: A row's hash as the operators make it, for DuckDB.
@@ -323,11 +329,12 @@ def _(s, d):
     return VER.verify(now, VER.manifest(t, "lang", "project", ["doc_id", "text"]), kb, "lang", "doc_id", ["doc_id", "text"], rules, "names")
 
 
-@query("O06_shard_manifest", "SELECT count(DISTINCT d.doc_id) AS expected, count(DISTINCT l.doc_id) AS done, count(DISTINCT d.doc_id) - count(DISTINCT l.doc_id) AS missing FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
+#: Languages are shards; a project is done if one of its documents has a label.
+@query("O06_shard_manifest", "WITH e AS (SELECT lang AS shard, source || '/' || doc_id % 50 AS project, max(CASE WHEN l.doc_id IS NULL THEN 0 ELSE 1 END) AS done FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id) GROUP BY 1, 2) SELECT shard, count(*) AS expected, CAST(sum(done) AS BIGINT) AS done, count(*) - CAST(sum(done) AS BIGINT) AS missing, min(CASE WHEN done = 0 THEN project END) AS first_missing FROM e GROUP BY 1")
 def _(s, d):
-    done = V.table(s, d, "labels").select("doc_id").distinct().withColumn("done", F.lit(True))
-    j = V.table(s, d, "documents").select("doc_id").distinct().join(done, "doc_id", "left")
-    return j.agg(F.count("*").alias("expected"), F.count("done").alias("done"), (F.count("*") - F.count("done")).alias("missing"))
+    t = V.table(s, d, "documents").select("doc_id", F.col("lang").alias("shard"), F.concat("source", F.lit("/"), F.expr("doc_id % 50")).alias("project"))
+    labelled = t.join(V.table(s, d, "labels").select("doc_id").distinct(), "doc_id", "left_semi")
+    return C.completeness(t, labelled, "shard", "project")
 
 
 #: Ten shards by id; the parts of one that no document falls into are missing.
