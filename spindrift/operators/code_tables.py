@@ -18,20 +18,36 @@ CLASS = "name string, kind string, signature string, bases array<string>"
 IMPORT = "module string, name string, alias string, used boolean"
 
 
+#: Most rows, and about the most characters in them, that are held before they are given out.
+MOST_ROWS, MOST_CHARS = 4096, 4 << 20
+
+
+def _batches(rows: Iterator, columns: list[str]) -> Iterator[pd.DataFrame]:
+    held, size = [], 0
+    for r in rows:
+        held.append(r)
+        size += sum(len(x) if isinstance(x, str) else len(x.get("source_code") or "") if isinstance(x, dict) else 0 for x in r)
+        if len(held) >= MOST_ROWS or size >= MOST_CHARS:
+            yield pd.DataFrame(held, columns=columns)
+            held, size = [], 0
+    yield pd.DataFrame(held, columns=columns)
+
+
 def each_file(files: DataFrame, find: Callable[..., list[dict]], shape: str, takes: tuple[str, ...] = ("source",), keep: tuple[str, ...] = ("project", "path")) -> DataFrame:
     """keep, the columns of shape and `error`, a row for each finding of find(*takes); a file that can't be parsed has an error."""
     names = [x.split(" ")[0] for x in shape.replace("array<", "array_").split(", ")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = []
-            for row in f.to_dict("records"):
-                head = [row[k] for k in keep]
-                if tree_of(row["source"] or "") is None:
-                    out.append([*head, *[None] * len(names), "does not parse"])
-                    continue
-                out += [[*head, *(x.get(n) for n in names), None] for x in find(*(row[t] for t in takes))]
-            yield pd.DataFrame(out, columns=[*keep, *names, "error"])
+        def each() -> Iterator[list]:
+            for f in frames:
+                for row in f.to_dict("records"):
+                    head = [row[k] for k in keep]
+                    if tree_of(row["source"] or "") is None:
+                        yield [*head, *[None] * len(names), "does not parse"]
+                    else:
+                        yield from ([*head, *(x.get(n) for n in names), None] for x in find(*(row[t] for t in takes)))
+
+        yield from _batches(each(), [*keep, *names, "error"])
 
     kinds = ", ".join(f"{k} {files.schema[k].dataType.simpleString()}" for k in keep)
     return files.select(*dict.fromkeys((*keep, *takes, "source"))).mapInPandas(run, f"{kinds}, {shape}, error string")
@@ -48,16 +64,17 @@ def scan(files: DataFrame) -> DataFrame:
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = []
-            for project, path, module, source in zip(f["project"], f["path"], f["module"], f["source"], strict=True):
-                source = source or ""
-                if tree_of(source) is None:
-                    out.append((project, path, None, None, None, None, "does not parse"))
-                    continue
-                for kind, found in (("definition", code.definitions(module, source)), ("call", code.call_sites(module, source)), ("class", code.classes(source))):
-                    out += [(project, path, kind, *(x if k == kind else None for k in SCANNED), None) for x in found]
-            yield pd.DataFrame(out, columns=["project", "path", "kind", *SCANNED, "error"])
+        def each() -> Iterator[tuple]:
+            for f in frames:
+                for project, path, module, source in zip(f["project"], f["path"], f["module"], f["source"], strict=True):
+                    source = source or ""
+                    if tree_of(source) is None:
+                        yield (project, path, None, None, None, None, "does not parse")
+                        continue
+                    for kind, found in (("definition", code.definitions(module, source)), ("call", code.call_sites(module, source)), ("class", code.classes(source))):
+                        yield from ((project, path, kind, *(x if k == kind else None for k in SCANNED), None) for x in found)
+
+        yield from _batches(each(), ["project", "path", "kind", *SCANNED, "error"])
 
     structs = ", ".join(f"{kind} struct<{shape.replace(' ', ': ').replace(',:', ',')}>" for kind, shape in SCANNED.items())
     kinds = ", ".join(f"{k} {files.schema[k].dataType.simpleString()}" for k in ("project", "path"))
