@@ -349,6 +349,7 @@ def one_of_each(rows: DataFrame, keys: dict[str, Column], marks: DataFrame) -> D
     more = own.join(repeated, same(repeated), "left_semi")
     hashed = [c for c in rows.columns if not isinstance(rows.schema[c].dataType, (T.MapType, T.VariantType))]
     first = F.min_by(F.struct(*[F.col(c) for c in rows.columns]), F.xxhash64(*hashed) if hashed else F.lit(0)).alias(f"{p}row")
+    named = named.hint("merge")  # marks grow with the rows, so they are never broadcast
     return own.join(named, same(named), "left_anti").drop(*drop).unionByName(more.groupBy(*drop).agg(first).select(f"{p}row.*"))
 
 
