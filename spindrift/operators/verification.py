@@ -72,12 +72,11 @@ def verify(rows: DataFrame, expected: DataFrame, kb: DataFrame, split: str, orde
     outside: rows with a recommendation that their project's knowledge base hasn't, and the first of them.
     """
     known = kb.select("project", F.lower("key").alias("key_")).distinct().withColumn("known_", F.lit(True))
-    each = rows.withColumn("row_", F.monotonically_increasing_id()).withColumn("one_", F.explode_outer(recommended)).withColumn("key_", F.lower("one_"))
+    each = rows.withColumn("row_", F.monotonically_increasing_id()).select("*", F.posexplode_outer(recommended).alias("place_", "one_")).withColumn("key_", F.lower("one_"))
     looked = each.join(known, ["project", "key_"], "left")
     error = F.coalesce(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules])
-    first = F.col("place_") == 0
     # a row's first recommendation stands for the row in counts and digests; rows without one have a null there
-    looked = looked.withColumn("place_", F.coalesce(F.array_position(F.col(recommended), F.col("one_")) - 1, F.lit(0)))
+    first = F.coalesce("place_", F.lit(0)) == 0
     outside = F.col("one_").isNotNull() & F.col("known_").isNull()
     found = looked.groupBy(split).agg(
         F.count_if(first).alias("rows"),

@@ -44,7 +44,7 @@ def test_each_fault_is_found(spark, table):
     assert (swapped["train"].fewer_or_more, swapped["train"].changed) == (0, True)
     gone = checked(spark, table, ROWS[:4])
     assert (gone["dev"].rows, gone["dev"].fewer_or_more, gone["dev"].changed) == (0, -1, True)
-    more = checked(spark, table, [*ROWS, (9, "new", "a", "x", ["q", "Q"])])
+    more = checked(spark, table, [*ROWS, (9, "new", "a", "x", ["q", "Q", "q", "k", "k"])])
     assert (more["new"].rows, more["new"].fewer_or_more, more["new"].changed, more["new"].outside, more["new"].first_outside) == (1, 1, True, 1, 9)
 
 
