@@ -11,7 +11,7 @@ import sys
 from collections.abc import Iterable, Iterator
 
 from .signals import type_signals
-from .syntax import FUNCTIONS, MASK, dotted, is_type_name, parsed, tree_of, type_names
+from .syntax import FUNCTIONS, MASK, dotted, parsed, tree_of, type_names  # noqa: F401  names in types are part of this module's interface
 
 STATEMENTS = (ast.Assign, ast.AnnAssign, ast.AugAssign, ast.Expr, ast.Return, ast.If, ast.For, ast.While, ast.With, ast.Assert, ast.Raise, ast.Delete)
 MOST_RECOMMENDATIONS = 120
