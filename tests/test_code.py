@@ -1,4 +1,7 @@
+from pyspark.sql import functions as F
+
 from spindrift.functions import code as C
+from spindrift.operators import code_tables
 
 SOURCE = '''
 import os, typing as t
@@ -149,3 +152,28 @@ def test_roots_of_packages(spark):
     assert [r.root for r in roots.stub_roots(names, "name", files, ["/t", "/u"]).orderBy("place").collect()] == ["/t/stdlib/x.pyi", "/t/x", "/t/stubs/d1/x.pyi", "/t/stubs/d2/x", "/u/stdlib/x"]
     own = spark.createDataFrame([(1, p) for p in ("a.py", "src/b.py", "p/__init__.py", "src/q/__init__.py", "deep/c.py", "src/r/d.py", "e.txt")], "project long, path string")
     assert {r.name for r in roots.local_modules(own).collect()} == {"a", "b", "p", "q"}
+
+
+def test_sources_are_dealt_over_tasks(spark):
+    from spindrift.plans import modules, q_code
+
+    for made in (q_code.files, q_code.ts_files, modules.project_files, modules.typescript_files):
+        assert made(spark, "/root/testdata/sf0.001").select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_several_kinds_of_findings_parse_files_once(spark):
+    files = spark.createDataFrame([("p", "a.py", "a", "def f(x):\n    return f(1)\n"), ("p", "b.py", "b", "def broken(:")], "project string, path string, module string, source string")
+    definitions, calls = code_tables.project_index(files, ("definition", "call"))
+    found = code_tables.resolved_calls(calls, definitions)
+    assert "MapInPandas" not in found._jdf.queryExecution().toString()
+    assert [(r.written, r.target) for r in found.collect()] == [("f", "a.f")]
+    assert code_tables.classes(files).where("error IS NULL").count() == 0 and code_tables.classes(files).count() == 1
+
+
+def test_callers_stand_in_the_order_of_their_files(spark):
+    files = [("p", f"{m}.py", m, s, i) for i, (m, s) in enumerate([("f", "def f(x):\n    return x\n"), ("z", "f(1)\n"), ("y", "f(2)\n"), ("x", "f(3)\n")])]
+    targets = spark.createDataFrame([("p", "f.py", "arg", "x", "f", None)], "project string, path string, scope string, name string, function string, line int")
+    for place, calls in (("place", ["f(1)", "f(2)", "f(3)"]), ("other", ["f(3)", "f(2)", "f(1)"])):
+        for parts in (1, 4):
+            dealt = spark.createDataFrame(files[::-1], f"project string, path string, module string, source string, {place} int").repartition(parts)
+            assert code_tables.sliced(dealt, targets).first().slice.split("\n")[-3:] == calls

@@ -2,6 +2,8 @@
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from spindrift.functions.ts_syntax import File
 from spindrift.operators import ts_tables as T
 
@@ -93,3 +95,18 @@ def test_no_project_meets_in_a_task(tables, spark):
     plan = T.slices(declared, used, targets)._jdf.queryExecution().toString()
     assert "GroupsIn" not in plan and "CoGroup" not in plan and "Cartesian" not in plan
     assert T.slices(declared.limit(0), used.limit(0), targets).first().slice is None
+
+
+def test_files_are_read_once_and_no_table_is_sent_to_all_tasks(spark):
+    source = "function f(a: string) {\n  const b = a;\n  return b;\n}\n"
+    files = spark.createDataFrame([("p", "a.ts", source), ("p", "b.ts", None)], "project string, path string, source string")
+    declared, used = T.nodes_and_uses(files)
+    assert sorted(map(repr, declared.collect())) == sorted(map(repr, T.nodes(files).collect()))
+    assert sorted(map(repr, used.collect())) == sorted(map(repr, T.uses(files).collect()))
+    targets = spark.createDataFrame([("p", "a.ts", "arg", "a", 0)], "project string, path string, scope string, name string, occurrence int")
+    made = T.slices(declared, used, targets)
+    assert made.first().slice.endswith("return b;\n}\nconst b = a")
+    functions = targets.withColumn("function", F.lit("f"))
+    for found in (made, T.block_names(declared, used, targets), T.outward(declared, functions.select("project", "path", "function", "name")), T.tracked(declared, used, functions.select("project", "path", "function", "name"))):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan and "MapInPandas" not in plan
