@@ -29,7 +29,7 @@ def installed_roots(names: DataFrame, name: str, files: DataFrame, search: list[
     for place in search:
         folder = F.concat(F.lit(f"{place}/"), n)
         made += [(F.concat(folder, F.lit("/__init__.py")), folder), *((F.concat(folder, F.lit(end)), F.concat(folder, F.lit(end))) for end in (".py", ".pyi"))]
-    found = _candidates(names, name, made).join(files.select(F.col("path").alias("there")).distinct(), "there")
+    found = _candidates(names, name, made).join(files.select(F.col("path").alias("there")).distinct().hint("merge"), "there")  # paths grow with the names, so they aren't sent to all tasks
     return _first(found, [name]).select(name, "root")
 
 
@@ -39,12 +39,12 @@ def stub_roots(names: DataFrame, name: str, files: DataFrame, bases: list[str])
     for base in bases:
         made += [(p, p) for inner in ("stdlib/", "") for end in (".pyi", "") for p in [F.concat(F.lit(f"{base}/{inner}"), n, F.lit(end))]]
     there = files.select("path").union(folders(files)).distinct()
-    direct = _candidates(names, name, made).join(there.withColumnRenamed("path", "there"), "there").select(name, "root", F.struct("rank", F.lit("").alias("of")).alias("order"))
+    direct = _candidates(names, name, made).join(there.withColumnRenamed("path", "there").hint("merge"), "there").select(name, "root", F.struct("rank", F.lit("").alias("of")).alias("order"))
     out = direct
     for i, base in enumerate(bases):
         # <base>/stubs/<distribution>/<name>[.pyi], found by the last part of the path
         inside = there.where(F.col("path").rlike(f"^{base}/stubs/[^/]+/[^/]+$")).select("path", F.regexp_replace(F.substring_index("path", "/", -1), r"\.pyi$", "").alias(name))
-        more = names.join(inside, name).select(name, F.col("path").alias("root"), F.struct(F.lit(4 * i + 3).alias("rank"), F.col("path").alias("of")).alias("order"))
+        more = names.join(inside.hint("merge"), name).select(name, F.col("path").alias("root"), F.struct(F.lit(4 * i + 3).alias("rank"), F.col("path").alias("of")).alias("order"))
         out = out.unionByName(more)
     return out.dropDuplicates([name, "root"]).withColumn("place", F.row_number().over(Window.partitionBy(name).orderBy("order", "root"))).drop("order")
 
