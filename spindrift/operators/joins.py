@@ -58,6 +58,12 @@ def range_join(points: DataFrame, spans: DataFrame, keys: list[str], point: str,
     return points.withColumn("bin_", F.floor(F.col(point) / size)).join(binned, [*keys, "bin_"]).where(F.col(point).between(F.col(start), F.col(end))).drop("bin_")
 
 
+def different_pairs(left: DataFrame, right: DataFrame, key: str, one: str, other: str) -> DataFrame:
+    """(key, one, other): each pair of different values that share a key, once, however many rows have them."""
+    values = right.select(key, other).distinct()
+    return left.select(key, one).distinct().join(values.hint("merge"), key)
+
+
 def innermost(points: DataFrame, spans: DataFrame, keys: list[str], point: str, start: str, end: str, value: str, row: list[str]) -> DataFrame:
     """Of the spans around each point the shortest, then the first."""
     found = range_join(points, spans, keys, point, start, end)

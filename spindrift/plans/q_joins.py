@@ -91,9 +91,12 @@ def _(s, d):
     from ..functions.python_udfs import sequence_ratio
 
     a = IMPORTS(s, d).where("module <> ''").select("file", F.col("module").alias("package"), F.col("name").alias("wanted"))
-    near = a.join(V.KB(s, d).where("kind = 'class'").select("package", "name", "key"), "package").withColumn("r", sequence_ratio("wanted", "name"))
+    classes = V.KB(s, d).where("kind = 'class'").groupBy("package", "name").agg(F.min("key").alias("key"))
+    near = V.spread(J.different_pairs(a, classes, "package", "wanted", "name")).withColumn("r", sequence_ratio("wanted", "name"))
     equal = F.lower("wanted") == F.lower("name")
-    return near.where(equal | (F.col("r") > 0.78)).groupBy("file", "wanted").agg(F.min_by("name", F.struct(F.when(equal, 0).otherwise(1), "key")).alias("name"))
+    place = F.struct(F.when(equal, 0).otherwise(1).alias("unlike"), "key", "name").alias("place")
+    found = near.where(equal | (F.col("r") > 0.78)).join(classes.hint("merge"), ["package", "name"]).groupBy("package", "wanted").agg(F.min(place).alias("place"))
+    return a.join(found.hint("merge"), ["package", "wanted"]).groupBy("file", "wanted").agg(F.min("place").alias("place")).select("file", "wanted", "place.name")
 
 
 @query("J11_name_similarity_top20")
@@ -112,8 +115,13 @@ def _(s, d):
     from ..functions.python_udfs import sequence_ratio
 
     i = IMPORTS(s, d).where("module <> ''").select("file", F.col("module").alias("package"), F.col("name").alias("wanted"))
-    found = i.join(V.KB(s, d).select("package", "name", "key"), "package").withColumn("r", F.round(sequence_ratio("wanted", "name"), 6))
-    return found.withColumn("rank", F.row_number().over(Window.partitionBy("file", "package").orderBy(F.desc("r"), "name", "key"))).where("rank <= 100").select("file", "package", "key", "rank")
+    # the best hundred of a wanted name are among the first hundred keys of its best hundred names
+    numbered = lambda rows, keys, order: rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("rank <= 100")
+    kb, order = V.KB(s, d).select("package", "name", "key"), (F.desc("r"), "name", "key")
+    scored = V.spread(J.different_pairs(i, kb, "package", "wanted", "name")).withColumn("r", F.round(sequence_ratio("wanted", "name"), 6))
+    names = numbered(scored, ["package", "wanted"], order[:2]).drop("rank")
+    best = numbered(names.join(numbered(kb, ["package", "name"], ["key"]).drop("rank").hint("merge"), ["package", "name"]), ["package", "wanted"], order).drop("rank")
+    return numbered(i.join(best.hint("merge"), ["package", "wanted"]), ["file", "package"], order).select("file", "package", "key", "rank")
 
 
 QUERY_DOCS = f"(SELECT doc_id, {words('lower(text)')} AS xt FROM documents WHERE doc_id % 100 = 0)"
@@ -257,7 +265,11 @@ def _(s, d):
 
 @query("J24_nodes_spanning_line", f"SELECT p.pos, count(*) AS n, min(f.fn) AS first_fn FROM {POINTS.sql} p JOIN {FUNCTIONS.sql} f ON p.file = f.file AND p.line BETWEEN f.start AND f.stop GROUP BY p.pos")
 def _(s, d):
-    return J.range_join(POINTS(s, d), FUNCTIONS(s, d), ["file"], "line", "start", "stop").groupBy("pos").agg(F.count("*").alias("n"), F.min("fn").alias("first_fn"))
+    # equal spans count once with their number, equal places look once; a span meets at most as many places as it has lines
+    spans = FUNCTIONS(s, d).groupBy("file", "start", "stop").agg(F.count("*").alias("n"), F.min("fn").alias("fn"))
+    places = POINTS(s, d).select("file", "line").distinct()
+    found = J.range_join(places, spans, ["file"], "line", "start", "stop").groupBy("file", "line").agg(F.sum("n").alias("n"), F.min("fn").alias("fn"))
+    return POINTS(s, d).join(found, ["file", "line"]).groupBy("pos").agg(F.sum("n").alias("n"), F.min("fn").alias("first_fn"))
 
 
 @query("J25_fixtures_to_parameters", f"SELECT a.name, count(*) AS n FROM {A} a JOIN (SELECT DISTINCT 'v' || (s_suppkey % 20) AS name FROM supplier) f USING (name) GROUP BY 1")
@@ -367,4 +379,8 @@ def _(s, d):
 def _(s, d):
     a = IMPORTS(s, d).where("module <> ''").select("file", F.col("module").alias("of"))
     c = V.CALLS(s, d).select("file", F.col("leaf").alias("name")).distinct().join(a, "file", "left")
-    return c.join(V.KB(s, d), "name").where("of IS NULL OR package = of").groupBy("file", F.col("name").alias("leaf")).agg(F.count("*").alias("n"))
+    # records are counted by name, and by name and package, before calls meet them
+    packages = V.KB(s, d).groupBy("name", F.col("package").alias("of")).agg(F.count("*").alias("n"))
+    names = packages.groupBy("name").agg(F.sum("n").alias("n"))
+    found = c.where("of IS NULL").join(names, "name").select("file", "name", "n").unionByName(c.join(packages, ["name", "of"]).select("file", "name", "n"))
+    return found.groupBy("file", F.col("name").alias("leaf")).agg(F.sum("n").alias("n"))
