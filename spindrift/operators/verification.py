@@ -1,8 +1,8 @@
 """Finalizing, merging and verifying datasets by digests that no order of rows changes.
 
 The digest of some rows is the sum of a 60-bit hash of each: it is made by map-side sums, is the same over any partitioning, and
-unlike a set's it tells a doubled row from a single one. One pass over a dataset gives its digests, its first broken rule and what
-it recommends outside its knowledge base; nothing but sums and minima of each split is shuffled, besides the lookup by key.
+unlike a set's it tells a doubled row from a single one. One pass over a dataset gives its digests and its first
+broken rule, another over its recommendations alone what is outside its knowledge base; no text is shuffled.
 """
 
 from __future__ import annotations
@@ -71,20 +71,18 @@ def verify(rows: DataFrame, expected: DataFrame, kb: DataFrame, split: str, orde
     missing); changed: whether the digest is not the expected one; first_bad: the first row that breaks a rule, with the rule;
     outside: rows with a recommendation that their project's knowledge base hasn't, and the first of them.
     """
-    known = kb.select("project", F.lower("key").alias("key_")).distinct().withColumn("known_", F.lit(True))
-    each = rows.withColumn("row_", F.monotonically_increasing_id()).select("*", F.posexplode_outer(recommended).alias("place_", "one_")).withColumn("key_", F.lower("one_"))
-    looked = each.join(known, ["project", "key_"], "left")
+    known = kb.select("project", F.lower("key").alias("key_")).distinct()
     error = F.coalesce(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules])
-    # a row's first recommendation stands for the row in counts and digests; rows without one have a null there
-    first = F.coalesce("place_", F.lit(0)) == 0
-    outside = F.col("one_").isNotNull() & F.col("known_").isNull()
-    found = looked.groupBy(split).agg(
-        F.count_if(first).alias("rows"),
-        F.sum(F.when(first, row_hash(columns))).cast("string").alias("digest"),
+    found = rows.groupBy(split).agg(
+        F.count("*").alias("rows"),
+        digest(columns).alias("digest"),
         F.min(F.when(error.isNotNull(), F.struct(F.col(order).alias("at"), error.alias("error")))).alias("bad"),
-        F.count_distinct(F.when(outside, F.col("row_"))).alias("outside"),
-        F.min(F.when(outside, F.col(order))).alias("first_outside"),
     )
+    # recommendations are looked up without the texts of their rows; rows are counted by number, without a table of distinct ones
+    each = rows.select(split, "project", F.col(order).alias("at_"), F.col(recommended).alias("all_"), F.monotonically_increasing_id().alias("row_"))
+    each = each.select("*", F.explode("all_").alias("one_")).drop("all_").where("one_ IS NOT NULL").withColumn("key_", F.lower("one_")).join(known, ["project", "key_"], "left_anti")
+    out = each.groupBy(split, "row_").agg(F.min("at_").alias("at_")).groupBy(split).agg(F.count("*").alias("outside"), F.min("at_").alias("first_outside"))
+    found = found.join(out.withColumnRenamed(split, "split_"), F.col(split).eqNullSafe(F.col("split_")), "left").drop("split_")
     want = expected.select(split, F.col("rows").alias("want_rows"), F.col("digest").alias("want_digest"))
     both = found.join(want, split, "full").na.fill(0, ["rows", "want_rows", "outside"])
     return both.select(split, "rows", (F.col("rows") - F.col("want_rows")).alias("fewer_or_more"), (~F.col("digest").eqNullSafe(F.col("want_digest"))).alias("changed"), F.col("bad.at").alias("first_bad"), F.col("bad.error").alias("error"), "outside", "first_outside")

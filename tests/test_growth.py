@@ -37,3 +37,9 @@ def test_spans_and_records_are_counted_before_they_are_joined(spark):
 @pytest.mark.parametrize("name", ["C11_installed_roots", "C11_stub_roots"])
 def test_paths_are_not_sent_to_the_driver(spark, name):
     assert "Broadcast" not in plan(spark, name).executedPlan().toString()
+
+
+def test_verification_looks_recommendations_up_without_texts(spark):
+    lines = plan(spark, "O05_verify_dataset").optimizedPlan().toString().split("\n")
+    at = next(i for i, x in enumerate(lines) if "Join LeftAnti" in x)
+    assert not any("text#" in x for x in lines[at:] if "Explode" in x or "explode" in x or "Generate" in x) and "Expand" not in "".join(lines)
