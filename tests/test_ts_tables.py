@@ -110,3 +110,34 @@ def test_files_are_read_once_and_no_table_is_sent_to_all_tasks(spark):
     for found in (made, T.block_names(declared, used, targets), T.outward(declared, functions.select("project", "path", "function", "name")), T.tracked(declared, used, functions.select("project", "path", "function", "name"))):
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert "Broadcast" not in plan and "MapInPandas" not in plan
+
+
+def told(spark, *sources):
+    return T.all_told(spark.createDataFrame([("p", f"{i}.ts", x) for i, x in enumerate(sources)], "project string, path string, source string"))
+
+
+CHAIN = "function f(a: string, z) {\n  const b = h(a);\n  let c = b;\n  c.keep = a;\n  if (z) {\n    const c = b;\n    this.items.push(c);\n  }\n  return c;\n}\nfunction h(x) { return x; }\nconst r = f('1', 2);\nshow(r);\n"
+
+
+def test_texts_follow_values_and_inner_declarations(spark):
+    """What a block tells holds definitions of what is called, inner declarations of the name, and the names that the value goes on to."""
+    declared, used, _ = told(spark, CHAIN)
+    targets = spark.createDataFrame([("p", "0.ts", "arg", "a", 0), ("p", "0.ts", "var", "c", 0)], "project string, path string, scope string, name string, occurrence int")
+    got = {}
+    for r in T.block_texts(declared, used, targets).collect():
+        got.setdefault(r.name, set()).add(r.text)
+    led = {"function h(x) { return x; }", "const b = h(a)", "let c = b", "c.keep = a;", "const c = b", "this.items.push(c)", "return c;"}
+    assert got == {"a": led, "c": {"let c: <mask> = b", "c.keep = a;", "const c = b", "this.items.push(c)", "return c;"}}
+    functions = spark.createDataFrame([("p", "0.ts", "f", "a")], "project string, path string, function string, name string")
+    assert {r.text for r in T.tracked_texts(declared, used, functions).collect()} == led
+
+
+def test_whole_slices_hold_callers_and_what_becomes_of_them(spark):
+    declared, used, calls = told(spark, CHAIN, "export const other = f('2', 3);\n")
+    targets = spark.createDataFrame([("p", "0.ts", "arg", "a", 0), ("p", "0.ts", "ret", "h", 0), ("p", "0.ts", "var", "b", 0), ("p", "0.ts", "var", "b", 1)], "project string, path string, scope string, name string, occurrence int")
+    got = {(r.scope, r.occurrence): r.slice for r in T.whole_slices(declared, used, calls, targets).collect()}
+    file, f = "this is a snippet from the file 0.ts\n", CHAIN.split("\nfunction h")[0].replace("a: string", "a: <mask>")
+    led = "let c = b\nc.keep = a;\nconst c = b\nthis.items.push(c)\nreturn c;"
+    assert got["arg", 0] == f"{file}{f}\nfunction h(x) {{ return x; }}\nconst b = h(a)\n{led}\nconst r = f('1', 2)\nshow(r)\nf('2', 3)"
+    assert got["ret", 0] == f"{file}function h(x): <mask> {{ return x; }}\na: string\nconst b = h(a)\n{led}"
+    assert got["var", 0].startswith(f"{file}function h(x) {{ return x; }}\nconst b: <mask> = h(a)\nlet c = b\nc.keep = a;\n") and got["var", 0].endswith("return c;\na: string") and got["var", 1] is None
