@@ -177,6 +177,15 @@ def _apart(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (p - q) ** 2 // (p + q)
 
 
+def pair_sums(halves: DataFrame) -> DataFrame:
+    """(lang, source, other, value), the lesser source first, of values of chunks that name a pair either way round.
+
+    Rows of a block stand in the order in which a shuffle brings them, so one chunk may have (a, b) and another (b, a).
+    """
+    either = halves.select("lang", F.least("source", "other").alias("source"), F.greatest("source", "other").alias("other"), "value")
+    return either.groupBy("lang", "source", "other").agg(F.sum("value").alias("value"))
+
+
 def _vectors(column: pa.Array) -> np.ndarray:
     column = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
     at = column.offsets.to_numpy()
@@ -228,7 +237,7 @@ def audit(docs: DataFrame, scratch: Scratch, lang_col: str = "lang", source_col:
     placed = placed.select("lang", "chunk", "block_i", "block_j", "side", "source", "counts", "total", "terms")
     keys = ["lang", "chunk", "block_i", "block_j"]
     halves = placed.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(frugal(paired), "lang string, source string, other string, value long")
-    halves = scratch.save(halves.groupBy("lang", "source", "other").agg(F.sum("value").alias("value")), "halves")
+    halves = scratch.save(pair_sums(halves), "halves")
     both = halves.unionByName(halves.select("lang", F.col("other").alias("source"), F.col("source").alias("other"), "value"))
     # languages without a kept term: their sources differ by nothing
     bare = groups.join(langs.select("lang"), "lang", "left_anti")

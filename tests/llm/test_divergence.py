@@ -90,3 +90,8 @@ def test_shares_are_exact():
         assert divergence._shares(np.array([count]), total, terms)[0] == 1 + 10**9 * (count + 2) // (total + 2 * terms)
     ids, n = np.array([0, 2, 2]), np.array([2**53 + 1, 2**60, 3])
     assert divergence._bincount(ids, n, 4).tolist() == [2**53 + 1, 0, 2**60 + 3, 0]
+
+
+def test_a_pair_is_one_whichever_way_round_its_chunks_have_it(spark):
+    rows = spark.createDataFrame([("x", "a", "b", 3), ("x", "b", "a", 4), ("x", "b", "c", 1), ("y", "a", "b", 9), ("x", "", "a", 2)], "lang string, source string, other string, value long")
+    assert sorted(map(tuple, D.pair_sums(rows).collect())) == [("x", "", "a", 2), ("x", "a", "b", 7), ("x", "b", "c", 1), ("y", "a", "b", 9)]
