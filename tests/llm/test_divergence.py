@@ -94,4 +94,4 @@ def test_shares_are_exact():
 
 def test_a_pair_is_one_whichever_way_round_its_chunks_have_it(spark):
     rows = spark.createDataFrame([("x", "a", "b", 3), ("x", "b", "a", 4), ("x", "b", "c", 1), ("y", "a", "b", 9), ("x", "", "a", 2)], "lang string, source string, other string, value long")
-    assert sorted(map(tuple, D.pair_sums(rows).collect())) == [("x", "", "a", 2), ("x", "a", "b", 7), ("x", "b", "c", 1), ("y", "a", "b", 9)]
+    assert sorted(map(tuple, divergence.pair_sums(rows).collect())) == [("x", "", "a", 2), ("x", "a", "b", 7), ("x", "b", "c", 1), ("y", "a", "b", 9)]
