@@ -484,3 +484,37 @@ def test_scratch_leaves_the_session_as_it_was(spark):
     with pytest.raises(Exception):
         scratch.save(spark.range(1).select(F.raise_error(F.lit("no"))), "c")
     assert spark.conf.get(BATCH_KEY) == was
+
+
+def test_near_passages_of_hot_values_are_met(spark):
+    """Two documents hold one passage but for a word in its middle; either half of it is in sixty others, so all that they share is hot."""
+    data, bases = [], 5
+    for g in range(bases):
+        a = words(54, 900 + g).split()
+        for i in range(120):
+            data.append((1000 * g + i, f"{words(40, 10000 + 200 * g + i)} {' '.join(a[:30] if i % 2 else a[24:])} {words(40, 20000 + 200 * g + i)}", "en", "s", 1))
+        for k, p in enumerate((a, [*a[:26], f"z{g}", *a[27:]])):
+            data.append((1000 * g + 500 + k, f"{words(40, 30000 + 2 * g + k)} {' '.join(p)} {words(40, 40000 + 2 * g + k)}", "en", "s", 1))
+    found = defaultdict(set)
+    for x in S.passages(docs(spark, data).repartition(5)).collect():
+        found[x.of_doc_id, x.doc_id].update(range(x.first_word, x.end_word))
+    assert all(found[1000 * g + 500, 1000 * g + 501] >= set(range(40, 94)) for g in range(bases)), found
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_matched_values_against_brute_force(monkeypatch, seed):
+    monkeypatch.setattr(S, "STRIP", 3)
+    r = np.random.default_rng(seed)
+    values, owner = r.integers(0, 20, 60), np.sort(r.integers(0, 7, 60))
+    held, got = [values[owner == k].tolist() for k in range(7)], S.matched(values, owner, 7)
+    assert all(got[a, b] == sum(v in held[b] for v in held[a]) for a in range(7) for b in range(7) if a != b)
+
+
+def test_windows_are_the_same_only_with_the_same_shingles():
+    r = np.random.default_rng(4)
+    shingles = r.integers(0, 3, 400).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    l = r.integers(0, 390, 3000)
+    c, reach = l + r.integers(0, 3, 3000), r.integers(3, 6, 3000)
+    made = S._same_shingles(shingles, l, c, l + reach)
+    held = [(shingles[a : a + n + 1].tobytes(), int(b - a)) for a, b, n in zip(l, c, reach)]
+    assert len(set(made.tolist())) == len(set(held)) == len(set(zip(made.tolist(), held)))
