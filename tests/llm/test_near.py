@@ -518,3 +518,37 @@ def test_windows_are_the_same_only_with_the_same_shingles():
     made = S._same_shingles(shingles, l, c, l + reach)
     held = [(shingles[a : a + n + 1].tobytes(), int(b - a)) for a, b, n in zip(l, c, reach)]
     assert len(set(made.tolist())) == len(set(held)) == len(set(zip(made.tolist(), held)))
+
+
+def test_windows_at_the_edges_of_copies_are_not_linked_to_all_copies(spark, monkeypatch):
+    """What stands in all copies of a hot passage is covered by one of them, so the others bring nothing to windows that reach beyond its ends."""
+    counts, save = {}, S.Scratch.save
+
+    def counted(self, df, name):
+        saved = save(self, df, name)
+        counts[name] = saved.count()
+        return saved
+
+    monkeypatch.setattr(S.Scratch, "save", counted)
+    passage = words(70, 9)
+    data = [(i, f"{words(15 + i % 9, 1000 + i)} {passage} {words(30, 2000 + i)}", "en", "s", 1) for i in range(80)]
+    covered = defaultdict(set)
+    for r in S.passages(docs(spark, data)).collect():
+        covered[r.doc_id].update(range(r.first_word, r.end_word))
+    short = {i: sorted(set(range(15 + i % 9, 85 + i % 9)) - covered[i]) for i in range(1, 80)}
+    assert not any(short.values()), short
+    assert counts["near-every"] < 80, counts
+
+
+def test_shingles_that_nothing_covers():
+    # the spans of document 0 leave its words 60 to 69 and those from 90 on, document 1 has none
+    of, l, r = np.array([0, 0, 1]), np.array([0, 50, 3]), np.array([99, 85, 5])
+    low, high = S.bare_bits(of, l, r, np.array([0, 0]), np.array([0, 70]), np.array([60, 90]), 2, 5)
+    bits = [[int(x) >> i & 1 for x in (low[k], high[k]) for i in range(64)] for k in range(3)]
+    assert [i for i, b in enumerate(bits[0]) if b] == [*range(56, 70), *range(86, 100)]
+    assert [50 + i for i, b in enumerate(bits[1]) if b] == list(range(56, 70)) and [i for i, b in enumerate(bits[2]) if b] == [0, 1, 2]
+    n = np.array([100, 36, 3])
+    weights = S.new_weights(n, S._expanded(n, low, high))
+    for window, places, adds in ((0, [0, 20, 55], False), (0, [20, 57], True), (0, [20, 80], True), (0, [70, 85], False), (1, [0, 5], False), (1, [0, 25], True), (2, [1], True)):
+        start = int(n[:window].sum())
+        assert bool(S.adds_words(np.array([weights[[start + p for p in places]].sum()]))[0]) == adds, (window, places)
