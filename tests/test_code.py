@@ -177,3 +177,14 @@ def test_callers_stand_in_the_order_of_their_files(spark):
         for parts in (1, 4):
             dealt = spark.createDataFrame(files[::-1], f"project string, path string, module string, source string, {place} int").repartition(parts)
             assert code_tables.sliced(dealt, targets).first().slice.split("\n")[-3:] == calls
+
+
+def test_functions_and_calls_are_those_of_all_nodes():
+    import ast
+
+    from spindrift.functions import code
+
+    source = "@deco(1)\nclass A(base()):\n    x = [f(y) for y in g()]\n    async def m(self, a: T = d()) -> R:\n        def inner(*, k=h()): return lambda z: i(z)(j)\n        class B:\n            def n(self): self.m(k=inner())\n        return inner\nmain(**o())\n"
+    want = [x for x in code.scoped(ast.parse(source)) if isinstance(x[0], (*code.FUNCTIONS, ast.Call))]
+    got = code._functions_and_calls(source)
+    assert [(ast.dump(n, include_attributes=True), *x) for n, *x in got] == [(ast.dump(n, include_attributes=True), *x) for n, *x in want] and len(got) == 15
