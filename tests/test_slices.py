@@ -85,3 +85,8 @@ def test_hints_of_the_form():
 def test_class_like_a_name():
     p = S.Project([("a.py", "a", "from b import Account\nfrom c import Unknown\nclass Users: pass\n"), ("b.py", "b", "class Account: pass\nclass Other: pass\n")])
     assert p.class_like("a.py", "user") == ["class Users:"] and p.class_like("a.py", "account") == ["class Account:"] and p.class_like("a.py", "other") == [] and p.class_like("a.py", "unknown") == []
+
+
+def test_a_parameter_is_told_by_all_callers():
+    made = project().slice("a.py", "arg", "value", "helper")["slice"].splitlines()
+    assert [x for x in made if x.startswith("helper(")] == ["helper(total)", "helper(q)", "helper(1)", "helper(2)", "helper(3)", "helper(4)"]
