@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions import type_flow as facts
 from ..functions.syntax import LOWER_TYPES
@@ -29,18 +31,23 @@ def type_facts(files: DataFrame) -> DataFrame:
     They are written, for rules and rounds read them again and again.
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows, names = [], ["project", "kind", "a", "b", "c"]
-        for f in frames:
-            for p, path, module, source in zip(f["project"], f["path"], f["module"], f["source"], strict=True):
+    shape = f"project {files.schema['project'].dataType.simpleString()}, {FACT}"
+    schema = to_arrow_schema(StructType.fromDDL(shape))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True) if rows else [()] * len(schema), schema, strict=True)], schema=schema)
+
+        rows: list[tuple] = []
+        for b in batches:
+            for p, path, module, source in zip(*(x.to_pylist() for x in b.columns), strict=True):
                 rows += [(p, *x) for x in facts.facts(path, module, source or "")]
                 if len(rows) >= ROWS:
-                    yield pd.DataFrame(rows, columns=names)
+                    yield made(rows)
                     rows = []
-        yield pd.DataFrame(rows, columns=names)
+        yield made(rows)
 
-    kind = files.schema["project"].dataType.simpleString()
-    found = files.select("project", "path", "module", "source").mapInPandas(run, f"project {kind}, {FACT}")
+    found = files.select("project", "path", "module", "source").mapInArrow(run, shape)
     return Rounds(files.sparkSession).add("facts", found)
 
 
