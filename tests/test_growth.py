@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from spindrift.functions.ts_syntax import File
 from spindrift.operators import joins as J
 
 SF = "/root/testdata/sf0.001"
@@ -43,3 +44,34 @@ def test_verification_looks_recommendations_up_without_texts(spark):
     lines = plan(spark, "O05_verify_dataset").optimizedPlan().toString().split("\n")
     at = next(i for i, x in enumerate(lines) if "Join LeftAnti" in x)
     assert not any("text#" in x for x in lines[at:] if "Explode" in x or "explode" in x or "Generate" in x) and "Expand" not in "".join(lines)
+
+
+@pytest.mark.parametrize("name", ["C26_exported_annotations", "C29_typescript_slices", "C33_assembled_lines"])
+def test_what_is_found_in_files_goes_to_spark_as_arrow(spark, monkeypatch, name):
+    def slow(*_):
+        raise AssertionError("rows by way of pandas, or a group of them for each project")
+
+    frame = type(spark.range(1))
+    monkeypatch.setattr(frame, "mapInPandas", slow)
+    monkeypatch.setattr(type(spark.range(1).groupBy("id").cogroup(spark.range(1).groupBy("id"))), "applyInPandas", slow)
+    assert "InPandas" not in plan(spark, name).optimizedPlan().toString()
+
+
+def test_names_of_a_stretch_are_looked_for_there_alone():
+    class Counted(list):
+        looks = 0
+
+        def __iter__(self):
+            Counted.looks += len(self)
+            return super().__iter__()
+
+        def __getitem__(self, i):
+            Counted.looks += 1
+            return super().__getitem__(i)
+
+    source = "".join(f"const a{i} = f(b{i});\n" for i in range(500))
+    file = File(source)
+    at = source.index("b7)")
+    file.kinds = Counted(file.kinds)
+    assert file.names(at - 2, at + 2) == ["f", "b7"]
+    assert Counted.looks < 20
